@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, minhash, packing, topk
+from tessera.llm import bpe, minhash, packing, quality, secrets, suffix, topk
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,3 +68,22 @@ FROM s JOIN reach ON reach.v = s.doc_id GROUP BY s.doc_id, len(s.s)
 """
 QUERIES["op10_minhash"] = op10_minhash
 ORACLES["op10_minhash"] = OP10_SQL
+
+
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove(_read(spark, sf_dir, "documents"), length=100)
+
+
+QUERIES["op1_suffix_dedup"] = op1_suffix_dedup
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(_read(spark, sf_dir, "documents")))
+
+
+QUERIES["op5_quality_rules"] = op5_quality_rules
+QUERIES["op6_secret_scan"] = op6_secret_scan
