@@ -11,7 +11,9 @@ The chance that a pair at the similarity of 0.8 has fewer than 34 of 64 equal co
 1e-6. Sets that are equal are one class from the start, so copies never meet as pairs. Within a
 posting list members are first compared with a pivot, then with other pivots for a few rounds, and
 only what is still in different components is compared pair by pair; a link inside a component would
-change nothing, so nothing is lost and no list gives all its pairs.
+change nothing, so nothing is lost and no list gives all its pairs. Before that, the shingles that a
+document shares with any other bound its similarity to every partner: postings that the bound rules
+out for all members of their list are dropped, and pairs are held against it inside the joins.
 
 Defined results: a null or blank text has an empty set and stays alone; with fewer words than a
 shingle the whole sequence is one shingle; rows without doc_id are left out; rows that repeat a
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import merged
@@ -132,6 +134,23 @@ def prefixes(reps: DataFrame, k: int, matches: int) -> DataFrame:
     return rare.select("rep", F.col("p.token").alias("token"))
 
 
+def reachable(shared: Column, n: Column, other: Column, percent: int) -> Column:
+    """Whether sets of ``n`` and ``other`` members that have ``shared`` in common at most can be similar."""
+    return shared * 100 >= percent * (n + other - shared)
+
+
+def bounded(post: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Postings with n and shared (shingles that another taking document has as well); without those
+    that no member of their list can reach."""
+    each = sets.select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("g"))
+    known = each.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = each.join(known, "g").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
+    rows = post.join(reps.select("rep", F.col("n_shingles").alias("n")).join(shared, "rep"), "rep")
+    least = rows.groupBy("token").agg(F.min("n").alias("least"))
+    other = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+    return rows.join(least, "token").where(reachable(F.col("shared"), F.col("n"), other, percent)).select("rep", "token", "n", "shared")
+
+
 def confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose signatures match often enough and whose full sets are similar enough."""
     left = reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("sig").alias("sa"))
@@ -153,19 +172,20 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
     post = materialize(prefixes(reps, k, matches), "prefixes")
     taking = post.select(F.col("rep").alias("doc_id")).distinct()
     sets = materialize(full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(taking, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
-    reps = reps.join(taking.select(F.col("doc_id").alias("rep")), "rep", "left_semi")
+    reps = materialize(reps.join(taking.select(F.col("doc_id").alias("rep")), "rep", "left_semi"), "taking")
+    post = materialize(bounded(post, reps, sets, percent), "bounded")
+    near = reachable(F.least("shared", "x_shared"), F.col("n"), F.col("x_n"), percent)
     tried = label = None
     for turn in range(rounds + 1):
-        held = post.withColumn("root", F.col("rep")) if label is None else post.join(label.select(F.col("v").alias("rep"), F.col("root").alias("r")), "rep", "left").select("rep", "token", F.coalesce("r", "rep").alias("root"))
-        mixed = held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("draw"), "rep", "root")).alias("p")).where("low < high")
+        held = post.withColumn("root", F.col("rep")) if label is None else post.join(label.select(F.col("v").alias("rep"), F.col("root").alias("r")), "rep", "left").select("rep", "token", "n", "shared", F.coalesce("r", "rep").alias("root"))
+        mixed = held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("draw"), "rep", "root", "n", "shared")).alias("p")).where("low < high")
         if turn < rounds:
-            pairs = held.join(mixed.select("token", F.col("p.rep").alias("pivot"), F.col("p.root").alias("pivot_root")), "token").where("root <> pivot_root")
-            pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
+            few, all_ = mixed.select("token", *(F.col(f"p.{c}").alias(x) for c, x in (("rep", "x"), ("root", "x_root"), ("n", "x_n"), ("shared", "x_shared")))), held
         else:
-            open_ = held.join(mixed.select("token"), "token", "left_semi")
-            most = open_.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", "count").alias("main"))
-            few = open_.join(most, "token").where("root <> main").select("token", F.col("rep").alias("x"), F.col("root").alias("x_root"))
-            pairs = open_.join(few, "token").where("root <> x_root").select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
+            all_ = held.join(mixed.select("token"), "token", "left_semi")
+            most = all_.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", "count").alias("main"))
+            few = all_.join(most, "token").where("root <> main").select("token", F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("shared").alias("x_shared"))
+        pairs = all_.join(few, "token").where("root <> x_root").where(near).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
         pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")

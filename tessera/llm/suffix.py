@@ -145,6 +145,8 @@ def cut(docs: DataFrame, length: int, gram: int) -> DataFrame:
             twin = np.zeros(len(a), bool)  # the same place of the same document
             twin[1:] = same[1:] & (own[1:] == own[:-1]) & (start[1:] == start[:-1])
             keep = ~twin
+            # repeats need no partner any more: they are dealt out by their own place
+            a = np.where(same, _mix(own.astype(np.uint64) * BASE1 + start.astype(np.uint64)), a)
             columns = (a.view(np.int64), b.view(np.int64), own, start << 10 | count << 2 | same)
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in columns], names=NAMES)
 
@@ -279,19 +281,22 @@ def repeats_of(key: np.ndarray, count: np.ndarray, raws: list[bytes], length: in
         yield size, list(zip(rows[a : b + 1], offsets[a : b + 1], strict=True))
 
 
+def _tables(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
+    """Per table of whole keys: rows that passed through (count 0), places of the others, repeats."""
+    for table in whole_groups(batches, "key"):
+        passed = table.filter(pc.equal(table.column("count"), 0))
+        table = table.filter(pc.greater(table.column("count"), 0))
+        doc, start, count = (table.column(c).to_numpy() for c in ("doc_id", "start", "count"))
+        yield passed, doc.tolist(), start.tolist(), repeats_of(table.column("key").to_numpy(), count, table.column("raw").to_pylist(), length)
+
+
 def maximal_repeats(found: DataFrame, length: int) -> DataFrame:
-    """repeat rows: size and all occurrences (doc_id, start), first one first."""
+    """The repeats themselves: size and all occurrences (doc_ids, starts), the first one first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "key"):
-            doc, start = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
-            passed = np.flatnonzero(table.column("count").to_numpy() == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(passed), length)), pa.array([[x, x] for x in doc[passed].tolist()], pa.list_(pa.int64())), pa.array([[x, x] for x in start[passed].tolist()], pa.list_(pa.int64()))], names=["size", "doc_ids", "starts"])
-            table = table.filter(pc.greater(table.column("count"), 0))
-            doc, start = table.column("doc_id").to_numpy(), table.column("start").to_numpy()
-            docs, starts = doc.tolist(), start.tolist()
+        for _, docs, starts, repeats in _tables(batches, length):
             sizes, docs_out, starts_out, n = [], [], [], [0]
-            for size, where in repeats_of(table.column("key").to_numpy(), table.column("count").to_numpy(), table.column("raw").to_pylist(), length):
+            for size, where in repeats:
                 places = sorted({(docs[r], starts[r] + o) for r, o in where})
                 if len(places) < 2:
                     continue
@@ -305,6 +310,25 @@ def maximal_repeats(found: DataFrame, length: int) -> DataFrame:
     return found.mapInArrow(run, "size long, doc_ids array<long>, starts array<long>")
 
 
+def later_spans(found: DataFrame, length: int) -> DataFrame:
+    """doc_id, start, stop: all occurrences of maximal repeats but the first ones, joined where they
+    overlap inside a block, so that nested repeats give no row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for passed, docs, starts, repeats in _tables(batches, length):
+            covered: dict[int, list[dict]] = {}
+            for size, where in repeats:
+                first = min((docs[r], starts[r] + o) for r, o in where)
+                for r, o in where:
+                    if (docs[r], starts[r] + o) != first:
+                        covered.setdefault(r, []).append({"start": starts[r] + o, "stop": starts[r] + o + size})
+            rows = [(docs[r], s, e) for r, held in covered.items() for s, e in merge_spans(held, 1 << 62)]
+            rows += [(d, s, s + length) for d, s in zip(passed.column("doc_id").to_pylist(), passed.column("start").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else ((), (), ()))], names=["doc_id", "start", "stop"])
+
+    return found.mapInArrow(run, "doc_id long, start long, stop long")
+
+
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_BLOCKS) -> DataFrame:
     """doc_id, start, stop (bytes) of strings that also start earlier; they may overlap."""
     known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -312,8 +336,7 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HO
     judged = materialize(compare(sorted_cuts).select("anchor", "block", "doc_id", F.shiftright("place", 10).alias("start"), (F.shiftright("place", 2) % 256).cast("int").alias("count"), (F.col("place") % 4).alias("kind")), "blocks")
     gone = judged.where("kind = 1").select("doc_id", "start", (F.col("start") + F.col("count") + (length - 1)).alias("stop"))
     found = contexts(known, judged.where("kind = 2"), length, hot).repartition("key").sortWithinPartitions("key")
-    later = maximal_repeats(found, length).select("size", F.explode(F.slice(F.arrays_zip("doc_ids", "starts"), F.lit(2), F.greatest(F.size("doc_ids") - 1, F.lit(1)))).alias("p"))
-    return gone.unionByName(later.select(F.col("p.doc_ids").alias("doc_id"), F.col("p.starts").alias("start"), (F.col("p.starts") + F.col("size")).alias("stop")))
+    return gone.unionByName(later_spans(found, length))
 
 
 def merge_spans(held: list[dict] | None, size: int) -> list[tuple[int, int]]:
