@@ -13,7 +13,9 @@ posting list members are first compared with a pivot, then with other pivots for
 only what is still in different components is compared pair by pair; a link inside a component would
 change nothing, so nothing is lost and no list gives all its pairs. Before that, the shingles that a
 document shares with any other bound its similarity to every partner: postings that the bound rules
-out for all members of their list are dropped, and pairs are held against it inside the joins.
+out for all members of their list are dropped, and pairs are held against it inside the joins. The
+last round also compares bitmaps of the sets (the parity of the members in each of 512 hash classes):
+the bits that differ are a lower bound of the symmetric difference, which rules pairs out exactly.
 
 Defined results: a null or blank text has an empty set and stays alone; with fewer words than a
 shingle the whole sequence is one shingle; rows without doc_id are left out; rows that repeat a
@@ -35,6 +37,8 @@ from tessera.llm.shared import byte_slices, materialize
 
 K, MATCHES = 64, 34
 ROUNDS = 2
+#: Columns of the bitmaps.
+BITS = [f"bits{i}" for i in range(8)]
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORDS_KEPT = 1_000_000
 
@@ -113,14 +117,16 @@ def signatures(docs: DataFrame, width: int, k: int = K) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and its whole set of shingle hashes."""
+    """doc_id, its whole set of shingle hashes, and the bitmap of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "text"):
-            found = [shingles(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+            found = [shingles(t, width) for t in batch.column(1).to_pylist()]
+            bits = np.array([np.packbits(np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=512) & 1).view(np.int64) for h in found]).reshape(-1, 8)
+            sets = pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets, *(pa.array(bits[:, i]) for i in range(8))], names=["doc_id", "shingles", *BITS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def prefixes(reps: DataFrame, k: int, matches: int) -> DataFrame:
@@ -182,14 +188,17 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         if turn < rounds:
             few, all_ = mixed.select("token", *(F.col(f"p.{c}").alias(x) for c, x in (("rep", "x"), ("root", "x_root"), ("n", "x_n"), ("shared", "x_shared")))), held
         else:
-            all_ = held.join(mixed.select("token"), "token", "left_semi")
+            all_ = held.join(mixed.select("token"), "token", "left_semi").join(sets.select(F.col("doc_id").alias("rep"), *BITS), "rep")
             most = all_.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", "count").alias("main"))
-            few = all_.join(most, "token").where("root <> main").select("token", F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("shared").alias("x_shared"))
+            few = all_.join(most, "token").where("root <> main").select("token", F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("shared").alias("x_shared"), *(F.col(b).alias(f"x_{b}") for b in BITS))
+            apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"x_{b}"))) for b in BITS), F.lit(0))
+            size = F.col("n") + F.col("x_n")
+            near = near & ((100 + percent) * (size - apart) >= 2 * percent * size)
         pairs = all_.join(few, "token").where("root <> x_root").where(near).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
-        pairs = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"))
+        pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs.select("a", "b"), "pairs")
+        pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
             break
         tried = pairs if tried is None else tried.union(pairs)
