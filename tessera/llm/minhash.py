@@ -210,3 +210,9 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
         out = out.withColumn("root", F.lit(None).cast("long"))
     best = F.coalesce("root", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", best.alias("component_id"), (best == F.col("doc_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that name their component; rows without doc_id stay."""
+    gone = near_components(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")

@@ -98,3 +98,10 @@ def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_do
     out = summed.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
     once = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return once.drop("total", "n", "copies", "copy")
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose verdict is kept."""
+    good = judge(docs, labels).where("kept").select(F.col("doc_id").alias("good_id"), F.col("text_hash").alias("good_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("good_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("good_hash"))
+    return docs.join(good, same, "left_semi")

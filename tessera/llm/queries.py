@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, minhash, packing, quality, secrets, suffix, topk
+from tessera.llm import bpe, html, langid, minhash, packing, quality, secrets, suffix, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -87,3 +87,18 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op5_quality_rules"] = op5_quality_rules
 QUERIES["op6_secret_scan"] = op6_secret_scan
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op3_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op2_toxicity": op2_toxicity, "op3_html_layout": op3_html_layout, "op7_language_id": op7_language_id}

@@ -351,11 +351,11 @@ def merge_spans(held: list[dict] | None, size: int) -> list[tuple[int, int]]:
 
 
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_BLOCKS, keep_text: bool = False) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary)
-    and the removed runs; with ``keep_text`` all other columns of ``docs`` stay in ``row``."""
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_text``, the kept
+    text (whole characters) and the row itself as ``row``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct("*").alias("row")] if keep_text else []))
     covered = spans(docs, length, gram, hot).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("held"))
-    extra = f", kept binary, row {rows.schema['row'].dataType.simpleString()}" if keep_text else ""
+    extra = f", kept string, row {rows.schema['row'].dataType.simpleString()}" if keep_text else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "text"):
@@ -365,12 +365,20 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
                 runs = merge_spans(held, len(raw))
                 left = b"".join(raw[a:b] for a, b in zip([0, *(e for _, e in runs)], [*(s for s, _ in runs), len(raw)], strict=True))
                 out.append((doc, len(raw), len(raw) - len(left), len(runs), hashlib.sha256(left).hexdigest()))
-                kept.append(left)
+                kept.append(left.decode("utf-8", "ignore"))
             arrays = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if keep_text:
-                arrays, names = [*arrays, pa.array(kept, pa.binary()), batch.column(3)], [*names, "kept", "row"]
+                arrays, names = [*arrays, pa.array(kept, pa.string()), batch.column(3)], [*names, "kept", "row"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     joined = rows.join(covered, "doc_id", "left").select("doc_id", "text", "held", *(["row"] if keep_text else []))
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
+
+
+def clean(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_BLOCKS) -> DataFrame:
+    """The rows of ``docs`` with repeats cut out of ``text``. Bytes of a character that a cut splits
+    go as well; rows of which nothing is left are dropped."""
+    done = remove(docs, length, gram, hot, keep_text=True).where("n_removed = 0 OR n_removed < n_bytes")
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("row.text"))
+    return done.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
