@@ -9,8 +9,9 @@ log((t + c) / (e + c)), t being its trusted count and e the count expected from
 rare buckets say nothing. A document scores the mean weight of its n-grams and passes at or above
 ``threshold``; the threshold is fixed, so a verdict depends on the two multinomials alone.
 
-Exploded n-grams meet a broadcast of ``buckets`` weights and are summed per document before the
-shuffle, which carries one row per document and task.
+The corpus counts are one aggregation with map-side sums of at most ``buckets`` groups; the weights
+are a single broadcast row of ``buckets`` floats, and every text is scored in its own row, so no text
+is shuffled and no group exists that could be hot.
 
 Defined results: a null, empty or blank text has no words, fails the base and is not kept; a null
 doc_id is a row like others; rows repeated in full stay repeated; without labels all weights are 0
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-BUCKETS = 1 << 17
+BUCKETS = 1 << 15
 TRUSTED_DOCS = 20_000
 PRIOR = 5.0
-THRESHOLD = -0.12
+THRESHOLD = -0.06
 
 
 def words(text: Column) -> Column:
@@ -37,35 +38,48 @@ def words(text: Column) -> Column:
 
 def dup_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier one."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0)
-    return F.size(lines) - F.size(F.array_distinct(lines))
-
-
-def repeat_words(windows: Column) -> Column:
-    """Words covered by 3-word windows that are found twice or more: windows are sorted with their
-    places, equal neighbours give the places, and each place adds what the one before left open."""
-    order = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    same = F.zip_with(order, F.slice(order, 2, F.size(windows)), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
-    marked = F.zip_with(same, F.concat(F.array(F.lit(False)), same), lambda a, b: F.coalesce(a, F.lit(False)) | F.coalesce(b, F.lit(False)))
-    places = F.array_sort(F.transform(F.filter(F.zip_with(order, marked, lambda o, m: F.struct(o["i"].alias("i"), m.alias("m"))), lambda x: x["m"] & x["i"].isNotNull()), lambda x: x["i"]))
-    steps = F.zip_with(places, F.slice(places, 2, F.size(places)), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
-    total = F.aggregate(steps, F.lit(0), lambda s, x: s + x)
-    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0)).otherwise(total)
+    lines = F.array(F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(BLANKS))) > 0))
+    return F.element_at(F.transform(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))), 1)
+
+
+def _pairs(array: str, later: str, skip: int) -> Column:
+    """Hashes of neighbours: element i of ``array`` with element i + skip of ``later``."""
+    n = F.greatest(F.size(later) - skip, F.lit(0))
+    return F.zip_with(F.slice(array, F.lit(1), n), F.slice(later, F.lit(skip + 1), n), lambda a, b: F.xxhash64(a, b))
+
+
+def with_repeat_words(rows: DataFrame) -> DataFrame:
+    """Adds n_repeat_words, the words covered by windows (``three``) found twice or more: windows are
+    sorted with their places, equal neighbours give the places, and each place adds what the one
+    before left open. Each step is a column of its own, so that it is computed once."""
+    m = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("three") + 2.0))).cast("long")
+    rows = rows.withColumn("m", m)
+    # the leading bits of each hash with its place in the trailing ones: plain longs sort fast, and
+    # neighbours that agree in the leading bits are the only windows that can be equal
+    rows = rows.withColumn("packed", F.sort_array(F.transform("three", lambda h, i: h - F.pmod(h, F.col("m")) + i)))
+    near = F.zip_with(F.slice("packed", F.lit(1), F.greatest(F.size("packed") - 1, F.lit(0))), F.slice("packed", F.lit(2), F.size("packed")), lambda a, b: F.when(b - F.pmod(b, F.col("m")) == a - F.pmod(a, F.col("m")), F.array(F.pmod(a, F.col("m")), F.pmod(b, F.col("m")))))
+    rows = rows.withColumn("maybe", F.array_distinct(F.flatten(F.filter(near, lambda x: x.isNotNull()))))
+    order = F.array_sort(F.transform("maybe", lambda i: F.struct(F.get("three", i.cast("int")).alias("h"), i.cast("int").alias("i"))))
+    rows = rows.withColumn("order", order)
+    rows = rows.withColumn("same", F.zip_with("order", F.slice("order", F.lit(2), F.size("order")), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))))
+    rows = rows.withColumn("before", F.slice(F.concat(F.array(F.lit(False)), "same"), F.lit(1), F.size("order")))
+    rows = rows.withColumn("marked", F.zip_with("same", "before", lambda a, b: a | b))
+    rows = rows.withColumn("places", F.array_sort(F.filter(F.zip_with("order", "marked", lambda o, m: F.when(m, o["i"])), lambda x: x.isNotNull())))
+    steps = F.zip_with("places", F.slice("places", F.lit(2), F.size("places")), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
+    return rows.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0), lambda s, x: s + x).cast("long")).drop("m", "packed", "maybe", "order", "same", "before", "marked", "places")
 
 
 def measured(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, the counts, base_failed, a hash of the text, and the n-gram buckets of each text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), words(F.col("text")).alias("w"))
+    """The row, the counts, base_failed, and the n-gram buckets of each text."""
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"), words(F.col("text")).alias("w"))
     rows = rows.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
-    rows = rows.withColumn("two", F.zip_with(F.slice("h", 1, F.greatest(F.size("h") - 1, F.lit(0))), F.slice("h", 2, F.greatest(F.size("h") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
-    rows = rows.withColumn("three", F.zip_with(F.slice("two", 1, F.greatest(F.size("two") - 1, F.lit(0))), F.slice("h", 3, F.greatest(F.size("h") - 2, F.lit(0))), lambda a, b: F.xxhash64(a, b)))
+    rows = rows.withColumn("two", _pairs("h", "h", 1)).withColumn("three", _pairs("two", "h", 2))
+    rows = with_repeat_words(rows)
     bare = F.length(F.translate("text", BLANKS, ""))
     symbols = F.length("text") - F.length(F.translate("text", SYMBOLS, ""))
-    rows = rows.select("doc_id", F.size("w").cast("long").alias("n_words"), bare.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), dup_lines(F.col("text")).cast("long").alias("n_dup_lines"), repeat_words(F.col("three")).cast("long").alias("n_repeat_words"), F.xxhash64("text").alias("text_hash"), "h", "two")
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     grams = F.transform(F.concat("h", "two"), lambda g: F.pmod(g, F.lit(buckets)).cast("int"))
-    return rows.withColumn("base_failed", failed).withColumn("grams", grams).drop("h", "two")
+    rows = rows.select("row", F.size("w").cast("long").alias("n_words"), bare.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), dup_lines(F.col("text")).cast("long").alias("n_dup_lines"), "n_repeat_words", grams.alias("grams"))
+    return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
 def trusted(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
@@ -78,30 +92,30 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_
     known = F.broadcast(trusted(labels, trusted_docs).withColumn("good", F.lit(1)))
     h = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
     rows = docs.select("doc_id", h.alias("h")).join(known, "doc_id", "left").select("good", "h")
-    two = F.zip_with(F.slice("h", 1, F.greatest(F.size("h") - 1, F.lit(0))), F.slice("h", 2, F.greatest(F.size("h") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    grams = rows.select("good", F.explode(F.concat("h", two)).alias("g"))
+    grams = rows.select("good", F.explode(F.concat("h", _pairs("h", "h", 1))).alias("g"))
     counts = grams.groupBy(F.pmod("g", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("r"), F.coalesce(F.sum("good"), F.lit(0)).alias("t"))
     both = counts.agg(F.sum("r").alias("all_r"), F.sum("t").alias("all_t")).withColumn("one", F.lit(1))
     expected = F.col("all_t") * F.col("r") / F.col("all_r")
-    return counts.withColumn("one", F.lit(1)).join(F.broadcast(both), "one").select("bucket", F.log((F.col("t") + PRIOR) / (expected + PRIOR)).alias("weight"))
+    return counts.withColumn("one", F.lit(1)).join(F.broadcast(both), "one").select("bucket", F.log((F.col("t") + PRIOR) / (expected + PRIOR)).cast("float").alias("weight"))
+
+
+def judged(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+    """Each row of ``docs`` as ``row``, its counts, base_failed, score and kept."""
+    known = weights(docs, labels, buckets, trusted_docs)
+    every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(known), "bucket", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("weight", F.lit(0.0).cast("float")).alias("weight"))))
+    model = every.agg(F.transform(ordered, lambda x: x["weight"]).alias("model")).withColumn("one", F.lit(1))
+    rows = measured(docs, buckets).withColumn("one", F.lit(1)).join(F.broadcast(model), "one", "left")
+    total = F.aggregate("grams", F.lit(0.0), lambda s, g: s + F.get("model", g).cast("double"))
+    rows = rows.withColumn("score", F.coalesce(F.try_divide(total, F.size("grams").cast("double")), F.lit(0.0)))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("one", "model", "grams")
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, **more) -> DataFrame:
     """doc_id, the counts, base_failed, score and kept, one row per row of ``docs``."""
-    rows = measured(docs, buckets)
-    keys = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "text_hash"]
-    model = F.broadcast(weights(docs, labels, buckets, trusted_docs))
-    grams = rows.select(*keys, F.posexplode_outer("grams").alias("place", "bucket")).join(model, "bucket", "left")
-    # rows that agree in all keys are the same text: their sums are equal, and their number is kept
-    summed = grams.groupBy(*keys).agg(F.sum("weight").alias("total"), F.count("weight").alias("n"), F.sum((F.coalesce("place", F.lit(0)) == 0).cast("long")).alias("copies"))
-    score = F.coalesce(F.col("total") / F.col("n"), F.lit(0.0))
-    out = summed.withColumn("score", score).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
-    once = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
-    return once.drop("total", "n", "copies", "copy")
+    return judged(docs, labels, **more).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose verdict is kept."""
-    good = judge(docs, labels).where("kept").select(F.col("doc_id").alias("good_id"), F.col("text_hash").alias("good_hash")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("good_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("good_hash"))
-    return docs.join(good, same, "left_semi")
+    return judged(docs, labels).where("kept").select("row.*")
