@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tessera.plans import charts, leaders, records
+
+QUERIES = leaders.QUERIES | charts.QUERIES | records.QUERIES
+ORACLES = leaders.ORACLES | charts.ORACLES | records.ORACLES
