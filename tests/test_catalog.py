@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera import catalog
@@ -22,7 +23,7 @@ def db():
 
 
 def rows(frame):
-    plain = lambda v: None if v is None or v != v else (float(v) if isinstance(v, numbers.Number) and not isinstance(v, bool | np.bool_) else str(v))
+    plain = lambda v: None if v is None or v is pd.NA or v != v else (float(v) if isinstance(v, numbers.Number) and not isinstance(v, bool | np.bool_) else str(v))
     frame = frame[sorted(frame.columns)].astype(object)
     return sorted((tuple(map(plain, r)) for r in frame.itertuples(index=False)), key=str)
 
