@@ -42,44 +42,63 @@ def dup_lines(text: Column) -> Column:
     return F.element_at(F.transform(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))), 1)
 
 
-def _pairs(array: str, later: str, skip: int) -> Column:
-    """Hashes of neighbours: element i of ``array`` with element i + skip of ``later``."""
-    n = F.greatest(F.size(later) - skip, F.lit(0))
-    return F.zip_with(F.slice(array, F.lit(1), n), F.slice(later, F.lit(skip + 1), n), lambda a, b: F.xxhash64(a, b))
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where the optimizer merges projections."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def with_repeat_words(rows: DataFrame) -> DataFrame:
-    """Adds n_repeat_words, the words covered by windows (``three``) found twice or more: windows are
+def _neighbours(a: Column, b: Column, skip: int) -> Column:
+    """Hashes of element i of ``a`` with element i + skip of ``b``."""
+    n = F.greatest(F.size(b) - skip, F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(skip + 1), n), lambda x, y: F.xxhash64(x, y))
+
+
+def repeat_words(windows: Column) -> Column:
+    """Words covered by windows (hashes) found twice or more.
+
+    Windows are sorted as plain longs that hold the leading bits of the hash and the place; neighbours
+    that agree in the leading bits are the only ones that can be equal. Of these the whole hashes are
     sorted with their places, equal neighbours give the places, and each place adds what the one
-    before left open. Each step is a column of its own, so that it is computed once."""
-    m = F.pow(F.lit(2.0), F.ceil(F.log2(F.size("three") + 2.0))).cast("long")
-    rows = rows.withColumn("m", m)
-    # the leading bits of each hash with its place in the trailing ones: plain longs sort fast, and
-    # neighbours that agree in the leading bits are the only windows that can be equal
-    rows = rows.withColumn("packed", F.sort_array(F.transform("three", lambda h, i: h - F.pmod(h, F.col("m")) + i)))
-    near = F.zip_with(F.slice("packed", F.lit(1), F.greatest(F.size("packed") - 1, F.lit(0))), F.slice("packed", F.lit(2), F.size("packed")), lambda a, b: F.when(b - F.pmod(b, F.col("m")) == a - F.pmod(a, F.col("m")), F.array(F.pmod(a, F.col("m")), F.pmod(b, F.col("m")))))
-    rows = rows.withColumn("maybe", F.array_distinct(F.flatten(F.filter(near, lambda x: x.isNotNull()))))
-    order = F.array_sort(F.transform("maybe", lambda i: F.struct(F.get("three", i.cast("int")).alias("h"), i.cast("int").alias("i"))))
-    rows = rows.withColumn("order", order)
-    rows = rows.withColumn("same", F.zip_with("order", F.slice("order", F.lit(2), F.size("order")), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False))))
-    rows = rows.withColumn("before", F.slice(F.concat(F.array(F.lit(False)), "same"), F.lit(1), F.size("order")))
-    rows = rows.withColumn("marked", F.zip_with("same", "before", lambda a, b: a | b))
-    rows = rows.withColumn("places", F.array_sort(F.filter(F.zip_with("order", "marked", lambda o, m: F.when(m, o["i"])), lambda x: x.isNotNull())))
-    steps = F.zip_with("places", F.slice("places", F.lit(2), F.size("places")), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
-    return rows.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0), lambda s, x: s + x).cast("long")).drop("m", "packed", "maybe", "order", "same", "before", "marked", "places")
+    before left open."""
+
+    def near(p: Column, m: Column) -> Column:
+        pairs = F.zip_with(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.when(b - F.pmod(b, m) == a - F.pmod(a, m), F.array(F.pmod(a, m), F.pmod(b, m))))
+        return F.array_distinct(F.flatten(F.filter(pairs, lambda x: x.isNotNull())))
+
+    def places(o: Column) -> Column:
+        same = F.zip_with(o, F.slice(o, F.lit(2), F.size(o)), lambda a, b: F.coalesce(a["h"] == b["h"], F.lit(False)))
+        marked = _let(same, lambda s: F.zip_with(s, F.slice(F.concat(F.array(F.lit(False)), s), F.lit(1), F.size(s)), lambda a, b: a | b))
+        return F.array_sort(F.filter(F.zip_with(o, marked, lambda x, y: F.when(y, x["i"])), lambda x: x.isNotNull()))
+
+    def total(p: Column) -> Column:
+        steps = F.zip_with(p, F.slice(p, F.lit(2), F.size(p)), lambda a, b: F.least(F.coalesce(b - a, F.lit(3)), F.lit(3)))
+        return F.aggregate(steps, F.lit(0), lambda s, x: s + x).cast("long")
+
+    def counted(t: Column) -> Column:
+        bits = F.pow(F.lit(2.0), F.ceil(F.log2(F.size(t) + 2.0))).cast("long")
+        packed = lambda m: F.sort_array(F.transform(t, lambda h, i: h - F.pmod(h, m) + i))
+        maybe = _let(bits, lambda m: _let(packed(m), lambda p: near(p, m)))
+        order = lambda c: F.array_sort(F.transform(c, lambda i: F.struct(F.get(t, i.cast("int")).alias("h"), i.cast("int").alias("i"))))
+        return _let(maybe, lambda c: F.when(F.size(c) == 0, F.lit(0).cast("long")).otherwise(_let(order(c), lambda o: _let(places(o), total))))
+
+    return _let(windows, counted)
 
 
 def measured(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """The row, the counts, base_failed, and the n-gram buckets of each text."""
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("text"), words(F.col("text")).alias("w"))
-    rows = rows.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
-    rows = rows.withColumn("two", _pairs("h", "h", 1)).withColumn("three", _pairs("two", "h", 2))
-    rows = with_repeat_words(rows)
-    bare = F.length(F.translate("text", BLANKS, ""))
-    symbols = F.length("text") - F.length(F.translate("text", SYMBOLS, ""))
-    grams = F.transform(F.concat("h", "two"), lambda g: F.pmod(g, F.lit(buckets)).cast("int"))
-    rows = rows.select("row", F.size("w").cast("long").alias("n_words"), bare.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), dup_lines(F.col("text")).cast("long").alias("n_dup_lines"), "n_repeat_words", grams.alias("grams"))
-    return rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+
+    def counts(h: Column, two: Column) -> Column:
+        grams = F.transform(F.concat(h, two), lambda g: F.pmod(g, F.lit(buckets)).cast("int"))
+        return F.struct(F.size(h).cast("long").alias("n_words"), repeat_words(_neighbours(two, h, 2)).alias("n_repeat_words"), grams.alias("grams"))
+
+    text = F.coalesce("text", F.lit(""))
+    hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
+    all_counts = _let(hashed, lambda h: _let(_neighbours(h, h, 1), lambda two: counts(h, two)))
+    bare = F.length(F.translate(text, BLANKS, ""))
+    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    rows = docs.select(F.struct("*").alias("row"), all_counts.alias("m"), bare.cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), dup_lines(text).cast("long").alias("n_dup_lines"))
+    failed = (F.col("m.n_words") < 50) | (100 * F.col("m.n_repeat_words") > 50 * F.col("m.n_words"))
+    return rows.select("row", "m.n_words", "word_chars", "n_symbols", "n_dup_lines", "m.n_repeat_words", failed.alias("base_failed"), "m.grams")
 
 
 def trusted(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
@@ -90,9 +109,9 @@ def trusted(labels: DataFrame, most: int = TRUSTED_DOCS) -> DataFrame:
 def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
     """bucket, weight: at most ``buckets`` rows."""
     known = F.broadcast(trusted(labels, trusted_docs).withColumn("good", F.lit(1)))
-    h = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
-    rows = docs.select("doc_id", h.alias("h")).join(known, "doc_id", "left").select("good", "h")
-    grams = rows.select("good", F.explode(F.concat("h", _pairs("h", "h", 1))).alias("g"))
+    hashed = F.transform(words(F.col("text")), lambda w: F.xxhash64(w))
+    grams = docs.select("doc_id", _let(hashed, lambda h: F.concat(h, _neighbours(h, h, 1))).alias("grams"))
+    grams = grams.join(known, "doc_id", "left").select("good", F.explode("grams").alias("g"))
     counts = grams.groupBy(F.pmod("g", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("r"), F.coalesce(F.sum("good"), F.lit(0)).alias("t"))
     both = counts.agg(F.sum("r").alias("all_r"), F.sum("t").alias("all_t")).withColumn("one", F.lit(1))
     expected = F.col("all_t") * F.col("r") / F.col("all_r")
@@ -118,4 +137,5 @@ def judge(docs: DataFrame, labels: DataFrame, **more) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose verdict is kept."""
-    return judged(docs, labels).where("kept").select("row.*")
+    # by a generator and not a filter, which the optimizer would copy below the measurements
+    return judged(docs, labels).select(F.explode(F.when(F.col("kept"), F.array("row"))).alias("row")).select("row.*")
