@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,6 +51,13 @@ def build(page: str) -> Node:
     """The tree of a page; text stands in it as strings."""
     root = Node("#root")
     stack, at, size = [root], 0, len(page)
+    standing: Counter = Counter()  # open elements by tag, so that deep trees aren't searched in vain
+
+    def leave(n: int) -> None:
+        for node in stack[n:]:
+            standing[node.tag] -= 1
+        del stack[n:]
+
     while at < size:
         m = TOKEN.match(page, at)
         at = m.end()
@@ -60,19 +68,21 @@ def build(page: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:
-            if any(n.tag == tag for n in stack[1:]):
-                while stack.pop().tag != tag:
-                    pass
+            if standing[tag]:
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                leave(i)
             continue
         if tag in CLOSES_P or tag in IMPLIED:
             closes, beyond = IMPLIED.get(tag, (set(), set()))
             if tag in CLOSES_P:
                 closes, beyond = closes | {"p"}, beyond | {"td", "th", "table", "body"}
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in beyond:
-                    break
+            i = len(stack) - 1
+            while i > 0 and stack[i].tag not in beyond and any(standing[c] for c in closes):
                 if stack[i].tag in closes:
-                    del stack[i:]
+                    leave(i)
+                i -= 1
         attrs = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(m[3])} if m[3].strip(" /") else {}
         unseen = tag in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(UNSEEN.search(attrs.get("style", "")))
         if tag == "input" and attrs.get("type", "").lower() == "hidden":
@@ -85,6 +95,7 @@ def build(page: str) -> Node:
             at = end.end() if end else size
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(node)
+            standing[tag] += 1
     return root
 
 
