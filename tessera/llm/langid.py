@@ -49,14 +49,15 @@ def features(text: str) -> np.ndarray:
 
 def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, turns: int = 30) -> np.ndarray:
     """Weights (bias last) of a linear SVM by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w, a, q = np.zeros(x.shape[1]), np.zeros(len(x)), (x.astype(np.float64) ** 2).sum(1)
+    w, a, q = np.zeros(x.shape[1] + 1, np.float32), np.zeros(len(x)), np.einsum("ij,ij->i", x, x) + 1.0
     rng = np.random.default_rng(0)
     for _ in range(turns):
         for i in rng.permutation(len(x)):
-            new = min(max(a[i] - (y[i] * (x[i] @ w) - 1) / q[i], 0.0), c)
+            new = min(max(a[i] - (y[i] * float(x[i] @ w[:-1] + w[-1]) - 1) / q[i], 0.0), c)
             if new != a[i]:
-                w += (new - a[i]) * y[i] * x[i]
+                step = np.float32((new - a[i]) * y[i])
+                w[:-1] += step * x[i]
+                w[-1] += step
                 a[i] = new
     return w
 
@@ -98,7 +99,7 @@ def predict(model: dict, text: str | None) -> tuple[str, float]:
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG, most: int = MOST) -> DataFrame:
-    """lang and features of the training documents."""
+    """lang and features (as float32 bytes, which the driver holds without objects) of the training documents."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_lang)
@@ -106,17 +107,17 @@ def sample(docs: DataFrame, per_lang: int = PER_LANG, most: int = MOST) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "text"):
-            found = [features(t) if t and any(map(str.isalpha, t)) else None for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float32()))], names=["doc_id", "lang", "x"])
+            found = [features(t).tobytes() if t and any(map(str.isalpha, t)) else None for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "lang", "x"])
 
     chosen = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    return chosen.mapInArrow(run, "doc_id long, lang string, x array<float>").where("x IS NOT NULL")
+    return chosen.mapInArrow(run, "doc_id long, lang string, x binary").where("x IS NOT NULL")
 
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG, most: int = MOST) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
     got = sample(docs, per_lang, most).toPandas().sort_values(["doc_id", "lang"], kind="stable")
-    model = train(np.stack(got["x"].to_list()), got["lang"].tolist()) if len(got) else {}
+    model = train(np.stack([np.frombuffer(x, np.float32) for x in got["x"]]), got["lang"].tolist()) if len(got) else {}
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most pairs of languages x DIMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
