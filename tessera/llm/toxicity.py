@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import byte_slices, held_out
+from tessera.llm.shared import byte_slices, held_out, materialize
 
 PER_CLASS = 4000
 LEXICON = 100
@@ -135,18 +135,43 @@ def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.array([b[0] for b in blocks]), np.array([(b[1] + 0.02) / (b[2] + 0.04) for b in blocks])
 
 
-def train(texts: list[str | None], y: np.ndarray) -> dict | None:
-    if len(set(y.tolist())) < 2:
+def learned_words(chosen: DataFrame, most: int = LEXICON) -> list[str]:
+    """The words that stand out in toxic rows of ``chosen`` (doc_id, text, toxic, fold) outside the
+    calibration fold, by document frequency; at most ``most`` words reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches, "text"):
+            toxic, clean = Counter(), Counter()
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                (toxic if label else clean).update({w.strip("!?*'-") for w in WORD.findall((text or "").lower())})
+            words = list(toxic.keys() | clean.keys())
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([toxic[w] for w in words], pa.int64()), pa.array([clean[w] for w in words], pa.int64())], names=["word", "c1", "c0"])
+
+    rows = chosen.where("NOT fold")
+    n1, n0 = (max(1, n or 0) for n in rows.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first())
+    words = rows.select("text", "toxic").mapInArrow(run, "word string, c1 long, c0 long").groupBy("word").agg(F.sum("c1").alias("c1"), F.sum("c0").alias("c0"))
+    ratio = (F.col("c1") / n1) / ((F.col("c0") + 0.5) / n0)
+    stands_out = (F.col("word") != "") & (F.col("c1") >= max(3, n1 // 100)) & (ratio > 4)
+    return [r.word for r in words.where(stands_out).orderBy((F.col("c1") * F.log(ratio)).desc(), "word").limit(most).collect()]
+
+
+def train(docs: DataFrame, ids: DataFrame) -> dict | None:
+    """The model learned from the rows of ``docs`` whose id is in ``ids`` (doc_id, toxic), a bounded
+    sample. Texts stay in the tasks; words and ten numbers a document reach the driver."""
+    held = F.broadcast(ids.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5)) == 4))
+    chosen = docs.select("doc_id", "text").join(held, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("toxic").cast("long").alias("toxic"), "fold")
+    lexicon = frozenset(learned_words(chosen))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches, "text"):
+            x = [features(t, lexicon) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "fold", "x"])
+
+    # rows that repeat an id count once, so the bound on ids bounds the rows
+    got = chosen.mapInArrow(run, "doc_id long, toxic long, fold boolean, x array<double>").groupBy("doc_id", "toxic", "fold").agg(F.min("x").alias("x")).orderBy("doc_id").collect()
+    x, y, fold = np.array([r.x for r in got]), np.array([float(r.toxic) for r in got]), np.array([r.fold for r in got], bool)
+    if len(set(y[~fold].tolist())) < 2:
         return None
-    fold = np.arange(len(y)) % 5 == 4
-    counts = [Counter(), Counter()]
-    for t, v, f in zip(texts, y.tolist(), fold, strict=True):
-        if not f:
-            counts[int(v)].update({w.strip("!?*'-") for w in WORD.findall((t or "").lower())})
-    n1, n0 = max(1, int((y[~fold] == 1).sum())), max(1, int((y[~fold] == 0).sum()))
-    ratio = {w: c * np.log((c / n1) / ((counts[0][w] + 0.5) / n0)) for w, c in counts[1].items() if w and c >= max(3, n1 // 100) and c / n1 > 4 * (counts[0][w] + 0.5) / n0}
-    lexicon = frozenset(sorted(ratio, key=lambda w: (-ratio[w], w))[:LEXICON])
-    x = np.array([features(t, lexicon) for t in texts])
     trees = Trees().fit(x[~fold], y[~fold])
     steps = isotonic(trees.margin(x[fold]), y[fold]) if len(set(y[fold].tolist())) == 2 else (np.array([-4.0, 4.0]), np.array([0.02, 0.98]))
     return {"lexicon": lexicon, "trees": trees, "steps": steps}
@@ -156,10 +181,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, per_class:
     """doc_id, held_out, score, predicted of every document."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out())
     pick = lambda v: known.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-    ids = F.broadcast(pick(0).union(pick(1)))
-    got = docs.select("doc_id", "text").join(ids, "doc_id").toPandas().sort_values("doc_id", kind="stable")
-    got = got.sample(frac=1.0, random_state=3)
-    model = docs.sparkSession.sparkContext.broadcast(train(got["text"].tolist(), got["toxic"].to_numpy(float)) if len(got) else None)
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, materialize(pick(0).union(pick(1)), "labelled")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
