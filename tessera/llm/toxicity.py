@@ -122,17 +122,19 @@ class Trees:
 
 
 def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Steps of the best rising fit (pool adjacent violators), between which scores are interpolated."""
-    order = np.argsort(margin, kind="stable")
+    """Both ends of each step of the best rising fit (pool adjacent violators): scores are level on a
+    step and interpolated between steps. Equal margins are pooled first."""
+    at, where = np.unique(margin, return_inverse=True)
     blocks: list[list[float]] = []
-    for m, v in zip(margin[order], y[order], strict=True):
-        blocks.append([m, v, 1.0])
-        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-            m2, v2, n2 = blocks.pop()
-            m1, v1, n1 = blocks[-1]
-            blocks[-1] = [(m1 * n1 + m2 * n2) / (n1 + n2), v1 + v2, n1 + n2]
-    # half a case of each kind keeps the ends off 0 and 1
-    return np.array([b[0] for b in blocks]), np.array([(b[1] + 0.02) / (b[2] + 0.04) for b in blocks])
+    for m, v, n in zip(at, np.bincount(where, y), np.bincount(where), strict=True):
+        blocks.append([m, m, v, n])
+        while len(blocks) > 1 and blocks[-2][2] / blocks[-2][3] >= blocks[-1][2] / blocks[-1][3]:
+            _, end, v2, n2 = blocks.pop()
+            start, _, v1, n1 = blocks[-1]
+            blocks[-1] = [start, end, v1 + v2, n1 + n2]
+    # part of a case of each kind keeps the ends off 0 and 1
+    level = [(b[2] + 0.02) / (b[3] + 0.04) for b in blocks]
+    return np.array([x for b in blocks for x in b[:2]]), np.repeat(np.maximum.accumulate(level), 2)
 
 
 def learned_words(chosen: DataFrame, most: int = LEXICON) -> list[str]:
