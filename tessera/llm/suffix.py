@@ -126,18 +126,39 @@ ANCHORS = "anchor long, block long, doc_id long, place long"
 NAMES = ["anchor", "block", "doc_id", "place"]
 
 
+def _parts(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts as bytes, in parts of about ``most`` bytes (one text at least) with the place of the first.
+    Hashing needs some hundred bytes a byte of text, so it goes by parts; equal blocks are sought in
+    the whole batch."""
+    part: list[bytes] = []
+    held = first = 0
+    for i, text in enumerate(texts):
+        raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+        if part and held + len(raw) > most:
+            yield first, part
+            part, held, first = [], 0, i
+        part.append(raw)
+        held += len(raw)
+    yield first, part
+
+
+def _blocks_of(texts: list[bytes], ids: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Anchor, block, document, first window in it and number of windows of each block."""
+    ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
+    a, b, at, count = blocks(np.frombuffer(b"".join(texts), np.uint8), ends, length, gram)
+    doc = np.searchsorted(ends, at, side="right")
+    starts = np.concatenate([[0], ends[:-1]])
+    return a, b, ids[doc], at - starts[doc], count
+
+
 def cut(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Blocks of all texts (kind 0; one of equal ones per batch) and, as kind 1, the others: repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "text"):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([len(t) for t in texts])
-            starts = np.concatenate([[0], ends[:-1]])
-            a, b, at, count = blocks(np.frombuffer(b"".join(texts), np.uint8), ends, length, gram)
-            doc = np.searchsorted(ends, at, side="right")
-            own, start = ids[doc], at - starts[doc]
+            parts = [_blocks_of(part, ids[first : first + len(part)], length, gram) for first, part in _parts(batch.column(1))]
+            a, b, own, start, count = (np.concatenate(c) for c in zip(*parts, strict=True))
             order = np.lexsort((start, own, b, a))
             a, b, own, start, count = (x[order] for x in (a, b, own, start, count))
             same = np.zeros(len(a), bool)
