@@ -32,7 +32,8 @@ LETTER, NUMBER, SPACE, OTHER, END = 1, 2, 3, 0, 4
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SLOTS_BITS = 21
 POOL_LIMIT = 24_000_000
-CHUNK = 2_000_000
+CHUNK = 400_000
+WORDS = 16_384
 
 
 @functools.cache
@@ -166,7 +167,9 @@ class Encoder:
 
     def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Puts the ids of new pre-tokens into the pool."""
-        found = [e.ids for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
+        found = []
+        for i in range(0, len(words), WORDS):  # an encoding is far larger than its ids
+            found += [e.ids for e in self.tok.encode_batch_fast(words[i : i + WORDS], add_special_tokens=False)]
         count = np.fromiter(map(len, found), np.int32, len(found))
         total = int(count.sum())
         if self.used + total > len(self.pool):
