@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import charts, leaders, records
+from tessera.plans import charts, detail, leaders, records
 
-QUERIES = leaders.QUERIES | charts.QUERIES | records.QUERIES
-ORACLES = leaders.ORACLES | charts.ORACLES | records.ORACLES
+QUERIES = leaders.QUERIES | charts.QUERIES | records.QUERIES | detail.QUERIES
+ORACLES = leaders.ORACLES | charts.ORACLES | records.ORACLES | detail.ORACLES
