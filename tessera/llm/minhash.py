@@ -200,7 +200,9 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            if turn == rounds or mixed.isEmpty():
+                break
+            continue
         tried = pairs if tried is None else tried.union(pairs)
         label = merged(label, confirm(pairs, reps, sets, matches, percent))
     out = seen.join(classes.select(*keys, "rep"), keys, "left")

@@ -63,6 +63,18 @@ def test_minhash_components(spark, copies):
         assert got == {i: (len(s), root[i], root[i] == i) for i, s in enumerate(sets)}
 
 
+def test_minhash_empty_pivot_round(spark):
+    """11 is like 10, but every list that they share holds 9 as well, which both pivot rounds draw and which is like neither."""
+    rng = random.Random(0)
+    v = [f"w{i}" for i in range(200)]
+    rng.shuffle(v)
+    x = v[:84]
+    texts = [(9, x[:72] + v[84:88] + v[92:96] + v[100:108]), (10, x + v[84:92]), (11, x + v[92:100])]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in texts], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_components(rows, width=1, percent=80, k=3, matches=1).collect()}
+    assert got == {9: 9, 10: 10, 11: 10}
+
+
 def removed(texts, length):
     seen, out = set(), {}
     for i, t in enumerate(texts):
