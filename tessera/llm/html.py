@@ -2,8 +2,10 @@
 
 A tokenizer with raw-text elements feeds a tree builder that closes what a tag implies to be closed
 (p before blocks, li, dt, dd, option, table parts). Rendering walks the tree without recursion:
-hidden parts (scripts, styles, head, ``hidden``, ``aria-hidden``, ``display:none``,
-``visibility:hidden``) give nothing, blocks stand apart by line or blank line, lists carry marks by
+hidden parts (scripts, styles, head, templates, data lists, closed dialogs, what ``audio``, ``video``
+and ``canvas`` hold for browsers without them, notes and unplaced parts of SVG and formulas, ``hidden``,
+``aria-hidden``, ``display:none``) give nothing, ``visibility`` holds for text until an element inside
+sets it anew, form values, options, SVG text and formulas are text, blocks stand apart by line or blank line, lists carry marks by
 depth, tables are set in columns of equal width, and preformatted text keeps its white space.
 
 Defined results: null pages count as empty and give empty text; broken markup never fails (a lone
@@ -27,24 +29,28 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style head title template noscript iframe object svg math meta link select datalist dialog textarea audio video canvas".split())
+HIDDEN = set("script style head title template noscript iframe meta link datalist audio video canvas".split())
+#: Elements that aren't drawn inside others.
+UNDRAWN = {"svg": {"desc", "metadata", "defs", "symbol"}, "math": {"annotation", "annotation-xml"}}
 #: Blank lines around a block: 1 for a line break only, 2 for a blank line.
-SPACING = dict.fromkeys("html body div section article aside header footer nav main address form fieldset li dt dd tr center figcaption summary details option legend".split(), 1) | dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split(), 2)
-CLOSES_P = {t for t in SPACING if t not in ("html", "body", "li", "dt", "dd", "tr", "option", "legend", "summary")}
+SPACING = dict.fromkeys("html body div section article aside header footer nav main address form fieldset li dt dd tr center figcaption summary details option legend dialog optgroup".split(), 1) | dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split(), 2)
+CLOSES_P = {t for t in SPACING if t not in ("html", "body", "li", "dt", "dd", "tr", "option", "optgroup", "legend", "summary")}
 #: What an opening tag closes, and the elements that it does not look beyond.
 IMPLIED = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
+    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody", "caption"}, {"table"}), "body": ({"head"}, set()),
 }
-UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
+VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*([a-z]+)", re.I)
+SEEN = {"hidden": False, "collapse": False, "visible": True, "initial": True}
 
 
 class Node:
-    __slots__ = ("children", "hidden", "start", "tag")
+    __slots__ = ("children", "hidden", "seen", "start", "tag")
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1):
-        self.tag, self.hidden, self.start, self.children = tag, hidden, start, []
+    def __init__(self, tag: str, hidden: bool = False, start: int = 1, seen: bool | None = None):
+        self.tag, self.hidden, self.start, self.seen, self.children = tag, hidden, start, seen, []
 
 
 def build(page: str) -> Node:
@@ -87,11 +93,16 @@ def build(page: str) -> Node:
         unseen = tag in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(UNSEEN.search(attrs.get("style", "")))
         if tag == "input" and attrs.get("type", "").lower() == "hidden":
             unseen = True
+        if (tag == "dialog" and "open" not in attrs) or any(tag in held and standing[outer] for outer, held in UNDRAWN.items()):
+            unseen = True
+        shown = VISIBILITY.findall(attrs.get("style", ""))
         first = attrs.get("start", "1")
-        node = Node(tag, unseen, int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1)
+        node = Node(tag, unseen, int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1, SEEN.get(shown[-1].lower()) if shown else None)
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if tag == "textarea":
+                node.children.append(entities.unescape(re.sub(r"\A\r?\n", "", page[at : end.start() if end else size])))
             at = end.end() if end else size
         elif tag not in VOID and not m[3].rstrip().endswith("/"):
             stack.append(node)
@@ -156,10 +167,12 @@ def render(root: Node) -> str:
     tables: list[list[list[str]]] = []
     lists: list[list] = []
     pre = 0
-    walk: list[tuple[object, bool]] = [(root, True)]
+    walk: list[tuple[object, bool, bool]] = [(root, True, True)]
     while walk:
-        node, enter = walk.pop()
+        node, enter, seen = walk.pop()
         if isinstance(node, str):
+            if not seen:
+                continue
             if tables and open_[-1] is page and not node.strip():
                 continue
             open_[-1].text(node, pre > 0)
@@ -169,19 +182,20 @@ def render(root: Node) -> str:
         if enter:
             if node.hidden:
                 continue
+            seen = seen if node.seen is None else node.seen
             if tag == "br":
                 now.end(now.owed)
                 continue
             if tag in SPACING:
                 now.end(SPACING[tag] if not (tag in ("ul", "ol") and lists) else 1)
-            if tag == "pre":
+            if tag in ("pre", "textarea"):
                 pre += 1
             elif tag in ("ul", "ol"):
                 lists.append([tag, node.start])
             elif tag == "li":
                 depth = max(0, len(lists) - 1)
                 kind = lists[-1] if lists else ["ul", 1]
-                now.mark = "  " * depth + ("- " if kind[0] == "ul" else f"{kind[1]}. ")
+                now.mark = "  " * depth + ("- " if kind[0] == "ul" else f"{kind[1]}. ") if seen else ""
                 kind[1] += 1
             elif tag == "table":
                 tables.append([])
@@ -189,8 +203,8 @@ def render(root: Node) -> str:
                 tables[-1].append([])
             elif tag in ("td", "th") and tables:
                 open_.append(Lines())
-            walk.append((node, False))
-            walk.extend((c, True) for c in reversed(node.children))
+            walk.append((node, False, seen))
+            walk.extend((c, True, seen) for c in reversed(node.children))
             continue
         if tag in ("td", "th") and tables and len(open_) > 1:
             cell = " ".join(x.strip() for x in open_.pop().done() if x.strip())
@@ -207,7 +221,7 @@ def render(root: Node) -> str:
             lists.pop()
         elif tag == "li":
             now.mark = ""
-        elif tag == "pre":
+        elif tag in ("pre", "textarea"):
             pre -= 1
         if tag in SPACING:
             now.end(SPACING[tag] if not (tag in ("ul", "ol") and lists) else 1)

@@ -227,6 +227,24 @@ def test_html():
     assert html.render(html.build("<div>" * 20000 + "deep")) == "deep"
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<p>Note <textarea>\n a &amp; <b>\n  c</textarea> end", "Note  a & <b>\n  c end"),
+        ("<select><optgroup><option>one<option>two<optgroup><option>three</select>after", "one\ntwo\nthree\nafter"),
+        ("<datalist><option>no</datalist><object data=x>instead</object>", "instead"),
+        ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>drawn</text></svg>", "drawn"),
+        ("<math><semantics><mi>x</mi><mo>+</mo><mn>1</mn><annotation>no</annotation></semantics></math>", "x+1"),
+        ("<p>a<dialog>no</dialog><dialog open>asked</dialog>b", "a\n\nasked\nb"),
+        ("<video>no</video><audio>no</audio><canvas>no</canvas>a", "a"),
+        ('<div style="visibility:hidden">no<b style="visibility: visible">yes<i>too</i></b>no</div>', "yestoo"),
+        ('<ol><li style="visibility:hidden">no<li>b</ol><b style="backface-visibility:hidden">c</b>', "2. b\n\nc"),
+    ],
+)
+def test_html_visible_text(page, want):
+    assert html.render(html.build(page)) == want
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "<p>a", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text) for r in html.extract(rows).collect()) == [(1, ""), (2, "a")]
