@@ -281,3 +281,69 @@ def test_pipeline(spark):
         left.append(held.count())
     assert left == sorted(left, reverse=True) and left[-1] > 0.5 * given.count()
     assert corpus_pipeline.pack(spark, held, "").selectExpr("count(distinct doc_id)").first()[0] == left[-1]
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Without labels the quality stage is its base rules, so every stage has a brute-force twin."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    draw = lambda n: [rng.choice(vocab) for _ in range(n)]
+    passage, base = draw(40), draw(150)
+    texts = [None, "", " ".join(draw(20)), "p q r s " * 40]
+    for changes in (0, 0, 1, 2, 5, 12):
+        near = list(base)
+        for _ in range(changes):
+            near[rng.randrange(150)] = rng.choice(vocab)
+        texts.append(" ".join(near))
+    texts += [" ".join(draw(60) + passage + draw(30)) for _ in range(5)]
+    texts += [" ".join(draw(40) + [secret] + draw(40)) for secret in ("password=hunter22x", "AKIA" + "Z9" * 9, "0af9" * 7, "token: tooth")]
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def good(t):
+        w = words(t)
+        three = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        count = Counter(three)
+        covered = {i + k for i, x in enumerate(three) if count[x] > 1 for k in range(3)}
+        return len(w) >= 50 and 100 * len(covered) <= 50 * len(w)
+
+    want = [{i: t for i, t in enumerate(texts) if good(t)}]
+    sets = {i: {tuple(words(t)[k : k + 5]) for k in range(len(words(t)) - 4)} for i, t in want[-1].items()}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for i, a in sets.items():
+            for j, b in sets.items():
+                if 100 * len(a & b) >= 80 * len(a | b):
+                    root[i] = root[j] = min(root[i], root[j])
+    want.append({i: t for i, t in want[-1].items() if root[i] == i})
+    seen, cut = set(), {}
+    for i, t in want[-1].items():
+        gone = set()
+        for p in range(len(t) - 99):
+            if t[p : p + 100] in seen:
+                gone.update(range(p, p + 100))
+            seen.add(t[p : p + 100])
+        cut[i] = "".join(c for p, c in enumerate(t) if p not in gone)
+    want.append({i: t for i, t in cut.items() if t})
+    secret = re.compile("password=[a-z0-9]{6,}|AKIA[A-Z0-9]{16,}|[0-9a-f]{24,}")
+    want.append({i: secret.sub("[secret]", t) for i, t in want[-1].items()})
+    assert len({str(x) for x in want}) == 4 and len(want[1]) < len(want[0]) < len(texts)
+
+    held = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for (name, stage), expected in zip(corpus_pipeline.STAGES[:-1], want, strict=False):
+        held = corpus_pipeline.materialize(stage(spark, held, str(tmp_path)), "test")
+        assert {(r.doc_id, r.text, r.n_chars, r.held) for r in held.collect()} == {(i, t, len(t), "x") for i, t in expected.items()}, name
+        assert held.count() == len(expected)
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got[r.doc_id].append((r.start, r.length, r.doc_tokens, r.ids_crc32))
+    assert set(got) == set(want[-1])
+    for i, pieces in got.items():
+        ids = [*tok.encode(want[-1][i], add_special_tokens=False).ids, 0]
+        assert sum(n for _, n, _, _ in pieces) == len(ids)
+        assert all(total == len(ids) and crc == zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()) for a, n, total, crc in pieces)
