@@ -1,13 +1,16 @@
 """Byte-level BPE over Arrow batches.
 
-A batch of texts is cut into pre-tokens with vectorised character classes; each distinct pre-token
-goes once through the ``tokenizers`` library, and a bounded direct-mapped table remembers its ids.
-Token offsets come from token byte lengths and a byte-to-character map; decoding joins the bytes of
-the ids, so characters that are split over tokens come back whole.
+A batch of texts is cut into pre-tokens with vectorised character classes. A byte-to-character map
+turns the cuts into an Arrow array over the texts' own bytes, whose dictionary (exact: Arrow compares
+bytes) holds each distinct pre-token once. A bounded table of words remembers the ids of pre-tokens
+seen before; new ones go through the ``tokenizers`` library. Token offsets come from token byte
+lengths and the same map; decoding joins the bytes of the ids, so characters that are split over
+tokens come back whole.
 
 Defined results: a null text counts as empty (no tokens); an empty text has no tokens; texts of any
 length are encoded whole; repeated rows give repeated results; special-token strings are ordinary
-text; columns that the caller does not name pass through untouched.
+text; columns that the caller does not name pass through untouched, but for a column that bears the
+name of an output, which the output replaces; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
+import os
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -30,8 +35,9 @@ from tessera.llm.shared import byte_slices
 LETTER, NUMBER, SPACE, OTHER, END = 1, 2, 3, 0, 4
 #: The white space of the split pattern.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-SLOTS_BITS = 21
-POOL_LIMIT = 24_000_000
+#: What a worker remembers: words (as a power of two), ids, and bytes of words.
+SLOTS_BITS, KEPT_IDS, KEPT_BYTES = 20, 6_000_000, 16_000_000
+#: Characters encoded at once, and words handed to the library at once.
 CHUNK = 400_000
 WORDS = 16_384
 
@@ -74,6 +80,7 @@ def _halves(ranks: dict[bytes, int], token: bytes) -> tuple[bytes, bytes]:
 @functools.cache
 def load(path: str) -> tuple[object, list[bytes]]:
     """A tokenizers.Tokenizer that takes pre-tokens, and the bytes of each id."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task on every core
     from tokenizers import Tokenizer, models, pre_tokenizers
 
     chars = byte_chars()
@@ -127,90 +134,112 @@ def split_words(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
+def byte_places(points: np.ndarray) -> np.ndarray:
+    """The byte at which each character begins, and the number of bytes at the end."""
+    size = np.ones(len(points), np.int32)
+    for least in (0x80, 0x800, 0x10000):
+        size += points >= least
+    return np.concatenate([np.zeros(1, np.int32), np.cumsum(size, dtype=np.int32)])
+
+
+def _gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of the ranges that begin at ``starts``, one range after the other."""
+    before = np.cumsum(sizes, dtype=np.int64) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum(dtype=np.int64)))
+
+
+class Pool:
+    """A growing array; ``add`` returns where the new values begin."""
+
+    def __init__(self, kind: type):
+        self.held, self.used = np.empty(1 << 18, kind), 0
+
+    def add(self, values: np.ndarray) -> int:
+        first, self.used = self.used, self.used + len(values)
+        if self.used > len(self.held):
+            self.held = np.resize(self.held, max(2 * len(self.held), self.used))
+        self.held[first : self.used] = values
+        return first
+
+
 class Encoder:
-    """Ids of whole texts; one per Python worker."""
+    """Ids of whole texts; one per Python worker.
+
+    Pre-tokens seen before are found in a direct-mapped table by a hash of their bytes; the bytes are
+    compared before an entry is taken, so a clash of hashes costs a new entry and never a wrong id."""
 
     def __init__(self, path: str):
         self.tok, self.table = load(path)
         self.lengths = np.array([len(x) for x in self.table], np.int64)
-        rng = np.random.default_rng(20240101)
-        self.mix = rng.integers(1 << 62, size=(2, 4096), dtype=np.int64).astype(np.uint64)
-        self.base = [int(x) | 1 for x in rng.integers(1 << 62, size=2, dtype=np.int64)]
+        self.mix = np.random.default_rng(20240101).integers(1 << 62, size=256, dtype=np.int64).astype(np.uint64)
+        self.up = self.down = np.empty(0, np.uint64)
         self.reset()
-        self.powers(1 << 16)
 
     def reset(self) -> None:
         slots = 1 << SLOTS_BITS
-        self.key, self.key2 = np.zeros(slots, np.uint64), np.zeros(slots, np.uint64)
+        self.key, self.at, self.size = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         self.offset, self.count = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
-        self.pool, self.used = np.empty(1 << 20, np.uint32), 0
-
-    def powers(self, n: int) -> None:
-        def series(p: int) -> np.ndarray:
-            out = np.full(n, p, np.uint64)
-            out[0] = 1
-            return np.multiply.accumulate(out)
-
-        self.up = [series(p) for p in self.base]
-        self.down = [series(pow(p, -1, 1 << 64)) for p in self.base]
-
-    def hashes(self, points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
-        if len(points) >= len(self.up[0]):
-            self.powers(1 << (len(points) + 1).bit_length())
-        out = []
-        low, high = points & np.uint32(4095), points >> np.uint32(12)
-        for mix, up, down in zip(self.mix, self.up, self.down, strict=True):
-            sums = np.zeros(len(points) + 1, np.uint64)
-            np.cumsum((mix[low] + high * np.uint64(0x9E3779B97F4A7C15)) * up[: len(points)], out=sums[1:])
-            out.append((sums[stops] - sums[starts]) * down[starts] | np.uint64(1))
-        return out
+        self.ids, self.bytes = Pool(np.uint32), Pool(np.uint8)
+
+    def hashes(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        if len(raw) > len(self.up):
+            n = 1 << len(raw).bit_length()
+            self.up, self.down = np.full(n, 0x9E3779B97F4A7C15, np.uint64), np.full(n, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64)
+            self.up[0] = self.down[0] = 1
+            self.up, self.down = np.multiply.accumulate(self.up), np.multiply.accumulate(self.down)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.mix[raw] * self.up[: len(raw)], out=sums[1:])
+        return (sums[stops] - sums[starts]) * self.down[starts] | np.uint64(1)
 
     def learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Puts the ids of new pre-tokens into the pool."""
+        """Puts the ids of new pre-tokens into the pool; their places there and counts."""
         found = []
         for i in range(0, len(words), WORDS):  # an encoding is far larger than its ids
             found += [e.ids for e in self.tok.encode_batch_fast(words[i : i + WORDS], add_special_tokens=False)]
         count = np.fromiter(map(len, found), np.int32, len(found))
-        total = int(count.sum())
-        if self.used + total > len(self.pool):
-            self.pool = np.resize(self.pool, max(2 * len(self.pool), self.used + total))
-        self.pool[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
-        offset = (self.used + np.cumsum(count) - count).astype(np.int32)
-        self.used += total
+        first = self.ids.add(np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(count.sum())))
+        return (first + np.cumsum(count) - count).astype(np.int32), count
+
+    def known(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the pool of ids, and counts, of distinct pre-tokens."""
+        edges = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+        raw = np.frombuffer(words.buffers()[2], np.uint8)[: edges[-1]]
+        starts, size = edges[:-1], np.diff(edges)
+        h = self.hashes(raw, starts, edges[1:])
+        slot = (h >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)
+        hit = np.flatnonzero((self.key[slot] == h) & (self.size[slot] == size))
+        n = size[hit]
+        same = self.bytes.held[_gather(self.at[slot[hit]], n)] == raw[_gather(starts[hit], n)]
+        fine = np.zeros(len(words), bool)
+        if len(hit):
+            fine[hit] = np.logical_and.reduceat(same, np.cumsum(n) - n)
+        offset, count = self.offset[slot], self.count[slot]
+        miss = np.flatnonzero(~fine)
+        if len(miss):
+            offset[miss], count[miss] = self.learn(words.take(pa.array(miss)).to_pylist())
+            n = size[miss]
+            first = self.bytes.add(raw[_gather(starts[miss], n)])
+            at = slot[miss]
+            self.key[at], self.size[at], self.at[at], self.offset[at], self.count[at] = h[miss], n, first + np.cumsum(n) - n, offset[miss], count[miss]
         return offset, count
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many belong to each text."""
-        if self.used > POOL_LIMIT:
+        if self.ids.used > KEPT_IDS or self.bytes.used > KEPT_BYTES:
             self.reset()
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(sizes + 1) - 1
         joined = "\n".join(texts) + "\n"
-        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         starts = split_words(points, ends)
-        stops = np.append(starts[1:], len(points))
+        cuts = byte_places(points)[np.append(starts, len(points))]
+        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(joined.encode())).dictionary_encode()
         text_of = np.searchsorted(ends, starts)
         real = starts != ends[text_of]
-        starts, stops, text_of = starts[real], stops[real], text_of[real]
-        h1, h2 = self.hashes(points, starts, stops)
-        slot = (h1 >> np.uint64(64 - SLOTS_BITS)).astype(np.int64)
-        miss = np.flatnonzero((self.key[slot] != h1) | (self.key2[slot] != h2))
-        offset, count = self.offset[slot], self.count[slot]
-        if len(miss):
-            _, first, same = np.unique(h1[miss], return_index=True, return_inverse=True)
-            pick = miss[first]
-            odd = h2[miss] != h2[pick][same]  # equal first hashes of different words
-            off, cnt = self.learn([joined[a:b] for a, b in zip(starts[pick].tolist(), stops[pick].tolist(), strict=True)])
-            offset[miss], count[miss] = off[same], cnt[same]
-            for w in miss[odd]:
-                o, c = self.learn([joined[starts[w] : stops[w]]])
-                offset[w], count[w] = o[0], c[0]
-            at = slot[pick]
-            self.key[at], self.key2[at], self.offset[at], self.count[at] = h1[pick], h2[pick], off, cnt
-        total = int(count.sum(dtype=np.int64))
-        before = np.cumsum(count, dtype=np.int64) - count
-        ids = self.pool[np.repeat(offset - before, count) + np.arange(total)]
-        return ids, np.bincount(text_of, weights=count, minlength=len(texts)).astype(np.int64)
+        text_of, index = text_of[real], words.indices.to_numpy()[real]
+        offset, count = self.known(words.dictionary)
+        offset, count = offset[index], count[index]
+        return self.ids.held[_gather(offset, count)], np.bincount(text_of, weights=count, minlength=len(texts)).astype(np.int64)
 
     def each(self, texts: list[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text, in chunks of bounded size."""
@@ -242,9 +271,16 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _without(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without the columns that outputs of these names replace."""
+    lower = {n.lower() for n in names}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in lower))
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offsets: bool = False) -> DataFrame:
     """Adds ``ids`` (array of long) and, if asked for, ``token_start`` and ``token_stop``
     (characters). ``path`` is a ``.tiktoken`` or ``.json`` vocabulary, readable on every worker."""
+    df = _without(df, ids, *(("token_start", "token_stop") if offsets else ()))
     more = [T.StructField(ids, T.ArrayType(T.LongType(), False), False)]
     if offsets:
         more += [T.StructField(c, T.ArrayType(T.LongType(), False), False) for c in ("token_start", "token_stop")]
@@ -266,6 +302,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", offse
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Adds ``out`` (binary): the bytes of the ids; null ids give empty bytes."""
+    df = _without(df, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -278,17 +315,21 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
 
 def digests(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encodes and decodes each text and keeps counts and SHA-256 digests; ids stay inside the task."""
+    """Encodes and decodes each text and keeps counts and SHA-256 digests; ids stay inside the task.
+    Besides, from the offsets: n_chars, the characters that the tokens cover, and n_split, the tokens
+    that begin inside a character."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in byte_slices(batches, text):
-            counts, coded, decoded = [], [], []
-            for ids in enc.each(batch.column(1).to_pylist()):
-                counts.append(len(ids))
-                coded.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                decoded.append(hashlib.sha256(enc.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias(text))
-    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            out: list[list] = [[], [], [], [], []]
+            texts = batch.column(1).to_pylist()
+            for given, ids in zip(texts, enc.each(texts), strict=True):
+                start, stop = enc.offsets(given or "", ids)
+                found = (len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(enc.decode(ids)).hexdigest(), int(stop[-1]) if len(stop) else 0, int(np.count_nonzero(start[1:] < stop[:-1])))
+                for held, value in zip(out, found, strict=True):
+                    held.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_chars", "n_split"])
+
+    rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias(text))
+    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, n_chars long, n_split long")

@@ -119,6 +119,30 @@ def test_tokens(spark, copies):
     assert bpe.digests(docs(spark, texts).limit(0), path).count() == 0
 
 
+def test_tokens_whose_polynomial_hashes_clash(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2^64 for every odd base."""
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    word, swap = "a", str.maketrans("ab", "ba")
+    while len(word) < 2048:
+        word += word.translate(swap)
+    texts = [word + " " + word.translate(swap), word.translate(swap), word, "日本" * 3, None, ""]
+    for r in bpe.digests(docs(spark, texts).coalesce(1), path).collect():
+        ids = other.encode_ordinary(texts[r.doc_id] or "")
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest() and r.n_tokens == len(ids)
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest() and r.n_chars == len(texts[r.doc_id] or "")
+        assert (r.n_split > 0) == (r.doc_id == 3)
+
+
+def test_tokens_replace_columns_of_their_names(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = spark.createDataFrame([(1, "a b", "x", 7)], "doc_id long, text string, ids string, token_start int")
+    got = bpe.decode(bpe.encode(rows, path, offsets=True), path).first()
+    assert len(got.ids) == 2 and list(got.token_start) == [0, 1] and bytes(got.decoded) == b"a b"
+
+
 def test_packing(spark, copies):
     from tokenizers import Tokenizer
 
