@@ -1,13 +1,15 @@
 """Packing of tokenised documents into fixed-length sequences by first-fit decreasing.
 
-Each document is cut at multiples of the capacity, so only its last piece can leave room. The
-pieces are dealt into randomised groups of bounded size by a hash of document and place, and each
-group is packed by itself: pieces in falling length go to the first open sequence with room, which a
-tournament tree over the remaining capacities finds in logarithmic time.
+Each document is cut at multiples of the capacity, so only its last piece can leave room. Full pieces
+are sequences as they stand and are only numbered. The last pieces, one a document at most, are dealt
+into randomised groups of bounded size (repeated rows apart from one another), and each group is
+packed by itself: pieces in falling length go to the first open sequence with room, which a
+tournament tree over the remaining capacities finds in logarithmic time. Pieces are written before
+they are counted, so texts are encoded once.
 
 Defined results: a null or empty text is one piece that holds only the end id; a repeated row is
 packed again as its own document; pieces of equal length are taken by document and place; an empty
-table gives no rows. A null doc_id is packed like any other.
+table gives no rows. A null doc_id is packed like any other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,16 +18,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.bpe import encoder
-from tessera.llm.shared import byte_slices
+from tessera.llm.shared import byte_slices, materialize
 
 GROUP_PIECES = 16_384
+#: Sequences that one full piece fills are numbered from here on.
+FULL = 1 << 62
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -78,27 +82,28 @@ def first_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarra
     return bins, offsets
 
 
-def assign(cut: DataFrame, capacity: int = 1024, group_pieces: int = GROUP_PIECES, n_docs: int | None = None) -> DataFrame:
-    """Adds sequence_id and offset to rows of ``pieces``. Groups hold about ``group_pieces`` pieces
-    at any size of input: their number follows the number of pieces, and a hash deals them out."""
-    rows = cut.count() if n_docs is None else n_docs
-    groups = max(1, -(-rows // group_pieces))
-    dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
+def assign(cut: DataFrame, capacity: int = 1024, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """Adds sequence_id and offset to rows of ``pieces``, a table that reads the same each time. Groups
+    hold about ``group_pieces`` pieces that are not full, at any size of input."""
+    place = F.monotonically_increasing_id()
+    full = cut.where(F.col("length") == capacity).withColumn("sequence_id", place + FULL).withColumn("offset", F.lit(0).cast("long"))
+    part = cut.where(F.col("length") < capacity)
+    groups = max(1, -(-part.count() // group_pieces))
+    dealt = part.withColumn("pack_group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", place), F.lit(groups)))
     out = T.StructType([*cut.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable")
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, sort_keys=[("length", "descending"), ("doc_id", "ascending"), ("start", "ascending")]))
         bins, offsets = first_fit(group["length"].to_numpy(), capacity)
-        first = int(group["pack_group"].iloc[0]) << 32
-        return group.drop(columns="pack_group").assign(sequence_id=first + bins, offset=offsets)
+        first = group["pack_group"][0].as_py() << 32
+        return group.drop_columns("pack_group").append_column("sequence_id", pa.array(first + bins)).append_column("offset", pa.array(offsets))
 
-    return dealt.groupBy("pack_group").applyInPandas(pack, out)
+    return full.unionByName(dealt.groupBy("pack_group").applyInArrow(fit, out))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
-    """Pieces of all documents with their sequence and offset. The number of groups is taken from
-    the number of documents (each gives one partly filled piece), so texts are encoded once."""
-    return assign(pieces(docs, path, capacity, end_id, keep_ids), capacity, n_docs=2 * docs.count())
+    """Pieces of all documents with their sequence and offset."""
+    return assign(materialize(pieces(docs, path, capacity, end_id, keep_ids), "pieces"), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ log((t + c) / (e + c)), t being its trusted count and e the count expected from
 rare buckets say nothing. A document scores the mean weight of its n-grams and passes at or above
 ``threshold``; the threshold is fixed, so a verdict depends on the two multinomials alone.
 
-The corpus counts are one aggregation with map-side sums of at most ``buckets`` groups; the weights
-are a single broadcast row of ``buckets`` floats, and every text is scored in its own row, so no text
-is shuffled and no group exists that could be hot.
+The corpus counts are one aggregation with map-side sums of at most ``buckets`` groups, written
+before totals are taken, so texts are counted in one pass. The weights are a constant of ``buckets``
+floats in the plan (a scalar subquery), and every text is scored in its own row, so no text is
+shuffled and no group exists that could be hot.
 
 Defined results: a null, empty or blank text has no words, fails the base and is not kept; a null
 doc_id is a row like others; rows repeated in full stay repeated; without labels all weights are 0
@@ -23,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import materialize
+
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -113,26 +116,32 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_
     grams = docs.select("doc_id", _let(hashed, lambda h: F.concat(h, _neighbours(h, h, 1))).alias("grams"))
     grams = grams.join(known, "doc_id", "left").select("good", F.explode("grams").alias("g"))
     counts = grams.groupBy(F.pmod("g", F.lit(buckets)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("r"), F.coalesce(F.sum("good"), F.lit(0)).alias("t"))
+    counts = materialize(counts, "grams")
     both = counts.agg(F.sum("r").alias("all_r"), F.sum("t").alias("all_t")).withColumn("one", F.lit(1))
     expected = F.col("all_t") * F.col("r") / F.col("all_r")
     return counts.withColumn("one", F.lit(1)).join(F.broadcast(both), "one").select("bucket", F.log((F.col("t") + PRIOR) / (expected + PRIOR)).cast("float").alias("weight"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS, threshold: float = THRESHOLD) -> DataFrame:
-    """Each row of ``docs`` as ``row``, its counts, base_failed, score and kept."""
+def model(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
+    """One row: the weights of all buckets in order, 0 where the corpus has none."""
     known = weights(docs, labels, buckets, trusted_docs)
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(F.broadcast(known), "bucket", "left")
     ordered = F.array_sort(F.collect_list(F.struct("bucket", F.coalesce("weight", F.lit(0.0).cast("float")).alias("weight"))))
-    model = every.agg(F.transform(ordered, lambda x: x["weight"]).alias("model")).withColumn("one", F.lit(1))
-    rows = measured(docs, buckets).withColumn("one", F.lit(1)).join(F.broadcast(model), "one", "left")
+    return materialize(every.agg(F.transform(ordered, lambda x: x["weight"]).alias("model")), "weights")
+
+
+def judged(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS, threshold: float = THRESHOLD) -> DataFrame:
+    """Each row of ``docs`` as ``row``, its counts, base_failed, kept and score."""
+    # the optimizer moves the constant to its one use, so rows don't carry it
+    rows = measured(docs, buckets).withColumn("model", model(docs, labels, buckets, trusted_docs).scalar())
     total = F.aggregate("grams", F.lit(0.0), lambda s, g: s + F.get("model", g).cast("double"))
     rows = rows.withColumn("score", F.coalesce(F.try_divide(total, F.size("grams").cast("double")), F.lit(0.0)))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("one", "model", "grams")
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("grams", "model")
 
 
 def judge(docs: DataFrame, labels: DataFrame, **more) -> DataFrame:
-    """doc_id, the counts, base_failed, score and kept, one row per row of ``docs``."""
-    return judged(docs, labels, **more).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+    """doc_id, the counts, base_failed, kept and score, one row per row of ``docs``."""
+    return judged(docs, labels, **more).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -163,12 +163,37 @@ def test_packing(spark, copies):
     assert max(sum(n for _, n in h) for h in bins.values()) <= 1024
     assert len(bins) <= sum(r.length for r in rows) / 1024 * 1.1 + 2
     assert packing.pack(docs(spark, copies).limit(0), path).count() == 0
-    sizes = np.array([7, 6, 5, 4, 3, 3, 2])
-    naive = []
-    for n in sizes:
-        k = next((i for i, b in enumerate(naive) if b + n <= 10), len(naive))
-        naive[k : k + 1] = [(naive[k] if k < len(naive) else 0) + n]
-    assert packing.first_fit(sizes, 10)[0].max() + 1 == len(naive)
+    whole = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        whole[r.sequence_id] += r.ids
+    got = packing.sequences(packing.pack(docs(spark, texts), path, keep_ids=True)).collect()
+    assert sorted(list(r.ids) for r in got) == sorted(whole.values())
+    assert all(len(r.offsets) == len(r.doc_ids) and r.offsets[0] == 0 for r in got)
+
+
+def test_first_fit_equals_the_naive_search():
+    rng = random.Random(4)
+    for sizes, capacity in (([7, 6, 5, 4, 3, 3, 2], 10), (sorted((rng.randrange(1, 64) for _ in range(900)), reverse=True), 64), ([5], 5)):
+        room, want = [], []
+        for n in sizes:
+            k = next((i for i, left in enumerate(room) if left >= n), len(room))
+            room[k : k + 1] = [(room[k] if k < len(room) else capacity) - n]
+            want.append((k, capacity - room[k] - n))
+        bins, offsets = packing.first_fit(np.array(sizes), capacity)
+        assert list(zip(bins.tolist(), offsets.tolist(), strict=True)) == want
+
+
+def test_packing_deals_out_equal_rows_and_full_pieces(spark):
+    """Equal rows spread over the groups; long documents add no work to any group."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = spark.createDataFrame([(7, "same words here")] * 400 + [(2**60 + 1, "lorem ipsum " * 9000), (None, "no id")], "doc_id long, text string")
+    cut = packing.materialize(packing.pieces(rows, path), "test")
+    got = packing.assign(cut, group_pieces=50).collect()
+    assert len(got) == cut.count() and {r.doc_id for r in got} == {7, 2**60 + 1, None}
+    groups = Counter(r.sequence_id >> 32 for r in got if r.length < 1024)
+    assert len(groups) > 4 and max(groups.values()) < 120
+    full = [r.sequence_id for r in got if r.length == 1024]
+    assert len(full) > 8 and len(set(full)) == len(full) and min(full) >= packing.FULL
 
 
 def test_quality_base(spark, copies):
