@@ -4,10 +4,12 @@ functions only.
 Tokens of 20 or more characters of [A-Za-z0-9+/_=-] are candidates. Their encoding is inferred (hex,
 base32, base64), and three tests ask how unlike written text they are:
 
-* chi-squared of the alphabet's counts: text is uneven, so its statistic is a non-central one that
-  grows with the length; a value far below it speaks for chance;
-* runs of character classes (upper, lower, digit, other): text changes class seldom;
-* serial correlation of neighbouring characters: ordered or repeated strings correlate.
+* chi-squared of the alphabet's counts: written text is uneven, so its statistic grows with the
+  length; a value far below what text of that length gives speaks for chance;
+* runs of character classes (upper, lower, digit, other): words, paths and identifiers change class
+  less often than chance does;
+* serial correlation: vowels and consonants alternate in text, which chance doesn't do; and strings
+  whose neighbouring codes correlate (ordered or repeated ones) are no chance either.
 
 Each gives a normal score against "text of that length", the scores are combined (Stouffer), and the
 false-discovery rate is controlled within classes of length (Benjamini-Hochberg over a histogram of
@@ -37,8 +39,13 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = [*PATTERNS, "random"]
 RATE = 0.01
 BINS = 400
-#: Alphabet size, excess of sum(q^2) * size - 1 in text, and class changes in text, by encoding.
-ENCODINGS = {"hex": (16, 0.6, 0.15), "base32": (32, 1.1, 0.10), "base64": (64, 3.2, 0.15)}
+#: Fixed values by encoding: alphabet size; then of words, paths, dotted and camel-case identifiers written
+#: in it, at the end nearest to chance: the chance that two characters are equal (English letters: 0.066;
+#: less with two cases and separators), the share of neighbours that differ in class, and the lag-1
+#: correlation of vowels (null: not used). Each is followed by its standard deviation times sqrt(length).
+ENCODINGS = {"hex": (16, 0.11, 0.10, 0.10, 0.4, None, 0.8), "base32": (32, 0.062, 0.10, 0.05, 0.3, -0.37, 0.8), "base64": (64, 0.050, 0.10, 0.30, 0.3, -0.25, 0.8)}
+ENCODING_FIELDS = ("k", "equal", "equal_sd", "change", "change_sd", "vowel", "vowel_sd")
+VOWELS = [float(ord(c)) for c in "aeiouAEIOU"]
 BLOCK = 256
 
 
@@ -79,25 +86,29 @@ def battery(token: Column) -> Column:
 
     def encoded(t: Column) -> Column:
         kind = F.when(F.rlike(t, F.lit("^([0-9a-f]+|[0-9A-F]+)$")), "hex").when(F.rlike(t, F.lit("^[A-Z2-7]+$")), "base32").otherwise("base64")
-        values = [F.struct(*(F.lit(float(x)).alias(name) for name, x in zip(("k", "excess", "change"), v, strict=True))) for v in ENCODINGS.values()]
+        values = [F.struct(*(F.lit(x).cast("double").alias(name) for name, x in zip(ENCODING_FIELDS, v, strict=True))) for v in ENCODINGS.values()]
         return _let(kind, lambda e: F.when(e == "hex", values[0]).when(e == "base32", values[1]).otherwise(values[2]))
 
     def scores(t: Column, e: Column, v: Column) -> Column:
         n = F.length(t).cast("double")
         squares = F.aggregate(F.array_distinct(v), F.lit(0.0), lambda s, c: s + F.pow(F.size(F.filter(v, lambda x: x == c)).cast("double"), F.lit(2.0)))
         chi = squares * e["k"] / n - n
-        lam = n * e["excess"]
-        z_chi = (e["k"] - 1 + lam - chi) / F.sqrt(2 * (e["k"] - 1 + 2 * lam))
+        z_chi = (e["k"] * (1 + (n - 1) * e["equal"]) - n - chi) * F.sqrt(n) / (e["k"] * (n - 1) * e["equal_sd"])
         shape = F.translate(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "A" * 26 + "a" * 26 + "0" * 10 + "+" * 4)
         runs = F.length(F.regexp_replace(shape, r"(.)\1+", "$1")).cast("double") - 1
-        z_runs = (runs - (n - 1) * e["change"]) / F.sqrt((n - 1) * e["change"] * (1 - e["change"]))
+        z_runs = (runs / (n - 1) - e["change"]) * F.sqrt(n) / e["change_sd"]
 
         def correlation(d: Column) -> Column:
-            lag = _sum(F.zip_with(F.slice(d, F.lit(1), F.size(d) - 1), F.slice(d, F.lit(2), F.size(d) - 1), lambda a, b: a * b))
-            return _let(_sum(F.transform(d, lambda x: x * x)), lambda s: F.when(s > 0, F.least(F.abs(lag / s), F.lit(0.999))).otherwise(0.999))
-
-        r = _let(_sum(v) / n, lambda m: _let(F.transform(v, lambda x: x - m), correlation))
-        z_serial = (F.atanh(F.lit(0.5)) - F.atanh(r)) * F.sqrt(F.greatest(n - 3, F.lit(1.0)))
+            """Lag-1 correlation of an array of numbers; null where all are equal."""
+            lag = lambda c: _sum(F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: a * b))
+            centred = lambda m: _let(F.transform(d, lambda x: x - m), lambda c: F.try_divide(lag(c), _sum(F.transform(c, lambda x: x * x))))
+            return _let(_sum(d) / n, centred)
+
+        ordered = F.least(F.coalesce(F.abs(correlation(v)), F.lit(0.999)), F.lit(0.999))
+        z_ordered = (F.atanh(F.lit(0.5)) - F.atanh(ordered)) * F.sqrt(F.greatest(n - 3, F.lit(1.0)))
+        vowels = F.transform(v, lambda x: F.when(x.isin(VOWELS), 1.0).otherwise(0.0))
+        z_vowels = F.coalesce((correlation(vowels) - e["vowel"]) * F.sqrt(n) / e["vowel_sd"], F.lit(0.0))
+        z_serial = F.least(z_ordered, z_vowels)
         z = F.least(F.greatest((z_chi + z_runs + z_serial) / F.lit(3.0**0.5), F.lit(-8.0)), F.lit(8.0))
         p = _let(z, lambda x: F.greatest(1 - _cdf(x), F.lit(1e-12)))
         return F.struct(F.when(n >= 16, p).otherwise(1.0).alias("p"), F.when(n < 32, 0).when(n < 64, 1).otherwise(2).alias("size_class"))
@@ -138,7 +149,7 @@ def _spans(hits: Column, kind: int) -> Column:
 
 
 def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
-    """All columns of ``docs`` and ``found``: array of (start, kind number, end) in order."""
+    """Each row of ``docs`` as ``row``, and ``found``: array of (start, kind number, end) in order."""
     inner = docs.select(F.struct("*").alias("row"), F.coalesce("text", F.lit("")).alias("t"))
     t = F.col("t")
     tokens = docs.select(F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(CANDIDATE), F.lit(0))).alias("token"))
@@ -150,7 +161,7 @@ def scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     scored = F.transform("tokens", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), battery(x["part"]).alias("s")))
     rows = rows.withColumn("scored", scored).withColumn("one", F.lit(1)).join(limit, "one", "left")
     low = F.filter("scored", lambda x: x["s"]["p"] <= F.element_at("limits", x["s"]["size_class"] + 1))
-    return rows.select("row.*", F.array_sort(F.concat("base", _spans(low, len(PATTERNS)))).alias("found"))
+    return rows.select("row", F.array_sort(F.concat("base", _spans(low, len(PATTERNS)))).alias("found"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -158,12 +169,12 @@ def digest(found: DataFrame) -> DataFrame:
     name = F.array(*(F.lit(k) for k in KINDS))
     written = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.element_at(name, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
     counts = [F.size(F.filter("found", _is(i))).cast("long").alias(f"n_{k}") for i, k in enumerate(PATTERNS)]
-    return found.select("doc_id", *counts, F.sha2(written(F.filter("found", lambda x: x["kind"] < len(PATTERNS))).cast("binary"), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
+    return found.select("row.doc_id", *counts, F.sha2(written(F.filter("found", lambda x: x["kind"] < len(PATTERNS))).cast("binary"), 256).alias("base_sha256"), written(F.col("found")).alias("spans"))
 
 
 def redact(found: DataFrame, mark: str = "[secret]") -> DataFrame:
     """The rows with every span of ``text`` replaced; overlapping spans are one."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
     start = F.expr("named_struct('pos', 0, 'parts', cast(array() as array<string>))")
 
     def step(acc: Column, x: Column) -> Column:
@@ -173,4 +184,5 @@ def redact(found: DataFrame, mark: str = "[secret]") -> DataFrame:
         return F.struct(F.when(new, x["end"]).otherwise(acc["pos"]).alias("pos"), F.when(new, parts).otherwise(acc["parts"]).alias("parts"))
 
     cut = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["pos"] + 1, F.length(text))))
-    return found.withColumn("text", F.when(F.size("found") > 0, cut).otherwise(F.col("text"))).drop("found")
+    clean = F.when(F.size("found") > 0, cut).otherwise(F.col("row.text"))
+    return found.select(*(clean.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in found.schema["row"].dataType.names))

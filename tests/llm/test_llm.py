@@ -243,6 +243,35 @@ def test_secrets(spark):
     assert secrets.scan(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_secrets_beside_columns_of_their_names(spark):
+    rows = spark.createDataFrame([(1, "password=hunter22", 5, "r", "k")], "doc_id long, text string, found int, row string, limits string")
+    got = secrets.redact(secrets.scan(rows)).first()
+    assert got.asDict() == {"doc_id": 1, "text": "[secret]", "found": 5, "row": "r", "limits": "k"}
+
+
+def test_random_spans_find_planted_tokens_and_few_others(spark):
+    """Recall of planted random tokens by encoding and length, and the share of false discoveries among
+    words, paths and identifiers of the same lengths."""
+    rng = random.Random(9)
+    hexa, b32 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    parts = "customer order invoice payment service controller handler request session manager factory builder parser module account update delete insert query index table report summary monthly weekly daily error warning message config default".split()
+    planted, plain = [], []
+    for alphabet in (hexa, b32, b64):
+        for size in (24, 32, 40, 64):
+            planted += ["".join(rng.choice(alphabet) for _ in range(size)) for _ in range(40)]
+    for _ in range(1500):
+        w = [rng.choice(parts) for _ in range(rng.randrange(3, 9))]
+        plain.append(rng.choice([lambda: "/".join(w), lambda: "_".join(w), lambda: "".join(x.title() for x in w), lambda: "-".join(w) + "-" + str(rng.randrange(100)), lambda: "_".join(w).upper()])())
+    plain = [p for p in plain if len(p) >= 20]
+    texts = [f"see {t} there" for t in planted + plain]
+    hit = {r.doc_id for r in secrets.digest(secrets.scan(docs(spark, texts))).collect() if "random:4:" in r.spans}
+    by_length = {n: np.mean([i in hit for i, t in enumerate(planted) if len(t) == n]) for n in (24, 32, 40, 64)}
+    false = sum(i >= len(planted) for i in hit)
+    assert false <= 0.02 * max(1, len(hit)), (false, len(hit), by_length)
+    assert by_length[64] > 0.9 and by_length[32] > 0.6 and by_length[24] > 0.3, by_length
+
+
 def test_many_matches_keep_their_places(spark):
     text = "é ".join("ab12" * 6 + f" {i}" for i in range(700))
     row = secrets.digest(secrets.scan(docs(spark, [text]))).first()
