@@ -17,9 +17,15 @@ out for all members of their list are dropped, and pairs are held against it ins
 last round also compares bitmaps of the sets (the parity of the members in each of 512 hash classes):
 the bits that differ are a lower bound of the symmetric difference, which rules pairs out exactly.
 
+Hot keys: counts of tokens and of shingles are joined back by broadcast where a key holds more than a
+ten-thousandth of all rows (ten thousand keys at most), and by hash otherwise. A posting list of
+more than ``LIST_PART`` members is split by a hash of the member, and what its members are compared
+with is sent to each part.
+
 Defined results: a null or blank text has an empty set and stays alone; with fewer words than a
 shingle the whole sequence is one shingle; rows without doc_id are left out; rows that repeat a
-doc_id count once, with the smallest set key; an empty table gives no rows; other columns are ignored.
+doc_id are one document, whose set is the one with the smallest key of all its rows' sets; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +43,11 @@ from tessera.llm.shared import byte_slices, materialize
 
 K, MATCHES = 64, 34
 ROUNDS = 2
-#: Columns of the bitmaps.
+HOT_KEYS = 10_000
+LIST_PART = 4096
+#: Columns of the bitmaps, and the size and hashes of a set.
 BITS = [f"bits{i}" for i in range(8)]
+KEYS = ["n_shingles", "key1", "key2"]
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 WORDS_KEPT = 1_000_000
 
@@ -97,47 +106,78 @@ def signature(found: np.ndarray, flip: np.ndarray, times: np.ndarray) -> np.ndar
     return least.view(np.int32)
 
 
+def set_keys(found: np.ndarray) -> tuple[int, int, int]:
+    """Size and two hashes of a set."""
+    a = int(np.sum(_mix(found ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64).view(np.int64))
+    b = int(np.bitwise_xor.reduce(_mix(found * np.uint64(0xD1342543DE82EF95))).view(np.int64)) if len(found) else 0
+    return len(found), a, b
+
+
 def signatures(docs: DataFrame, width: int, k: int = K) -> DataFrame:
     """doc_id, n_shingles, two keys of the set, and the signature (empty for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flip, times = coefficients(k)
         for batch in byte_slices(batches, "text"):
-            n, a, b, sig = [], [], [], []
+            keys, sig = [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, width)
-                n.append(len(found))
-                a.append(int(np.sum(_mix(found ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64).view(np.int64)))
-                b.append(int(np.bitwise_xor.reduce(_mix(found * np.uint64(0xD1342543DE82EF95))).view(np.int64)) if len(found) else 0)
+                keys.append(set_keys(found))
                 sig.append(signature(found, flip, times) if len(found) else np.empty(0, np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "key1", "key2", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in zip(*keys, strict=True)), pa.array(sig, pa.list_(pa.int32()))], names=["doc_id", *KEYS, "sig"])
 
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n_shingles long, key1 long, key2 long, sig array<int>")
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, its whole set of shingle hashes, and the bitmap of the set."""
+    """doc_id, its whole set of shingle hashes, and the bitmap of the set; of a repeated doc_id, the
+    set with the smallest key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "text"):
             found = [shingles(t, width) for t in batch.column(1).to_pylist()]
             bits = np.array([np.packbits(np.bincount((h >> np.uint64(55)).astype(np.int64), minlength=512) & 1).view(np.int64) for h in found]).reshape(-1, 8)
             sets = pa.array([h.view(np.int64) for h in found], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), sets, *(pa.array(bits[:, i]) for i in range(8))], names=["doc_id", "shingles", *BITS])
+            keys = zip(*map(set_keys, found), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in keys), sets, *(pa.array(bits[:, i]) for i in range(8))], names=["doc_id", *KEYS, "shingles", *BITS])
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {', '.join(f'{c} long' for c in KEYS)}, shingles array<long>, " + ", ".join(f"{b} long" for b in BITS))
+    return rows.groupBy("doc_id").agg(F.min_by(F.struct("shingles", *BITS), F.struct(*KEYS)).alias("s")).select("doc_id", "s.*")
+
+
+def counted(rows: DataFrame, key: str, total: int, name: str) -> DataFrame:
+    """``rows`` whose ``key`` appears in two rows or more, with that number as ``df``. Keys of more than
+    1 / ``HOT_KEYS`` of the ``total`` rows, of which there can't be more than ``HOT_KEYS``, are joined
+    by broadcast; what is dealt out by key holds no hot one."""
+    counts = materialize(rows.groupBy(key).agg(F.count(F.lit(1)).alias("df")).where("df > 1"), name)
+    least = max(LIST_PART, total // HOT_KEYS)
+    hot, rest = F.broadcast(counts.where(F.col("df") > least)), counts.where(F.col("df") <= least)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
+def _n_parts() -> Column:
+    return F.ceil(F.col("df") / LIST_PART)
+
+
+def by_part(rows: DataFrame) -> DataFrame:
+    """Members of posting lists of ``df`` members, with the part of the list that they belong to."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("rep", F.lit(3)), _n_parts()))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles array<long>, " + ", ".join(f"{b} long" for b in BITS))
+def to_parts(rows: DataFrame) -> DataFrame:
+    """Each row once for every part of its list."""
+    return rows.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), _n_parts() - 1))).drop("df")
 
 
 def prefixes(reps: DataFrame, k: int, matches: int) -> DataFrame:
-    """rep, token: the postings in which a document can meet a partner. Postings of one document
+    """rep, token, df: the postings in which a document can meet a partner. Postings of one document
     only are dropped, but hold their places in the prefix."""
     post = reps.select("rep", F.posexplode("sig").alias("place", "value")).select("rep", (F.shiftleft(F.col("place").cast("long"), 32) + F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))).alias("token"))
-    common = post.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = post.join(common, "token").groupBy("rep").agg(F.collect_list(F.struct("df", "token")).alias("held"))
+    shared = counted(post, "token", reps.count() * k, "tokens").groupBy("rep").agg(F.collect_list(F.struct("df", "token")).alias("held"))
     room = F.lit(k - matches + 1) - (F.lit(k) - F.size("held"))
     rare = shared.where((F.size("held") >= matches) & (room > 0)).select("rep", F.explode(F.slice(F.array_sort("held"), F.lit(1), room)).alias("p"))
-    return rare.select("rep", F.col("p.token").alias("token"))
+    return rare.select("rep", F.col("p.token").alias("token"), F.col("p.df").alias("df"))
 
 
 def reachable(shared: Column, n: Column, other: Column, percent: int) -> Column:
@@ -149,12 +189,12 @@ def bounded(post: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) ->
     """Postings with n and shared (shingles that another taking document has as well); without those
     that no member of their list can reach."""
     each = sets.select(F.col("doc_id").alias("rep"), F.explode("shingles").alias("g"))
-    known = each.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    shared = each.join(known, "g").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
+    total = reps.agg(F.sum("n_shingles")).first()[0] or 0
+    shared = counted(each, "g", total, "shingles").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
     rows = post.join(reps.select("rep", F.col("n_shingles").alias("n")).join(shared, "rep"), "rep")
-    least = rows.groupBy("token").agg(F.min("n").alias("least"))
+    least = to_parts(rows.groupBy("token").agg(F.min("n").alias("least"), F.max("df").alias("df")))
     other = F.greatest("least", F.ceil(F.col("n") * percent / 100))
-    return rows.join(least, "token").where(reachable(F.col("shared"), F.col("n"), other, percent)).select("rep", "token", "n", "shared")
+    return by_part(rows).join(least, ["token", "part"]).where(reachable(F.col("shared"), F.col("n"), other, percent)).select("rep", "token", "df", "n", "shared")
 
 
 def confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, matches: int, percent: int) -> DataFrame:
@@ -172,29 +212,31 @@ def confirm(pairs: DataFrame, reps: DataFrame, sets: DataFrame, matches: int, pe
 def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int = K, matches: int = MATCHES, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links), kept."""
     seen = materialize(signatures(docs, width, k).groupBy("doc_id").agg(F.min(F.struct("n_shingles", "key1", "key2", "sig")).alias("s")).select("doc_id", "s.*"), "signatures")
-    keys = ["n_shingles", "key1", "key2"]
-    classes = materialize(seen.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "classes")
+    classes = materialize(seen.where("n_shingles > 0").groupBy(*KEYS).agg(F.min("doc_id").alias("rep")), "classes")
     reps = materialize(classes.select("rep", "n_shingles").join(seen.select(F.col("doc_id").alias("rep"), "sig"), "rep"), "reps")
     post = materialize(prefixes(reps, k, matches), "prefixes")
     taking = post.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialize(full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(taking, "doc_id", "left_semi"), width).dropDuplicates(["doc_id"]), "sets")
+    sets = materialize(full_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(taking, "doc_id", "left_semi"), width), "sets")
     reps = materialize(reps.join(taking.select(F.col("doc_id").alias("rep")), "rep", "left_semi"), "taking")
     post = materialize(bounded(post, reps, sets, percent), "bounded")
     near = reachable(F.least("shared", "x_shared"), F.col("n"), F.col("x_n"), percent)
     tried = label = None
     for turn in range(rounds + 1):
-        held = post.withColumn("root", F.col("rep")) if label is None else post.join(label.select(F.col("v").alias("rep"), F.col("root").alias("r")), "rep", "left").select("rep", "token", "n", "shared", F.coalesce("r", "rep").alias("root"))
-        mixed = held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("draw"), "rep", "root", "n", "shared")).alias("p")).where("low < high")
+        held = post.withColumn("root", F.col("rep")) if label is None else post.join(label.select(F.col("v").alias("rep"), F.col("root").alias("r")), "rep", "left").select("rep", "token", "df", "n", "shared", F.coalesce("r", "rep").alias("root"))
+        draw = F.struct((F.xxhash64("rep", F.lit(turn)) if turn else F.col("rep")).alias("draw"), "rep", "root", "n", "shared")
+        mixed = held.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("df").alias("df"), F.min(draw).alias("p")).where("low < high")
+        all_ = by_part(held)
         if turn < rounds:
-            few, all_ = mixed.select("token", *(F.col(f"p.{c}").alias(x) for c, x in (("rep", "x"), ("root", "x_root"), ("n", "x_n"), ("shared", "x_shared")))), held
+            few = to_parts(mixed.select("token", "df", *(F.col(f"p.{c}").alias(x) for c, x in (("rep", "x"), ("root", "x_root"), ("n", "x_n"), ("shared", "x_shared")))))
         else:
-            all_ = held.join(mixed.select("token"), "token", "left_semi").join(sets.select(F.col("doc_id").alias("rep"), *BITS), "rep")
-            most = all_.groupBy("token", "root").count().groupBy("token").agg(F.max_by("root", "count").alias("main"))
-            few = all_.join(most, "token").where("root <> main").select("token", F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("shared").alias("x_shared"), *(F.col(b).alias(f"x_{b}") for b in BITS))
-            apart = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"x_{b}"))) for b in BITS), F.lit(0))
+            all_ = all_.join(to_parts(mixed.select("token", "df")), ["token", "part"], "left_semi").join(sets.select(F.col("doc_id").alias("rep"), *BITS), "rep")
+            most = all_.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"), F.max("df").alias("df")).groupBy("token").agg(F.max_by("root", "c").alias("main"), F.max("df").alias("df"))
+            apart = all_.join(to_parts(most), ["token", "part"]).where("root <> main")
+            few = to_parts(apart.select("token", "df", F.col("rep").alias("x"), F.col("root").alias("x_root"), F.col("n").alias("x_n"), F.col("shared").alias("x_shared"), *(F.col(b).alias(f"x_{b}") for b in BITS)))
+            differ = sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"x_{b}"))) for b in BITS), F.lit(0))
             size = F.col("n") + F.col("x_n")
-            near = near & ((100 + percent) * (size - apart) >= 2 * percent * size)
-        pairs = all_.join(few, "token").where("root <> x_root").where(near).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
+            near = near & ((100 + percent) * (size - differ) >= 2 * percent * size)
+        pairs = all_.join(few, ["token", "part"]).where("root <> x_root").where(near).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
         pairs = pairs.distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -205,7 +247,7 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
             continue
         tried = pairs if tried is None else tried.union(pairs)
         label = merged(label, confirm(pairs, reps, sets, matches, percent))
-    out = seen.join(classes.select(*keys, "rep"), keys, "left")
+    out = seen.join(classes.select(*KEYS, "rep"), KEYS, "left")
     if label is not None:
         out = out.join(label.withColumnRenamed("v", "rep"), "rep", "left")
     else:
@@ -215,6 +257,8 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, k: int =
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that name their component; rows without doc_id stay."""
-    gone = near_components(docs, width, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id"))
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """The rows of ``docs`` that name their component; rows without doc_id stay, and so do all rows of
+    a doc_id that stays."""
+    gone = near_components(docs, width, percent).where("NOT kept").select("doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    return rows.join(gone, "doc_id", "left_anti").select("row.*")

@@ -75,6 +75,26 @@ def test_minhash_empty_pivot_round(spark):
     assert got == {9: 9, 10: 10, 11: 10}
 
 
+def test_minhash_repeated_ids_and_split_lists(spark, copies, monkeypatch):
+    """A repeated id is one document, with the smallest of its sets; lists split into parts lose no link."""
+    rng = random.Random(3)
+    a = [rng.choice("abcdefghijklmnop") * 3 + str(i) for i in range(60)]
+    near, other = list(a), [f"o{i}" for i in range(90)]
+    near[-1] = "zz"
+    rows = spark.createDataFrame([(1, " ".join(other), "x"), (1, " ".join(a), "x"), (2, " ".join(near), "x"), (2, " ".join(near), "x"), (None, " ".join(a), "x")], "doc_id long, text string, gone_id string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_components(rows, width=4).collect()}
+    assert got == {1: (57, 1), 2: (57, 1)}
+    left = minhash.keep_first(rows, width=4)
+    assert left.columns == rows.columns and Counter(r.doc_id for r in left.collect()) == {1: 2, None: 1}
+    want = {r.doc_id: r.component_id for r in minhash.near_components(docs(spark, copies), width=4).collect()}
+    monkeypatch.setattr(minhash, "LIST_PART", 2)
+    monkeypatch.setattr(minhash, "HOT_KEYS", 100)
+    for rounds in (0, 2):
+        assert {r.doc_id: r.component_id for r in minhash.near_components(docs(spark, copies), width=4, rounds=rounds).collect()} == want
+    assert minhash.near_components(docs(spark, copies).limit(0)).count() == 0
+    assert minhash.keep_first(docs(spark, [None, "", "a"])).count() == 3
+
+
 def removed(texts, length):
     seen, out = set(), {}
     for i, t in enumerate(texts):
