@@ -1,15 +1,18 @@
 """Exact top-k search by inner product, exhaustive and term at a time.
 
-Vectors become integers, floor(scale * x). Candidates are gathered in blocks that hold, per term
+Vectors become integers, floor(scale * x). Candidates are dealt into blocks that hold, per term
 (dimension), the postings of non-zero weights; queries are sparse rows of (term, weight). For each
 query the postings of its terms are scattered, weighted, into a dense score array over the block; a
 partition selection keeps the block's k best, and a window merges the blocks. Every query meets
-every block, so nothing is missed; a block's memory is bounded by its rows.
+every block, so nothing is missed; a block's memory is bounded by its rows, since equal rows are one
+row with a number of times. Vectors travel as bytes; a block is unpacked once for all its queries.
 
 Defined results: vectors that are null or hold a null or a non-finite component take no part; a
 null id takes no part; equal scores go to the smaller id; with fewer than k candidates all are
 returned; a vector shorter than another has zeros for its missing components; a repeated id is a
-candidate as often as it appears, but never for the query of the same id; an empty table gives none.
+candidate as often as it appears, but never for the query of the same id; a query id that repeats
+asks once, with its smallest vector; integers beyond 64 bits count as the nearest 64-bit one, inner
+products are exact, and a score beyond 64 bits is written as the nearest; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -23,23 +26,44 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS = 8192
 QUERY_ROWS = 512
+LONG = (1 << 63) - 1
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """id and integer components of the vectors that take part."""
-    v = F.col(vec_col)
+    v = F.col(f"`{vec_col}`")
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return vectors.where(F.col(id_col).isNotNull()).where(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+    return vectors.where(F.col(f"`{id_col}`").isNotNull()).where(fine).select(F.col(f"`{id_col}`").cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Deals rows at random into blocks of about ``size``; one row per block."""
-    n = max(1, -(-rows.count() // size))
-    return rows.groupBy(F.pmod(F.xxhash64("id", "v"), F.lit(n)).alias(name)).agg(F.collect_list("id").alias(f"{name}_ids"), F.collect_list("v").alias(f"{name}_vs"))
+def _blocks(rows: DataFrame, count: int, name: str) -> DataFrame:
+    """Deals rows (id, times, v) at random into ``count`` blocks; one row per block: its number and its
+    rows, the components as bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2).cast(pa.large_list(pa.int64()))
+            offsets = (lists.offsets.to_numpy() - lists.offsets[0].as_py()) * 8
+            raw = pa.Array.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(offsets), pa.py_buffer(lists.flatten().to_numpy(zero_copy_only=False).tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw.cast(pa.binary())], names=["id", "times", "raw"])
+
+    packed = rows.select("id", "times", "v").mapInArrow(pack, "id long, times long, raw binary")
+    return packed.groupBy(F.pmod(F.xxhash64("id", "raw"), F.lit(count)).alias(name)).agg(F.collect_list(F.struct("id", "times", "raw")).alias(f"{name}_rows"))
+
+
+def matrix(raws: list[bytes]) -> np.ndarray:
+    """Components by term and row; missing ones are 0."""
+    sizes = np.array([len(r) // 8 for r in raws])
+    out = np.zeros((int(sizes.max(initial=0)), len(raws)), np.int64)
+    before = np.cumsum(sizes) - sizes
+    out[np.arange(int(sizes.sum())) - np.repeat(before, sizes), np.repeat(np.arange(len(raws)), sizes)] = np.frombuffer(b"".join(raws), np.int64)
+    return out
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best: partition selection, then ties by the smaller id."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda j: (-scores[j], ids[j]))[:k], np.int64)
     if len(scores) > k:
         least = -np.partition(-scores, k - 1)[k - 1]
         found = np.flatnonzero(scores >= least)
@@ -48,40 +72,52 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return found[np.lexsort((ids[found], -scores[found]))][:k]
 
 
-def score_block(query_ids: list, queries: list, ids: np.ndarray, vectors: list, k: int) -> list[tuple[int, int, int]]:
-    """The block's k best for each query, term at a time over its postings."""
-    width = max(map(len, vectors))
-    dense = np.zeros((width, len(ids)), np.int64)
-    for i, v in enumerate(vectors):
-        dense[: len(v), i] = v
-    postings = [np.flatnonzero(row) for row in dense]
-    weights = [dense[t, p] for t, p in enumerate(postings)]
-    out = []
-    for q, v in zip(query_ids, queries, strict=True):
-        scores = np.zeros(len(ids), np.int64)
-        for term, weight in enumerate(v[:width]):
+class Block:
+    """Candidates as postings: per term, the rows that weigh something there and their weights."""
+
+    def __init__(self, ids: list[int], times: list[int], raws: list[bytes]):
+        dense = matrix(raws)
+        self.ids, self.times = np.array(ids, np.int64), np.array(times, np.int64)
+        self.most = max(abs(int(dense.max(initial=0))), abs(int(dense.min(initial=0))))
+        self.postings = [np.flatnonzero(row) for row in dense]
+        self.weights = [dense[t, p] for t, p in enumerate(self.postings)]
+
+    def score(self, query: int, weights: list[int], k: int) -> list[tuple[int, int, int]]:
+        """The k best of the block for a query, term at a time."""
+        fits = self.most * max(map(abs, weights), default=0) * max(1, len(weights)) <= LONG // 2
+        scores = np.zeros(len(self.ids), np.int64 if fits else object)
+        for term, weight in enumerate(weights[: len(self.postings)]):
             if weight:
-                scores[postings[term]] += weight * weights[term]
-        own = np.flatnonzero(ids != q)
-        for j in own[best(scores[own], ids[own], k)]:
-            out.append((q, int(ids[j]), int(scores[j])))
-    return out
+                own = self.weights[term]
+                scores[self.postings[term]] += weight * (own if fits else own.astype(object))
+        other = np.flatnonzero(self.ids != query)
+        out = []
+        for j in other[best(scores[other], self.ids[other], k)]:
+            score = max(-LONG - 1, min(LONG, int(scores[j])))
+            out += [(query, int(self.ids[j]), score)] * min(k, int(self.times[j]))
+        return out[:k]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 1024, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score; ``is_query`` is a condition on the column ``id``."""
     rows = usable(vectors, id_col, vec_col, scale)
-    cand, asked = _blocks(rows, block_rows, "c"), _blocks(rows.where(is_query).distinct(), query_rows, "q")
-    n_blocks = max(1, -(-rows.count() // block_rows))
-    pairs = asked.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>"))).join(cand, "c")
+    n, asking = rows.agg(F.count(F.lit(1)), F.count_if(is_query)).first()
+    n_c, n_q = max(1, -(-n // block_rows)), max(1, -(-asking // query_rows))
+    cand = _blocks(rows.groupBy("id", "v").agg(F.count(F.lit(1)).alias("times")), n_c, "c")
+    asked = _blocks(rows.where(is_query).groupBy("id").agg(F.lit(1).cast("long").alias("times"), F.min("v").alias("v")), n_q, "q")
+    pairs = asked.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)).cast("array<long>"))).join(cand, "c").select("c", "q_rows", "c_rows")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, number = None, None
+        fields = lambda rows: [rows.field(f).to_pylist() for f in ("id", "times", "raw")]
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {n: batch.column(j)[i] for j, n in enumerate(batch.schema.names)}
-                found = score_block(row["q_ids"].as_py(), row["q_vs"].as_py(), np.array(row["c_ids"].as_py(), np.int64), row["c_vs"].as_py(), k)
+                if batch.column(0)[i].as_py() != number:
+                    number, held = batch.column(0)[i].as_py(), Block(*fields(batch.column(2)[i].values))
+                ids, _, raws = fields(batch.column(1)[i].values)
+                found = [x for q, r in zip(ids, raws, strict=True) for x in held.score(q, np.frombuffer(r, np.int64).tolist(), k)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], names=["query_id", "vec_id", "score"])
 
-    found = pairs.select("q_ids", "q_vs", "c_ids", "c_vs").repartition(F.xxhash64("q_ids", "c_ids")).mapInArrow(run, "query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

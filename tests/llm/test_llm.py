@@ -313,6 +313,19 @@ def test_top_k(spark):
     assert topk.top_k(rows.limit(0), topk.F.col("id") % 10 == 0).count() == 0
 
 
+def test_top_k_of_repeated_ids_and_huge_components(spark):
+    """A candidate counts as often as it appears; a query id that repeats asks with its smallest vector;
+    products beyond 64 bits are compared exactly."""
+    vecs = [(0, [1.0, 0.0]), (0, [0.5, 0.5]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [2.0, 0.0]), (2, [0.0, 4.0]), (3, [1e30, 1e30]), (4, [-1e30, 1.0])]
+    rows = spark.createDataFrame([(i, v, "x", 1) for i, v in vecs], "vec_id long, embedding array<double>, id string, v int")
+    got = sorted(map(tuple, topk.top_k(rows, topk.F.col("id") % 10 == 0, k=4).collect()))
+    cut = lambda x: max(-(2**63), min(2**63 - 1, x))
+    fine = [(i, [cut(int(np.floor(x * 1024))) for x in v]) for i, v in vecs]
+    query = min(v for i, v in fine if i == 0)
+    best = sorted((-sum(a * b for a, b in zip(query, v, strict=True)), i) for i, v in fine if i != 0)[:4]
+    assert got == [(0, n, i, cut(-s)) for n, (s, i) in enumerate(best, 1)]
+
+
 def test_html():
     page = """<html><head><title>no</title></head><body><h1>Head</h1><p>one <b>two</b>
     three<p style="display: none">hidden<p>four<br>five<ul><li>a<li>b<ol start=3><li>c</ol></ul>
