@@ -9,38 +9,46 @@ whose windows all share one anchor occurrence (at most 2 * length - gram bytes).
    are repeats already. That pre-aggregation bounds what a hot passage sends to one task by the
    number of batches.
 2. Sorted by anchor, block and place, equal blocks follow one another; all but the first are repeats.
-   Anchors with two different blocks or more go on.
+   Anchors with two different blocks or more go on. Rows stream by; at most ``hot`` rows are held.
 3. For these, all windows of the blocks are suffixes of an enhanced suffix array per anchor: sorted
    suffixes, common-prefix lengths, and the preceding bytes. A stack scan walks the tree of
    common-prefix intervals; those of ``length`` or more whose occurrences differ in the byte to the
-   left are maximal repeats, and come out with all occurrences. Anchors with very many different
-   blocks are first dealt out further by window hash, which splits hot groups and loses no repeat.
+   left are maximal repeats, and come out with all occurrences. The suffixes of anchors with more than
+   ``hot`` different blocks are dealt out by their first ``length`` bytes, which is a subtree: the
+   same tree in smaller pieces, with the same repeats.
 4. In each repeat every occurrence but the first (smallest doc_id, then place) is to go.
 
-Only windows are hashed to form groups (64 bits of anchor plus 64 of block or window; bytes are
-compared in the suffix array), so a wrong match has a chance of about n^2 / 2^128.
+Suffixes are compared by bytes. Blocks of one anchor are taken as equal if a 64-bit hash is, so of m
+different blocks two are confused with a chance of about m^2 / 2^65.
 
 Defined results: a null text counts as empty; rows without doc_id come back unchanged and take no
-part; rows that repeat a doc_id count as one document; texts below ``length`` bytes stay whole;
-an empty table gives no rows.
+part; rows that repeat a doc_id and its text are one document; other texts of a repeated doc_id are
+documents of their own, which follow one another by a hash of the text (at most 2^22 of one id);
+texts below ``length`` bytes stay whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import byte_slices, materialize, whole_groups
 
 LENGTH, GRAM = 100, 20
 HOT_BLOCKS = 2048
+LOW = (1 << 63) - 1
 BASE1, BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+#: ``start`` holds the number of the text among those of its doc_id above this bit.
+TEXT_BITS = 31
+#: Numbered texts of repeated ids are joined by broadcast up to so many.
+SMALL = 100_000
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -157,8 +165,10 @@ def cut(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "text"):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            parts = [_blocks_of(part, ids[first : first + len(part)], length, gram) for first, part in _parts(batch.column(1))]
-            a, b, own, start, count = (np.concatenate(c) for c in zip(*parts, strict=True))
+            number = batch.column(2).to_numpy()
+            parts = [_blocks_of(part, np.arange(first, first + len(part)), length, gram) for first, part in _parts(batch.column(1))]
+            a, b, row, start, count = (np.concatenate(c) for c in zip(*parts, strict=True))
+            own, start = ids[row], start + (number[row] << TEXT_BITS)
             order = np.lexsort((start, own, b, a))
             a, b, own, start, count = (x[order] for x in (a, b, own, start, count))
             same = np.zeros(len(a), bool)
@@ -174,33 +184,59 @@ def cut(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.mapInArrow(run, ANCHORS)
 
 
-def compare(cuts: DataFrame) -> DataFrame:
+def compare(cuts: DataFrame, hot: int) -> DataFrame:
     """Kind 1: repeats. Kind 2: first of equal blocks under an anchor that has several blocks; ``block``
-    then holds how many."""
+    then says whether they are more than ``hot``. Of an anchor that is under way, that many rows are held."""
+
+    def out(a: np.ndarray, block: np.ndarray, doc: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in (a, block, doc, place)], names=NAMES)
+
+    def judge(held: np.ndarray, spilled: int | None) -> pa.RecordBatch:
+        """Rows (anchor, doc, place) of whole anchors; ``spilled`` is one that is known to be hot."""
+        a, doc, place = held
+        group = np.cumsum(np.concatenate([[True], a[1:] != a[:-1]])) - 1 if len(a) else a
+        several = np.bincount(group)[group] if len(a) else a
+        known = a == spilled if spilled is not None else np.zeros(len(a), bool)
+        take = (several > 1) | known
+        return out(a[take], ((several > hot) | known)[take].astype(np.int64), doc[take], place[take] & ~3 | 2)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "anchor"):
-            a, b, doc, place = (table.column(i).to_numpy() for i in range(4))
-            start, kind = place >> 10, place & 3
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            gone = kind == 1
-            # a repeat that a batch found stands behind the first of its block, so it is never first
-            twin = np.zeros(len(a), bool)
-            twin[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
-            repeat = (~new | gone) & ~twin
-            group = np.cumsum(np.concatenate([[True], a[1:] != a[:-1]])) - 1
-            several = np.bincount(group, weights=new)[group].astype(np.int64)
-            firsts = new & (several > 1)
-            for take, mark in ((repeat, 1), (firsts, 2)):
-                yield pa.RecordBatch.from_arrays([pa.array(c[take]) for c in (a, several, doc, place & ~3 | mark)], names=NAMES)
+        last, spilled, held = None, None, np.empty((3, 0), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b, doc, place = (batch.column(i).to_numpy() for i in range(4))
+            rows = np.stack([a, b, doc, place >> 10])
+            before = np.concatenate([rows[:, :1] + 1 if last is None else last, rows[:, :-1]], axis=1)
+            same = rows == before
+            new = ~(same[0] & same[1])
+            gone = place & 3 == 1
+            # a repeat that a batch found stands apart from its block, so it is no block's first
+            repeat = (~new | gone) & ~same.all(axis=0)
+            yield out(a[repeat], np.zeros(int(repeat.sum()), np.int64), doc[repeat], place[repeat] & ~3 | 1)
+            first = new & ~gone
+            held = np.concatenate([held, np.stack([a[first], doc[first], place[first]])], axis=1)
+            under_way = held[0] == a[-1]
+            yield judge(held[:, ~under_way], spilled)
+            held = held[:, under_way]
+            spilled = spilled if spilled == a[-1] else None
+            if spilled is not None or held.shape[1] > hot:
+                spilled = int(a[-1])
+                yield judge(held, spilled)
+                held = held[:, :0]
+            last = rows[:, -1:]
+        yield judge(held, spilled)
 
     return cuts.mapInArrow(run, ANCHORS)
 
 
-def contexts(docs: DataFrame, firsts: DataFrame, length: int, hot: int = HOT_BLOCKS) -> DataFrame:
-    """The bytes of blocks: one row per block, or one per window where an anchor is hot."""
-    wanted = firsts.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "start", "count", (F.col("block") > hot).alias("hot"))).alias("held"))
+CONTEXT = [("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("count", pa.int32()), ("left", pa.int32()), ("raw", pa.binary())]
+
+
+def contexts(docs: DataFrame, firsts: DataFrame, length: int) -> DataFrame:
+    """The bytes of blocks: one row per block, or one per suffix where an anchor is hot."""
+    number = F.shiftright("start", TEXT_BITS)
+    wanted = firsts.groupBy("doc_id", number.alias("number")).agg(F.collect_list(F.struct("anchor", "start", "count", (F.col("block") > 0).alias("hot"))).alias("held"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "text"):
@@ -209,24 +245,26 @@ def contexts(docs: DataFrame, firsts: DataFrame, length: int, hot: int = HOT_BLO
             for doc, text, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 for x in held:
-                    s, n = x["start"], x["count"]
+                    base, s = x["start"] >> TEXT_BITS << TEXT_BITS, x["start"] & (1 << TEXT_BITS) - 1
+                    whole = raw[s : s + x["count"] + length - 1]
                     if x["hot"]:
-                        for i in range(s, s + n):
-                            w = raw[i : i + length]
-                            key = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True)
-                            many.append((key, doc, i, 1, w))
+                        for i in range(x["count"]):
+                            key = int.from_bytes(hashlib.blake2b(whole[i : i + length], digest_size=8).digest(), "little", signed=True)
+                            many.append((key, whole[i:], doc, base + s + i, whole[i - 1] if i else -1))
                     else:
-                        out.append((x["anchor"], doc, s, n, raw[s : s + n + length - 1]))
-            # of equal windows of a hot anchor, one of each batch is compared; the others (count 0) are
-            # repeats already and are dealt out by their place
-            last = None
-            for x in sorted(many, key=lambda x: x[:3]):
-                out.append(x if x[0] != last else (x[0] ^ (x[1] * 1_000_003 + x[2]), x[1], x[2], 0, b""))
-                last = x[0]
-            columns = list(zip(*out, strict=True)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "doc_id", "start", "count", "raw"])
+                        out.append((x["anchor"], doc, x["start"], x["count"], -1, whole))
+            # of equal suffixes of hot anchors, one of each batch goes on; the others (count 0) are repeats
+            # already and are dealt out by their place
+            many.sort(key=lambda x: x[:4])
+            for (key, suffix), equal in itertools.groupby(many, key=lambda x: x[:2]):
+                first, *rest = equal
+                left = first[4] if all(x[4] == first[4] for x in rest) else -1
+                out.append((key, first[2], first[3], 1, left, suffix))
+                out += [(key ^ (x[2] * 1_000_003 + x[3]) & LOW, x[2], x[3], 0, -1, b"") for x in rest]
+            columns = list(zip(*out, strict=True)) if out else [()] * len(CONTEXT)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, CONTEXT, strict=True)], names=[n for n, _ in CONTEXT])
 
-    return docs.join(wanted, "doc_id").select("doc_id", "text", "held").mapInArrow(run, "key long, doc_id long, start long, count int, raw binary")
+    return docs.join(wanted, ["doc_id", "number"]).select("doc_id", "text", "held").mapInArrow(run, "key long, doc_id long, start long, count int, left int, raw binary")
 
 
 def interval_scan(lcp: list[int], left: list[int], least: int) -> Iterator[tuple[int, int, int]]:
@@ -250,8 +288,17 @@ def interval_scan(lcp: list[int], left: list[int], least: int) -> Iterator[tuple
                 stack.append([depth, first, byte])
 
 
-def repeats_of(key: np.ndarray, count: np.ndarray, raws: list[bytes], length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """Maximal repeats inside each key: their length and all occurrences (row, offset in the row)."""
+def _equal(raw: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes at ``a`` and at ``b`` are the same."""
+    view = np.lib.stride_tricks.sliding_window_view(raw, length)
+    parts = [(view[a[i : i + 65536]] == view[b[i : i + 65536]]).all(axis=1) for i in range(0, len(a), 65536)]
+    return np.concatenate(parts) if parts else np.empty(0, bool)
+
+
+def repeats_of(key: np.ndarray, count: np.ndarray, raws: list[bytes], length: int, left: np.ndarray | None = None) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """Maximal repeats inside each key: their length and all occurrences (row, offset in the row). A
+    row's first suffix is preceded by the byte ``left``, or by one unlike all others if that is negative."""
+    left = np.full(len(raws), -1, np.int64) if left is None else left.astype(np.int64)
     joined = b"".join(raws)
     raw = np.frombuffer(joined, np.uint8)
     sizes = np.fromiter(map(len, raws), np.int64, len(raws))
@@ -264,6 +311,13 @@ def repeats_of(key: np.ndarray, count: np.ndarray, raws: list[bytes], length: in
     order = np.lexsort((window, key[row]))
     w, k = window[order], key[row][order]
     same = (w[1:] == w[:-1]) & (k[1:] == k[:-1])
+    if not _equal(raw, at[order[1:]][same], at[order[:-1]][same], length).all():
+        # hashes that clash: windows are told apart by their bytes
+        ids: dict[bytes, int] = {}
+        window = np.array([ids.setdefault(joined[p : p + length], len(ids)) for p in at.tolist()], np.uint64)
+        order = np.lexsort((window, key[row]))
+        w, k = window[order], key[row][order]
+        same = (w[1:] == w[:-1]) & (k[1:] == k[:-1])
     many = np.zeros(len(w), bool)
     many[1:] |= same
     many[:-1] |= same
@@ -296,7 +350,7 @@ def repeats_of(key: np.ndarray, count: np.ndarray, raws: list[bytes], length: in
             common += going
         lcp[1:] = common
     # what stands before a block belongs to another anchor: its first window differs from all others
-    before = np.where(offset > 0, padded[at - 1].astype(np.int64), -1)
+    before = np.where(offset > 0, padded[at - 1].astype(np.int64), left[row])
     rows, offsets = row.tolist(), offset.tolist()
     for size, a, b in interval_scan(lcp.tolist(), before.tolist(), length):
         yield size, list(zip(rows[a : b + 1], offsets[a : b + 1], strict=True))
@@ -308,11 +362,12 @@ def _tables(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple]:
         passed = table.filter(pc.equal(table.column("count"), 0))
         table = table.filter(pc.greater(table.column("count"), 0))
         doc, start, count = (table.column(c).to_numpy() for c in ("doc_id", "start", "count"))
-        yield passed, doc.tolist(), start.tolist(), repeats_of(table.column("key").to_numpy(), count, table.column("raw").to_pylist(), length)
+        yield passed, doc.tolist(), start.tolist(), repeats_of(table.column("key").to_numpy(), count, table.column("raw").to_pylist(), length, table.column("left").to_numpy())
 
 
 def maximal_repeats(found: DataFrame, length: int) -> DataFrame:
-    """The repeats themselves: size and all occurrences (doc_ids, starts), the first one first."""
+    """The repeats of ``suffixes`` themselves: size and all occurrences (doc_ids, starts), the first one
+    first. Of equal blocks, the first stands for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, docs, starts, repeats in _tables(batches, length):
@@ -350,14 +405,34 @@ def later_spans(found: DataFrame, length: int) -> DataFrame:
     return found.mapInArrow(run, "doc_id long, start long, stop long")
 
 
-def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_BLOCKS) -> DataFrame:
-    """doc_id, start, stop (bytes) of strings that also start earlier; they may overlap."""
-    known = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sorted_cuts = cut(known, length, gram).repartition("anchor").sortWithinPartitions("anchor", "block", "doc_id", "place")
-    judged = materialize(compare(sorted_cuts).select("anchor", "block", "doc_id", F.shiftright("place", 10).alias("start"), (F.shiftright("place", 2) % 256).cast("int").alias("count"), (F.col("place") % 4).alias("kind")), "blocks")
+def numbered(docs: DataFrame) -> DataFrame:
+    """Adds ``number``: the place of the text among the different texts of its doc_id, nearly always 0."""
+    rows = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = rows.select("doc_id", "_h").distinct()
+    several = texts.join(texts.groupBy("doc_id").count().where("count > 1"), "doc_id", "left_semi")
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("_h")) - 1
+    later = materialize(several.withColumn("number", number.cast("long")).where("number > 0"), "texts")
+    n = later.count()
+    if not n:
+        return docs.withColumn("number", F.lit(0).cast("long"))
+    return rows.join(F.broadcast(later) if n <= SMALL else later, ["doc_id", "_h"], "left").drop("_h").withColumn("number", F.coalesce("number", F.lit(0).cast("long")))
+
+
+def suffixes(known: DataFrame, length: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """Repeats found by whole blocks (doc_id, start, stop), and the suffixes of all others by key."""
+    cuts = cut(known.select("doc_id", "text", "number"), length, gram).repartition("anchor").sortWithinPartitions("anchor", "block", "doc_id", "place")
+    judged = materialize(compare(cuts, hot).select("anchor", "block", "doc_id", F.shiftright("place", 10).alias("start"), (F.shiftright("place", 2) % 256).cast("int").alias("count"), (F.col("place") % 4).alias("kind")), "blocks")
     gone = judged.where("kind = 1").select("doc_id", "start", (F.col("start") + F.col("count") + (length - 1)).alias("stop"))
-    found = contexts(known, judged.where("kind = 2"), length, hot).repartition("key").sortWithinPartitions("key")
-    return gone.unionByName(later_spans(found, length))
+    return gone, contexts(known, judged.where("kind = 2"), length).repartition("key").sortWithinPartitions("key")
+
+
+def spans(known: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_BLOCKS) -> DataFrame:
+    """doc_id, number, start, stop (bytes) of strings that also start earlier; they may overlap.
+    ``known`` has doc_id, text and number."""
+    gone, found = suffixes(known, length, gram, hot)
+    every = gone.unionByName(later_spans(found, length))
+    place = lambda c: F.col(c).bitwiseAND(F.lit((1 << TEXT_BITS) - 1)).alias(c)
+    return every.select("doc_id", F.shiftright("start", TEXT_BITS).alias("number"), place("start"), place("stop"))
 
 
 def merge_spans(held: list[dict] | None, size: int) -> list[tuple[int, int]]:
@@ -374,8 +449,8 @@ def merge_spans(held: list[dict] | None, size: int) -> list[tuple[int, int]]:
 def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT_BLOCKS, keep_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``keep_text``, the kept
     text (whole characters) and the row itself as ``row``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct("*").alias("row")] if keep_text else []))
-    covered = spans(docs, length, gram, hot).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("held"))
+    rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct("*").alias("row")] if keep_text else [])))
+    covered = spans(rows.where("doc_id IS NOT NULL").select("doc_id", "text", "number"), length, gram, hot).groupBy("doc_id", "number").agg(F.collect_set(F.struct("start", "stop")).alias("held"))
     extra = f", kept string, row {rows.schema['row'].dataType.simpleString()}" if keep_text else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -393,7 +468,7 @@ def remove(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
                 arrays, names = [*arrays, pa.array(kept, pa.string()), batch.column(3)], [*names, "kept", "row"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    joined = rows.join(covered, "doc_id", "left").select("doc_id", "text", "held", *(["row"] if keep_text else []))
+    joined = rows.join(covered, ["doc_id", "number"], "left").select("doc_id", "text", "held", *(["row"] if keep_text else []))
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + extra)
 
 

@@ -118,10 +118,47 @@ def test_suffix_dedup(spark, copies, hot):
         assert got == removed(copies, length)
 
 
+def test_suffix_dedup_of_repeated_ids(spark):
+    """Equal rows are one document; other texts of an id are documents of their own."""
+    rng = random.Random(8)
+    a, b, c = ("".join(rng.choice("abcdefgh ") for _ in range(300)) for _ in range(3))
+    given = [(1, a), (2, a), (2, b), (3, c), (3, c), (4, b[:150] + a[150:]), (None, a)]
+    rows = spark.createDataFrame(given, "doc_id long, text string")
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix.remove(rows).collect())
+    assert got == Counter([(1, 300, 0), (2, 300, 300), (2, 300, 0), (3, 300, 0), (3, 300, 0), (4, 300, 300), (None, 300, 0)])
+    assert Counter(r.doc_id for r in suffix.clean(rows).collect()) == {1: 1, 2: 1, 3: 2, None: 1}
+    assert suffix.remove(rows.limit(0)).count() == 0 and suffix.clean(rows.limit(0)).count() == 0
+
+
+def test_repeats_whose_hashes_clash(monkeypatch):
+    """Windows with one hash for all are still told apart by their bytes."""
+    monkeypatch.setattr(suffix.Hashed, "at", lambda self, start, stop: np.zeros(len(start), np.uint64))
+    raws = [b"abcdefgh" * 3, b"xbcdefgha" + b"abcdefgh" * 2, b"qrstuvwxyz" * 3]
+    found = suffix.repeats_of(np.array([1, 1, 1]), np.array([len(r) - 11 for r in raws]), raws, 12)
+    want = {}
+    for size in range(12, 25):
+        for r, raw in enumerate(raws):
+            for i in range(len(raw) - size + 1):
+                want.setdefault(raw[i : i + size], []).append((r, i))
+    whole = {s: w for s, w in want.items() if len(w) > 1}
+    fewer = lambda s: any(s in t and len(t) > len(s) and len(whole[t]) >= len(w) for t in whole for w in [whole[s]])
+    got = {(raws[w[0][0]][w[0][1] : w[0][1] + size], tuple(sorted(w))) for size, w in found}
+    assert {(s, tuple(sorted(w))) for s, w in whole.items() if not fewer(s)} <= got
+    assert all(tuple(whole[s]) == w for s, w in got)
+
+
 def test_maximal_repeats_hold_all_occurrences(spark):
     a, b = "the quick brown fox jumps over it", "xx"
     found = suffix.repeats_of(np.array([1, 1, 1]), np.array([3, 3, 3]), [(b + a)[:22].encode(), ("yy" + a)[:22].encode(), ("zz" + a)[:22].encode()], 20)
     assert sorted((size, sorted(where)) for size, where in found) == [(20, [(0, 2), (1, 2), (2, 2)])]
+    rng = random.Random(1)
+    passage = "".join(rng.choice("abcdefgh") for _ in range(130))
+    texts = ["".join(rng.choice("ijklmnop") for _ in range(200)) + passage + "".join(rng.choice("qrstuv") for _ in range(90 + i)) for i in range(4)]
+    for hot in (1, 2048):  # the same groups, whether suffixes are dealt out by anchor or by their first bytes
+        known = suffix.numbered(docs(spark, texts).select("doc_id", "text"))
+        groups = {(r["size"], tuple(r.doc_ids), tuple(r.starts)) for r in suffix.maximal_repeats(suffix.suffixes(known, 100, 20, hot)[1], 100).collect()}
+        assert groups and all(d == (0, 1, 2, 3) and size >= 100 for size, d, _ in groups)
+        assert {p for size, _, starts in groups for p in range(starts[0], starts[0] + size)} == set(range(200, 330))
 
 
 def test_tokens(spark, copies):
