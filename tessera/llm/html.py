@@ -1,22 +1,29 @@
 """Layout-aware text of HTML pages.
 
-A tokenizer with raw-text elements feeds a tree builder that closes what a tag implies to be closed
-(p before blocks, li, dt, dd, option, table parts). Rendering walks the tree without recursion:
-hidden parts (scripts, styles, head, templates, data lists, closed dialogs, what ``audio``, ``video``
-and ``canvas`` hold for browsers without them, notes and unplaced parts of SVG and formulas, ``hidden``,
-``aria-hidden``, ``display:none``) give nothing, ``visibility`` holds for text until an element inside
-sets it anew, form values, options, SVG text and formulas are text, blocks stand apart by line or blank line, lists carry marks by
-depth, tables are set in columns of equal width, and preformatted text keeps its white space.
+A linear scanner with raw-text elements feeds a tree builder that closes what a tag implies to be
+closed (p before blocks, li, dt, dd, option, ruby and table parts) and keeps closing tags inside the
+cell that they stand in. Rules of ``style`` elements (single elements, classes and ids, screen media)
+and inline styles decide what is drawn. Rendering walks the tree without recursion: what isn't drawn
+gives nothing (scripts, styles, head, templates, data lists, closed dialogs, all but the summary of
+closed details, what ``audio``, ``video`` and ``canvas`` hold for browsers without them, notes and
+unplaced parts of SVG and formulas, ``hidden``, ``display:none``); ``visibility`` holds for text until
+an element inside sets it anew; form values, options, SVG text and formulas are text. Blocks stand
+apart by line or blank line, breaks and preformatted text keep their lines, lists carry marks by
+depth, and tables are set in columns, with cells of several lines and over several rows or columns.
 
 Defined results: null pages count as empty and give empty text; broken markup never fails (a lone
-"<" is text, unclosed elements end with the page); rows repeat as given; an empty table gives none.
+"<" is text, unclosed elements end with the page); rows repeat as given; a column of the input that
+bears the name of the output is replaced; an empty table gives none. Columns are padded up to
+``WIDEST`` characters; tables that would need more than ``CELLS`` places ignore spans, and those nested
+deeper than ``DEEPEST`` are set line by line, so that the text's size follows the page's.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,88 +32,198 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import byte_slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+ATTR = re.compile(r"""[\s/]*([^\s/>=]?[^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)))?""")
+#: Tags of a page whose quotes may turn out never to close before quotes count as plain characters.
+ODD_TAGS = 32
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "xmp"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = set("script style head title template noscript iframe meta link datalist audio video canvas".split())
 #: Elements that aren't drawn inside others.
 UNDRAWN = {"svg": {"desc", "metadata", "defs", "symbol"}, "math": {"annotation", "annotation-xml"}}
-#: Blank lines around a block: 1 for a line break only, 2 for a blank line.
-SPACING = dict.fromkeys("html body div section article aside header footer nav main address form fieldset li dt dd tr center figcaption summary details option legend dialog optgroup".split(), 1) | dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split(), 2)
-CLOSES_P = {t for t in SPACING if t not in ("html", "body", "li", "dt", "dd", "tr", "option", "optgroup", "legend", "summary")}
+#: Lines around a block: 1 for a line break only, 2 for a blank line.
+SPACING = dict.fromkeys("html body div section article aside header footer nav main address form fieldset li dt dd tr center figcaption summary details option legend dialog optgroup caption hgroup search".split(), 1) | dict.fromkeys("p h1 h2 h3 h4 h5 h6 ul ol menu dl table pre xmp listing plaintext blockquote figure hr".split(), 2)
+CLOSES_P = {t for t in SPACING if t not in "html body li dt dd tr option optgroup legend caption".split()} | {"li", "dt", "dd"}
+PRE = {"pre", "textarea", "xmp", "listing", "plaintext"}
+LISTS = {"ul", "ol", "menu"}
+TABLE_PARTS = {"table", "caption", "colgroup", "thead", "tbody", "tfoot", "tr", "td", "th"}
+SCOPE = ("table", "td", "th", "caption")
 #: What an opening tag closes, and the elements that it does not look beyond.
 IMPLIED = {
-    "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
-    "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}, {"table"}), "tfoot": ({"tr", "td", "th", "thead", "tbody", "caption"}, {"table"}), "body": ({"head"}, set()),
-}
-UNSEEN = re.compile(r"display\s*:\s*none|content-visibility\s*:\s*hidden", re.I)
-VISIBILITY = re.compile(r"(?<![\w-])visibility\s*:\s*([a-z]+)", re.I)
-SEEN = {"hidden": False, "collapse": False, "visible": True, "initial": True}
+    "li": ({"li"}, LISTS), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
+    "rt": ({"rt", "rp"}, {"ruby"}), "rp": ({"rt", "rp"}, {"ruby"}), "rb": ({"rt", "rp", "rb"}, {"ruby"}), "body": ({"head"}, set()),
+    "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
+} | {t: ({"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"}, {"table"}) for t in ("thead", "tbody", "tfoot", "colgroup")}
+DECLARED = re.compile(r"(?:^|[;{\s])(display|visibility|content-visibility)\s*:\s*([a-z-]+)", re.I)
+SELECTOR = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+SHOWN = {"hidden": False, "collapse": False, "visible": True, "initial": True}
+VALUED = {"", "text", "search", "email", "url", "tel", "number", "date", "time", "month", "week", "datetime-local", "submit", "button", "reset"}
+WIDEST, CELLS, DEEPEST = 60, 100_000, 8
 
 
 class Node:
-    __slots__ = ("children", "hidden", "seen", "start", "tag")
+    __slots__ = ("attrs", "children", "hidden", "seen", "tag")
 
-    def __init__(self, tag: str, hidden: bool = False, start: int = 1, seen: bool | None = None):
-        self.tag, self.hidden, self.start, self.seen, self.children = tag, hidden, start, seen, []
+    def __init__(self, tag: str, attrs: dict | None = None, hidden: bool = False, seen: bool | None = None):
+        self.tag, self.attrs, self.hidden, self.seen, self.children = tag, attrs or {}, hidden, seen, []
+
+
+def number(attrs: dict, name: str, least: int, most: int, default: int) -> int:
+    text = (attrs.get(name) or "").strip()
+    return max(least, min(most, int(text))) if re.fullmatch(r"[+-]?\d{1,9}", text) else default
+
+
+class Rules:
+    """What ``style`` elements say about ``display`` and ``visibility``, by tag, classes and id."""
+
+    def __init__(self):
+        self.by: dict[str, list[tuple]] = defaultdict(list)
+        self.count = 0
+        self.known: dict[tuple, dict] = {}
+
+    def add(self, css: str) -> None:
+        css = re.sub(r"/\*.*?(?:\*/|\Z)", " ", css, flags=re.S)
+        at, skip = 0, 0  # skip: open blocks of rules that aren't for a screen
+        for m in re.finditer(r"[^{}]*([{}]|\Z)", css):
+            prelude = m[0][:-1].strip() if m[1] else ""
+            if m[1] == "{":
+                media = re.match(r"@media\b([^{]*)", prelude, re.I)
+                if skip or (prelude.startswith("@") and not (media and re.fullmatch(r"\s*(only\s+)?(screen|all)\s*", media[1], re.I))):
+                    skip += 1
+                at = prelude
+            elif m[1] == "}":
+                if skip:
+                    skip -= 1
+                elif at and not at.startswith("@"):
+                    self.rule(at, prelude)
+                at = ""
+
+    def rule(self, selectors: str, body: str) -> None:
+        said = {k.lower(): v.lower() for k, v in DECLARED.findall(body)}
+        if not said:
+            return
+        self.known.clear()
+        for one in selectors.split(","):
+            m = SELECTOR.fullmatch(one.strip())
+            if m and m[0]:
+                marks = re.findall(r"[.#][\w-]+", m[2])
+                self.count += 1
+                weight = (sum(x[0] == "#" for x in marks), sum(x[0] == "." for x in marks), bool(m[1] and m[1] != "*"), self.count)
+                tag = (m[1] or "*").lower()
+                self.by[marks[-1] if marks else tag].append((weight, tag, frozenset(marks), said))
+
+    def of(self, tag: str, attrs: dict) -> dict:
+        """The declarations that hold for an element before its own style."""
+        if not self.by:
+            return {}
+        marks = frozenset(x for x in ["." + c for c in (attrs.get("class") or "").split()] + ["#" + (attrs.get("id") or "")] if x in self.by or x[0] == ".")
+        key = (tag, marks)
+        if key not in self.known:
+            found = [r for k in (tag, "*", *marks) for r in self.by.get(k, ()) if r[1] in ("*", tag) and r[2] <= marks | {"#" + (attrs.get("id") or "")}]
+            said: dict = {}
+            for r in sorted(found, key=lambda r: r[0]):
+                said |= r[3]
+            self.known[key] = said
+        return self.known[key]
+
+
+def attributes(page: str, at: int, quotes: bool) -> tuple[dict, int]:
+    """Attributes of a tag whose name ends at ``at``, and the place behind the tag; -1 if it has no end."""
+    if not quotes:
+        end = page.find(">", at)
+        if end < 0:
+            return {}, -1
+        return {k.lower(): v.strip("\"'") for k, v in re.findall(r"([^\s=/]+)\s*=\s*([^\s]+)", page[at:end])}, end + 1
+    found: dict = {}
+    size = len(page)
+    while at < size:
+        m = ATTR.match(page, at)
+        if m.end() == at and page[at] == ">":
+            return found, at + 1
+        if m[1]:
+            found.setdefault(m[1].lower(), entities.unescape(m[2] or m[3] or m[4] or ""))
+        at = m.end() if m.end() > at else at + 1
+        if at < size and page[at] == ">":
+            return found, at + 1
+    return {}, -1
 
 
 def build(page: str) -> Node:
     """The tree of a page; text stands in it as strings."""
     root = Node("#root")
-    stack, at, size = [root], 0, len(page)
-    standing: Counter = Counter()  # open elements by tag, so that deep trees aren't searched in vain
+    stack, at, size, odd = [root], 0, len(page), 0
+    final = page.rfind(">")  # behind it no tag ends
+    places: dict[str, list[int]] = defaultdict(list)  # where open elements stand in the stack, by tag
+    rules = Rules()
+
+    def last(tags) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def leave(n: int) -> None:
         for node in stack[n:]:
-            standing[node.tag] -= 1
+            places[node.tag].pop()
         del stack[n:]
 
     while at < size:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if page[m.start()] != "<" or at - m.start() == 1:
-                stack[-1].children.append(entities.unescape(m[0]))
+        if page[at] != "<" or at > final:
+            end = page.find("<", at) if at < final else size
+            end = size if end < 0 else end
+            stack[-1].children.append(entities.unescape(page[at:end]))
+            at = end
             continue
-        tag = tag.lower()
-        if m[1]:
-            if standing[tag]:
-                i = len(stack) - 1
-                while stack[i].tag != tag:
-                    i -= 1
-                leave(i)
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if page[at + 1 : at + 2] in ("!", "?"):
+            end = page.find(">", at)
+            at = size if end < 0 else end + 1
+            continue
+        m = NAME.match(page, at + 1)
+        attrs, end = attributes(page, m.end(), odd < ODD_TAGS) if m else ({}, -1)
+        if m and end < 0:
+            odd += 1
+            attrs, end = attributes(page, m.end(), False)
+        if not m or end < 0:
+            stack[-1].children.append("<")
+            at += 1
             continue
+        tag, at = m[0].lower(), end
+        if tag.startswith("/"):
+            tag = tag[1:]
+            if places.get(tag) and (tag in TABLE_PARTS or places[tag][-1] > last(SCOPE)):
+                leave(places[tag][-1])
+            continue
+        if tag == "image":
+            tag = "img"
         if tag in CLOSES_P or tag in IMPLIED:
             closes, beyond = IMPLIED.get(tag, (set(), set()))
             if tag in CLOSES_P:
-                closes, beyond = closes | {"p"}, beyond | {"td", "th", "table", "body"}
-            i = len(stack) - 1
-            while i > 0 and stack[i].tag not in beyond and any(standing[c] for c in closes):
-                if stack[i].tag in closes:
-                    leave(i)
-                i -= 1
-        attrs = {k.lower(): a or b or c for k, a, b, c in ATTR.findall(m[3])} if m[3].strip(" /") else {}
-        unseen = tag in HIDDEN or "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(UNSEEN.search(attrs.get("style", "")))
-        if tag == "input" and attrs.get("type", "").lower() == "hidden":
-            unseen = True
-        if (tag == "dialog" and "open" not in attrs) or any(tag in held and standing[outer] for outer, held in UNDRAWN.items()):
-            unseen = True
-        shown = VISIBILITY.findall(attrs.get("style", ""))
-        first = attrs.get("start", "1")
-        node = Node(tag, unseen, int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1, SEEN.get(shown[-1].lower()) if shown else None)
+                closes, beyond = closes | {"p"}, beyond | {"td", "th", "table", "caption", "body"}
+            while (found := last(closes)) > last(beyond):
+                leave(found)
+        said = {"display": "none"} if "hidden" in attrs else {}
+        said |= rules.of(tag, attrs) | {k.lower(): v.lower() for k, v in DECLARED.findall(attrs.get("style") or "")}
+        unseen = tag in HIDDEN or said.get("display") == "none" or said.get("content-visibility") == "hidden"
+        unseen |= (tag == "dialog" and "open" not in attrs) or any(tag in held and places.get(outer) for outer, held in UNDRAWN.items())
+        node = Node(tag, attrs, unseen, SHOWN.get(said.get("visibility", "")))
         stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            if tag == "textarea":
-                node.children.append(entities.unescape(re.sub(r"\A\r?\n", "", page[at : end.start() if end else size])))
-            at = end.end() if end else size
-        elif tag not in VOID and not m[3].rstrip().endswith("/"):
+            found = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            inside = page[at : found.start() if found else size]
+            if tag == "style" and re.fullmatch(r"\s*(screen|all)?\s*", attrs.get("media") or "", re.I):
+                rules.add(inside)
+            if tag in ("textarea", "xmp"):
+                node.children.append(entities.unescape(re.sub(r"\A\r?\n", "", inside)) if tag == "textarea" else inside)
+            at = found.end() if found else size
+        elif tag == "plaintext":
+            node.children.append(page[at:])
+            at = size
+        elif tag not in VOID and not (page[at - 2] == "/" and (places.get("svg") or places.get("math") or tag in ("svg", "math"))):
+            places[tag].append(len(stack))
             stack.append(node)
-            standing[tag] += 1
+        if tag == "pre":
+            at += 2 if page.startswith("\r\n", at) else page.startswith("\n", at)
     return root
 
 
@@ -121,14 +238,14 @@ class Lines:
 
     def text(self, words: str, pre: bool) -> None:
         if pre:
-            first, *rest = words.split("\n")
+            first, *rest = words.replace("\r\n", "\n").split("\n")
             self.put(first)
             for r in rest:
-                self.end(1)
+                self.newline()
                 self.put(r)
             return
         piece = re.sub(r"[ \t\n\r\f]+", " ", words)
-        if not self.line or self.line[-1].endswith(" "):
+        if not self.line or self.line[-1].endswith((" ", "\n")):
             piece = piece.lstrip(" ")
         self.put(piece)
 
@@ -144,6 +261,17 @@ class Lines:
                 self.mark = ""
         self.line.append(piece)
 
+    def newline(self) -> None:
+        """A break: it ends the open line, or makes an empty one."""
+        if self.line:
+            self.end(0)
+        elif self.out or self.mark:
+            if self.owed > 1:
+                self.out.append("")
+            self.owed = 0
+            self.out.append(self.mark.rstrip())
+            self.mark = ""
+
     def end(self, space: int) -> None:
         if self.line:
             self.out.append("".join(self.line).rstrip())
@@ -152,86 +280,156 @@ class Lines:
 
     def done(self) -> list[str]:
         self.end(0)
-        return self.out
+        out = self.out
+        while out and not out[-1]:
+            out.pop()
+        return out
+
+
+def table(rows: list[list[tuple[int, int, list[str]]]]) -> list[str]:
+    """Lines of a table whose cells are (columns, rows, lines)."""
+    if len(rows) * max((sum(c for c, _, _ in r) for r in rows), default=0) + sum(min(n, len(rows)) * c for r in rows for c, n, _ in r) > CELLS:
+        rows = [[(1, 1, lines) for _, _, lines in r] for r in rows]
+    placed: list[list[tuple[int, int, list[str]]]] = []  # per row: first column, columns, lines
+    taken: dict[int, int] = {}  # columns that a cell above still covers, and for how many rows
+    for row in rows:
+        at, out = 0, []
+        covered = dict(taken)
+        for columns, over, lines in row:
+            while at in covered:
+                at += 1
+            out.append((at, columns, lines))
+            if over > 1:
+                taken.update({c: over for c in range(at, at + columns)})
+            at += columns
+        placed.append(out)
+        taken = {c: n - 1 for c, n in taken.items() if n > 1}
+    used = sorted({c for row in placed for c, _, lines in row if lines} | {0})
+    widths = dict.fromkeys(used, 0)
+    for row in placed:
+        for c, n, lines in row:
+            if n == 1 and lines:
+                widths[c] = max(widths[c], min(WIDEST, max(map(len, lines))))
+    out: list[str] = []
+    for row in placed:
+        cells = {c: (n, lines) for c, n, lines in row if lines}
+        if not cells:
+            continue
+        columns = []  # lines and width, up to the row's last cell
+        at, end = 0, bisect.bisect_right(used, max(cells))
+        while at < end:
+            n, lines = cells.get(used[at], (1, []))
+            after = max(at + 1, bisect.bisect_left(used, used[at] + n))
+            columns.append((lines, sum(widths[x] for x in used[at:after]) + 3 * (after - at - 1)))
+            at = after
+        for i in range(max(len(lines) for lines, _ in columns)):
+            out.append(SPARE.sub("", " | ".join((lines[i] if i < len(lines) else "").ljust(width) for lines, width in columns)))
+    return out
+
 
+SPARE = re.compile(r"(?<![ |])[ |]+\Z")
 
-def table(rows: list[list[str]]) -> list[str]:
-    width = max(map(len, rows), default=0)
-    sizes = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(width)]
-    return [" | ".join(c.ljust(s) for c, s in zip(r + [""] * (width - len(r)), sizes, strict=True)).rstrip() for r in rows]
+
+def mark_of(kind: str, style: str, n: int) -> str:
+    if kind != "ol":
+        return "- "
+    if style in ("a", "A") and n > 0:
+        text, m = "", n
+        while m:
+            m, r = divmod(m - 1, 26)
+            text = chr(97 + r) + text
+    elif style in ("i", "I") and 0 < n < 4000:
+        text, m = "", n
+        for value, digits in zip((1000, 900, 500, 400, 100, 90, 50, 40, 10, 9, 5, 4, 1), "m cm d cd c xc l xl x ix v iv i".split(), strict=True):
+            text += digits * (m // value)
+            m %= value
+    else:
+        return f"{n}. "
+    return (text.upper() if style.isupper() else text) + ". "
 
 
 def render(root: Node) -> str:
     page = Lines()
     open_ = [page]  # the page, and the table cells that are open
-    tables: list[list[list[str]]] = []
+    tables: list[list[list[tuple[int, int, list[str]]]]] = []
     lists: list[list] = []
     pre = 0
     walk: list[tuple[object, bool, bool]] = [(root, True, True)]
     while walk:
         node, enter, seen = walk.pop()
+        now = open_[-1]
         if isinstance(node, str):
-            if not seen:
-                continue
-            if tables and open_[-1] is page and not node.strip():
-                continue
-            open_[-1].text(node, pre > 0)
+            if seen and (len(open_) > len(tables) or node.strip()):
+                now.text(node, pre > 0)
             continue
         tag = node.tag
-        now = open_[-1]
+        nested = len(tables) > DEEPEST  # cells of such tables are set line by line
         if enter:
             if node.hidden:
                 continue
             seen = seen if node.seen is None else node.seen
             if tag == "br":
-                now.end(now.owed)
+                now.newline()
+                continue
+            if tag == "input" and seen and (node.attrs.get("type") or "").lower() in VALUED:
+                now.text(node.attrs.get("value") or "", False)
                 continue
             if tag in SPACING:
-                now.end(SPACING[tag] if not (tag in ("ul", "ol") and lists) else 1)
-            if tag in ("pre", "textarea"):
+                now.end(SPACING[tag] if not (tag in LISTS and lists) else 1)
+            if tag in PRE:
                 pre += 1
-            elif tag in ("ul", "ol"):
-                lists.append([tag, node.start])
+            elif tag in LISTS:
+                items = sum(isinstance(c, Node) and c.tag == "li" for c in node.children) if "reversed" in node.attrs else 1
+                lists.append([tag, number(node.attrs, "start", -(10**9), 10**9, items), -1 if "reversed" in node.attrs else 1, node.attrs.get("type") or ""])
             elif tag == "li":
-                depth = max(0, len(lists) - 1)
-                kind = lists[-1] if lists else ["ul", 1]
-                now.mark = "  " * depth + ("- " if kind[0] == "ul" else f"{kind[1]}. ") if seen else ""
-                kind[1] += 1
+                kind = lists[-1] if lists else ["ul", 1, 1, ""]
+                kind[1] = number(node.attrs, "value", -(10**9), 10**9, kind[1])
+                now.mark = "  " * max(0, len(lists) - 1) + mark_of(kind[0], kind[3], kind[1]) if seen else ""
+                kind[1] += kind[2]
             elif tag == "table":
                 tables.append([])
             elif tag == "tr" and tables:
                 tables[-1].append([])
             elif tag in ("td", "th") and tables:
-                open_.append(Lines())
+                if nested:
+                    now.end(1)
+                else:
+                    open_.append(Lines())
             walk.append((node, False, seen))
-            walk.extend((c, True, seen) for c in reversed(node.children))
+            inside = node.children
+            if tag == "details" and "open" not in node.attrs:
+                inside = [c for c in inside if isinstance(c, Node) and c.tag == "summary"][:1]
+            walk.extend((c, True, seen) for c in reversed(inside))
             continue
-        if tag in ("td", "th") and tables and len(open_) > 1:
-            cell = " ".join(x.strip() for x in open_.pop().done() if x.strip())
+        if tag in ("td", "th") and tables:
+            if nested:
+                now.end(1)
+                continue
+            lines = [x for x in open_.pop().done() if x.strip()]
             if not tables[-1]:
                 tables[-1].append([])
-            tables[-1][-1].append(cell)
+            tables[-1][-1].append((number(node.attrs, "colspan", 1, 1000, 1), number(node.attrs, "rowspan", 0, 65534, 1) or 65534, lines))
             continue
-        if tag == "table" and tables:
+        if tag == "table":
             now.end(2)
-            for line in table([r for r in tables.pop() if any(r)]):
+            for line in table([r for r in tables.pop() if r]):
                 now.put(line or " ")
                 now.end(1)
-        elif tag in ("ul", "ol") and lists:
+        elif tag in LISTS and lists:
             lists.pop()
         elif tag == "li":
             now.mark = ""
-        elif tag in ("pre", "textarea"):
+        elif tag in PRE:
             pre -= 1
         if tag in SPACING:
-            now.end(SPACING[tag] if not (tag in ("ul", "ol") and lists) else 1)
+            now.end(SPACING[tag] if not (tag in LISTS and lists) else 1)
     return "\n".join(page.done())
 
 
 def extract(pages: DataFrame, html: str = "html", out: str = "text") -> DataFrame:
     """The columns of ``pages`` but the markup, and ``out``."""
-    rest = [c for c in pages.columns if c not in (html, out)]
-    rows = pages.select(*rest, F.col(html).alias(html))
+    rest = [c for c in pages.columns if c.lower() not in (html.lower(), out.lower())]
+    rows = pages.select(*(F.col(f"`{c}`") for c in rest), F.col(f"`{html}`").alias(html))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, html):

@@ -49,7 +49,7 @@ LIST_PART = 4096
 BITS = [f"bits{i}" for i in range(8)]
 KEYS = ["n_shingles", "key1", "key2"]
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-WORDS_KEPT = 1_000_000
+WORDS_KEPT = 250_000
 
 
 class Words(dict):

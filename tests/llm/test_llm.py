@@ -387,12 +387,68 @@ def test_html():
         ("<video>no</video><audio>no</audio><canvas>no</canvas>a", "a"),
         ('<div style="visibility:hidden">no<b style="visibility: visible">yes<i>too</i></b>no</div>', "yestoo"),
         ('<ol><li style="visibility:hidden">no<li>b</ol><b style="backface-visibility:hidden">c</b>', "2. b\n\nc"),
+        ("<p>a<br><br>b<pre>\nc\n\nd</pre>", "a\n\nb\n\nc\n\nd"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td colspan=2>wide one<tr><td>x<td>y</table>", "a | b\n  | c\nwide one\nx | y"),
+        ("<table><tr><td>a<ul><li>x<li>y</ul><td><table><tr><td>1<td>2<tr><td>3<td>4</table></table>", "a   | 1 | 2\n- x | 3 | 4\n- y"),
+        ("<table><caption>cap<colgroup><col><thead><tr><th>h<tbody><tr><td>d<tfoot><tr><td>f</table>", "cap\n\nh\nd\nf"),
+        ("<ol reversed><li>a<li value=7>b<li>c</ol>", "3. a\n7. b\n6. c"),
+        ("<ol type=a start=26><li>a<li>b</ol><ol type=I start=4><li>c</ol>", "z. a\naa. b\n\nIV. c"),
+        ("<style>.h{display:none} @media print{p{display:none}} #z{visibility:hidden}</style><p class='h x'>no<p>yes<p id=z>no", "yes"),
+        ("<p aria-hidden=true>drawn<xmp><b>x</b></xmp>", "drawn\n\n<b>x</b>"),
+        ("<details><summary>s</summary>no</details><details open><summary>t</summary>yes</details>", "s\nt\nyes"),
+        ("<input type=submit value=go><input type=hidden value=no><input type=password value=no>", "go"),
+        ("<ruby>k<rp>(<rt>x<rp>)</ruby>", "k(x)"),
+        ('<a title="x>y">t</a> <a href="unclosed>u</a> rest', "t u rest"),
     ],
 )
 def test_html_visible_text(page, want):
     assert html.render(html.build(page)) == want
 
 
+def test_html_against_generated_pages():
+    """Pages of random nesting whose visible words are known from how they were made."""
+    rng = random.Random(6)
+
+    def part(depth):
+        kind = rng.choice(["word", "word", "div", "p", "b", "hidden", "none", "ul", "table", "pre", "script", "unseen"] if depth else ["word"])
+        inside = lambda n=3: [part(depth - 1) for _ in range(rng.randrange(1, n + 1))] if depth else []
+        if kind == "word":
+            w = f"w{rng.randrange(10**6)}"
+            return f" {w} ", [w]
+        made = inside()
+        markup, shown = "".join(m for m, _ in made), [w for _, ws in made for w in ws]
+        if kind in ("div", "b"):
+            return f"<{kind}>{markup}</{kind}>", shown
+        if kind == "p":
+            w = f"w{rng.randrange(10**6)}"
+            return f"<p>{w}", [w]
+        if kind == "pre":
+            w = f"w{rng.randrange(10**6)}"
+            return f"<pre>{w}\n\n  {w}</pre>", [w, w]
+        if kind == "ul":
+            return "<ul>" + "".join(f"<li>{m}" for m, _ in made) + "</ul>", shown
+        if kind == "table":  # a row of one cell, so that reading order is the page's order
+            return f"<table><tr><td>{markup}</table>", shown
+        return {"hidden": f"<div hidden>{markup}</div>", "none": f'<div style="display : none">{markup}</div>', "script": "<script>x < 'w1'</script>", "unseen": f'<div class="gone">{markup}</div>'}[kind], []
+
+    for _ in range(60):
+        made = [part(4) for _ in range(6)]
+        page = "<style>.gone { display: none }</style>" + "".join(m for m, _ in made)
+        assert re.findall(r"w\d+", html.render(html.build(page))) == [w for _, ws in made for w in ws], page
+
+
+@pytest.mark.parametrize("piece", ["<a '", '<a b="', "<div>", "<", "<!--", "<p>", "<ul><li>", "<table><tr><td>", "<td rowspan=60000>x", "<tr><td>a<td>b", "<b class=x>y</b>"])
+def test_html_takes_hostile_pages_in_linear_time(piece):
+    import time
+
+    took = []
+    for size in (100_000, 400_000):
+        began = time.process_time()
+        html.render(html.build("<style>.x{display:none}</style><table>" + piece * (size // len(piece))))
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1 and took[1] < 10
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "<p>a", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text) for r in html.extract(rows).collect()) == [(1, ""), (2, "a")]
