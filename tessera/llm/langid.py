@@ -4,7 +4,9 @@ Texts become frequencies of hashed byte n-grams (one to three bytes of the lower
 than letters read as blanks) over the whole text. Linear support vector machines, one against one,
 first separate families, then the languages of the chosen family; votes decide, then margins. They
 are trained on the driver on at most ``per_lang`` documents of each language and ``most`` in all
-(bounds of the sample; by the order of a hash of the id), never on held-out rows.
+(bounds of the sample; by the order of a hash of the id, first within salted parts of a language, so
+that no language is one task), never on held-out rows. Frequencies reach the driver as pairs of place
+and value, and the one matrix there has ``most`` x ``DIMS`` floats at most.
 
 Defined results: a null text or one without a letter is ``und`` with score 0; if nothing can be
 learned all are ``und``; null or repeated ids and rows are rows like others; other columns and lang,
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import byte_slices, held_out
 
 DIMS = 1 << 13
-PER_LANG, MOST = 400, 8000
+PER_LANG, MOST, SALTS = 400, 8000, 256
 #: Families of languages by code; any other code is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is af lb yi fy".split(),
@@ -47,16 +49,33 @@ def features(text: str) -> np.ndarray:
     return np.bincount(places, minlength=DIMS).astype(np.float32) * np.float32(100.0 / len(b))
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, turns: int = 30) -> np.ndarray:
-    """Weights (bias last) of a linear SVM by dual coordinate descent."""
-    w, a, q = np.zeros(x.shape[1] + 1, np.float32), np.zeros(len(x)), np.einsum("ij,ij->i", x, x) + 1.0
+def sparse(found: np.ndarray) -> bytes:
+    """Places (16 bits) and values (32 bits) of what isn't 0."""
+    at = np.flatnonzero(found)
+    return at.astype("<u2").tobytes() + found[at].astype("<f4").tobytes()
+
+
+def dense(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), DIMS), np.float32)
+    for i, raw in enumerate(rows):
+        n = len(raw) // 6
+        out[i, np.frombuffer(raw, "<u2", n)] = np.frombuffer(raw, "<f4", n, 2 * n)
+    return out
+
+
+def svm(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, c: float = 1.0, turns: int = 30) -> np.ndarray:
+    """Weights (bias last) of a linear SVM on the given rows of ``x`` by dual coordinate descent:
+    half the squared weights, bias included, plus ``c`` times the hinge losses."""
+    rows = np.arange(len(x)) if rows is None else rows
+    w, a, q = np.zeros(x.shape[1] + 1, np.float32), np.zeros(len(rows)), [float(x[r] @ x[r]) + 1.0 for r in rows]
     rng = np.random.default_rng(0)
     for _ in range(turns):
-        for i in rng.permutation(len(x)):
-            new = min(max(a[i] - (y[i] * float(x[i] @ w[:-1] + w[-1]) - 1) / q[i], 0.0), c)
+        for i in rng.permutation(len(rows)):
+            own = x[rows[i]]
+            new = min(max(a[i] - (y[i] * float(own @ w[:-1] + w[-1]) - 1) / q[i], 0.0), c)
             if new != a[i]:
                 step = np.float32((new - a[i]) * y[i])
-                w[:-1] += step * x[i]
+                w[:-1] += step * own
                 w[-1] += step
                 a[i] = new
     return w
@@ -68,8 +87,11 @@ def train(x: np.ndarray, labels: list[str]) -> dict:
     family = np.array([FAMILY_OF.get(v, v) for v in labels])
 
     def pairs(of: np.ndarray, rows: np.ndarray) -> list[tuple[str, str, np.ndarray]]:
-        names = sorted(set(of[rows]))
-        return [(a, b, svm(x[rows & ((of == a) | (of == b))], np.where(of[rows & ((of == a) | (of == b))] == a, 1.0, -1.0))) for a, b in itertools.combinations(names, 2)]
+        out = []
+        for a, b in itertools.combinations(sorted(set(of[rows])), 2):
+            both = np.flatnonzero(rows & ((of == a) | (of == b)))
+            out.append((a, b, svm(x, np.where(of[both] == a, 1.0, -1.0), both)))
+        return out
 
     every = np.ones(len(lang), bool)
     names = sorted(set(family))
@@ -99,25 +121,27 @@ def predict(model: dict, text: str | None) -> tuple[str, float]:
 
 
 def sample(docs: DataFrame, per_lang: int = PER_LANG, most: int = MOST) -> DataFrame:
-    """lang and features (as float32 bytes, which the driver holds without objects) of the training documents."""
-    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_lang)
+    """doc_id, lang and frequencies of at most ``most`` training documents; a repeated id counts once."""
+    rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    ids = rows.select("doc_id", "lang").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SALTS)))
+    for keys in (["lang", "salt"], ["lang"]):
+        first = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
+        ids = ids.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_lang)
     ids = ids.orderBy("rank", "lang").limit(most).select("doc_id").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "text"):
-            found = [features(t).tobytes() if t and any(map(str.isalpha, t)) else None for t in batch.column(2).to_pylist()]
+            found = [sparse(features(t)) if t and any(map(str.isalpha, t)) else None for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "lang", "x"])
 
-    chosen = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), "doc_id", "left_semi")
-    return chosen.mapInArrow(run, "doc_id long, lang string, x binary").where("x IS NOT NULL")
+    chosen = rows.join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, lang string, x binary").where("x IS NOT NULL")
+    return chosen.groupBy("doc_id", "lang").agg(F.min("x").alias("x")).orderBy("doc_id", "lang").limit(most)
 
 
 def identify(docs: DataFrame, per_lang: int = PER_LANG, most: int = MOST) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every document."""
-    got = sample(docs, per_lang, most).toPandas().sort_values(["doc_id", "lang"], kind="stable")
-    model = train(np.stack([np.frombuffer(x, np.float32) for x in got["x"]]), got["lang"].tolist()) if len(got) else {}
+    got = sample(docs, per_lang, most).toArrow()
+    model = train(dense(got["x"].to_pylist()), got["lang"].to_pylist()) if len(got) else {}
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most pairs of languages x DIMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

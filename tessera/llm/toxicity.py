@@ -3,7 +3,8 @@ regression.
 
 Features: densities of a seed lexicon and of a learned one, insults near a second-person word,
 rates of capitals, of exclamation and other punctuation, of obfuscated words (letters mixed with
-digits or symbols) and of stretched letters, and the length. The learned lexicon holds the words
+digits or symbols) and of stretched letters, and how many lexicon words occur and how many different
+ones. The learned lexicon holds the words
 that stand out in toxic training documents by their log-likelihood ratio. Lexicon, trees and
 calibration learn from at most ``per_class`` labelled documents of each class (a bound of the
 sample; by the order of a hash of the id), never from held-out rows; the calibration uses a fifth

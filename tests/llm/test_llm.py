@@ -270,6 +270,35 @@ def test_quality_base(spark, copies):
     assert quality.judge(docs(spark, texts).limit(0), labels).count() == 0
 
 
+def test_quality_weights_and_verdicts(spark, copies):
+    """Weights and scores against counts made in Python, with the engine's own hashes of n-grams."""
+    from pyspark.sql import functions as F
+
+    given = docs(spark, copies)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(0, 60)], "doc_id long, quality int, toxic int")
+    buckets = 257
+    hashes = {}
+    for r in given.select("doc_id", F.transform(quality.words(F.col("text")), lambda w: F.xxhash64(w)).alias("h")).collect():
+        two = list(zip(r.h, r.h[1:], strict=False))
+        hashes[r.doc_id] = (r.h, two)
+    pairs = sorted({p for _, two in hashes.values() for p in two})
+    of_pair = dict(zip(pairs, [r[0] for r in spark.createDataFrame(pairs, "a long, b long").coalesce(1).select(F.xxhash64("a", "b")).collect()], strict=True))
+    grams = {i: [g % buckets for g in [*h, *(of_pair[p] for p in two)]] for i, (h, two) in hashes.items()}
+    raw, good = Counter(g for gs in grams.values() for g in gs), Counter(g for i, gs in grams.items() for g in gs if i < 60 and i % 3 == 0)
+    weigh = lambda g: np.float32(np.log((good[g] + quality.PRIOR) / (sum(good.values()) * raw[g] / sum(raw.values()) + quality.PRIOR)))
+    for r in quality.judge(given, labels, buckets=buckets).collect():
+        want = np.mean([float(weigh(g)) for g in grams[r.doc_id]]) if grams[r.doc_id] else 0.0
+        assert abs(r.score - want) < 1e-5
+        assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
+
+
+def test_quality_keeps_good_documents_that_it_did_not_learn_from(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    learn, rest = labels.where("crc32(cast(doc_id as string)) % 4 <> 1"), labels.where("crc32(cast(doc_id as string)) % 4 = 1 AND quality = 1")
+    out = quality.judge(spark.read.parquet(f"{SF}/documents.parquet"), learn).join(rest, "doc_id").where("NOT base_failed")
+    assert out.where("kept").count() >= 0.98 * out.count() > 10
+
+
 def test_quality_tells_junk(spark):
     out = queries.op5_quality_rules(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("NOT base_failed")
     share = {r.quality: r.k for r in out.selectExpr("quality", "cast(kept as int) k").groupBy("quality").avg("k").withColumnRenamed("avg(k)", "k").collect()}
@@ -463,6 +492,82 @@ def test_language_id(spark):
     assert langid.identify(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_language_id_of_three_in_a_family_and_six_in_all(spark):
+    """Invented languages, each with syllables of its own and some of its neighbour's."""
+    rng = random.Random(12)
+    codes = ["en", "de", "nl", "fr", "es", "fi"]
+    own = {c: ["".join(rng.choice("bcdfghklmnprstvw") + rng.choice("aeiou") for _ in range(2)) for _ in range(40)] for c in codes}
+    rows = []
+    for i in range(900):
+        c = codes[i % 6]
+        pool = own[c] * 3 + own[codes[(i + 1) % 6]]
+        rows.append((i, " ".join(rng.choice(pool) + rng.choice(pool) for _ in range(60)), c))
+    rows += [(7, rows[7][1], "fr")] * 500 + [(None, "bare text", "en"), (901, "no lang", None)]
+    given = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.sample(given, per_lang=60).groupBy("lang").count().toPandas()["count"].max() <= 61
+    truth = {i: c for i, _, c in rows[:900]}
+    got = [(truth[r.doc_id], r.lang_pred) for r in langid.identify(given, per_lang=60).where("held_out").collect() if r.doc_id in truth]
+    assert len(got) > 150 and np.mean([a == b for a, b in got]) > 0.97
+
+
+def test_svm_reaches_the_least_objective():
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(1.0, 1.0, (12, 1)), rng.normal(-1.0, 1.0, (12, 1))]).astype(np.float32)
+    y = np.array([1.0] * 12 + [-1.0] * 12)
+    cost = lambda w, b: 0.5 * (w * w + b * b) + np.maximum(0, 1 - y * (x[:, 0] * w + b)).sum()
+    w, b = langid.svm(x, y, turns=200).tolist()
+    assert cost(w, b) <= min(cost(p, q) for p in np.linspace(-3, 3, 121) for q in np.linspace(-3, 3, 121)) * 1.01
+    names = ["a", "b", "c"]
+    machines = [(p, q, rng.normal(size=3).astype(np.float32)) for p, q in (("a", "b"), ("a", "c"), ("b", "c"))]
+    for v in rng.normal(size=(50, 2)).astype(np.float32):
+        margin = {(p, q): float(v @ w[:-1] + w[-1]) for p, q, w in machines}
+        margin |= {(q, p): -m for (p, q), m in margin.items()}
+        votes = {n: sum(m >= 0 for (p, _), m in margin.items() if p == n) for n in names}
+        least = {n: min(m for (p, _), m in margin.items() if p == n) for n in names}
+        assert langid.vote(v, names, machines)[0] == max(names, key=lambda n: (votes[n], least[n]))
+
+
+def test_trees_split_as_a_full_search_does():
+    """The first split of the first tree against a search over all features and all cuts."""
+    rng = np.random.default_rng(5)
+    x, y = rng.integers(0, 12, (80, 3)).astype(float), rng.integers(0, 2, 80).astype(float)
+    y[x[:, 1] > 6] = 1.0
+    trees = toxicity.Trees(rounds=1, depth=1).fit(x, y)
+    p = 1 / (1 + np.exp(-trees.base))
+    g, h = y - p, np.full(80, p * (1 - p))
+    gain = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1) + g[~m].sum() ** 2 / (h[~m].sum() + 1)
+    best = max((gain(x[:, j] <= c), j, c) for j in range(3) for c in np.unique(x[:, j])[:-1] if min(h[x[:, j] <= c].sum(), h[x[:, j] > c].sum()) >= trees.least / 4)
+    (feature, cut), leaf = trees.trees[0][0][0], trees.trees[0][1]
+    side = np.searchsorted(trees.edges[feature[0]], x[:, feature[0]], side="left") > cut[0]
+    assert abs(gain(~side) - best[0]) < 1e-9
+    assert np.allclose(trees.margin(x), trees.base + np.where(side, leaf[1], leaf[0]))
+    assert np.allclose(leaf, [trees.rate * g[m].sum() / (h[m].sum() + 1) for m in (~side, side)])
+
+
+def test_isotonic_steps_are_the_best_rising_fit():
+    """Against the max-min formula of isotonic regression."""
+    rng = np.random.default_rng(2)
+    margin, y = np.round(rng.normal(size=60), 1), rng.integers(0, 2, 60).astype(float)
+    at, level = toxicity.isotonic(margin, y)
+    values = np.unique(margin)
+    mean = lambda a, b: y[(margin >= a) & (margin <= b)].mean()
+    want = np.array([max(min(mean(a, b) for b in values[values >= v]) for a in values[values <= v]) for v in values])
+    got = np.interp(values, at, level)
+    assert np.all(np.diff(level) >= 0) and np.all((level > 0) & (level < 1))
+    assert np.abs(got - want).max() < 0.03
+    assert all(len(set(np.round(got[want == w], 12))) == 1 for w in set(want))
+
+
+def test_toxicity_of_odd_rows(spark):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)] + [(0, 1, 1), (1, 0, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    texts = [("you are an idiot and a moron " if i % 2 else "the weather is fine today ") * 3 for i in range(40)] + [None, "", "word " * 200_000]
+    rows = toxicity.score(docs(spark, texts), labels).collect()
+    assert len(rows) == 43 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
+    by = {r.doc_id: r.score for r in rows}
+    assert by[3] > by[2] and by[40] == by[41]
+    assert toxicity.score(docs(spark, texts).limit(0), labels).count() == 0
+
+
 def test_toxicity(spark):
     truth = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
     out = queries.op2_toxicity(spark, SF).where("held_out").join(truth, "doc_id").toPandas()
