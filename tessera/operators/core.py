@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import present, slug
 
-#: A side is broadcast by hint only if it is a dimension of at most this many rows by construction.
-SMALL = 10_000
-
-
 def enrich(items: DataFrame, registry: DataFrame) -> DataFrame:
     """Adds name (row label, else registry name, else '') and category (else 'unknown') to rows with
     actor and label. The join is on the lower-cased address; Spark broadcasts the registry by size."""
@@ -35,16 +31,50 @@ def top_k(rows: DataFrame, keys: list[str], order: list[Column], k: int, name: s
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
 
 
+def _counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+
+
 def disc_percentiles(rows: DataFrame, keys: list[str], value: str, **ps: str) -> DataFrame:
     """Exact observed percentiles per key: the value at ceil(p * n). Values are counted first, so what
     is shuffled and ranked is distinct values, and no list is gathered. ``ps``: name -> p as text."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(1))
+    counts = _counted(rows, keys, value)
+    by = Window.partitionBy(*keys)
     ranked = counts.withColumn("_upto", F.sum("_c").over(by.orderBy(value))).withColumn("_n", F.sum("_c").over(by))
     at = {n: F.greatest(F.ceil(F.expr(f"{p}BD * _n")).cast("long"), F.lit(1)) for n, p in ps.items()}
     return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("_upto") >= c, F.col(value))).alias(n) for n, c in at.items()))
 
 
+def _at_ranks(counts: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """Per key the values at ranks (of ``_n``, from 1), where keys are few: a histogram over leading digits
+    tells in which slice a rank lies, and only these slices are ranked, each by itself."""
+    coarse = F.when(F.col(value) > 0, F.floor(F.log2(F.col(value).cast("double")) * 64)).otherwise(F.lit(-1)).cast("long")
+    counts = counts.where(F.col(value) >= 0).withColumn("_s", coarse)
+    hist = counts.groupBy(*keys, "_s").agg(F.sum("_c").alias("_sc"))
+    by = Window.partitionBy(*keys)  # slices: some thousands a key at most
+    hist = hist.withColumn("_upto", F.sum("_sc").over(by.orderBy("_s"))).withColumn("_n", F.sum("_sc").over(by))
+    asked = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), r.alias("rank")) for n, r in ranks.items())))
+    picks = hist.withColumn("_p", asked).where("_upto >= _p.rank AND _upto - _sc < _p.rank").select(*keys, "_s", F.col("_p.name").alias("_name"), (F.col("_p.rank") - (F.col("_upto") - F.col("_sc"))).alias("_rank"), "_n")
+    inside = counts.join(F.broadcast(picks), [*keys, "_s"])
+    ranked = inside.withColumn("_upto", F.sum("_c").over(Window.partitionBy(*keys, "_name").orderBy(value)))
+    return ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *(F.min(F.when((F.col("_name") == n) & (F.col("_upto") >= F.col("_rank")), F.col(value))).alias(n) for n in ranks))
+
+
+def few_disc_percentiles(rows: DataFrame, keys: list[str], value: str, **ps: str) -> DataFrame:
+    """As ``disc_percentiles`` for few keys with very many distinct values of 0 or more."""
+    ranks = {n: F.greatest(F.ceil(F.expr(f"{p}BD * _n")).cast("long"), F.lit(1)) for n, p in ps.items()}
+    return _at_ranks(_counted(rows, keys, value), keys, value, ranks).drop("_n")
+
+
+def few_cont_percentiles(rows: DataFrame, keys: list[str], value: str, **ps: str) -> DataFrame:
+    """Interpolated percentiles (double) for few keys, from the two observed values around p * (n - 1)."""
+    place = {n: F.expr(f"{p}BD * (_n - 1)") for n, p in ps.items()}
+    ranks = {f"_lo{n}": F.floor(x).cast("long") + 1 for n, x in place.items()} | {f"_hi{n}": F.ceil(x).cast("long") + 1 for n, x in place.items()}
+    both = _at_ranks(_counted(rows, keys, value), keys, value, ranks)
+    between = lambda n: F.col(f"_lo{n}").cast("double") + (F.col(f"_hi{n}").cast("double") - F.col(f"_lo{n}").cast("double")) * (place[n] - F.floor(place[n])).cast("double")
+    return both.select(*keys, *(between(n).alias(n) for n in ps))
+
+
 def spine(first: int, last: int, step: int, spark) -> DataFrame:
     """Bucket starts from ``first`` up to, not including, ``last``."""
     return spark.range(first, last, step).select(F.col("id").alias("bucket"))
@@ -52,14 +82,16 @@ def spine(first: int, last: int, step: int, spark) -> DataFrame:
 
 def islands(rows: DataFrame, keys: list[str], n: str, span: int = 100_000) -> DataFrame:
     """Runs of consecutive ``n`` per key: first, last and length. Runs are found inside ranges of
-    ``span`` numbers, and those that touch at a border are stitched, so no sort sees a whole history."""
-    part = F.floor(F.col(n) / span)
+    ``span`` numbers; only those that touch the border of a range (two a range and key) are stitched."""
     inner = Window.partitionBy(*keys, "_p").orderBy(n)
-    runs = rows.withColumn("_p", part).withColumn("_g", F.col(n) - F.row_number().over(inner)).groupBy(*keys, "_p", "_g").agg(F.min(n).alias("first"), F.max(n).alias("last"))
+    runs = rows.withColumn("_p", F.floor(F.col(n) / span)).withColumn("_g", F.col(n) - F.row_number().over(inner)).groupBy(*keys, "_p", "_g").agg(F.min(n).alias("first"), F.max(n).alias("last"))
+    touches = (F.pmod("first", F.lit(span)) == 0) | (F.pmod("last", F.lit(span)) == span - 1)
+    inside, border = runs.where(~touches), runs.where(touches)
     order = Window.partitionBy(*keys).orderBy("first")
     new = (F.col("first") != F.coalesce(F.lag("last").over(order), F.lit(-2)) + 1).cast("int")
-    stitched = runs.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order))
-    return stitched.groupBy(*keys, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).withColumn("length", F.col("last") - F.col("first") + 1).drop("_run")
+    stitched = border.withColumn("_new", new).withColumn("_run", F.sum("_new").over(order)).groupBy(*keys, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    both = inside.select(*keys, "first", "last").unionByName(stitched.select(*keys, "first", "last"))
+    return both.withColumn("length", F.col("last") - F.col("first") + 1)
 
 
 def rollup(items: DataFrame, seconds: int) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import present, share, wei_text
@@ -25,34 +25,49 @@ def query(name: str, sql: str | None = None):
 
 
 def _actors(spark, d, since: int | None) -> DataFrame:
-    """Per actor: items, cost and the label of the newest block."""
-    rows = V.facts(spark, d)
-    if since is not None:
-        rows = rows.where(F.col("t") >= since)
-    newest = F.max_by(present(F.col("label")), F.when(present(F.col("label")).isNotNull(), F.struct("block_number", "item_index")))
-    return rows.groupBy("actor").agg(F.count(F.lit(1)).alias("items"), F.sum("cost").cast(V.WEI).alias("cost"), newest.alias("label"))
+    """Per actor: items, cost, last time and label: the greatest one of a window, the newest one of all history."""
+    rows = V.facts(spark, d, since)
+    label = F.max_by(present(F.col("label")), F.when(present(F.col("label")).isNotNull(), F.struct("block_number", "item_index"))) if since is None else F.max(present(F.col("label")))
+    return rows.groupBy("actor").agg(F.count(F.lit(1)).alias("items"), F.sum("cost").cast(V.WEI).alias("cost"), label.alias("label"), F.max("t").alias("last_t"))
 
 
-_ACTORS = """WITH a AS (SELECT actor, count(*) AS items, sum(cost) AS cost, arg_max(nullif(trim(label), ''), block_number * 1000000 + item_index) FILTER (nullif(trim(label), '') IS NOT NULL) AS label FROM facts {where} GROUP BY actor),
-n AS (SELECT a.*, coalesce(nullif(trim(a.label), ''), nullif(trim(r.name), ''), '') AS name, coalesce(r.category, 'unknown') AS category FROM a LEFT JOIN registry r ON lower(a.actor) = r.address)"""
-_WINDOW = _ACTORS.format(where=f"WHERE t >= {SINCE}")
-_ALL = _ACTORS.format(where="")
-_SHARES = "round(100.0 * items / sum(items) OVER (), 6) AS item_share, round(CAST(cost AS DOUBLE) * 100 / CAST(sum(cost) OVER () AS DOUBLE), 6) AS cost_share"
+def _pending(spark, d) -> DataFrame:
+    """One row: items and cost that are pending; whole-history shares count them in."""
+    return V.pending(spark, d).agg(F.coalesce(F.sum("items"), F.lit(0)).alias("more_items"), F.coalesce(F.sum("cost"), F.lit(0)).cast(V.WEI).alias("more_cost")).withColumn("_one", F.lit(1))
 
 
-def _shares(rows: DataFrame) -> DataFrame:
+_ACTORS = """WITH a AS (SELECT actor, count(*) AS items, sum(cost) AS cost, max(t) AS last_t, {label} AS label FROM facts {where} GROUP BY actor),
+n AS (SELECT a.*, coalesce(nullif(trim(a.label), ''), nullif(trim(r.name), ''), '') AS name, coalesce(r.category, 'unknown') AS category FROM a LEFT JOIN registry r ON lower(a.actor) = r.address),
+more AS (SELECT {more_items} AS items, {more_cost} AS cost)"""
+_WINDOW = _ACTORS.format(where=f"WHERE t >= {SINCE}", label="nullif(max(trim(label)), '')", more_items="0", more_cost="0")
+_NEWEST = "arg_max(nullif(trim(label), ''), block_number * 1000000 + item_index) FILTER (nullif(trim(label), '') IS NOT NULL)"
+_ALL = _ACTORS.format(where="", label=_NEWEST, more_items="(SELECT coalesce(sum(items), 0) FROM pending)", more_cost="(SELECT coalesce(sum(cost), 0) FROM pending)")
+
+
+def _share_sql(part: str, whole: str) -> str:
+    return f"round(CAST({part} AS DOUBLE) * 100 / CAST({whole} + (SELECT {part} FROM more) AS DOUBLE), 6) AS {'item' if part == 'items' else 'cost'}_share"
+
+
+_SHARES = _share_sql("items", "sum(items) OVER ()") + ", " + _share_sql("cost", "sum(cost) OVER ()")
+_OWN_SHARES = _SHARES.replace(" + (SELECT items FROM more)", "").replace(" + (SELECT cost FROM more)", "")
+
+
+def _shares(rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """Shares of items and cost in the sum of ``rows`` and of ``more``."""
     both = core.with_totals(rows, all_items=F.sum("items"), all_cost=F.sum("cost"))
+    if more is not None:
+        both = both.withColumn("_one", F.lit(1)).join(F.broadcast(more), "_one").withColumns({"all_items": F.col("all_items") + F.col("more_items"), "all_cost": F.col("all_cost") + F.col("more_cost")})
     return both.withColumn("item_share", share(F.col("items"), F.col("all_items"))).withColumn("cost_share", share(F.col("cost"), F.col("all_cost")))
 
 
-def top_actors(actors: DataFrame, registry: DataFrame, by: str = "items", limit: int = LIMIT) -> DataFrame:
+def top_actors(actors: DataFrame, registry: DataFrame, by: str = "items", limit: int = LIMIT, more: DataFrame | None = None) -> DataFrame:
     order = [F.desc(by), F.desc("cost" if by == "items" else "items"), F.col("actor")]
-    rows = _shares(core.enrich(actors, registry)).orderBy(*order).limit(limit)
-    return rows.select("actor", "name", "category", "items", wei_text(F.col("cost")).alias("cost"), "item_share", "cost_share")
+    rows = _shares(core.enrich(actors, registry), more).orderBy(*order).limit(limit)
+    return rows.select("actor", "name", "category", "items", wei_text(F.col("cost")).alias("cost"), "last_t", "item_share", "cost_share")
 
 
 def _top_sql(with_: str, order: str, where: str = "") -> str:
-    return f"{with_} SELECT actor, name, category, items, CAST(CAST(cost AS DECIMAL(38,0)) AS VARCHAR) AS cost, {_SHARES} FROM n {where} ORDER BY {order} LIMIT {LIMIT}"
+    return f"{with_} SELECT actor, name, category, items, CAST(CAST(cost AS DECIMAL(38,0)) AS VARCHAR) AS cost, last_t, {_OWN_SHARES if where else _SHARES} FROM n {where} ORDER BY {order} LIMIT {LIMIT}"
 
 
 @query("q12_top_actors_windowed", _top_sql(_WINDOW, "items DESC, n.cost DESC, actor"))
@@ -67,7 +82,7 @@ def q12_spend(spark, d):
 
 @query("q13_top_actors_all", _top_sql(_ALL, "items DESC, n.cost DESC, actor"))
 def q13(spark, d):
-    return top_actors(_actors(spark, d, None), V.registry(spark, d))
+    return top_actors(_actors(spark, d, None), V.registry(spark, d), more=_pending(spark, d))
 
 
 @query("q14_top_unlabelled_windowed", _top_sql(_WINDOW, "items DESC, n.cost DESC, actor", "WHERE name = ''"))
@@ -82,43 +97,59 @@ def q15(spark, d):
 
 def _unlabelled(spark, d, since):
     rows = _shares(core.enrich(_actors(spark, d, since), V.registry(spark, d)).where("name = ''"))
-    return rows.orderBy(F.desc("items"), F.desc("cost"), "actor").limit(LIMIT).select("actor", "name", "category", "items", wei_text(F.col("cost")).alias("cost"), "item_share", "cost_share")
+    return rows.orderBy(F.desc("items"), F.desc("cost"), "actor").limit(LIMIT).select("actor", "name", "category", "items", wei_text(F.col("cost")).alias("cost"), "last_t", "item_share", "cost_share")
+
+
+def keyed(actors: DataFrame, registry: DataFrame) -> DataFrame:
+    """Actors with their entity."""
+    return core.enrich(actors, registry).withColumn("entity", core.entity_key(F.col("name"), F.col("actor")))
 
 
 def entities(actors: DataFrame, registry: DataFrame) -> DataFrame:
-    """Actors collapsed by entity before any ranking; members busiest first."""
-    rows = core.enrich(actors, registry).withColumn("entity", core.entity_key(F.col("name"), F.col("actor")))
-    busiest = F.array_sort(F.collect_list(F.struct((-F.col("items")).alias("i"), (-F.col("cost")).alias("c"), F.col("actor").alias("a"), F.col("name").alias("n"))))
-    out = rows.groupBy("entity").agg(F.sum("items").alias("items"), F.sum("cost").cast(V.WEI).alias("cost"), busiest.alias("m"), F.coalesce(F.min(F.nullif(F.col("category"), F.lit("unknown"))), F.lit("unknown")).alias("category"))
-    return out.select("entity", F.get("m", F.lit(0))["n"].alias("name"), "category", "items", "cost", F.size("m").cast("long").alias("members"), F.array_join(F.transform("m", lambda x: x["a"]), ",").alias("actors"))
+    """Actors collapsed by entity before any ranking: sums, and name and address of the busiest member."""
+    busiest = F.min_by(F.struct("name", "actor"), F.struct(-F.col("items"), -F.col("cost"), "actor"))
+    category = F.coalesce(F.min(F.nullif(F.col("category"), F.lit("unknown"))), F.lit("unknown"))
+    out = keyed(actors, registry).groupBy("entity").agg(F.sum("items").alias("items"), F.sum("cost").cast(V.WEI).alias("cost"), busiest.alias("b"), category.alias("category"), F.count(F.lit(1)).alias("members"))
+    return out.select("entity", F.col("b.name").alias("name"), "category", "items", "cost", "members", F.col("b.actor").alias("busiest"))
+
+
+_KEYED = ", g AS (SELECT coalesce(nullif(trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_'), ''), lower(actor)) AS entity, * FROM n)"
+_ENTITY = _KEYED + """,
+e AS (SELECT entity, sum(items) AS items, sum(cost) AS cost, first(name ORDER BY items DESC, g.cost DESC, actor) AS name, coalesce(min(nullif(category, 'unknown')), 'unknown') AS category, count(*) AS members, first(actor ORDER BY items DESC, g.cost DESC, actor) AS busiest FROM g GROUP BY entity)"""
+_TOP_ENTITY = _ENTITY + " SELECT entity, name, category, CAST(items AS BIGINT) AS items, CAST(CAST(cost AS DECIMAL(38,0)) AS VARCHAR) AS cost, members, busiest, " + _SHARES + " FROM e ORDER BY e.items DESC, e.cost DESC, entity LIMIT " + str(LIMIT)
 
 
-_ENTITY = """, g AS (SELECT coalesce(nullif(trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_'), ''), lower(actor)) AS entity, * FROM n),
-e AS (SELECT entity, sum(items) AS items, sum(cost) AS cost, first(name ORDER BY items DESC, g.cost DESC, actor) AS name, coalesce(min(nullif(category, 'unknown')), 'unknown') AS category, count(*) AS members, string_agg(actor, ',' ORDER BY items DESC, g.cost DESC, actor) AS actors FROM g GROUP BY entity)
-SELECT entity, name, category, CAST(items AS BIGINT) AS items, CAST(CAST(cost AS DECIMAL(38,0)) AS VARCHAR) AS cost, members, actors, round(CAST(items AS DOUBLE) * 100 / CAST(sum(items) OVER () AS DOUBLE), 6) AS item_share, round(CAST(cost AS DOUBLE) * 100 / CAST(sum(cost) OVER () AS DOUBLE), 6) AS cost_share FROM e ORDER BY e.items DESC, e.cost DESC, entity LIMIT """ + str(LIMIT)
+def _top_entities(spark, d, since, more=None):
+    rows = _shares(entities(_actors(spark, d, since), V.registry(spark, d)), more).orderBy(F.desc("items"), F.desc("cost"), "entity").limit(LIMIT)
+    return rows.select("entity", "name", "category", "items", wei_text(F.col("cost")).alias("cost"), "members", "busiest", "item_share", "cost_share")
 
 
-def _top_entities(spark, d, since):
-    rows = _shares(entities(_actors(spark, d, since), V.registry(spark, d))).orderBy(F.desc("items"), F.desc("cost"), "entity").limit(LIMIT)
-    return rows.select("entity", "name", "category", "items", wei_text(F.col("cost")).alias("cost"), "members", "actors", "item_share", "cost_share")
+@query("a7_entity_members_busiest_first", _WINDOW + _ENTITY + f", top AS (SELECT entity FROM e ORDER BY e.items DESC, e.cost DESC, entity LIMIT {LIMIT}) SELECT entity, actor, items, row_number() OVER (PARTITION BY entity ORDER BY items DESC, g.cost DESC, actor) AS place FROM g WHERE entity IN (SELECT entity FROM top)")
+def a7(spark, d):
+    """The members of the largest entities in order, as rows: no entity is one list."""
+    actors, registry = _actors(spark, d, SINCE), V.registry(spark, d)
+    top = entities(actors, registry).orderBy(F.desc("items"), F.desc("cost"), "entity").limit(LIMIT).select("entity")
+    rows = keyed(actors, registry).join(F.broadcast(top), "entity", "left_semi")
+    place = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("items"), F.desc("cost"), "actor"))
+    return rows.select("entity", "actor", "items", place.alias("place"))
 
 
-@query("q16_top_entities_windowed", _WINDOW + _ENTITY)
+@query("q16_top_entities_windowed", _WINDOW + _TOP_ENTITY)
 def q16(spark, d):
     return _top_entities(spark, d, SINCE)
 
 
-@query("q17_top_entities_all", _ALL + _ENTITY)
+@query("q17_top_entities_all", _ALL + _TOP_ENTITY)
 def q17(spark, d):
-    return _top_entities(spark, d, None)
+    return _top_entities(spark, d, None, _pending(spark, d))
 
 
-_CATEGORY = " SELECT category, CAST(sum(items) AS BIGINT) AS items, CAST(CAST(sum(cost) AS DECIMAL(38,0)) AS VARCHAR) AS cost, round(CAST(sum(items) AS DOUBLE) * 100 / CAST((SELECT sum(items) FROM n) AS DOUBLE), 6) AS item_share, round(CAST(sum(cost) AS DOUBLE) * 100 / CAST((SELECT sum(cost) FROM n) AS DOUBLE), 6) AS cost_share FROM n GROUP BY category"
+_CATEGORY = ", k AS (SELECT category, sum(items) AS items, sum(cost) AS cost FROM n GROUP BY category) SELECT category, CAST(items AS BIGINT) AS items, CAST(CAST(cost AS DECIMAL(38,0)) AS VARCHAR) AS cost, " + _SHARES + " FROM k"
 
 
-def _categories(spark, d, since):
+def _categories(spark, d, since, more=None):
     rows = core.enrich(_actors(spark, d, since), V.registry(spark, d)).groupBy("category").agg(F.sum("items").alias("items"), F.sum("cost").cast(V.WEI).alias("cost"))
-    return _shares(rows).select("category", "items", wei_text(F.col("cost")).alias("cost"), "item_share", "cost_share")
+    return _shares(rows, more).select("category", "items", wei_text(F.col("cost")).alias("cost"), "item_share", "cost_share")
 
 
 @query("q18_category_breakdown_windowed", _WINDOW + _CATEGORY)
@@ -128,13 +159,13 @@ def q18(spark, d):
 
 @query("q19_category_breakdown_all", _ALL + _CATEGORY)
 def q19(spark, d):
-    return _categories(spark, d, None)
+    return _categories(spark, d, None, _pending(spark, d))
 
 
-@query("q20_actor_detail", _ALL + f" SELECT actor, name, category, items, CAST(CAST(cost AS DECIMAL(38,0)) AS VARCHAR) AS cost, item_share, cost_share FROM (SELECT *, {_SHARES} FROM n) WHERE lower(actor) = '0xs7'")
+@query("q20_actor_detail", _ALL + f" SELECT actor, name, category, items, CAST(CAST(cost AS DECIMAL(38,0)) AS VARCHAR) AS cost, last_t, item_share, cost_share FROM (SELECT *, {_SHARES} FROM n) WHERE lower(actor) = '0xs7'")
 def q20(spark, d):
-    rows = _shares(core.enrich(_actors(spark, d, None), V.registry(spark, d))).where(F.lower("actor") == "0xs7")
-    return rows.select("actor", "name", "category", "items", wei_text(F.col("cost")).alias("cost"), "item_share", "cost_share")
+    rows = _shares(core.enrich(_actors(spark, d, None), V.registry(spark, d)), _pending(spark, d)).where(F.lower("actor") == "0xs7")
+    return rows.select("actor", "name", "category", "items", wei_text(F.col("cost")).alias("cost"), "last_t", "item_share", "cost_share")
 
 
 @query("q21_entity_members", "WITH m AS (SELECT coalesce(r.address, lower(a.actor)) AS address, coalesce(r.name, '') AS name, r.address IS NOT NULL AS in_registry, a.actor IS NOT NULL AS active FROM registry r FULL OUTER JOIN (SELECT DISTINCT actor FROM facts) a ON r.address = lower(a.actor)) SELECT coalesce(nullif(trim(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '_'), ''), address) AS entity, address, in_registry, active FROM m")
@@ -144,11 +175,14 @@ def q21(spark, d):
     return m.select(core.entity_key(F.col("name"), F.col("address")).alias("entity"), "address", "in_registry", "active")
 
 
-@query("q24_network_stats", "SELECT count(*) AS items, CAST(CAST(sum(cost) AS DECIMAL(38,0)) AS VARCHAR) AS cost, count(DISTINCT actor) AS actors, count(DISTINCT block_number) AS blocks, (SELECT CAST(sum(items) AS BIGINT) FROM pending) AS pending_items, max(block_number) AS last_block FROM facts")
+@query("q24_network_stats", """SELECT count(*) AS items, CAST(CAST(sum(cost) AS DECIMAL(38,0)) AS VARCHAR) AS cost, count(DISTINCT actor) AS actors, count(DISTINCT block_number) AS blocks, (SELECT CAST(coalesce(sum(items), 0) AS BIGINT) FROM pending) AS pending_items,
+    (SELECT CAST(CAST(coalesce(sum(cost), 0) AS DECIMAL(38,0)) AS VARCHAR) FROM pending) AS pending_cost, count(*) + (SELECT CAST(coalesce(sum(items), 0) AS BIGINT) FROM pending) AS all_items, max(block_number) AS last_block, max(t) AS last_t,
+    round(avg(fee), 6) AS avg_fee, round(CAST(count(*) AS DOUBLE) / count(DISTINCT block_number), 6) AS avg_items, CAST(CAST(sum(cost) AS HUGEINT) // count(*) AS VARCHAR) AS avg_cost FROM facts""")
 def q24(spark, d):
-    p = V.pending(spark, d).agg(F.sum("items").alias("pending_items")).withColumn("_one", F.lit(1))
-    f = V.facts(spark, d).agg(F.count(F.lit(1)).alias("items"), wei_text(F.sum("cost")).alias("cost"), F.countDistinct("actor").alias("actors"), F.countDistinct("block_number").alias("blocks"), F.max("block_number").alias("last_block")).withColumn("_one", F.lit(1))
-    return f.join(p, "_one").drop("_one")
+    f = V.facts(spark, d).agg(F.count(F.lit(1)).alias("items"), F.sum("cost").cast(V.WEI).alias("c"), F.countDistinct("actor").alias("actors"), F.countDistinct("block_number").alias("blocks"), F.max("block_number").alias("last_block"), F.max("t").alias("last_t"), F.round(F.avg("fee"), 6).alias("avg_fee")).withColumn("_one", F.lit(1))
+    rows = f.join(_pending(spark, d), "_one")
+    more = {"all_items": F.col("items") + F.col("more_items"), "avg_items": F.round(F.try_divide(F.col("items").cast("double"), F.col("blocks")), 6), "avg_cost": F.expr("CAST(c div items AS string)"), "cost": wei_text(F.col("c")), "pending_items": F.col("more_items"), "pending_cost": wei_text(F.col("more_cost"))}
+    return rows.withColumns(more).drop("_one", "c", "more_items", "more_cost")
 
 
 @query("q55_records_top_spenders", _ALL + " SELECT actor, name, category, items, CAST(CAST(cost AS DECIMAL(38,0)) AS VARCHAR) AS cost FROM n ORDER BY n.cost DESC, items DESC, actor LIMIT 10")

@@ -41,9 +41,14 @@ def mnt6(spark, d):
     return streaks(spark, d).select("kind", "first", "last", "length")
 
 
-@query("q49_records_streaks", RUNS + " SELECT kind, first, last, length, rank FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY length DESC, first) AS rank FROM r) WHERE rank <= 5")
+@query("q49_records_streaks", RUNS + " SELECT kind, first, last, length, rank, last = (SELECT max(block_number) FROM blocks) AS open FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY length DESC, last DESC) AS rank FROM r) WHERE rank <= 5 OR last = (SELECT max(block_number) FROM blocks)")
 def q49(spark, d):
-    return core.top_k(streaks(spark, d), ["kind"], [F.desc("length"), F.col("first")], 5).select("kind", "first", "last", "length", "rank")
+    """The longest runs of each kind, the later one of equals, and the run that is still open at the tip.
+    The tip is one number, sought once."""
+    tip = V.blocks(spark, d).agg(F.max("block_number").alias("tip")).withColumn("_one", F.lit(1))
+    rows = streaks(spark, d).withColumn("_one", F.lit(1)).join(F.broadcast(tip), "_one").withColumn("open", F.col("last") == F.col("tip"))
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("length"), F.desc("last"))))
+    return ranked.where("rank <= 5 OR open").select("kind", "first", "last", "length", "rank", "open")
 
 
 @query("q50_records_fee_peaks", "SELECT block_number, t, fee, items FROM blocks ORDER BY fee DESC, block_number LIMIT 10")
@@ -80,22 +85,35 @@ def q56(spark, d):
     return V.blocks(spark, d).agg(F.min("block_number").alias("first"), F.max("block_number").alias("last"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("blocks"))
 
 
-@query("mnt20_missing_blocks", "SELECT r.n AS block_number FROM (SELECT unnest(range(0, (SELECT max(block_number) FROM blocks))) AS n) r WHERE r.n NOT IN (SELECT block_number FROM blocks)")
-def mnt20(spark, d):
-    """Gaps between neighbours are opened by ``sequence``; no full list of numbers is joined."""
+@query("mnt20_missing_blocks", "SELECT r.n AS block_number FROM (SELECT unnest(range(100, 3501)) AS n) r WHERE r.n NOT IN (SELECT block_number FROM blocks) AND r.n >= (SELECT min(block_number) FROM blocks) ORDER BY 1 LIMIT 150")
+def mnt20(spark, d, a: int = 100, b: int = 3500, limit: int = 150):
+    """Missing numbers of [a, b], from the earliest block on, up to a limit. Gaps between neighbours are opened
+    by ``sequence``; no full list of numbers is joined. The range's end stands in as a neighbour."""
+    held = V.blocks(spark, d).where(F.col("block_number").between(a, b)).select("block_number")
+    floor = V.blocks(spark, d).agg(F.min("block_number").alias("f"))
+    ends = floor.where(F.col("f") <= b).select(F.explode(F.array(F.greatest(F.col("f"), F.lit(a)) - 1, F.lit(b + 1).cast("long"))).alias("block_number"))
+    n = held.union(ends)
     by = Window.partitionBy(F.floor(F.col("block_number") / 1000)).orderBy("block_number")
-    rows = V.blocks(spark, d).select("block_number").withColumn("next", F.lead("block_number").over(by))
+    rows = n.withColumn("next", F.lead("block_number").over(by))
     heads = rows.groupBy(F.floor(F.col("block_number") / 1000).alias("p")).agg(F.min("block_number").alias("lo"), F.max("block_number").alias("hi"))
-    joints = heads.withColumn("next", F.lead("lo").over(Window.partitionBy(F.lit(1)).orderBy("lo"))).select(F.col("hi").alias("block_number"), "next")
+    joints = heads.withColumn("next", F.lead("lo").over(Window.orderBy("lo"))).select(F.col("hi").alias("block_number"), "next")
     gaps = rows.unionByName(joints).where("next > block_number + 1")
-    return gaps.select(F.explode(F.sequence(F.col("block_number") + 1, F.col("next") - 1)).alias("block_number"))
+    return gaps.select(F.explode(F.sequence(F.col("block_number") + 1, F.col("next") - 1)).alias("block_number")).orderBy("block_number").limit(limit)
 
 
-@query("mnt19_first_unindexed", "SELECT min(n) AS first_missing FROM (SELECT unnest(range(0, (SELECT max(block_number) + 2 FROM blocks))) AS n) WHERE n NOT IN (SELECT block_number FROM blocks)")
+RANGES = [(0, 100), (16, 40), (17, 32), (40, 40), (3600, 3700)]
+_RANGES = "(VALUES (0, 100), (16, 40), (17, 32), (40, 40), (3600, 3700)) v(a, b)"
+
+
+@query("mnt19_first_unindexed", f"SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(coalesce((SELECT min(n) FROM (SELECT unnest(range(a, b + 1)) AS n) WHERE n NOT IN (SELECT block_number FROM blocks)), b + 1) AS BIGINT) AS first_missing FROM {_RANGES}")
 def mnt19(spark, d):
-    b = V.blocks(spark, d)
-    after = b.select((F.col("block_number") + 1).alias("n")).join(b.select(F.col("block_number").alias("n")), "n", "left_anti")
-    return after.agg(F.min("n").alias("first_missing"))
+    """First missing number of each asked range, its start included, or the number behind it. A missing number
+    is a range's start or follows a block, so nothing else is looked at."""
+    asked = spark.createDataFrame(RANGES, "a long, b long")
+    n = V.blocks(spark, d).select(F.col("block_number").alias("n"))
+    after = n.join(F.broadcast(asked), F.col("n").between(F.col("a"), F.col("b"))).select("a", "b", (F.col("n") + 1).alias("n"))
+    gaps = asked.withColumn("n", F.col("a")).union(after).where("n <= b").join(n, "n", "left_anti").groupBy("a", "b").agg(F.min("n").alias("m"))
+    return asked.join(gaps, ["a", "b"], "left").select("a", "b", F.coalesce("m", F.col("b") + 1).alias("first_missing"))
 
 
 @query("mnt4_block_rollup", "SELECT g AS seconds, t - t % g AS bucket, count(*) AS blocks, CAST(sum(items) AS BIGINT) AS items, quantile_disc(fee, 0.5) AS median_fee, quantile_disc(fee, 0.95) AS p95_fee, count(*) FILTER (items > 3) AS above_target, count(*) FILTER (items >= 6) AS at_max, CAST(sum(base_fee) AS BIGINT) AS fee_sum, count(*) FILTER (base_fee > 0) AS fee_blocks FROM blocks, (SELECT unnest([3600, 21600, 86400]) AS g) GROUP BY 1, 2")
@@ -144,37 +162,41 @@ def j8(spark, d):
     return b.join(F.broadcast(i), (b.t >= i.since) & (b.t < i.until)).select("block_number", "stage", "target", "cap")
 
 
-REPLACED = "WITH r AS (SELECT tx_hash AS replaced, lead(tx_hash) OVER w AS replacement, actor, nonce, lead(seen) OVER w AS replaced_at FROM pending WINDOW w AS (PARTITION BY actor, nonce ORDER BY seen, event_id))"
+REPLACED = "WITH r AS (SELECT tx_hash AS replaced, lead(tx_hash) OVER w AS replacement, actor, nonce, lead(seen) OVER w AS replaced_at FROM pending WHERE nonce IS NOT NULL WINDOW w AS (PARTITION BY actor, nonce ORDER BY seen, event_id))"
 
 
 @query("t4_supersede", REPLACED + " SELECT replaced, replacement, actor, nonce, replaced_at FROM r WHERE replacement IS NOT NULL")
 def t4(spark, d):
     w = Window.partitionBy("actor", "nonce").orderBy("seen", "event_id")
-    rows = V.pending(spark, d).select(F.col("tx_hash").alias("replaced"), F.lead("tx_hash").over(w).alias("replacement"), "actor", "nonce", F.lead("seen").over(w).alias("replaced_at"))
+    rows = V.pending(spark, d).where("nonce IS NOT NULL").select(F.col("tx_hash").alias("replaced"), F.lead("tx_hash").over(w).alias("replacement"), "actor", "nonce", F.lead("seen").over(w).alias("replaced_at"))
     return rows.where("replacement IS NOT NULL")
 
 
-REASON = """CASE WHEN b.t - p.seen < 60 THEN 'too_recent' WHEN p.nonce > p.lowest THEN 'nonce_gap' WHEN p.max_fee IS NULL OR p.max_fee < b.fee THEN 'priced_out_item_fee'
-WHEN p.max_exec < b.base_fee THEN 'priced_out_exec_fee' WHEN b.items + p.items > 6 THEN 'no_room' ELSE 'eligible' END"""
+@query("t6_missed_snapshot", "SELECT reason, count(*) AS candidates, count(DISTINCT block_number) AS blocks FROM candidates GROUP BY 1")
+def t6(spark, d):
+    return V.candidates(spark, d).groupBy("reason").agg(F.count(F.lit(1)).alias("candidates"), F.countDistinct("block_number").alias("blocks"))
 
 
-@query("t6_missed_snapshot", f"WITH p AS (SELECT *, min(nonce) OVER (PARTITION BY actor) AS lowest FROM pending), c AS (SELECT b.block_number, {REASON} AS reason FROM pending q JOIN p USING (tx_hash) JOIN blocks b ON p.seen <= b.t AND b.t < p.seen + 3600) SELECT reason, count(*) AS candidates, count(DISTINCT block_number) AS blocks FROM c GROUP BY 1")
-def t6(spark, d):
-    """Pending rows go to the block-time slots that they live through (at most six), so the interval
-    join is an equality join."""
-    p = V.pending(spark, d).withColumn("lowest", F.min("nonce").over(Window.partitionBy("actor")))
-    slots = p.withColumn("slot", F.explode(F.sequence(F.floor(F.col("seen") / V.STEP), F.floor((F.col("seen") + 3600) / V.STEP)))).withColumnRenamed("items", "wanted")
-    b = V.blocks(spark, d).withColumn("slot", F.floor(F.col("t") / V.STEP))
-    held = slots.join(b, "slot").where("seen <= t AND t < seen + 3600")
-    reason = F.when(F.col("t") - F.col("seen") < 60, "too_recent").when(F.col("nonce") > F.col("lowest"), "nonce_gap").when(F.col("max_fee").isNull() | (F.col("max_fee") < F.col("fee")), "priced_out_item_fee").when(F.col("max_exec") < F.col("base_fee"), "priced_out_exec_fee").when(F.col("items") + F.col("wanted") > V.MAX, "no_room").otherwise("eligible")
-    return held.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("candidates"), F.countDistinct("block_number").alias("blocks"))
+PENDING_CAP = 100_000
 
 
-@query("q11_pending_pressure", "SELECT count(*) AS txs, CAST(sum(items) AS BIGINT) AS items, count(DISTINCT actor) AS actors, min(max_fee) AS min_fee, max(max_fee) AS max_fee, quantile_disc(max_fee, 0.5) AS median_fee, quantile_disc(max_fee, 0.95) AS p95_fee, count(*) FILTER (max_fee IS NULL) AS unknown FROM pending")
+@query("q11_pending_pressure", f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY seen DESC, tx_hash) AS rn FROM pending), p AS (SELECT * FROM s WHERE rn <= {PENDING_CAP}), b AS (SELECT arg_max(fee, block_number) AS now FROM blocks)
+    SELECT count(*) AS txs, CAST(sum(items) AS BIGINT) AS items, CAST(sum(items) * 131072 AS BIGINT) AS gas, count(DISTINCT actor) AS actors, min(max_fee) AS min_fee, max(max_fee) AS max_fee, round(avg(max_fee), 3) AS avg_fee, quantile_disc(max_fee, 0.5) AS median_fee, quantile_disc(max_fee, 0.95) AS p95_fee, count(*) FILTER (max_fee IS NULL) AS unknown,
+    count(*) FILTER (max_fee >= (SELECT now FROM b)) AS includable, count(*) FILTER (max_fee < (SELECT now FROM b)) AS underpriced, max({V.AS_OF} - seen) AS oldest, min({V.AS_OF} - seen) AS newest, round(avg({V.AS_OF} - seen), 3) AS mean_age, (SELECT count(*) FROM s WHERE rn <= {PENDING_CAP} + 1) > {PENDING_CAP} AS truncated FROM p""")
 def q11(spark, d):
-    p = V.pending(spark, d)
-    one = p.agg(F.count(F.lit(1)).alias("txs"), F.sum("items").alias("items"), F.countDistinct("actor").alias("actors"), F.min("max_fee").alias("min_fee"), F.max("max_fee").alias("max_fee"), F.count_if(F.col("max_fee").isNull()).alias("unknown")).withColumn("one", F.lit(1))
-    return one.join(core.disc_percentiles(p.withColumn("one", F.lit(1)), ["one"], "max_fee", median_fee="0.5", p95_fee="0.95"), "one", "left").drop("one")
+    """Over the newest pending rows up to a cap, which is the feature; ``truncated`` says if there are more.
+    A limit of one row beyond the cap tells."""
+    newest = V.pending(spark, d).orderBy(F.desc("seen"), "tx_hash").limit(PENDING_CAP + 1)
+    ranked = newest.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("seen"), "tx_hash"))).withColumn("one", F.lit(1))
+    now = V.blocks(spark, d).agg(F.max_by("fee", "block_number").alias("now")).withColumn("one", F.lit(1))
+    more = ranked.agg(F.coalesce(F.max("rn"), F.lit(0)).alias("n")).select((F.col("n") > PENDING_CAP).alias("truncated"), F.lit(1).alias("one"))
+    p = ranked.where(F.col("rn") <= PENDING_CAP)
+    age = F.lit(V.AS_OF) - F.col("seen")
+    one = p.join(F.broadcast(now), "one").groupBy("one").agg(
+        F.count(F.lit(1)).alias("txs"), F.sum("items").alias("items"), F.sum(F.col("items") * V.ITEM).alias("gas"), F.countDistinct("actor").alias("actors"), F.min("max_fee").alias("min_fee"), F.max("max_fee").alias("max_fee"), F.round(F.avg("max_fee"), 3).alias("avg_fee"),
+        F.count_if(F.col("max_fee").isNull()).alias("unknown"), F.count_if(F.col("max_fee") >= F.col("now")).alias("includable"), F.count_if(F.col("max_fee") < F.col("now")).alias("underpriced"), F.max(age).alias("oldest"), F.min(age).alias("newest"), F.round(F.avg(age), 3).alias("mean_age"),
+    )
+    return one.join(core.disc_percentiles(p, ["one"], "max_fee", median_fee="0.5", p95_fee="0.95"), "one", "left").join(more, "one").drop("one")
 
 
 @query("q1_latest_items", "SELECT block_number, item_index, tx_hash, actor FROM facts ORDER BY block_number DESC, item_index LIMIT 100")
@@ -195,13 +217,6 @@ def q4(spark, d):
     return V.pending(spark, d).orderBy(F.desc("seen"), "tx_hash").limit(100).select("tx_hash", "actor", "nonce", "items", "seen")
 
 
-@query("q5_item_by_tx", "SELECT k.tx_hash, f.block_number, f.items, f.first_index FROM (SELECT DISTINCT tx_hash FROM facts WHERE block_number % 50 = 0) k JOIN (SELECT tx_hash, block_number, count(*) AS items, min(item_index) AS first_index FROM facts GROUP BY 1, 2) f USING (tx_hash)")
-def q5(spark, d):
-    f = V.facts(spark, d)
-    keys = f.where("block_number % 50 = 0").select("tx_hash").distinct()
-    return f.join(keys, "tx_hash", "left_semi").groupBy("tx_hash", "block_number").agg(F.count(F.lit(1)).alias("items"), F.min("item_index").alias("first_index"))
-
-
 @query("q8_block_detail", f"SELECT b.block_number, b.items, p.producer, {VC.format('p.payment')} AS payment, x.actors FROM blocks b JOIN producers p USING (block_number) LEFT JOIN (SELECT block_number, string_agg(actor, ',' ORDER BY item_index) AS actors FROM facts GROUP BY 1) x USING (block_number)")
 def q8(spark, d):
     lists = V.facts(spark, d).groupBy("block_number").agg(F.array_sort(F.collect_list(F.struct("item_index", "actor"))).alias("l"))  # a block holds a bounded number of items

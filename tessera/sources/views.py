@@ -1,11 +1,14 @@
 """Canonical views of block data derived from the given tables, in Spark and as SQL text.
 
 One block per 720 seconds; blocks with number % 17 = 16 do not exist. Times are epoch seconds, exact
-amounts are DECIMAL(38,0).
+amounts are DECIMAL(38,0). Views over time take a half-open range [first, last) of block times, which
+becomes a range of the stored ``ts``, so that files and row groups outside it are not read.
 """
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,8 @@ ITEM = 131072
 TARGET, MAX = 3, 6
 AS_OF = 1706659200
 WEI = "decimal(38,0)"
+#: Seconds that a pending item lives and that it must have been seen for; blocks opened at once.
+LIFE, MIN_AGE, CHUNK = 3600, 60, 4096
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,21 +29,34 @@ def block_time(b: Column) -> Column:
     return F.lit(START) + (b + 1) * STEP
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def block_range(first: int | None, last: int | None) -> tuple[int | None, int | None]:
+    """First block at or after ``first`` and first block at or after ``last``."""
+    at = lambda t: None if t is None else -(-(t - START) // STEP) - 1
+    return at(first), at(last)
+
+
+def _events(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    rows = read(spark, sf_dir, "events")
+    moment = lambda b: F.lit(datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=b * STEP)).cast("timestamp_ntz")
+    lo, hi = block_range(first, last)
+    if lo is not None:
+        rows = rows.where(F.col("ts") >= moment(lo))
+    if hi is not None:
+        rows = rows.where(F.col("ts") < moment(hi))
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     b = F.floor((us - START * 1_000_000) / F.lit(STEP * 1_000_000)).cast("long")
-    return read(spark, sf_dir, "events").select("event_id", F.col("user_id").cast("long").alias("user_id"), "event_type", F.floor(us / 1_000_000).cast("long").alias("s"), b.alias("b"))
+    return rows.select("event_id", F.col("user_id").cast("long").alias("user_id"), "event_type", F.floor(us / 1_000_000).cast("long").alias("s"), b.alias("b"))
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def facts(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """One row per item."""
-    b, u = F.col("b"), F.col("user_id")
-    rows = _events(spark, sf_dir).where("event_type <> 'error' AND b % 17 <> 16")
+    b, u, e = F.col("b"), F.col("user_id"), F.col("event_id")
+    rows = _events(spark, sf_dir, first, last).where("event_type <> 'error' AND b % 17 <> 16")
     fee = F.lit(1000000007) * (1 + b % 97)
     return rows.select(
         b.alias("block_number"),
         (F.row_number().over(Window.partitionBy("b").orderBy("event_id")) - 1).cast("long").alias("item_index"),
-        F.concat(F.lit("tx-"), u, F.lit("-"), b).alias("tx_hash"),
+        F.concat(F.lit("tx-"), u, F.lit("-"), b).alias("tx_hash"), F.concat(F.lit("vh-"), e - e % 3).alias("content_hash"),
         F.concat(F.lit("0xS"), u).alias("actor"),
         F.when(u % 4 == 1, F.concat(F.lit("Label "), u % 5)).when(u % 20 == 2, "  ").otherwise("").alias("label"),
         fee.alias("fee"), (fee * ITEM).cast(WEI).alias("cost"), block_time(b).alias("t"),
@@ -47,46 +65,75 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per block, empty ones included."""
-    ev = _events(spark, sf_dir)
-    counts = ev.where("event_type <> 'error' AND b % 17 <> 16").groupBy("b").agg(F.count(F.lit(1)).alias("c"))
-    top = ev.agg(F.max("b").alias("m"))
-    spine = top.select(F.explode(F.sequence(F.lit(0).cast("long"), "m")).alias("b")).where("b % 17 <> 16")
+def blocks(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """One row per block, empty ones included. Numbers are opened in chunks, dealt out before that."""
+    lo, hi = block_range(first, last)
+    counts = _events(spark, sf_dir, first, last).where("event_type <> 'error' AND b % 17 <> 16").groupBy("b").agg(F.count(F.lit(1)).alias("c"))
+    newest = F.max("b") if hi is None else F.least(F.max("b"), F.lit(hi - 1))
+    top = _events(spark, sf_dir, first).agg(newest.alias("m")).where(F.col("m") >= (lo or 0))
+    chunks = top.select("m", F.explode(F.sequence(F.lit((lo or 0) // CHUNK).cast("long"), F.expr(f"m div {CHUNK}"))).alias("chunk")).repartition("chunk")
+    low = F.greatest(F.col("chunk") * CHUNK, F.lit(lo or 0))
+    spine = chunks.select(F.explode(F.sequence(low, F.least("m", F.col("chunk") * CHUNK + CHUNK - 1))).alias("b")).where("b % 17 <> 16")
     b = F.col("b")
     return spine.join(counts, "b", "left").select(
         b.alias("block_number"), block_time(b).alias("t"), F.coalesce("c", F.lit(0)).cast("long").alias("items"),
         (F.lit(1000000007) * (1 + b % 97)).alias("fee"), F.when(b % 13 == 0, 0).otherwise(20000000000 + (b % 29) * F.lit(1000000007)).cast("long").alias("base_fee"),
+        F.when(b % 3 == 0, ITEM * TARGET).otherwise(0).cast("long").alias("target_gas"), F.when(b % 3 == 0, ITEM * MAX).otherwise(0).cast("long").alias("limit_gas"),
+        F.when(b % 5 == 0, 0).otherwise(TARGET).cast("long").alias("params_target"), F.when(b % 5 == 0, 0).otherwise(MAX).cast("long").alias("params_max"),
+        ((b % 211) * F.lit(400000)).cast("long").alias("excess"),
     )
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known actors: customers of all market segments but one."""
     c, n, r = (read(spark, sf_dir, x) for x in ("customer", "nation", "region"))
-    rows = c.where("c_custkey % 3 <> 0 AND c_custkey < 200").join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    rows = c.where("c_mktsegment <> 'FURNITURE'").join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
     return rows.select(F.lower(F.concat(F.lit("0xS"), "c_custkey")).alias("address"), F.concat(F.lit("Rollup "), "n_name").alias("name"), F.col("r_name").alias("category"))
 
 
-def producers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, b = read(spark, sf_dir, "supplier"), blocks(spark, sf_dir)
+def producers(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    s, b = read(spark, sf_dir, "supplier"), blocks(spark, sf_dir, first, last)
     n = F.col("block_number")
     pay = F.when(n % 5 != 0, F.lit(10**18).cast(WEI) + (n % 1000).cast(WEI) * F.lit(10**15 + 1).cast(WEI)).cast(WEI)
-    return b.join(F.broadcast(s.where("s_suppkey < 10")), n % 10 == F.col("s_suppkey")).select("block_number", "t", "items", F.col("s_name").alias("producer"), F.concat(F.lit("0xP"), n % 3, F.lit("-"), "s_suppkey").alias("recipient"), pay.alias("payment"))
+    return b.join(s, n % 10 == F.col("s_suppkey")).select("block_number", "t", "items", F.col("s_name").alias("producer"), F.concat(F.lit("0xP"), n % 3, F.lit("-"), "s_suppkey").alias("recipient"), pay.alias("payment"), "fee")
 
 
 def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
     nonce = F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1) / 2).cast("long")
+    cap = F.when(e % 9 != 0, F.lit(1000000007) * (1 + e % 120))
+    items = (1 + e % 6).cast("long")
     return _events(spark, sf_dir).where("event_type = 'error'").select(
-        F.concat(F.lit("px-"), e).alias("tx_hash"), F.concat(F.lit("0xS"), u).alias("actor"), nonce.alias("nonce"), (1 + e % 6).cast("long").alias("items"),
-        F.when(e % 9 != 0, F.lit(1000000007) * (1 + e % 120)).alias("max_fee"), (15000000000 + (e % 40) * F.lit(1000000000)).alias("max_exec"), F.col("s").alias("seen"), e.alias("event_id"),
+        F.concat(F.lit("px-"), e).alias("tx_hash"), F.concat(F.lit("vh-"), e - e % 3).alias("content_hash"), F.concat(F.lit("0xS"), u).alias("actor"), F.when(e % 41 != 0, nonce).alias("nonce"), items.alias("items"),
+        cap.alias("max_fee"), F.when(e % 19 != 0, 15000000000 + (e % 40) * F.lit(1000000000)).alias("max_exec"), F.when(e % 7 != 0, 500000000 + (e % 23) * F.lit(100000000)).alias("tip"),
+        F.col("s").alias("seen"), (items.cast("decimal(10,0)") * F.lit(ITEM).cast("decimal(10,0)") * F.coalesce(cap, F.lit(0)).cast("decimal(18,0)")).cast(WEI).alias("cost"), e.alias("event_id"),
     )
 
 
+def reason(age: Column, nonce: Column, lowest: Column, max_fee: Column, fee: Column, max_exec: Column, base_fee: Column, wanted: Column, items: Column) -> Column:
+    """Why a block left a pending item out; the first rule that holds wins. An unknown cap, or a block's
+    execution fee of 0 (not recorded), is never below."""
+    rules = F.when(age < MIN_AGE, "too_recent").when(nonce > lowest, "nonce_gap").when(max_fee < fee, "priced_out_item_fee")
+    return rules.when((base_fee > 0) & (max_exec < base_fee), "priced_out_exec_fee").when(items + wanted > MAX, "no_room").otherwise("eligible")
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pending items and the blocks that they lived through without being taken. Pending rows go to the
+    block-time slots of their life (at most six), so the interval join is an equality join."""
+    p = pending(spark, sf_dir).withColumn("lowest", F.min("nonce").over(Window.partitionBy("actor"))).withColumnRenamed("items", "wanted")
+    slots = p.withColumn("slot", F.explode(F.sequence(F.floor(F.col("seen") / STEP), F.floor((F.col("seen") + LIFE) / STEP))))
+    b = blocks(spark, sf_dir).select("block_number", "t", "items", "fee", "base_fee", F.floor(F.col("t") / STEP).alias("slot"))
+    held = slots.join(b, "slot").where(f"seen <= t AND t < seen + {LIFE}")
+    why = reason(F.col("t") - F.col("seen"), *(F.col(c) for c in ("nonce", "lowest", "max_fee", "fee", "max_exec", "base_fee", "wanted", "items")))
+    return held.select("block_number", "t", "tx_hash", "actor", "nonce", "wanted", "tip", "seen", why.alias("reason"))
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with ranges; four of them an address."""
     k = F.col("c_custkey")
     start = (k * 37 % 3000).cast("long")
-    return read(spark, sf_dir, "customer").where("c_custkey < 600").select(
-        F.lower(F.concat(F.lit("0xS"), k % 150)).alias("address"), F.concat(F.lit("Claim "), "c_nationkey").alias("name"), k.cast("long").alias("claim"),
+    return read(spark, sf_dir, "customer").select(
+        F.lower(F.concat(F.lit("0xS"), F.floor(k / 4))).alias("address"), F.concat(F.lit("Claim "), "c_nationkey").alias("name"), k.cast("long").alias("claim"),
         F.when(k % 5 == 0, "disputed").when(k % 5 == 1, "retired").otherwise("active").alias("status"),
         F.when(k % 4 == 0, "confirmed").when(k % 4 == 1, "probable").when(k % 4 == 2, "possible").otherwise("").alias("confidence"),
         start.alias("valid_from"), F.when(k % 2 != 0, start + 400).alias("valid_to"),
@@ -96,23 +143,31 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The same views for DuckDB, in an order in which later ones may use earlier ones.
 SQL = {
     "ev": "SELECT event_id, CAST(user_id AS BIGINT) AS user_id, event_type, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS s, CAST((epoch_us(ts) - 1704067200000000) // 720000000 AS BIGINT) AS b FROM events",
-    "facts": """SELECT b AS block_number, row_number() OVER (PARTITION BY b ORDER BY event_id) - 1 AS item_index, 'tx-' || user_id || '-' || b AS tx_hash, '0xS' || user_id AS actor,
+    "facts": """SELECT b AS block_number, row_number() OVER (PARTITION BY b ORDER BY event_id) - 1 AS item_index, 'tx-' || user_id || '-' || b AS tx_hash, 'vh-' || (event_id - event_id % 3) AS content_hash, '0xS' || user_id AS actor,
         CASE WHEN user_id % 4 = 1 THEN 'Label ' || (user_id % 5) WHEN user_id % 20 = 2 THEN '  ' ELSE '' END AS label, 1000000007 * (1 + b % 97) AS fee,
         CAST(1000000007 * (1 + b % 97) * 131072 AS DECIMAL(38,0)) AS cost, 1704067200 + (b + 1) * 720 AS t, CASE WHEN b % 8 <> 0 THEN 500000000 + (user_id % 17) * 250000000 END AS tip,
         CASE WHEN (user_id + b) % 11 <> 0 THEN min(s) OVER (PARTITION BY b, user_id) END AS seen FROM ev WHERE event_type <> 'error' AND b % 17 <> 16""",
     "blocks": """SELECT r.b AS block_number, 1704067200 + (r.b + 1) * 720 AS t, coalesce(c.c, 0) AS items, 1000000007 * (1 + r.b % 97) AS fee,
-        CASE WHEN r.b % 13 = 0 THEN 0 ELSE 20000000000 + (r.b % 29) * 1000000007 END AS base_fee
+        CASE WHEN r.b % 13 = 0 THEN 0 ELSE 20000000000 + (r.b % 29) * 1000000007 END AS base_fee,
+        CAST(CASE WHEN r.b % 3 = 0 THEN 393216 ELSE 0 END AS BIGINT) AS target_gas, CAST(CASE WHEN r.b % 3 = 0 THEN 786432 ELSE 0 END AS BIGINT) AS limit_gas,
+        CAST(CASE WHEN r.b % 5 = 0 THEN 0 ELSE 3 END AS BIGINT) AS params_target, CAST(CASE WHEN r.b % 5 = 0 THEN 0 ELSE 6 END AS BIGINT) AS params_max, r.b % 211 * 400000 AS excess
         FROM (SELECT unnest(range(0, (SELECT max(b) FROM ev) + 1)) AS b) r LEFT JOIN (SELECT block_number AS b, count(*) AS c FROM facts GROUP BY 1) c ON r.b = c.b WHERE r.b % 17 <> 16""",
-    "registry": "SELECT lower('0xS' || c_custkey) AS address, 'Rollup ' || n_name AS name, r_name AS category FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_custkey % 3 <> 0 AND c_custkey < 200",
+    "registry": "SELECT lower('0xS' || c_custkey) AS address, 'Rollup ' || n_name AS name, r_name AS category FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment <> 'FURNITURE'",
     "producers": """SELECT block_number, t, items, s_name AS producer, '0xP' || (block_number % 3) || '-' || s_suppkey AS recipient,
-        CASE WHEN block_number % 5 <> 0 THEN CAST(1000000000000000000 AS DECIMAL(38,0)) + CAST(block_number % 1000 AS DECIMAL(18,0)) * CAST(1000000000000001 AS DECIMAL(18,0)) END AS payment
+        CASE WHEN block_number % 5 <> 0 THEN CAST(1000000000000000000 AS DECIMAL(38,0)) + CAST(block_number % 1000 AS DECIMAL(18,0)) * CAST(1000000000000001 AS DECIMAL(18,0)) END AS payment, fee
         FROM blocks JOIN supplier ON block_number % 10 = s_suppkey""",
-    "pending": """SELECT 'px-' || event_id AS tx_hash, '0xS' || user_id AS actor, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 2 AS nonce, CAST(1 + event_id % 6 AS BIGINT) AS items,
-        CASE WHEN event_id % 9 <> 0 THEN 1000000007 * (1 + event_id % 120) END AS max_fee, 15000000000 + (event_id % 40) * 1000000000 AS max_exec, s AS seen, event_id FROM ev WHERE event_type = 'error'""",
-    "claims": """SELECT lower('0xS' || (c_custkey % 150)) AS address, 'Claim ' || c_nationkey AS name, CAST(c_custkey AS BIGINT) AS claim,
+    "pending": """SELECT 'px-' || event_id AS tx_hash, 'vh-' || (event_id - event_id % 3) AS content_hash, '0xS' || user_id AS actor, CASE WHEN event_id % 41 <> 0 THEN n END AS nonce, CAST(1 + event_id % 6 AS BIGINT) AS items,
+        cap AS max_fee, CASE WHEN event_id % 19 <> 0 THEN 15000000000 + (event_id % 40) * 1000000000 END AS max_exec, CASE WHEN event_id % 7 <> 0 THEN 500000000 + (event_id % 23) * 100000000 END AS tip, s AS seen,
+        CAST((1 + event_id % 6) * 131072 * CAST(coalesce(cap, 0) AS HUGEINT) AS DECIMAL(38,0)) AS cost, event_id
+        FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 2 AS n, CASE WHEN event_id % 9 <> 0 THEN 1000000007 * (1 + event_id % 120) END AS cap FROM ev WHERE event_type = 'error')""",
+    "candidates": """SELECT b.block_number, b.t, p.tx_hash, p.actor, p.nonce, p.items AS wanted, p.tip, p.seen,
+        CASE WHEN b.t - p.seen < 60 THEN 'too_recent' WHEN p.nonce > p.lowest THEN 'nonce_gap' WHEN p.max_fee < b.fee THEN 'priced_out_item_fee'
+        WHEN b.base_fee > 0 AND p.max_exec < b.base_fee THEN 'priced_out_exec_fee' WHEN b.items + p.items > 6 THEN 'no_room' ELSE 'eligible' END AS reason
+        FROM (SELECT *, min(nonce) OVER (PARTITION BY actor) AS lowest FROM pending) p JOIN blocks b ON p.seen <= b.t AND b.t < p.seen + 3600""",
+    "claims": """SELECT lower('0xS' || (c_custkey // 4)) AS address, 'Claim ' || c_nationkey AS name, CAST(c_custkey AS BIGINT) AS claim,
         CASE c_custkey % 5 WHEN 0 THEN 'disputed' WHEN 1 THEN 'retired' ELSE 'active' END AS status,
         CASE c_custkey % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'probable' WHEN 2 THEN 'possible' ELSE '' END AS confidence,
-        CAST(c_custkey * 37 % 3000 AS BIGINT) AS valid_from, CASE WHEN c_custkey % 2 <> 0 THEN CAST(c_custkey * 37 % 3000 + 400 AS BIGINT) END AS valid_to FROM customer WHERE c_custkey < 600""",
+        CAST(c_custkey * 37 % 3000 AS BIGINT) AS valid_from, CASE WHEN c_custkey % 2 <> 0 THEN CAST(c_custkey * 37 % 3000 + 400 AS BIGINT) END AS valid_to FROM customer""",
 }
 
 
