@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import bucket, share, wei_text
 from tessera.operators import core
-from tessera.plans.charts import FIRST, LAST, NAMED, RANGE, SLUG, WINDOWS, bucketed, named, top_or_other
+from tessera.plans.charts import _TOP_PRICED, FIRST, LAST, NAMED, RANGE, SAVED, SLUG, WINDOWS, bucketed, named, percent_saved, top_or_other
 from tessera.plans.records import REPLACED, VC, t4
 from tessera.sources import views as V
 
@@ -80,35 +80,41 @@ def q23(spark, d):
     return members(spark, d, V.AS_OF - 86400)
 
 
-def _rolling(rows, fee: str, p: str):
-    """Rollup rows (bucket, blocks, items, fee_sum and a fee figure) summed over the windows they lie in."""
+def _rolling(spark, d, seconds: int, fee: str, p: str):
+    """Figures of the windows from rollups of ``seconds``: sums, actors from per-actor rows, weighted mean fee,
+    and percentiles over the buckets' own percentiles."""
+    first = V.AS_OF - max(WINDOWS.values())
     inside = F.filter(F.array(*(F.when(F.col("bucket") >= V.AS_OF - n, F.lit(w)) for w, n in WINDOWS.items())), lambda x: x.isNotNull())
-    held = rows.where(F.col("bucket") < V.AS_OF).withColumn("w", F.explode(inside))
-    sums = held.groupBy("w").agg(F.sum("blocks").alias("blocks"), F.sum("items").alias("items"), F.round(F.sum("fee_sum") / F.sum("blocks"), 6).alias("avg_fee"))
-    return sums.join(core.disc_percentiles(held, ["w"], fee, p95_fee=p), "w")
-
-
-def _rolled(spark, d, seconds: int, name: str, p: str):
-    b = V.blocks(spark, d).withColumn("bucket", bucket(F.col("t"), seconds))
-    sums = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("blocks"), F.sum("items").alias("items"), F.sum("fee").alias("fee_sum"))
-    return sums.join(core.disc_percentiles(b, ["bucket"], "fee", **{name: p}), "bucket")
-
-
-def _rolling_sql(seconds: int, inner: str, outer: str) -> str:
+    b = V.blocks(spark, d, first, V.AS_OF).withColumn("bucket", bucket(F.col("t"), seconds))
+    sums = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("blocks"), F.sum("items").alias("items"), F.count_if(F.col("items") > V.TARGET).alias("above_target"), F.count_if(F.col("items") >= V.MAX).alias("at_max"))
+    held = sums.join(core.disc_percentiles(b, ["bucket"], "fee", median="0.5", p95="0.95"), "bucket").withColumn("w", F.explode(inside))
+    blocks = held.groupBy("w").agg(*(F.sum(c).alias(c) for c in ("blocks", "above_target", "at_max")), F.round(F.sum("items").cast("double") / (F.sum("blocks") * V.TARGET), 6).alias("utilization"))
+    blocks = blocks.join(core.few_disc_percentiles(held, ["w"], "median", median_fee="0.5"), "w").join(core.few_disc_percentiles(held, ["w"], fee, p95_fee=p), "w")
+    i = core.rollup(V.facts(spark, d, first, V.AS_OF), seconds).withColumn("w", F.explode(inside))
+    bytes_ = F.sum("items") * V.ITEM
+    items = i.groupBy("w").agg(F.sum("items").alias("items"), bytes_.alias("gas"), wei_text(F.sum("cost")).alias("cost"), F.countDistinct("actor").alias("actors"), F.round(F.sum("cost").cast("double") / bytes_, 6).alias("avg_fee"))
+    return blocks.join(items, "w")
+
+
+def _rolling_sql(seconds: int, fee: str, p: str) -> str:
     windows = "SELECT unnest(['1h', '24h', '7d', '30d']) AS w, unnest([3600, 86400, 604800, 2592000]) AS n"
-    return f"WITH w AS ({windows}), r AS (SELECT t - t % {seconds} AS bucket, count(*) AS blocks, sum(items) AS items, sum(fee) AS fee_sum, quantile_disc(fee, {inner}) AS x FROM blocks GROUP BY 1) SELECT w.w, CAST(sum(blocks) AS BIGINT) AS blocks, CAST(sum(items) AS BIGINT) AS items, round(CAST(sum(fee_sum) AS DOUBLE) / CAST(sum(blocks) AS DOUBLE), 6) AS avg_fee, quantile_disc(x, {outer}) AS p95_fee FROM w JOIN r ON bucket >= {V.AS_OF} - n AND bucket < {V.AS_OF} GROUP BY 1"
+    inside = f"bucket >= {V.AS_OF} - n AND bucket < {V.AS_OF}"
+    return f"""WITH w AS ({windows}), r AS (SELECT t - t % {seconds} AS bucket, count(*) AS blocks, sum(items) AS items, count(*) FILTER (items > 3) AS above_target, count(*) FILTER (items >= 6) AS at_max, quantile_disc(fee, 0.5) AS median, quantile_disc(fee, 0.95) AS p95 FROM blocks GROUP BY 1),
+    i AS (SELECT t - t % {seconds} AS bucket, actor, count(*) AS items, sum(cost) AS cost FROM facts GROUP BY 1, 2),
+    b AS (SELECT w.w, CAST(sum(blocks) AS BIGINT) AS blocks, CAST(sum(above_target) AS BIGINT) AS above_target, CAST(sum(at_max) AS BIGINT) AS at_max, round(CAST(sum(items) AS DOUBLE) / CAST(sum(blocks) * 3 AS DOUBLE), 6) AS utilization, quantile_disc(median, 0.5) AS median_fee, quantile_disc({fee}, {p}) AS p95_fee FROM w JOIN r ON {inside} GROUP BY 1),
+    c AS (SELECT w.w, CAST(sum(items) AS BIGINT) AS items, CAST(sum(items) * 131072 AS BIGINT) AS gas, CAST(CAST(sum(cost) AS DECIMAL(38,0)) AS VARCHAR) AS cost, count(DISTINCT actor) AS actors, round(CAST(sum(cost) AS DOUBLE) / CAST(sum(items) * 131072 AS DOUBLE), 6) AS avg_fee FROM w JOIN i ON {inside} GROUP BY 1) SELECT * FROM b JOIN c USING (w)"""
 
 
-@query("q26_rolling_fine", _rolling_sql(60, "0.5", "0.95"))
+@query("q26_rolling_fine", _rolling_sql(60, "median", "0.95"))
 def q26(spark, d):
     """From minute rollups; p95 is the p95 of the minutes' medians."""
-    return _rolling(_rolled(spark, d, 60, "median", "0.5"), "median", "0.95")
+    return _rolling(spark, d, 60, "median", "0.95")
 
 
-@query("q27_rolling_hourly", _rolling_sql(3600, "0.95", "0.5"))
+@query("q27_rolling_hourly", _rolling_sql(3600, "p95", "0.5"))
 def q27(spark, d):
     """From hourly rollups; p95 is the median of the hours' p95s."""
-    return _rolling(_rolled(spark, d, 3600, "p95", "0.95"), "p95", "0.5")
+    return _rolling(spark, d, 3600, "p95", "0.5")
 
 
 _TOP = "top AS (SELECT entity FROM n WHERE entity <> 'unknown' GROUP BY 1 ORDER BY count(*) DESC, entity LIMIT 5)"
@@ -129,39 +135,53 @@ def q34(spark, d):
     return x.groupBy(bucket(F.col("bucket"), 21600).alias("bucket"), "series").agg(F.sum("items").alias("items"))
 
 
-@query("q36_cost_comparison_block", f"SELECT block_number, items, {VC.format('CAST(fee AS HUGEINT) * items * 131072')} AS cost, {VC.format('CAST(items AS HUGEINT) * 131072 * 16 * CASE WHEN base_fee > 0 THEN base_fee ELSE fee END')} AS alternative FROM blocks WHERE {RANGE}")
+@query("q36_cost_comparison_block", f"WITH j AS (SELECT block_number, items, CAST(fee AS HUGEINT) * items * 131072 AS cost, CAST(items AS HUGEINT) * 131072 * 16 * CASE WHEN base_fee > 0 THEN base_fee ELSE fee END AS alternative FROM blocks WHERE {RANGE}) SELECT block_number, items, CAST(cost AS VARCHAR) AS cost, CAST(alternative AS VARCHAR) AS alternative, CAST(alternative - cost AS VARCHAR) AS savings, {SAVED.format(a='alternative', c='cost')} AS savings_percent FROM j")
 def q36(spark, d):
     """A block without an execution fee is priced at its item fee."""
     gas = (F.col("items") * V.ITEM).cast("decimal(18,0)")
     own = F.when(F.col("base_fee") > 0, F.col("base_fee")).otherwise(F.col("fee")).cast("decimal(18,0)")
-    return bucketed(V.blocks(spark, d)).select("block_number", "items", wei_text(gas * F.col("fee").cast("decimal(18,0)")).alias("cost"), wei_text((gas * 16).cast("decimal(18,0)") * own).alias("alternative"))
+    rows = bucketed(V.blocks, spark, d).withColumns({"c": (gas * F.col("fee").cast("decimal(18,0)")).cast(V.WEI), "a": ((gas * 16).cast("decimal(18,0)") * own).cast(V.WEI)})
+    a, c = F.col("a"), F.col("c")
+    return rows.select("block_number", "items", wei_text(c).alias("cost"), wei_text(a).alias("alternative"), wei_text(a - c).alias("savings"), percent_saved(a, c).alias("savings_percent"))
 
 
-@query("q37_cost_comparison_rollup", f"WITH h AS (SELECT t - t % 21600 AS bucket, CAST(sum(items) AS HUGEINT) AS items, sum(base_fee) AS s, count(*) FILTER (base_fee > 0) AS n FROM blocks WHERE {RANGE} GROUP BY 1) SELECT bucket, CAST(items AS BIGINT) AS items, {VC.format('items * 131072 * 16 * coalesce((2 * s + n) // (2 * nullif(n, 0)), 0)')} AS alternative FROM h")
+@query("q37_cost_comparison_rollup", f"WITH b AS (SELECT t - t % 21600 AS bucket, sum(base_fee) AS s, count(*) FILTER (base_fee > 0) AS n FROM blocks WHERE {RANGE} GROUP BY 1), f AS (SELECT t - t % 21600 AS bucket, count(*) AS items, CAST(sum(cost) AS HUGEINT) AS cost FROM facts WHERE {RANGE} GROUP BY 1), j AS (SELECT bucket, coalesce(items, 0) AS items, coalesce(cost, 0) AS cost, CASE WHEN n > 0 THEN CAST(coalesce(items, 0) AS HUGEINT) * 131072 * 16 * ((2 * s + n) // (2 * n)) ELSE 16 * coalesce(cost, 0) END AS alternative FROM b LEFT JOIN f USING (bucket)) SELECT bucket, CAST(items AS BIGINT) AS items, {VC.format('cost')} AS cost, {VC.format('alternative')} AS alternative, {SAVED.format(a='alternative', c='cost')} AS savings_percent FROM j")
 def q37(spark, d):
-    """From hourly sums: the mean fee over blocks with one is a ratio of sums, rounded in whole numbers."""
-    hours = bucketed(V.blocks(spark, d)).groupBy("bucket").agg(F.sum("items").alias("items"), F.sum("base_fee").alias("s"), F.count_if(F.col("base_fee") > 0).alias("n"))
-    g = hours.groupBy(bucket(F.col("bucket"), 21600).alias("bucket")).agg(F.sum("items").alias("items"), F.sum("s").alias("s"), F.sum("n").alias("n"))
-    mean = F.coalesce(F.expr("(2 * s + n) div nullif(2 * n, 0)"), F.lit(0)).cast("decimal(18,0)")
-    return g.select("bucket", "items", wei_text((F.col("items") * V.ITEM * 16).cast("decimal(18,0)") * mean).alias("alternative"))
-
-
-@query("q39_tips_chart_block", f"SELECT block_number, count(*) AS total, count(tip) AS priced, round(avg(tip), 2) AS avg_tip, quantile_disc(tip, 0.5) AS median_tip, max(tip) AS max_tip FROM facts WHERE {RANGE} GROUP BY 1")
+    """From hourly sums: the mean fee over blocks with one is a ratio of sums, rounded in whole numbers; a
+    point without one takes the items' own fees."""
+    hours = bucketed(V.blocks, spark, d, 3600).groupBy("bucket").agg(F.sum("base_fee").alias("s"), F.count_if(F.col("base_fee") > 0).alias("n"))
+    costs = core.rollup(V.facts(spark, d, FIRST, LAST), 3600).groupBy("bucket").agg(F.sum("items").alias("items"), F.sum("cost").cast(V.WEI).alias("cost"))
+    six = bucket(F.col("bucket"), 21600).alias("bucket")
+    b, f = hours.groupBy(six).agg(F.sum("s").alias("s"), F.sum("n").alias("n")), costs.groupBy(six).agg(F.sum("items").alias("items"), F.sum("cost").cast(V.WEI).alias("c"))
+    rows = b.join(f, "bucket", "left").withColumns({"items": F.coalesce("items", F.lit(0)), "c": F.coalesce("c", F.lit(0).cast(V.WEI)).cast(V.WEI)})
+    priced = ((F.col("items") * V.ITEM * 16).cast("decimal(18,0)") * F.expr("(2 * s + n) div nullif(2 * n, 0)").cast("decimal(18,0)")).cast(V.WEI)
+    own = (F.col("c").cast("decimal(30,0)") * F.lit(16).cast("decimal(2,0)")).cast(V.WEI)
+    a, c = F.col("a"), F.col("c")
+    return rows.withColumn("a", F.when(F.col("n") > 0, priced).otherwise(own)).select("bucket", "items", wei_text(c).alias("cost"), wei_text(a).alias("alternative"), percent_saved(a, c).alias("savings_percent"))
+
+
+@query("q39_tips_chart_block", f"SELECT block_number, count(*) AS total, count(tip) AS priced, round(avg(tip), 2) AS avg_tip, quantile_disc(tip, 0.5) AS median_tip, quantile_disc(tip, 0.95) AS p95_tip, max(tip) AS max_tip FROM facts WHERE {RANGE} GROUP BY 1")
 def q39(spark, d):
-    f = bucketed(V.facts(spark, d))
+    f = bucketed(V.facts, spark, d)
     stats = f.groupBy("block_number").agg(F.count(F.lit(1)).alias("total"), F.count("tip").alias("priced"), F.round(F.avg("tip"), 2).alias("avg_tip"), F.max("tip").alias("max_tip"))
-    return stats.join(core.disc_percentiles(f, ["block_number"], "tip", median_tip="0.5"), "block_number", "left")
+    return stats.join(core.disc_percentiles(f, ["block_number"], "tip", median_tip="0.5", p95_tip="0.95"), "block_number", "left")
+
+
+@query("q39_tips_series_by_entity_block", f"WITH {NAMED}, {_TOP_PRICED} SELECT block_number, series, count(*) AS priced, round(avg(tip), 2) AS avg_tip, max(tip) AS max_tip FROM x GROUP BY 1, 2")
+def q39_series(spark, d):
+    x = top_or_other(named(spark, d).where("tip IS NOT NULL"), "entity", F.count(F.lit(1)), 5, "series")
+    return x.groupBy("block_number", "series").agg(F.count(F.lit(1)).alias("priced"), F.round(F.avg("tip"), 2).alias("avg_tip"), F.max("tip").alias("max_tip"))
 
 
-@query("q41_producer_share_block", f"WITH top AS (SELECT producer FROM producers WHERE {RANGE} GROUP BY 1 ORDER BY sum(items) DESC, producer LIMIT 4) SELECT block_number, CASE WHEN producer IN (SELECT producer FROM top) THEN producer ELSE 'other' END AS series, items FROM producers WHERE {RANGE}")
+@query("q41_producer_share_block", f"WITH top AS (SELECT producer FROM producers WHERE {RANGE} GROUP BY 1 ORDER BY sum(items) DESC, producer LIMIT 8) SELECT block_number, CASE WHEN producer IN (SELECT producer FROM top) THEN producer ELSE 'other' END AS series, items FROM producers WHERE {RANGE}")
 def q41(spark, d):
-    return top_or_other(V.producers(spark, d).where(RANGE), "producer", F.sum("items"), 4, "series").select("block_number", "series", "items")
+    return top_or_other(V.producers(spark, d, FIRST, LAST), "producer", F.sum("items"), 8, "series").select("block_number", "series", "items")
 
 
 @query("q43_producer_users", f"WITH {NAMED}, c AS (SELECT producer, entity, count(*) AS items FROM n JOIN producers USING (block_number) GROUP BY 1, 2), s AS (SELECT *, CAST(items AS DOUBLE) * 100 / CAST(sum(items) OVER (PARTITION BY producer) AS DOUBLE) AS own, CAST(sum(items) OVER (PARTITION BY entity) AS DOUBLE) * 100 / CAST(sum(items) OVER () AS DOUBLE) AS overall FROM c) SELECT producer, entity, items, round(own, 6) AS own_share, round(overall, 6) AS overall_share, round(own / overall, 4) AS inclusion_index FROM s")
 def q43(spark, d):
     """Counts per producer and entity are all that later steps read."""
-    c = named(spark, d).join(V.producers(spark, d).select("block_number", "producer"), "block_number").groupBy("producer", "entity").agg(F.count(F.lit(1)).alias("items"))
+    c = named(spark, d).join(V.producers(spark, d, FIRST, LAST).select("block_number", "producer"), "block_number").groupBy("producer", "entity").agg(F.count(F.lit(1)).alias("items"))
     rows = c.join(c.groupBy("producer").agg(F.sum("items").alias("mine")), "producer").join(c.groupBy("entity").agg(F.sum("items").alias("theirs")), "entity")
     rows = core.with_totals(rows, whole=F.sum("items"))
     own, overall = F.col("items").cast("double") * 100 / F.col("mine"), F.col("theirs").cast("double") * 100 / F.col("whole")

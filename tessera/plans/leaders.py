@@ -177,11 +177,11 @@ def q21(spark, d):
 
 @query("q24_network_stats", """SELECT count(*) AS items, CAST(CAST(sum(cost) AS DECIMAL(38,0)) AS VARCHAR) AS cost, count(DISTINCT actor) AS actors, count(DISTINCT block_number) AS blocks, (SELECT CAST(coalesce(sum(items), 0) AS BIGINT) FROM pending) AS pending_items,
     (SELECT CAST(CAST(coalesce(sum(cost), 0) AS DECIMAL(38,0)) AS VARCHAR) FROM pending) AS pending_cost, count(*) + (SELECT CAST(coalesce(sum(items), 0) AS BIGINT) FROM pending) AS all_items, max(block_number) AS last_block, max(t) AS last_t,
-    round(avg(fee), 6) AS avg_fee, round(CAST(count(*) AS DOUBLE) / count(DISTINCT block_number), 6) AS avg_items, CAST(CAST(sum(cost) AS HUGEINT) // count(*) AS VARCHAR) AS avg_cost FROM facts""")
+    round(avg(fee), 6) AS avg_fee, round(CAST(count(*) AS DOUBLE) / count(DISTINCT block_number), 6) AS avg_items, CAST((CAST(sum(cost) AS HUGEINT) + (SELECT CAST(coalesce(sum(cost), 0) AS HUGEINT) FROM pending)) // (count(*) + (SELECT CAST(coalesce(sum(items), 0) AS BIGINT) FROM pending)) AS VARCHAR) AS avg_cost FROM facts""")
 def q24(spark, d):
     f = V.facts(spark, d).agg(F.count(F.lit(1)).alias("items"), F.sum("cost").cast(V.WEI).alias("c"), F.countDistinct("actor").alias("actors"), F.countDistinct("block_number").alias("blocks"), F.max("block_number").alias("last_block"), F.max("t").alias("last_t"), F.round(F.avg("fee"), 6).alias("avg_fee")).withColumn("_one", F.lit(1))
     rows = f.join(_pending(spark, d), "_one")
-    more = {"all_items": F.col("items") + F.col("more_items"), "avg_items": F.round(F.try_divide(F.col("items").cast("double"), F.col("blocks")), 6), "avg_cost": F.expr("CAST(c div items AS string)"), "cost": wei_text(F.col("c")), "pending_items": F.col("more_items"), "pending_cost": wei_text(F.col("more_cost"))}
+    more = {"all_items": F.col("items") + F.col("more_items"), "avg_items": F.round(F.try_divide(F.col("items").cast("double"), F.col("blocks")), 6), "avg_cost": F.expr("CAST((c + more_cost) div nullif(items + more_items, 0) AS string)"), "cost": wei_text(F.col("c")), "pending_items": F.col("more_items"), "pending_cost": wei_text(F.col("more_cost"))}
     return rows.withColumns(more).drop("_one", "c", "more_items", "more_cost")
 
 

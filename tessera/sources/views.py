@@ -31,7 +31,7 @@ def block_time(b: Column) -> Column:
 
 def block_range(first: int | None, last: int | None) -> tuple[int | None, int | None]:
     """First block at or after ``first`` and first block at or after ``last``."""
-    at = lambda t: None if t is None else -(-(t - START) // STEP) - 1
+    at = lambda t: None if t is None else max(0, -(-(t - START) // STEP) - 1)
     return at(first), at(last)
 
 
@@ -77,7 +77,7 @@ def blocks(spark: SparkSession, sf_dir: str, first: int | None = None, last: int
     b = F.col("b")
     return spine.join(counts, "b", "left").select(
         b.alias("block_number"), block_time(b).alias("t"), F.coalesce("c", F.lit(0)).cast("long").alias("items"),
-        (F.lit(1000000007) * (1 + b % 97)).alias("fee"), F.when(b % 13 == 0, 0).otherwise(20000000000 + (b % 29) * F.lit(1000000007)).cast("long").alias("base_fee"),
+        (F.lit(1000000007) * (1 + b % 97)).alias("fee"), F.when((b % 13 == 0) | (F.floor(b / 50) % 7 == 3), 0).otherwise(20000000000 + (b % 29) * F.lit(1000000007)).cast("long").alias("base_fee"),
         F.when(b % 3 == 0, ITEM * TARGET).otherwise(0).cast("long").alias("target_gas"), F.when(b % 3 == 0, ITEM * MAX).otherwise(0).cast("long").alias("limit_gas"),
         F.when(b % 5 == 0, 0).otherwise(TARGET).cast("long").alias("params_target"), F.when(b % 5 == 0, 0).otherwise(MAX).cast("long").alias("params_max"),
         ((b % 211) * F.lit(400000)).cast("long").alias("excess"),
@@ -148,7 +148,7 @@ SQL = {
         CAST(1000000007 * (1 + b % 97) * 131072 AS DECIMAL(38,0)) AS cost, 1704067200 + (b + 1) * 720 AS t, CASE WHEN b % 8 <> 0 THEN 500000000 + (user_id % 17) * 250000000 END AS tip,
         CASE WHEN (user_id + b) % 11 <> 0 THEN min(s) OVER (PARTITION BY b, user_id) END AS seen FROM ev WHERE event_type <> 'error' AND b % 17 <> 16""",
     "blocks": """SELECT r.b AS block_number, 1704067200 + (r.b + 1) * 720 AS t, coalesce(c.c, 0) AS items, 1000000007 * (1 + r.b % 97) AS fee,
-        CASE WHEN r.b % 13 = 0 THEN 0 ELSE 20000000000 + (r.b % 29) * 1000000007 END AS base_fee,
+        CASE WHEN r.b % 13 = 0 OR r.b // 50 % 7 = 3 THEN 0 ELSE 20000000000 + (r.b % 29) * 1000000007 END AS base_fee,
         CAST(CASE WHEN r.b % 3 = 0 THEN 393216 ELSE 0 END AS BIGINT) AS target_gas, CAST(CASE WHEN r.b % 3 = 0 THEN 786432 ELSE 0 END AS BIGINT) AS limit_gas,
         CAST(CASE WHEN r.b % 5 = 0 THEN 0 ELSE 3 END AS BIGINT) AS params_target, CAST(CASE WHEN r.b % 5 = 0 THEN 0 ELSE 6 END AS BIGINT) AS params_max, r.b % 211 * 400000 AS excess
         FROM (SELECT unnest(range(0, (SELECT max(b) FROM ev) + 1)) AS b) r LEFT JOIN (SELECT block_number AS b, count(*) AS c FROM facts GROUP BY 1) c ON r.b = c.b WHERE r.b % 17 <> 16""",
