@@ -111,6 +111,12 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return stored.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def set_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of one of two sets only, with ``action``: added or removed."""
+    both = old.withColumn("_o", F.lit(True)).join(new.withColumn("_n", F.lit(True)), keys, "full_outer").where("_o IS NULL OR _n IS NULL")
+    return both.select(*keys, F.when(F.col("_o").isNull(), "added").otherwise("removed").alias("action"))
+
+
 def asof_intervals(bounds: DataFrame, at: str) -> DataFrame:
     """Boundaries as half-open intervals [at, until)."""
     return bounds.withColumn("until", F.coalesce(F.lead(at).over(Window.partitionBy(F.lit(1)).orderBy(at)), F.lit(1 << 62)))

@@ -224,10 +224,17 @@ def q8(spark, d):
     return rows.select("block_number", "items", "producer", wei_text(F.col("payment")).alias("payment"), F.array_join("l.actor", ",").alias("actors"))
 
 
-@query("prj6_block_occupancy", "SELECT block_number, items, greatest(0, 6 - items) AS available, round(least(100.0, CAST(items AS DOUBLE) * 100 / 6), 2) AS used_percent, items >= 6 AS is_full, items > 3 AS is_above_target FROM blocks")
+_OCCUPIED = "SELECT block_number, items, CASE WHEN params_target > 0 THEN params_target ELSE target_gas // 131072 END AS target, CASE WHEN params_max > 0 THEN params_max ELSE limit_gas // 131072 END AS cap FROM blocks"
+
+
+@query("prj6_block_occupancy", f"SELECT block_number, items, target, cap, greatest(0, cap - items) AS available, CASE WHEN cap > 0 THEN round(least(100.0, CAST(items AS DOUBLE) * 100 / cap), 2) ELSE 0.0 END AS used_percent, cap > 0 AND items >= cap AS is_full, target > 0 AND items > target AS is_above_target FROM ({_OCCUPIED})")
 def prj6(spark, d):
-    i = F.col("items")
-    return V.blocks(spark, d).select("block_number", "items", F.greatest(F.lit(0), V.MAX - i).alias("available"), F.round(F.least(F.lit(100.0), i.cast("double") * 100 / V.MAX), 2).alias("used_percent"), (i >= V.MAX).alias("is_full"), (i > V.TARGET).alias("is_above_target"))
+    """Target and capacity from the parameters, else from the gas columns, else 0."""
+    limit = lambda p, g: X.first_positive(F.col(p), F.floor(F.col(g) / V.ITEM))
+    rows = V.blocks(spark, d).select("block_number", "items", limit("params_target", "target_gas").alias("target"), limit("params_max", "limit_gas").alias("cap"))
+    i, cap, target = F.col("items"), F.col("cap"), F.col("target")
+    used = F.when(cap > 0, F.round(F.least(F.lit(100.0), i.cast("double") * 100 / cap), 2)).otherwise(0.0)
+    return rows.select("*", F.greatest(F.lit(0), cap - i).alias("available"), used.alias("used_percent"), ((cap > 0) & (i >= cap)).alias("is_full"), ((target > 0) & (i > target)).alias("is_above_target"))
 
 
 @query("prj2_effective_tip", "SELECT tx_hash, CASE WHEN p.max_fee IS NOT NULL THEN greatest(0, least(2000000000, p.max_fee - 30000000000)) END AS tip, CASE WHEN p.max_fee IS NOT NULL THEN greatest(p.max_fee - 50000000000, 0) END AS headroom FROM pending p")
