@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import charts, detail, leaders, lookup, records
+from tessera.plans import charts, detail, fees, inclusion, leaders, lookup, records
 
-QUERIES = leaders.QUERIES | charts.QUERIES | records.QUERIES | detail.QUERIES | lookup.QUERIES
-ORACLES = leaders.ORACLES | charts.ORACLES | records.ORACLES | detail.ORACLES | lookup.ORACLES
+QUERIES = leaders.QUERIES | charts.QUERIES | records.QUERIES | detail.QUERIES | lookup.QUERIES | inclusion.QUERIES | fees.QUERIES
+ORACLES = leaders.ORACLES | charts.ORACLES | records.ORACLES | detail.ORACLES | lookup.ORACLES | inclusion.ORACLES | fees.ORACLES

@@ -45,6 +45,18 @@ def disc_percentiles(rows: DataFrame, keys: list[str], value: str, **ps: str) ->
     return ranked.groupBy(*keys).agg(*(F.min(F.when(F.col("_upto") >= c, F.col(value))).alias(n) for n, c in at.items()))
 
 
+def cont_percentiles(rows: DataFrame, keys: list[str], value: str, **ps: str) -> DataFrame:
+    """Interpolated percentiles (double) per key, from the two observed values around p * (n - 1)."""
+    counts = _counted(rows, keys, value)
+    by = Window.partitionBy(*keys)
+    ranked = counts.withColumn("_upto", F.sum("_c").over(by.orderBy(value))).withColumn("_n", F.sum("_c").over(by))
+    place = {n: F.expr(f"{p}BD * (_n - 1)") for n, p in ps.items()}
+    at = lambda rank: F.min(F.when(F.col("_upto") >= rank, F.col(value))).cast("double")
+    ends = {n: (at(F.floor(x) + 1).alias(f"_lo{n}"), at(F.ceil(x) + 1).alias(f"_hi{n}"), F.max(x - F.floor(x)).cast("double").alias(f"_p{n}")) for n, x in place.items()}
+    both = ranked.groupBy(*keys).agg(*(c for e in ends.values() for c in e))
+    return both.select(*keys, *((F.col(f"_lo{n}") + (F.col(f"_hi{n}") - F.col(f"_lo{n}")) * F.col(f"_p{n}")).alias(n) for n in ps))
+
+
 def _at_ranks(counts: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """Per key the values at ranks (of ``_n``, from 1), where keys are few: a histogram over leading digits
     tells in which slice a rank lies, and only these slices are ranked, each by itself."""

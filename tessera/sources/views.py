@@ -174,5 +174,8 @@ SQL = {
 def sql(body: str) -> str:
     """``body`` (a SELECT, or CTEs and a SELECT) on top of the views."""
     views = ",\n".join(f"{name} AS ({text})" for name, text in SQL.items())
-    glue = ",\n" if body.lstrip().upper().startswith("WITH ") else "\n"
-    return f"WITH {views}{glue}{body.lstrip()[5:] if glue[0] == ',' else body}"
+    body = body.lstrip()
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{views},\n{body[len(start):]}"
+    return f"WITH {views}\n{body}"
