@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import bucket, share, wei_text
 from tessera.operators import core
+from tessera.plans import fees
 from tessera.plans.charts import _TOP_PRICED, FIRST, LAST, NAMED, RANGE, SAVED, SLUG, WINDOWS, bucketed, named, percent_saved, top_or_other
 from tessera.plans.records import REPLACED, VC, t4
 from tessera.sources import views as V
@@ -34,22 +35,40 @@ def q7(spark, d):
     return t4(spark, d).orderBy(F.desc("replaced_at"), "replaced").limit(100)
 
 
-@query("q9_recent_blocks_pricing", "SELECT b.block_number, b.t, b.items, b.fee, p.producer, greatest(0, 6 - b.items) AS available, b.items >= 6 AS is_full FROM blocks b LEFT JOIN producers p USING (block_number) ORDER BY b.block_number DESC LIMIT 512")
+@query("q7_replacements_touching", REPLACED + ", e AS (SELECT * FROM r WHERE replacement IS NOT NULL) SELECT p.tx_hash, e.replaced, e.replacement, e.replaced_at FROM pending p JOIN e ON p.tx_hash IN (e.replaced, e.replacement)")
+def q7_touching(spark, d):
+    """Every transaction with the replacements that touch it on either side: each replacement goes to both."""
+    sides = t4(spark, d).select(F.explode(F.array("replaced", "replacement")).alias("tx_hash"), "replaced", "replacement", "replaced_at")
+    return V.pending(spark, d).select("tx_hash").join(sides, "tx_hash")
+
+
+@query("q9_recent_blocks_pricing", f"SELECT b.block_number, b.t, b.items, b.fee, p.producer, greatest(0, 6 - b.items) AS available, b.items >= 6 AS is_full, coalesce(s.stage, 'before') AS stage, CAST(s.target AS BIGINT) AS stage_target, CAST(s.cap AS BIGINT) AS stage_cap, (SELECT arg_max(fee, block_number) FROM blocks) AS current_fee FROM blocks b LEFT JOIN producers p USING (block_number) ASOF LEFT JOIN (SELECT * FROM {fees._SCHEDULE}) s ON b.t >= s.since ORDER BY b.block_number DESC LIMIT 512")
 def q9(spark, d):
-    """The newest blocks are taken first, so that the join sees 512 rows of one side."""
+    """The newest blocks are taken first, so that the joins see 512 rows of one side."""
     b = V.blocks(spark, d).orderBy(F.desc("block_number")).limit(512)
-    rows = b.join(V.producers(spark, d).select("block_number", "producer"), "block_number", "left")
-    return rows.select("block_number", "t", "items", "fee", "producer", F.greatest(F.lit(0), V.MAX - F.col("items")).alias("available"), (F.col("items") >= V.MAX).alias("is_full"))
+    rows = fees.staged(spark, b.join(V.producers(spark, d).select("block_number", "producer"), "block_number", "left"))
+    now = b.agg(F.max_by("fee", "block_number").alias("current_fee")).withColumn("_one", F.lit(1))
+    rows = rows.withColumn("_one", F.lit(1)).join(F.broadcast(now), "_one")
+    return rows.select("block_number", "t", "items", "fee", "producer", F.greatest(F.lit(0), V.MAX - F.col("items")).alias("available"), (F.col("items") >= V.MAX).alias("is_full"), F.coalesce("stage", F.lit("before")).alias("stage"), F.col("target").alias("stage_target"), F.col("cap").alias("stage_cap"), "current_fee")
+
+
+TIP = 128
+_STEPS, _LAST = fees.Q59_SQL.rsplit("SELECT block_number, CASE", 1)
 
 
-@query("q10_market_pressure", "SELECT count(*) AS blocks, count(*) FILTER (items > 3) AS above_target, round(CAST(count(*) FILTER (items >= 6) AS DOUBLE) * 100 / count(*), 6) AS at_max_percent, count(*) FILTER (block_number > (SELECT coalesce(max(block_number), -1) FROM blocks WHERE items < 6)) AS full_run, CASE WHEN sum(items) > 3 * count(*) THEN 'up' WHEN sum(items) < 3 * count(*) THEN 'down' ELSE 'flat' END AS direction FROM blocks")
+@query("q10_market_pressure", _STEPS.rstrip() + f""", nf AS (SELECT block_number, CASE{_LAST}), z AS (SELECT * FROM blocks ORDER BY block_number DESC LIMIT {TIP}), l AS (SELECT arg_max(items, block_number) AS newest FROM z)
+    SELECT count(*) AS blocks, count(*) FILTER (items > 3) AS above_target, round(CAST(count(*) FILTER (items >= 6) AS DOUBLE) * 100 / count(*), 6) AS at_max_percent, count(*) FILTER (block_number > (SELECT coalesce(max(block_number), -1) FROM z WHERE items < 6)) AS full_run, CASE WHEN (SELECT newest FROM l) > 3 THEN 'up' WHEN (SELECT newest FROM l) < 3 THEN 'down' ELSE 'flat' END AS direction,
+    (SELECT CAST(min(CAST(next_fee AS HUGEINT)) AS VARCHAR) FROM nf JOIN z USING (block_number)) AS low_fee, (SELECT CAST(max(CAST(next_fee AS HUGEINT)) AS VARCHAR) FROM nf JOIN z USING (block_number)) AS high_fee FROM z""")
 def q10(spark, d):
-    """The run of full blocks at the tip is what lies beyond the newest block with room."""
-    b = core.with_totals(V.blocks(spark, d), roomy=F.coalesce(F.max(F.when(F.col("items") < V.MAX, F.col("block_number"))), F.lit(-1)))
-    n, used = F.count(F.lit(1)), F.sum("items")
+    """Over the newest blocks: the run of full blocks at the tip is what lies beyond the newest block with room,
+    the direction is that of the newest block, and fees are those that each block's successor would have."""
+    b = V.blocks(spark, d).orderBy(F.desc("block_number")).limit(TIP)
+    rows = core.with_totals(fees.next_fees(spark, b), roomy=F.coalesce(F.max(F.when(F.col("items") < V.MAX, F.col("block_number"))), F.lit(-1)))
+    n, newest = F.count(F.lit(1)), F.max_by("items", "block_number")
     at_max = share(F.count_if(F.col("items") >= V.MAX), n)
-    way = F.when(used > V.TARGET * n, "up").when(used < V.TARGET * n, "down").otherwise("flat")
-    return b.agg(n.alias("blocks"), F.count_if(F.col("items") > V.TARGET).alias("above_target"), at_max.alias("at_max_percent"), F.count_if(F.col("block_number") > F.col("roomy")).alias("full_run"), way.alias("direction"))
+    way = F.when(newest > V.TARGET, "up").when(newest < V.TARGET, "down").otherwise("flat")
+    fee = F.col("next_fee").cast(V.WEI)
+    return rows.agg(n.alias("blocks"), F.count_if(F.col("items") > V.TARGET).alias("above_target"), at_max.alias("at_max_percent"), F.count_if(F.col("block_number") > F.col("roomy")).alias("full_run"), way.alias("direction"), wei_text(F.min(fee)).alias("low_fee"), wei_text(F.max(fee)).alias("high_fee"))
 
 
 def members(spark, d, since: int | None):

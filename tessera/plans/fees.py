@@ -57,24 +57,31 @@ def q60(spark, d):
     return staged(spark, V.blocks(spark, d)).select("block_number", F.coalesce("stage", F.lit("before")).alias("stage"))
 
 
-@query("q59_next_fee", f"""WITH RECURSIVE b AS (SELECT b.block_number, b.base_fee, b.excess, CAST(b.items * 131072 AS BIGINT) AS used, p.target, p.cap, p.fraction, p.reserve FROM (SELECT *, t + 12 AS t2 FROM blocks) b ASOF LEFT JOIN (SELECT * FROM {_SCHEDULE}) p ON b.t2 >= p.since),
+Q59_SQL = f"""WITH RECURSIVE b AS (SELECT b.block_number, b.base_fee, b.excess, CAST(b.items * 131072 AS BIGINT) AS used, p.target, p.cap, p.fraction, p.reserve FROM (SELECT *, t + 12 AS t2 FROM blocks) b ASOF LEFT JOIN (SELECT * FROM {_SCHEDULE}) p ON b.t2 >= p.since),
     e1(n, f, i, o, a) AS (SELECT DISTINCT CAST(excess AS HUGEINT), fraction, 1, CAST(0 AS HUGEINT), CAST(fraction AS HUGEINT) FROM b WHERE fraction IS NOT NULL UNION ALL SELECT n, f, i + 1, o + a, a * n // (CAST(f AS HUGEINT) * i) FROM e1 WHERE a > 0),
     f1 AS (SELECT n, f, o // f AS fee FROM e1 WHERE a = 0),
     c AS (SELECT b.*, CASE WHEN excess + used < target * 131072 THEN 0 WHEN reserve AND CAST(8192 AS HUGEINT) * base_fee > 131072 * f1.fee THEN excess + used * (cap - target) // cap ELSE excess + used - target * 131072 END AS next_excess FROM b LEFT JOIN f1 ON f1.n = b.excess AND f1.f = b.fraction),
     e2(n, f, i, o, a) AS (SELECT DISTINCT CAST(next_excess AS HUGEINT), fraction, 1, CAST(0 AS HUGEINT), CAST(fraction AS HUGEINT) FROM c WHERE fraction IS NOT NULL UNION ALL SELECT n, f, i + 1, o + a, a * n // (CAST(f AS HUGEINT) * i) FROM e2 WHERE a > 0),
     f2 AS (SELECT n, f, o // f AS fee FROM e2 WHERE a = 0)
-    SELECT block_number, CASE WHEN fraction IS NULL THEN NULL ELSE next_excess END AS next_excess, coalesce(CAST(f2.fee AS VARCHAR), '1') AS next_fee FROM c LEFT JOIN f2 ON f2.n = c.next_excess AND f2.f = c.fraction""")
+    SELECT block_number, CASE WHEN fraction IS NULL THEN NULL ELSE next_excess END AS next_excess, coalesce(CAST(f2.fee AS VARCHAR), '1') AS next_fee FROM c LEFT JOIN f2 ON f2.n = c.next_excess AND f2.f = c.fraction"""
+
+
+def next_fees(spark, blocks: DataFrame) -> DataFrame:
+    """``blocks`` with next_excess and next_fee."""
+    b = staged(spark, blocks.withColumn("t2", F.col("t") + 12), "t2").withColumn("used", F.col("items") * V.ITEM)
+    spare = F.expr("excess + used * (cap - target) div cap")
+    sum_, goal = F.col("excess") + F.col("used"), F.col("target") * V.ITEM
+    reserved = F.col("reserve") & (F.col("base_fee").cast("decimal(20,0)") * F.lit(ITEM_BASE_COST).cast("decimal(10,0)") > (F.col("now").cast("decimal(28,0)") * F.lit(V.ITEM).cast("decimal(9,0)")))
+    after = b.withColumn("now", fee_of("excess", "fraction").cast(V.WEI)).withColumn("next_excess", F.when(F.col("fraction").isNull(), F.lit(None)).when(sum_ < goal, 0).when(reserved, spare).otherwise(sum_ - goal).cast("long"))
+    return after.withColumn("next_fee", F.coalesce(fee_of("next_excess", "fraction"), F.lit(str(LEAST_FEE))))
+
+
+@query("q59_next_fee", Q59_SQL)
 def q59(spark, d):
     """The fee of the block that follows each one, under the schedule of its time. The excess falls by the target,
     or, where a reserve price from the execution fee holds, grows by the part of use above it. Before the
     schedule begins the least fee is taken."""
-    b = staged(spark, V.blocks(spark, d).withColumn("t2", F.col("t") + 12), "t2").withColumn("used", F.col("items") * V.ITEM)
-    now = fee_of("excess", "fraction").cast(V.WEI)
-    spare = F.expr("excess + used * (cap - target) div cap")
-    sum_, goal = F.col("excess") + F.col("used"), F.col("target") * V.ITEM
-    reserved = F.col("reserve") & (F.col("base_fee").cast("decimal(20,0)") * F.lit(ITEM_BASE_COST).cast("decimal(10,0)") > (F.col("now").cast("decimal(28,0)") * F.lit(V.ITEM).cast("decimal(9,0)")))
-    after = b.withColumn("now", now).withColumn("next_excess", F.when(F.col("fraction").isNull(), F.lit(None)).when(sum_ < goal, 0).when(reserved, spare).otherwise(sum_ - goal).cast("long"))
-    return after.select("block_number", "next_excess", F.coalesce(fee_of("next_excess", "fraction"), F.lit(str(LEAST_FEE))).alias("next_fee"))
+    return next_fees(spark, V.blocks(spark, d)).select("block_number", "next_excess", "next_fee")
 
 
 _NOTED = "(SELECT 1700000000 + (n_nationkey % 20) * 864000 AS since, n_nationkey % 7 - 1 AS target, n_nationkey % 7 + n_regionkey - 1 AS cap, CASE WHEN n_nationkey % 11 = 0 THEN 0 ELSE 3338477 + n_regionkey * 100 END AS fraction, n_nationkey AS id FROM nation)"

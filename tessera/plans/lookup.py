@@ -322,3 +322,25 @@ def x_duration(spark, d):
     unit = F.when(e % 7 == 0, "m").when(e % 7 == 1, "h").when(e % 7 == 2, "D ").when(e % 7 == 3, "s").when(e % 7 == 4, "").when(e % 7 == 5, "dd").otherwise(" h")
     rows = V.read(spark, d, "events").select(F.concat((e % 45).cast("string"), unit).alias("text")).distinct()
     return rows.select("text", X.duration(F.col("text")).alias("seconds"))
+
+
+ARTIFACT = "schema_version int, submission_chain string, addresses map<string, array<struct<entity_id: string, name: string, status: string>>>"
+
+
+def read_claims(texts: DataFrame, column: str, version: int, chain: str) -> DataFrame:
+    """Claims of label files: one row per address and claim. Files of another version or chain give none, nor do
+    claims without name or id; addresses are lower-cased."""
+    a = texts.select(F.from_json(column, ARTIFACT).alias("a")).where((F.col("a.schema_version") == version) & (F.col("a.submission_chain") == chain))
+    rows = a.select(F.explode("a.addresses").alias("address", "claims")).select(F.lower("address").alias("address"), F.explode("claims").alias("c"))
+    return rows.select("address", "c.*").where("coalesce(trim(name), '') <> '' AND coalesce(trim(entity_id), '') <> ''")
+
+
+@query("src4_read_claims", "SELECT lower('0xS' || c_custkey) AS address, 'e' || (c_custkey % 50) AS entity_id, 'Name ' || (c_custkey % 50) AS name, CASE WHEN c_custkey % 5 = 0 THEN 'disputed' ELSE 'active' END AS status FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 11 <> 0 AND c_nationkey % 6 <> 1 AND c_nationkey % 9 <> 2")
+def src4(spark, d):
+    """The customers of each nation, written as one label file, read back."""
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    claim = F.struct(F.when(k % 11 != 0, F.concat(F.lit("e"), k % 50)).alias("entity_id"), F.when(k % 7 == 0, " ").otherwise(F.concat(F.lit("Name "), k % 50)).alias("name"), F.when(k % 5 == 0, "disputed").otherwise("active").alias("status"))
+    entries = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("0xS"), k), F.array(claim))))
+    files = V.read(spark, d, "customer").groupBy("c_nationkey", F.floor(k / 1000)).agg(entries.alias("addresses"))
+    text = F.to_json(F.struct(F.when(n % 6 == 1, 2).otherwise(1).alias("schema_version"), F.when(n % 9 == 2, "eip155:5").otherwise("eip155:1").alias("submission_chain"), "addresses"))
+    return read_claims(files.select(text.alias("text")), "text", 1, "eip155:1")

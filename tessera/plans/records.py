@@ -116,30 +116,6 @@ def mnt19(spark, d):
     return asked.join(gaps, ["a", "b"], "left").select("a", "b", F.coalesce("m", F.col("b") + 1).alias("first_missing"))
 
 
-@query("mnt4_block_rollup", "SELECT g AS seconds, t - t % g AS bucket, count(*) AS blocks, CAST(sum(items) AS BIGINT) AS items, quantile_disc(fee, 0.5) AS median_fee, quantile_disc(fee, 0.95) AS p95_fee, count(*) FILTER (items > 3) AS above_target, count(*) FILTER (items >= 6) AS at_max, CAST(sum(base_fee) AS BIGINT) AS fee_sum, count(*) FILTER (base_fee > 0) AS fee_blocks FROM blocks, (SELECT unnest([3600, 21600, 86400]) AS g) GROUP BY 1, 2")
-def mnt4(spark, d):
-    g = V.blocks(spark, d).withColumn("seconds", F.explode(F.array(*map(F.lit, (3600, 21600, 86400))))).withColumn("bucket", F.col("t") - F.pmod("t", "seconds"))
-    keys = ["seconds", "bucket"]
-    sums = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("blocks"), F.sum("items").alias("items"), F.count_if(F.col("items") > V.TARGET).alias("above_target"), F.count_if(F.col("items") >= V.MAX).alias("at_max"), F.sum("base_fee").alias("fee_sum"), F.count_if(F.col("base_fee") > 0).alias("fee_blocks"))
-    return sums.join(core.disc_percentiles(g, keys, "fee", median_fee="0.5", p95_fee="0.95"), keys)
-
-
-@query("mnt5_item_rollup", f"SELECT t - t % 3600 AS bucket, actor, count(*) AS items, {VC.format('sum(cost)')} AS cost FROM facts GROUP BY 1, 2")
-def mnt5(spark, d):
-    """Two batches merged by signed deltas equal the whole computed at once."""
-    f = V.facts(spark, d)
-    old, new = (core.rollup(f.where(f"block_number % 2 = {i}"), 3600) for i in (0, 1))
-    return core.merge(old, new, ["bucket", "actor"], ["items", "cost"]).select("bucket", "actor", "items", wei_text(F.col("cost")).alias("cost"))
-
-
-@query("mnt3_actor_totals", f"SELECT actor, count(*) AS items, {VC.format('sum(cost)')} AS cost FROM facts WHERE block_number >= 100 GROUP BY 1")
-def mnt3(spark, d):
-    """The totals of all blocks, then the rows of the first hundred taken out again."""
-    f = V.facts(spark, d)
-    totals = lambda r, sign: r.groupBy("actor").agg((sign * F.count(F.lit(1))).alias("items"), (sign * F.sum("cost")).cast(V.WEI).alias("cost"))
-    return core.merge(totals(f, F.lit(1)), totals(f.where("block_number < 100"), F.lit(-1)), ["actor"], ["items", "cost"]).select("actor", "items", wei_text(F.col("cost")).alias("cost"))
-
-
 SCORE = "(CASE status WHEN 'active' THEN 100 WHEN 'disputed' THEN -100 ELSE 0 END + CASE confidence WHEN 'confirmed' THEN 30 WHEN 'probable' THEN 20 WHEN 'possible' THEN 10 ELSE 0 END)"
 
 
@@ -199,17 +175,31 @@ def q11(spark, d):
     return one.join(core.disc_percentiles(p, ["one"], "max_fee", median_fee="0.5", p95_fee="0.95"), "one", "left").join(more, "one").drop("one")
 
 
-@query("q1_latest_items", "SELECT block_number, item_index, tx_hash, actor FROM facts ORDER BY block_number DESC, item_index LIMIT 100")
+_SIBLINGS = "SELECT p.block_number, p.item_index, p.tx_hash, p.actor, l.hashes FROM p JOIN (SELECT block_number, tx_hash, string_agg(content_hash, ',' ORDER BY item_index) AS hashes FROM facts GROUP BY 1, 2) l USING (block_number, tx_hash)"
+
+
+def siblings(facts, page):
+    """The rows of a page (of bounded length) with the hashes of all items of their transactions: only the page's
+    blocks are looked at."""
+    held = facts.join(F.broadcast(page.select("block_number", "tx_hash").distinct()), ["block_number", "tx_hash"], "left_semi")
+    lists = held.groupBy("block_number", "tx_hash").agg(F.array_sort(F.collect_list(F.struct("item_index", "content_hash"))).alias("l"))
+    rows = page.join(lists, ["block_number", "tx_hash"])
+    return rows.select("block_number", "item_index", "tx_hash", "actor", F.array_join("l.content_hash", ",").alias("hashes"))
+
+
+@query("q1_latest_items", "WITH p AS (SELECT * FROM facts ORDER BY block_number DESC, item_index LIMIT 100) " + _SIBLINGS)
 def q1(spark, d):
-    return V.facts(spark, d).orderBy(F.desc("block_number"), "item_index").limit(100).select("block_number", "item_index", "tx_hash", "actor")
+    f = V.facts(spark, d)
+    return siblings(f, f.orderBy(F.desc("block_number"), "item_index").limit(100).select("block_number", "item_index", "tx_hash", "actor"))
 
 
-@query("q3_items_by_actors", "SELECT block_number, item_index, actor FROM facts WHERE actor IN ('0xS1', '0xS5', '0xS9') ORDER BY t DESC, block_number DESC, item_index LIMIT 50 OFFSET 10")
+@query("q3_items_by_actors", "WITH p AS (SELECT * FROM facts WHERE actor IN ('0xS1', '0xS5', '0xS9') ORDER BY t DESC, block_number DESC, item_index LIMIT 50 OFFSET 10) " + _SIBLINGS)
 def q3(spark, d):
-    """Each actor's newest rows first (pruned before the shuffle), then the page of all."""
-    rows = V.facts(spark, d).where(F.col("actor").isin("0xS1", "0xS5", "0xS9"))
+    """Each actor's newest rows first (pruned before the shuffle), then the page of all, then its hashes."""
+    f = V.facts(spark, d)
     order = [F.desc("t"), F.desc("block_number"), F.col("item_index")]
-    return core.top_k(rows, ["actor"], order, 60).orderBy(*order).offset(10).limit(50).select("block_number", "item_index", "actor")
+    page = core.top_k(f.where(F.col("actor").isin("0xS1", "0xS5", "0xS9")), ["actor"], order, 60).orderBy(*order).offset(10).limit(50)
+    return siblings(f, page.select("block_number", "item_index", "tx_hash", "actor"))
 
 
 @query("q4_pending_items", "SELECT tx_hash, actor, nonce, items, seen FROM pending ORDER BY seen DESC, tx_hash LIMIT 100")
@@ -217,11 +207,35 @@ def q4(spark, d):
     return V.pending(spark, d).orderBy(F.desc("seen"), "tx_hash").limit(100).select("tx_hash", "actor", "nonce", "items", "seen")
 
 
-@query("q8_block_detail", f"SELECT b.block_number, b.items, p.producer, {VC.format('p.payment')} AS payment, x.actors FROM blocks b JOIN producers p USING (block_number) LEFT JOIN (SELECT block_number, string_agg(actor, ',' ORDER BY item_index) AS actors FROM facts GROUP BY 1) x USING (block_number)")
+@query("q4_pending_by_actors", "SELECT tx_hash, actor, nonce, items, seen FROM pending WHERE actor IN ('0xS1', '0xS5', '0xS9') ORDER BY seen DESC, tx_hash LIMIT 100")
+def q4_actors(spark, d):
+    """Of one or several actors: of each the newest, then the newest of all."""
+    order = [F.desc("seen"), F.col("tx_hash")]
+    rows = core.top_k(V.pending(spark, d).where(F.col("actor").isin("0xS1", "0xS5", "0xS9")), ["actor"], order, 100)
+    return rows.orderBy(*order).limit(100).select("tx_hash", "actor", "nonce", "items", "seen")
+
+
+BOUND = ["0xS9", "0xS1", "0xS5", "0xNONE"]
+
+
+@query("src6_bind_table", "WITH k AS (SELECT unnest(range(1, 5)) AS place, unnest(['0xS9', '0xS1', '0xS5', '0xNONE']) AS actor) SELECT k.place, k.actor, count(f.actor) AS items FROM k LEFT JOIN facts f ON f.actor = k.actor GROUP BY 1, 2")
+def src6(spark, d):
+    """A list that comes with a request is a table with places; the facts are cut down to it before they are counted."""
+    listed = spark.range(1).select(F.posexplode(F.array(*map(F.lit, BOUND))).alias("place", "actor")).withColumn("place", (F.col("place") + 1).cast("long"))
+    counts = V.facts(spark, d).where(F.col("actor").isin(BOUND)).groupBy("actor").agg(F.count(F.lit(1)).alias("items"))
+    return listed.join(counts, "actor", "left").select("place", "actor", F.coalesce("items", F.lit(0)).alias("items"))
+
+
+@query("q8_block_detail", f"SELECT b.block_number, b.items, p.producer, {VC.format('p.payment')} AS payment, x.actors, coalesce(m.missed, 0) AS missed, m.missed_txs FROM blocks b JOIN producers p USING (block_number) LEFT JOIN (SELECT block_number, string_agg(actor, ',' ORDER BY item_index) AS actors FROM facts GROUP BY 1) x USING (block_number) LEFT JOIN (SELECT block_number, count(*) AS missed, string_agg(tx_hash || ':' || reason, ',' ORDER BY tip DESC NULLS LAST, tx_hash) AS missed_txs FROM candidates GROUP BY 1) m USING (block_number)")
 def q8(spark, d):
-    lists = V.facts(spark, d).groupBy("block_number").agg(F.array_sort(F.collect_list(F.struct("item_index", "actor"))).alias("l"))  # a block holds a bounded number of items
-    rows = V.blocks(spark, d).select("block_number", "items").join(V.producers(spark, d).select("block_number", "producer", "payment"), "block_number").join(lists, "block_number", "left")
-    return rows.select("block_number", "items", "producer", wei_text(F.col("payment")).alias("payment"), F.array_join("l.actor", ",").alias("actors"))
+    """Each block with its items, its producer, and what it left out, the best tips first. A block holds a bounded
+    number of items, and what waited an hour at most."""
+    lists = V.facts(spark, d).groupBy("block_number").agg(F.array_sort(F.collect_list(F.struct("item_index", "actor"))).alias("l"))
+    left = F.array_sort(F.collect_list(F.struct(F.col("tip").isNull().alias("none"), (-F.coalesce("tip", F.lit(0))).alias("tip"), "tx_hash", "reason")))
+    missed = V.candidates(spark, d).groupBy("block_number").agg(F.count(F.lit(1)).alias("missed"), left.alias("m"))
+    rows = V.blocks(spark, d).select("block_number", "items").join(V.producers(spark, d).select("block_number", "producer", "payment"), "block_number").join(lists, "block_number", "left").join(missed, "block_number", "left")
+    shown = F.array_join(F.transform("m", lambda x: F.concat(x["tx_hash"], F.lit(":"), x["reason"])), ",")
+    return rows.select("block_number", "items", "producer", wei_text(F.col("payment")).alias("payment"), F.array_join("l.actor", ",").alias("actors"), F.coalesce("missed", F.lit(0)).alias("missed"), shown.alias("missed_txs"))
 
 
 _OCCUPIED = "SELECT block_number, items, CASE WHEN params_target > 0 THEN params_target ELSE target_gas // 131072 END AS target, CASE WHEN params_max > 0 THEN params_max ELSE limit_gas // 131072 END AS cap FROM blocks"
