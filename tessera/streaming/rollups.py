@@ -1,13 +1,20 @@
-"""Streaming rollups: event-time buckets with a watermark, and sinks that may see a batch twice."""
+"""Streaming rollups: event-time buckets with a watermark, and sinks that may see a batch twice.
+
+Sinks keep tables as Parquet partitioned by a bucket. A batch rewrites only the partitions that it touches:
+their new content is computed into a staging folder of the batch's number, and put in place by a dynamic
+partition overwrite. A batch that is repeated after a failure computes the same content again, so nothing
+is counted twice, and no more than the touched partitions is read or written.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from tessera.operators import core
 
-EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string"
+GRAINS = (60, 3600, 21600, 86400)
 
 
 def read_items(spark: SparkSession, path: str, schema, files_per_trigger: int = 16) -> DataFrame:
@@ -21,20 +28,107 @@ def tumbling(items: DataFrame, time: str, key: str, seconds: int, late: str = "4
     return items.withWatermark(time, late).groupBy(w, key).agg(F.count(F.lit(1)).alias("items")).select(F.col("window.start").alias("bucket"), key, "items")
 
 
+def grained(items: DataFrame, time: str, key: str, grains: tuple[int, ...] = GRAINS, late: str = "48 hours") -> DataFrame:
+    """Counts per grain, bucket and key in one aggregation: each row goes to the buckets of all grains, whose
+    starts are multiples of the grain since the epoch. State is kept for ``late`` behind the newest row."""
+    start = lambda g: F.timestamp_seconds(F.unix_seconds(F.col(time)) - F.pmod(F.unix_seconds(F.col(time)), F.lit(g)))
+    rows = items.withWatermark(time, late).withColumn("g", F.explode(F.array(*(F.struct(F.lit(g).alias("seconds"), start(g).alias("bucket")) for g in grains))))
+    return rows.groupBy(F.col("g.seconds").alias("seconds"), F.col("g.bucket").alias("bucket"), key).agg(F.count(F.lit(1)).alias("items"))
+
+
 def first_seen(items: DataFrame, time: str, keys: list[str], late: str = "48 hours") -> DataFrame:
-    """Each key once, as long as the watermark remembers it."""
+    """Each key once, as long as the watermark remembers it: rows that a trailing scan reads again add nothing."""
     return items.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
-def upsert_sink(path: str, keys: list[str]):
-    """A foreachBatch function that upserts into ``path`` by versions: batch n reads version n - 1 and
-    writes version n, so a batch that is repeated after a failure gives the same table."""
+def stored(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The table at ``path``, empty before its first batch."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def replace_partitions(new: DataFrame, path: str, part: str, batch_id: int) -> None:
+    """Puts ``new`` in place of the partitions that it holds rows of."""
+    spark = new.sparkSession
+    staging = f"{path}-staging/batch={batch_id}"
+    new.write.mode("overwrite").parquet(staging)
+    spark.read.schema(new.schema).parquet(staging).repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+
+
+def upsert_sink(path: str, keys: list[str], part: Column | None = None, newest: str | None = None):
+    """A foreachBatch function that puts rows in place of stored ones of the same keys. ``part`` gives the
+    partition of a row (one for all by default); of rows of one key in a batch the greatest by ``newest`` counts,
+    else the greatest as a whole, so that the choice is the same when the batch is repeated."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        columns = batch.columns
+        order = F.struct(*(c for c in ([newest] if newest else []) + columns))
+        one = batch.groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("r")).select("r.*")
+        rows = one.withColumn("part", F.lit(0) if part is None else part.cast("long"))
+        old = stored(batch.sparkSession, path, rows.schema)
+        near = old.join(F.broadcast(rows.select("part").distinct()), "part", "left_semi").select(rows.columns)
+        replace_partitions(core.upsert(near, rows, keys).select(rows.columns), path, "part", batch_id)
+
+    return write
+
+
+def block_sink(paths: dict[str, str], block: str = "block_number", chunk: int = 1000):
+    """A foreachBatch function for batches of items (all rows of their blocks): in the tables ``items`` and
+    ``blocks`` the rows of these blocks are replaced as a whole, so surplus rows of an earlier state go."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.withColumn("part", F.floor(F.col(block) / chunk))
+        tables = {"items": batch, "blocks": batch.groupBy(block, "part").agg(F.count(F.lit(1)).alias("n"))}
+        for name, rows in tables.items():
+            rows = rows.distinct()
+            old = stored(batch.sparkSession, paths[name], rows.schema)
+            near = old.join(F.broadcast(rows.select("part").distinct()), "part", "left_semi")
+            kept = near.join(rows.select(block).distinct(), block, "left_anti").select(rows.columns)
+            replace_partitions(kept.unionByName(rows), paths[name], "part", batch_id)
+
+    return write
+
+
+def change_feed(path: str, block: str = "block_number", item: str = "item_index"):
+    """A foreachBatch function that writes one JSON event per block, with its items in order. A repeated batch
+    writes the same events over its own folder; the folder's number is the commit order."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rest = [c for c in batch.columns if c not in (block, item)]
+        held = F.array_sort(F.collect_list(F.struct(item, *rest)))
+        events = batch.groupBy(block).agg(held.alias("items")).select(block, F.to_json(F.struct(block, "items")).alias("event"))
+        events.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
+
+
+def diff_sink(path: str, keys: list[str]):
+    """A foreachBatch function for snapshots: writes what came and went since the one before, one row a key; the
+    first one is silent. Snapshots are kept by batch, so a repeated batch compares with the same one."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        now = batch.select(*keys).distinct()
+        now.write.mode("overwrite").parquet(f"{path}/seen/batch={batch_id}")
+        now = batch.sparkSession.read.schema(now.schema).parquet(f"{path}/seen/batch={batch_id}")
+        before = now if batch_id == 0 else stored(batch.sparkSession, f"{path}/seen/batch={batch_id - 1}", now.schema)
+        core.set_diff(before, now, keys).write.mode("overwrite").parquet(f"{path}/events/batch={batch_id}")
+
+    return write
+
+
+def totals_sink(read, path: str, every: int = 1):
+    """A foreachBatch function that recomputes figures after new rows: ``read(spark)`` gives name -> DataFrame;
+    names that end in ``*`` are refreshed at every ``every``-th batch only."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = batch.dropDuplicates(keys)
-        if batch_id > 0:
-            new = core.upsert(spark.read.schema(batch.schema).parquet(f"{path}/v={batch_id - 1}"), new, keys)
-        new.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        if batch.isEmpty():
+            return
+        for name, rows in read(batch.sparkSession).items():
+            if not name.endswith("*") or batch_id % every == 0:
+                rows.write.mode("overwrite").parquet(f"{path}/{name.rstrip('*')}/batch={batch_id}")
 
     return write

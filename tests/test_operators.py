@@ -1,19 +1,16 @@
 """Small fixtures for operators, and invariants."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tessera.functions import exprs as X
 from tessera.operators import core
-from tessera.streaming import rollups
 
 
 def test_islands_are_stitched_over_range_borders(spark):
-    counts = {100: 1, 101: 4, 102: 6, 103: 6, 104: 6, 105: 2, 106: 5, 107: 3, 108: 6, 109: 6}
+    counts = {7: 2, 8: 6, 9: 6, 10: 6, 11: 6, 12: 0, 13: 6, 14: 5, 15: 6, 16: 7}
     rows = spark.createDataFrame([("full", n) for n, c in counts.items() if c >= 6], "kind string, n long")
     for span in (1, 3, 100):
-        assert sorted(map(tuple, core.islands(rows, ["kind"], "n", span).select("first", "last", "length").collect())) == [(102, 104, 3), (108, 109, 2)]
+        assert sorted(map(tuple, core.islands(rows, ["kind"], "n", span).select("first", "last", "length").collect())) == [(8, 11, 4), (13, 13, 1), (15, 16, 2)]
 
 
 def test_percentiles_are_exact_beyond_doubles(spark):
@@ -31,20 +28,56 @@ def test_merge_drops_keys_without_sums(spark):
 
 def test_expressions(spark):
     row = spark.range(1).select(
-        X.units(F.lit("12582916194304").cast("decimal(38,0)"), 9).alias("u"), X.slug(F.lit(" Rollup  X! ")).alias("s"), X.share(F.lit(1), F.lit(3)).alias("p"),
+        X.units(F.lit("70000000000000123").cast("decimal(38,0)"), 9).alias("u"), X.slug(F.lit(" Rollup  X! ")).alias("s"), X.share(F.lit(1), F.lit(3)).alias("p"),
         X.share(F.lit(1), F.lit(0)).alias("z"), X.effective_tip(F.lit(5), F.lit(None).cast("long"), F.lit(1)).alias("t"), X.units(F.lit(10**9), 9).alias("one"),
     ).first()
-    assert (row.u, row.s, row.p, row.z, row.t, row.one) == ("12582.916194304", "rollup_x", 33.333333, 0.0, None, "1")
-
-
-def test_streaming_rollup_equals_batch(spark):
-    src, out, check = (tempfile.mkdtemp() for _ in range(3))
-    rows = spark.sql("SELECT timestamp_seconds(1700000000 + id * 40) AS ts, id % 3 AS k FROM range(200)")
-    rows.repartition(4).write.mode("overwrite").parquet(src)
-    stream = rollups.tumbling(rollups.read_items(spark, src, rows.schema, 1), "ts", "k", 600)
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", check).foreachBatch(rollups.upsert_sink(out, ["bucket", "k"])).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    last = max(int(p.rsplit("=", 1)[1]) for p in __import__("glob").glob(f"{out}/v=*"))
-    got = {(r.bucket, r.k): r["items"] for r in spark.read.parquet(f"{out}/v={last}").collect()}
-    want = {(r.b, r.k): r.n for r in rows.groupBy(F.window("ts", "600 seconds").start.alias("b"), "k").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert got == want
+    assert (row.u, row.s, row.p, row.z, row.t, row.one) == ("70000000.000000123", "rollup_x", 33.333333, 0.0, None, "1")
+
+
+def test_reasons_take_the_first_rule_and_unknown_caps_never_price_out(spark):
+    from tessera.sources import views as V
+
+    # age, nonce, lowest, max_fee, fee, max_exec, base_fee, wanted, items
+    rows = [(59, 1, 1, 9, 5, 9, 5, 1, 0), (60, 2, 1, 1, 5, 1, 5, 9, 6), (60, None, 1, None, 5, None, 5, 1, 0), (60, 1, None, 4, 5, 1, 5, 1, 0), (60, 1, 1, 5, 5, 4, 5, 1, 0), (60, 1, 1, 5, 5, 4, 0, 1, 0), (60, 1, 1, 5, 5, 5, 5, 2, 5), (60, 1, 1, 5, 5, 5, 5, 1, 5)]
+    names = ["age", "nonce", "lowest", "max_fee", "fee", "max_exec", "base_fee", "wanted", "items"]
+    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + ", ".join(f"{n} long" for n in names))
+    got = [r[1] for r in sorted(table.select("i", V.reason(*(F.col(n) for n in names))).collect())]
+    assert got == ["too_recent", "nonce_gap", "eligible", "priced_out_item_fee", "priced_out_exec_fee", "eligible", "no_room", "eligible"]
+
+
+def test_percentiles_of_few_keys_equal_those_of_many(spark):
+    rows = spark.sql("SELECT id % 3 AS k, (id * 7919 % 1000) * (id * 7919 % 1000) * 12345678901 AS v FROM range(3000)")
+    one, two = (f(rows, ["k"], "v", p05="0.05", p50="0.5", p95="0.95").orderBy("k").collect() for f in (core.disc_percentiles, core.few_disc_percentiles))
+    assert one == two
+    one, two = (f(rows, ["k"], "v", p10="0.1", p50="0.5").orderBy("k").collect() for f in (core.cont_percentiles, core.few_cont_percentiles))
+    assert [tuple(r) for r in one] == [tuple(r) for r in two]
+
+
+def test_amounts_and_texts(spark):
+    row = spark.range(1).select(
+        X.units(F.lit("12x"), 9).alias("bad"), X.units(F.lit(""), 9).alias("empty"), X.units(F.lit("-0015"), 2).alias("below"), X.percent_text(F.lit(1), F.lit(3)).alias("third"), X.percent_text(F.lit(-2), F.lit(3)).alias("minus"), X.percent_text(F.lit(1), F.lit(0)).alias("none"),
+        X.slot(F.lit(100), 40, 12).alias("own"), X.slot(F.lit(100), 40, 12, F.lit(7)).alias("kept"), X.slot(F.lit(10), 40, 12).alias("early"), X.extra_text(F.lit("0x416220")).alias("text"), X.extra_text(F.lit("0x41ff")).alias("raw"), X.extra_text(F.lit("zz")).alias("junk"),
+        X.producer_label(F.lit("0x"), F.lit(" "), []).alias("nobody"),
+    ).first()
+    assert (row.bad, row.empty, row.below, row.third, row.minus, row.none) == ("", "", "-0.15", "33.333333", "-66.666667", None)
+    assert (row.own, row.kept, row.early, row.text, row.raw, row.junk, row.nobody.key) == (5, 7, None, "Ab", "", "", "addr:unknown")
+
+
+def test_fees_and_schedules(spark):
+    from tessera.plans import fees
+
+    assert [fees.fake_exponential(n, d) for n, d in ((0, 3338477), (3338477, 3338477), (10 * 3338477, 3338477))] == [1, 2, 22026]
+    table = lambda rows: spark.createDataFrame(rows, "since long, target long, cap long, fraction long")
+    built = fees.build(table([(0, 3, 6, 1), (10, 6, 9, 2)]), table([(10, 7, 9, 2), (20, 7, 9, 2), (30, 9, 12, 2)])).orderBy("since").collect()
+    assert [tuple(r) for r in built] == [(0, 3, 6, 1, 20), (10, 7, 9, 2, 20), (30, 9, 12, 2, 20)]
+    left = fees.reconcile(table([(0, 1, 1, 1), (50, 1, 1, 1), (60, 1, 1, 1)]), table([(60, 2, 2, 2)]), now=20).orderBy("since").collect()
+    assert [(r.since, r.target) for r in left] == [(0, 1), (60, 2)]
+
+
+def test_waiting_begins_with_the_next_block(spark):
+    from tessera.plans import inclusion
+
+    blocks = spark.createDataFrame([(1, 100), (2, 86300), (5, 3 * 86400 + 5)], "block_number long, t long")
+    asked = spark.createDataFrame([("a", 50), ("b", 100), ("c", 101), ("d", 86301), ("e", 2 * 86400), ("f", 4 * 86400)], "tx_hash string, seen long")
+    got = dict(map(lambda r: (r.tx_hash, r.from_block), inclusion.first_at_or_after(blocks, asked, "tx_hash", "seen").collect()))
+    assert got == {"a": 1, "b": 1, "c": 2, "d": 5, "e": 5, "f": None}
