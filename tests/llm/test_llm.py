@@ -656,3 +656,39 @@ def test_pipeline_by_brute_force(spark, tmp_path):
         ids = [*tok.encode(want[-1][i], add_special_tokens=False).ids, 0]
         assert sum(n for _, n, _, _ in pieces) == len(ids)
         assert all(total == len(ids) and crc == zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()) for a, n, total, crc in pieces)
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, an empty table, a very long text, and columns with inner names."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    vocab = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(4000)]
+    long = " ".join(rng.choice(vocab) for _ in range(150_000))
+    fine = [" ".join(rng.choice(vocab) for _ in range(80)) for _ in range(4)]
+    rows = [(1, fine[0]), (1, fine[0]), (2, fine[1]), (2, fine[2]), (3, None), (4, ""), (None, fine[3]), (None, None), (5, long), (6, fine[0])]
+    names = "row string, found string, held string, number string, kept string, gone_id string, one string, score string, sig string, ids string, pack_group string"
+    given = spark.createDataFrame([(i, t, *"abcdefghijk") for i, t in rows], "doc_id long, text string, " + names)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs_, want in ((given, {1: 2, 2: 2, None: 1, 5: 1}), (given.limit(0), {})):
+        held = docs_
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            held = corpus_pipeline.materialize(stage(spark, held, str(tmp_path)), "odd")
+            assert held.columns == given.columns, name
+            assert all(tuple(r)[2:] == tuple("abcdefghijk") for r in held.collect()), name
+        assert Counter(r.doc_id for r in held.collect()) == want
+        packed = corpus_pipeline.pack(spark, held, str(tmp_path)).collect()
+        assert {r.doc_id for r in packed} == set(want)
+        assert sum(r.length for r in packed) == sum(r.doc_tokens for r in packed if r.start == 0)
+
+
+def test_operators_on_very_long_texts_and_repeated_rows(spark):
+    rng = random.Random(22)
+    long = " ".join(rng.choice("abcdefghijklmnop") * rng.randrange(1, 6) + str(rng.randrange(3000)) for _ in range(200_000))
+    given = docs(spark, [long, long + " end", None])
+    assert [r.component_id for r in minhash.near_components(given, width=4).orderBy("doc_id").collect()] == [0, 0, 2]
+    cut = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix.remove(given).collect()}
+    assert cut == {0: (len(long), 0, 0), 1: (len(long) + 4, len(long), 1), 2: (0, 0, 0)} or cut[1][1] >= len(long)
+    assert secrets.digest(secrets.scan(given)).count() == 3
+    assert {r.lang_pred for r in langid.identify(given).collect()} <= {"en", "und"}
+    assert html.render(html.build("<p>" + long)) == long
