@@ -1,7 +1,13 @@
 """A corpus from raw documents to packed sequences, as stages that can be run, checked and repeated alone.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
-again as the next one's docs. All but the last return the columns of documents.
+again as the next one's docs. All but the last return the columns of documents, whatever they are called.
+
+Defined results: texts that are null, empty or shorter than the base rules ask go in the first stage, and
+with them most junk; rows without doc_id take part in no dedup and stay; rows that repeat a doc_id stay or
+go together; equal texts of different ids leave the smallest id; a text of which suffix dedup leaves nothing
+goes; ``n_chars``, where it is a column, is counted anew when a text changes; an empty table gives no rows
+at any stage. Packing reads doc_id and text only.
 """
 
 from __future__ import annotations
