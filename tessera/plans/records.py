@@ -28,17 +28,32 @@ KINDS = "SELECT block_number AS n, unnest(CASE WHEN items >= 6 THEN ['full', 'ab
 RUNS = f"WITH k AS ({KINDS}), g AS (SELECT kind, n, n - row_number() OVER (PARTITION BY kind ORDER BY n) AS grp FROM k), r AS (SELECT kind, min(n) AS first, max(n) AS last, count(*) AS length FROM g GROUP BY kind, grp)"
 
 
+def kinds(spark, d):
+    """Blocks by kind: full, above target, without items, below target."""
+    i = F.col("items")
+    of = F.when(i >= V.MAX, F.array(F.lit("full"), F.lit("above_target"))).when(i > V.TARGET, F.array(F.lit("above_target"))).when(i == 0, F.array(F.lit("drought"), F.lit("below_target"))).when(i < V.TARGET, F.array(F.lit("below_target")))
+    return V.blocks(spark, d).select(F.col("block_number").alias("n"), F.explode(of).alias("kind"))
+
+
 def streaks(spark, d):
     """Maximal runs of blocks per kind."""
-    i = F.col("items")
-    kinds = F.when(i >= V.MAX, F.array(F.lit("full"), F.lit("above_target"))).when(i > V.TARGET, F.array(F.lit("above_target"))).when(i == 0, F.array(F.lit("drought"), F.lit("below_target"))).when(i < V.TARGET, F.array(F.lit("below_target")))
-    rows = V.blocks(spark, d).select(F.col("block_number").alias("n"), F.explode(kinds).alias("kind"))
-    return core.islands(rows, ["kind"], "n", span=1000)
+    return core.islands(kinds(spark, d), ["kind"], "n", span=1000)
+
+
+def after_change(stored, rows, first: int, span: int = 1000):
+    """Stored runs after all blocks from ``first`` on have changed: runs that end there or adjoin are dropped, and
+    what they and the change cover is rebuilt. Per kind, one number says how far back that reaches."""
+    gone = stored.where(F.col("last") >= first - 1)
+    back = gone.groupBy("kind").agg(F.min("first").alias("back"))
+    near = rows.join(F.broadcast(back), "kind", "left").where(F.col("n") >= F.least(F.coalesce("back", F.lit(first)), F.lit(first))).select("kind", "n")
+    return stored.where(F.col("last") < first - 1).unionByName(core.islands(near, ["kind"], "n", span))
 
 
 @query("mnt6_streaks", RUNS + " SELECT kind, first, last, length FROM r")
 def mnt6(spark, d):
-    return streaks(spark, d).select("kind", "first", "last", "length")
+    """Runs kept up to block 2500, then brought up to date."""
+    rows = kinds(spark, d)
+    return after_change(core.islands(rows.where("n < 2500"), ["kind"], "n", span=1000), rows, 2500).select("kind", "first", "last", "length")
 
 
 @query("q49_records_streaks", RUNS + " SELECT kind, first, last, length, rank, last = (SELECT max(block_number) FROM blocks) AS open FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY length DESC, last DESC) AS rank FROM r) WHERE rank <= 5 OR last = (SELECT max(block_number) FROM blocks)")

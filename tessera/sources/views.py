@@ -117,17 +117,20 @@ def reason(age: Column, nonce: Column, lowest: Column, max_fee: Column, fee: Col
     return rules.when((base_fee > 0) & (max_exec < base_fee), "priced_out_exec_fee").when(items + wanted > MAX, "no_room").otherwise("eligible")
 
 
-def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def missed(p: DataFrame, b: DataFrame) -> DataFrame:
     """Pending items and the blocks that they lived through without being taken. Pending rows go to the
     block-time slots of their life (at most six), so the interval join is an equality join."""
-    p = pending(spark, sf_dir).withColumn("lowest", F.min("nonce").over(Window.partitionBy("actor"))).withColumnRenamed("items", "wanted")
+    p = p.withColumn("lowest", F.min("nonce").over(Window.partitionBy("actor"))).withColumnRenamed("items", "wanted")
     slots = p.withColumn("slot", F.explode(F.sequence(F.floor(F.col("seen") / STEP), F.floor((F.col("seen") + LIFE) / STEP))))
-    b = blocks(spark, sf_dir).select("block_number", "t", "items", "fee", "base_fee", F.floor(F.col("t") / STEP).alias("slot"))
-    held = slots.join(b, "slot").where(f"seen <= t AND t < seen + {LIFE}")
+    held = slots.join(b.select("block_number", "t", "items", "fee", "base_fee", F.floor(F.col("t") / STEP).alias("slot")), "slot").where(f"seen <= t AND t < seen + {LIFE}")
     why = reason(F.col("t") - F.col("seen"), *(F.col(c) for c in ("nonce", "lowest", "max_fee", "fee", "max_exec", "base_fee", "wanted", "items")))
     return held.select("block_number", "t", "tx_hash", "actor", "nonce", "wanted", "tip", "seen", why.alias("reason"))
 
 
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return missed(pending(spark, sf_dir), blocks(spark, sf_dir))
+
+
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels with ranges; four of them an address."""
     k = F.col("c_custkey")

@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.sources import views
+from tessera.streaming import rollups
+
 OBSERVED = "kind string, tx_hash string, actor string, nonce long, max_fee long, at timestamp"
 EVENTS = "event string, tx_hash string, actor string, slot string, replacement string, max_fee long, replacement_fee long, first_seen timestamp, last_seen timestamp"
 COLUMNS = ["event", "tx_hash", "actor", "slot", "replacement", "max_fee", "replacement_fee", "first_seen", "last_seen"]
@@ -73,6 +76,23 @@ def lifecycle(observed: DataFrame, ttl: int = 3600, late: str = "10 minutes") ->
     return keyed.groupBy("actor", "slot").applyInPandasWithState(run, EVENTS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def snapshot_sink(pending, path: str, lag: int = 60, chunk: int = 1000):
+    """A foreachBatch function for batches of new blocks (as the view ``blocks``, with ``arrived``): writes what each
+    live block left out, judged against ``pending(spark)`` as it is then. Blocks that came more than ``lag`` seconds
+    late get none, and a block that has a snapshot keeps it, also when its batch comes again."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        live = batch.where(F.abs(F.col("arrived") - F.col("t")) <= lag)
+        rows = views.missed(pending(spark), live).withColumn("part", F.floor(F.col("block_number") / chunk))
+        old = rollups.stored(spark, path, rows.schema)
+        near = old.join(F.broadcast(live.select(F.floor(F.col("block_number") / chunk).alias("part")).distinct()), "part", "left_semi").select(rows.columns)
+        fresh = rows.join(near.select("block_number").distinct(), "block_number", "left_anti").select(rows.columns)
+        rollups.replace_partitions(near.unionByName(fresh), path, "part", batch_id)
+
+    return write
+
+
 HEADS = "chain long, number long, hash string, parent string"
 FORKS = "chain long, number long, fork long, dropped long"
 

@@ -122,6 +122,26 @@ def test_forks_of_a_chain(spark):
     assert [r.fork for r in reorgs(chain.withColumn("stored", F.lit("old")), depth=4).collect()] == [None]
 
 
+def test_late_rows_are_left_out(spark):
+    """A row older than the watermark makes no bucket; one inside it does."""
+    rows = [("a", "2024-01-10 00:00:10"), ("a", "2024-01-10 00:00:20"), ("a", "2024-01-10 00:05:00"), ("a", "2024-01-07 23:00:00"), ("a", "2024-01-08 01:00:00")]
+    path = files(spark, rows, "k string, at string", 5)
+    stream = rollups.read_items(spark, path, "k string, at string", 1).withColumn("at", F.to_timestamp("at"))
+    held = {}
+    drain(rollups.tumbling(stream, "at", "k", 60), lambda b, i: held.update({str(r.bucket): r["items"] for r in b.collect()}), "update")
+    assert held == {"2024-01-10 00:00:00": 2, "2024-01-10 00:05:00": 1, "2024-01-08 01:00:00": 1}
+
+
+def test_the_first_snapshot_of_a_live_block_stays(spark):
+    out = f"{tempfile.mkdtemp()}/missed"
+    made = lambda rows: lambda s: s.createDataFrame(rows, "tx_hash string, actor string, nonce long, items long, max_fee long, max_exec long, tip long, seen long")
+    blocks = spark.createDataFrame([(1, 7200, 0, 5, 5, 7230), (2, 7920, 0, 5, 5, 9999)], "block_number long, t long, items long, fee long, base_fee long, arrived long")
+    one, two = [("a", "A", 1, 1, 9, 9, 3, 7000), ("b", "A", 2, 1, 9, 9, 3, 7000), ("c", "C", 1, 1, 4, 9, 3, 7000)], [("d", "D", 1, 1, 9, 9, 3, 7000)]
+    for pending_rows, batch in ((one, 0), (one, 0), (two, 1)):
+        pending.snapshot_sink(made(pending_rows), out)(blocks, batch)
+    assert sorted((r.block_number, r.tx_hash, r.reason) for r in spark.read.parquet(out).collect()) == [(1, "a", "eligible"), (1, "b", "nonce_gap"), (1, "c", "priced_out_item_fee")]
+
+
 def test_set_diff(spark):
     a, b = (spark.createDataFrame([(x,) for x in s], "k string") for s in ("ab", "bc"))
     assert sorted(map(tuple, core.set_diff(a, b, ["k"]).collect())) == [("a", "removed"), ("c", "added")]
