@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,22 +85,29 @@ def q30(spark, d):
     return rows.select("block_number", "t", "items", "fee", wei_text(F.coalesce("cost", F.lit(0).cast(V.WEI))).alias("cost"), F.coalesce("actors", F.lit(0)).alias("actors"))
 
 
-@query("q31_market_chart_rollup", f"""WITH h AS (SELECT t - t % 3600 AS bucket, count(*) AS blocks, sum(fee) AS fee_sum, quantile_disc(fee, 0.5) AS median, quantile_disc(fee, 0.95) AS p95 FROM blocks WHERE {RANGE} GROUP BY 1),
-    m AS (SELECT bucket - bucket % 21600 AS bucket, CAST(sum(blocks) AS BIGINT) AS blocks, round(CAST(sum(fee_sum) AS DOUBLE) / CAST(sum(blocks) AS DOUBLE), 6) AS avg_fee, quantile_disc(median, 0.5) AS median_fee, quantile_disc(p95, 0.5) AS p95_fee FROM h GROUP BY 1),
-    f AS (SELECT t - t % 21600 AS bucket, count(*) AS items, CAST(CAST(sum(cost) AS DECIMAL(38,0)) AS VARCHAR) AS cost, count(DISTINCT actor) AS actors FROM facts WHERE {RANGE} GROUP BY 1)
-    SELECT bucket, coalesce(items, 0) AS items, coalesce(cost, '0') AS cost, coalesce(actors, 0) AS actors, blocks, avg_fee, median_fee, p95_fee FROM m LEFT JOIN f USING (bucket)""")
-def q31(spark, d):
+def _q31_sql(seconds: int) -> str:
+    return f"""WITH h AS (SELECT t - t % 3600 AS bucket, count(*) AS blocks, sum(fee) AS fee_sum, quantile_disc(fee, 0.5) AS median, quantile_disc(fee, 0.95) AS p95 FROM blocks WHERE {RANGE} GROUP BY 1),
+    m AS (SELECT bucket - bucket % {seconds} AS bucket, CAST(sum(blocks) AS BIGINT) AS blocks, round(CAST(sum(fee_sum) AS DOUBLE) / CAST(sum(blocks) AS DOUBLE), 3) AS avg_fee, quantile_disc(median, 0.5) AS median_fee, quantile_disc(p95, 0.5) AS p95_fee FROM h GROUP BY 1),
+    f AS (SELECT t - t % {seconds} AS bucket, count(*) AS items, CAST(CAST(sum(cost) AS DECIMAL(38,0)) AS VARCHAR) AS cost, count(DISTINCT actor) AS actors FROM facts WHERE {RANGE} GROUP BY 1)
+    SELECT bucket, coalesce(items, 0) AS items, coalesce(cost, '0') AS cost, coalesce(actors, 0) AS actors, blocks, avg_fee, median_fee, p95_fee FROM m LEFT JOIN f USING (bucket)"""
+
+
+def q31(spark, d, seconds: int):
     """Regrouped from hourly rollup rows: sums are exact, actors are counted from per-actor rows, and the
     95th percentile of a point is the median of its hours' (of an hour from minutes: that of their medians)."""
     r = core.rollup(V.facts(spark, d, FIRST, LAST), 3600)
-    f = r.groupBy(bucket(F.col("bucket"), 21600).alias("bucket")).agg(F.sum("items").alias("items"), wei_text(F.sum("cost")).alias("cost"), F.countDistinct("actor").alias("actors"))
+    f = r.groupBy(bucket(F.col("bucket"), seconds).alias("bucket")).agg(F.sum("items").alias("items"), wei_text(F.sum("cost")).alias("cost"), F.countDistinct("actor").alias("actors"))
     b = bucketed(V.blocks, spark, d, 3600)
-    h = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("blocks"), F.sum("fee").alias("fee_sum")).join(core.disc_percentiles(b, ["bucket"], "fee", median="0.5", p95="0.95"), "bucket").withColumn("bucket", bucket(F.col("bucket"), 21600))
-    m = h.groupBy("bucket").agg(F.sum("blocks").alias("blocks"), F.round(F.sum("fee_sum") / F.sum("blocks"), 6).alias("avg_fee"))
+    h = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("blocks"), F.sum("fee").alias("fee_sum")).join(core.disc_percentiles(b, ["bucket"], "fee", median="0.5", p95="0.95"), "bucket").withColumn("bucket", bucket(F.col("bucket"), seconds))
+    m = h.groupBy("bucket").agg(F.sum("blocks").alias("blocks"), F.round(F.sum("fee_sum") / F.sum("blocks"), 3).alias("avg_fee"))
     m = m.join(core.disc_percentiles(h, ["bucket"], "median", median_fee="0.5"), "bucket").join(core.disc_percentiles(h, ["bucket"], "p95", p95_fee="0.5"), "bucket")
     return m.join(f, "bucket", "left").withColumns({"items": F.coalesce("items", F.lit(0)), "cost": F.coalesce("cost", F.lit("0")), "actors": F.coalesce("actors", F.lit(0))})
 
 
+for _name, _seconds in (("q31_market_chart_rollup", 21600), ("q31_market_chart_rollup_by_days", 86400)):
+    query(_name, _q31_sql(_seconds))(functools.partial(q31, seconds=_seconds))
+
+
 NAMED = f"n AS (SELECT f.*, coalesce(nullif({SLUG.format('coalesce(nullif(trim(f.label), %s), r.name, %s)' % (chr(39) * 2, chr(39) * 2))}, ''), 'unknown') AS entity FROM facts f LEFT JOIN registry r ON lower(f.actor) = r.address WHERE {RANGE})"
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import bucket, share, wei_text
@@ -146,12 +148,19 @@ def q33(spark, d):
     return x.groupBy("block_number", "series").agg(F.count(F.lit(1)).alias("items"))
 
 
-@query("q34_usage_chart_rollup", f"WITH {NAMED}, {_TOP} SELECT t - t % 21600 AS bucket, {_SERIES}, count(*) AS items FROM n GROUP BY 1, 2")
-def q34(spark, d):
+def _q34_sql(seconds: int) -> str:
+    return f"WITH {NAMED}, {_TOP} SELECT t - t % {seconds} AS bucket, {_SERIES}, count(*) AS items FROM n GROUP BY 1, 2"
+
+
+def q34(spark, d, seconds: int):
     """From hourly sums per entity, regrouped; the ranking uses the same sums."""
     hours = named(spark, d).groupBy("bucket", "entity").agg(F.count(F.lit(1)).alias("items"))
     x = top_or_other(hours, "entity", F.sum("items"), 5, "series")
-    return x.groupBy(bucket(F.col("bucket"), 21600).alias("bucket"), "series").agg(F.sum("items").alias("items"))
+    return x.groupBy(bucket(F.col("bucket"), seconds).alias("bucket"), "series").agg(F.sum("items").alias("items"))
+
+
+for _name, _seconds in (("q34_usage_chart_rollup", 21600), ("q34_usage_chart_rollup_by_days", 86400)):
+    query(_name, _q34_sql(_seconds))(functools.partial(q34, seconds=_seconds))
 
 
 @query("q36_cost_comparison_block", f"WITH j AS (SELECT block_number, items, CAST(fee AS HUGEINT) * items * 131072 AS cost, CAST(items AS HUGEINT) * 131072 * 16 * CASE WHEN base_fee > 0 THEN base_fee ELSE fee END AS alternative FROM blocks WHERE {RANGE}) SELECT block_number, items, CAST(cost AS VARCHAR) AS cost, CAST(alternative AS VARCHAR) AS alternative, CAST(alternative - cost AS VARCHAR) AS savings, {SAVED.format(a='alternative', c='cost')} AS savings_percent FROM j")
@@ -164,13 +173,16 @@ def q36(spark, d):
     return rows.select("block_number", "items", wei_text(c).alias("cost"), wei_text(a).alias("alternative"), wei_text(a - c).alias("savings"), percent_saved(a, c).alias("savings_percent"))
 
 
-@query("q37_cost_comparison_rollup", f"WITH b AS (SELECT t - t % 21600 AS bucket, sum(base_fee) AS s, count(*) FILTER (base_fee > 0) AS n FROM blocks WHERE {RANGE} GROUP BY 1), f AS (SELECT t - t % 21600 AS bucket, count(*) AS items, CAST(sum(cost) AS HUGEINT) AS cost FROM facts WHERE {RANGE} GROUP BY 1), j AS (SELECT bucket, coalesce(items, 0) AS items, coalesce(cost, 0) AS cost, CASE WHEN n > 0 THEN CAST(coalesce(items, 0) AS HUGEINT) * 131072 * 16 * ((2 * s + n) // (2 * n)) ELSE 16 * coalesce(cost, 0) END AS alternative FROM b LEFT JOIN f USING (bucket)) SELECT bucket, CAST(items AS BIGINT) AS items, {VC.format('cost')} AS cost, {VC.format('alternative')} AS alternative, {SAVED.format(a='alternative', c='cost')} AS savings_percent FROM j")
-def q37(spark, d):
+def _q37_sql(seconds: int) -> str:
+    return f"WITH b AS (SELECT t - t % {seconds} AS bucket, sum(base_fee) AS s, count(*) FILTER (base_fee > 0) AS n FROM blocks WHERE {RANGE} GROUP BY 1), f AS (SELECT t - t % {seconds} AS bucket, count(*) AS items, CAST(sum(cost) AS HUGEINT) AS cost FROM facts WHERE {RANGE} GROUP BY 1), j AS (SELECT bucket, coalesce(items, 0) AS items, coalesce(cost, 0) AS cost, CASE WHEN n > 0 THEN CAST(coalesce(items, 0) AS HUGEINT) * 131072 * 16 * ((2 * s + n) // (2 * n)) ELSE 16 * coalesce(cost, 0) END AS alternative FROM b LEFT JOIN f USING (bucket)) SELECT bucket, CAST(items AS BIGINT) AS items, {VC.format('cost')} AS cost, {VC.format('alternative')} AS alternative, {SAVED.format(a='alternative', c='cost')} AS savings_percent FROM j"
+
+
+def q37(spark, d, seconds: int):
     """From hourly sums: the mean fee over blocks with one is a ratio of sums, rounded in whole numbers; a
     point without one takes the items' own fees."""
     hours = bucketed(V.blocks, spark, d, 3600).groupBy("bucket").agg(F.sum("base_fee").alias("s"), F.count_if(F.col("base_fee") > 0).alias("n"))
     costs = core.rollup(V.facts(spark, d, FIRST, LAST), 3600).groupBy("bucket").agg(F.sum("items").alias("items"), F.sum("cost").cast(V.WEI).alias("cost"))
-    six = bucket(F.col("bucket"), 21600).alias("bucket")
+    six = bucket(F.col("bucket"), seconds).alias("bucket")
     b, f = hours.groupBy(six).agg(F.sum("s").alias("s"), F.sum("n").alias("n")), costs.groupBy(six).agg(F.sum("items").alias("items"), F.sum("cost").cast(V.WEI).alias("c"))
     rows = b.join(f, "bucket", "left").withColumns({"items": F.coalesce("items", F.lit(0)), "c": F.coalesce("c", F.lit(0).cast(V.WEI)).cast(V.WEI)})
     priced = ((F.col("items") * V.ITEM * 16).cast("decimal(18,0)") * F.expr("(2 * s + n) div nullif(2 * n, 0)").cast("decimal(18,0)")).cast(V.WEI)
@@ -179,6 +191,10 @@ def q37(spark, d):
     return rows.withColumn("a", F.when(F.col("n") > 0, priced).otherwise(own)).select("bucket", "items", wei_text(c).alias("cost"), wei_text(a).alias("alternative"), percent_saved(a, c).alias("savings_percent"))
 
 
+for _name, _seconds in (("q37_cost_comparison_rollup", 21600), ("q37_cost_comparison_rollup_by_days", 86400)):
+    query(_name, _q37_sql(_seconds))(functools.partial(q37, seconds=_seconds))
+
+
 @query("q39_tips_chart_block", f"SELECT block_number, count(*) AS total, count(tip) AS priced, round(avg(tip), 2) AS avg_tip, quantile_disc(tip, 0.5) AS median_tip, quantile_disc(tip, 0.95) AS p95_tip, max(tip) AS max_tip FROM facts WHERE {RANGE} GROUP BY 1")
 def q39(spark, d):
     f = bucketed(V.facts, spark, d)
