@@ -68,9 +68,12 @@ def facts(spark: SparkSession, sf_dir: str, first: int | None = None, last: int
 def blocks(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """One row per block, empty ones included. Numbers are opened in chunks, dealt out before that."""
     lo, hi = block_range(first, last)
-    counts = _events(spark, sf_dir, first, last).where("event_type <> 'error' AND b % 17 <> 16").groupBy("b").agg(F.count(F.lit(1)).alias("c"))
-    newest = F.max("b") if hi is None else F.least(F.max("b"), F.lit(hi - 1))
-    top = _events(spark, sf_dir, first).agg(newest.alias("m")).where(F.col("m") >= (lo or 0))
+    counts = _events(spark, sf_dir, first, last).where("b % 17 <> 16").groupBy("b").agg(F.count_if(F.col("event_type") != "error").alias("c"))
+    if hi is None:  # the newest number comes from the counts, by the same exchange (which needs the same columns)
+        top = counts.agg(F.max(F.when(F.col("c") >= 0, F.col("b"))).alias("m"))
+    else:
+        top = _events(spark, sf_dir, first).agg(F.least(F.max("b"), F.lit(hi - 1)).alias("m"))
+    top = top.where(F.col("m") >= (lo or 0))
     chunks = top.select("m", F.explode(F.sequence(F.lit((lo or 0) // CHUNK).cast("long"), F.expr(f"m div {CHUNK}"))).alias("chunk")).repartition("chunk")
     low = F.greatest(F.col("chunk") * CHUNK, F.lit(lo or 0))
     spine = chunks.select(F.explode(F.sequence(low, F.least("m", F.col("chunk") * CHUNK + CHUNK - 1))).alias("b")).where("b % 17 <> 16")
