@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -123,6 +126,19 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return stored.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows`` without their lineage, by a checkpoint in the folder that ``spark.checkpoint.dir`` names; a folder
+    of our own only where none is named and all tasks run in this process."""
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return rows.checkpoint()
+
+
 def set_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Keys of one of two sets only, with ``action``: added or removed."""
     both = old.withColumn("_o", F.lit(True)).join(new.withColumn("_n", F.lit(True)), keys, "full_outer").where("_o IS NULL OR _n IS NULL")

@@ -227,13 +227,15 @@ def mnt14(spark, d):
 
 def chain_ends(edges: DataFrame, depth: int = 32) -> DataFrame:
     """(replaced, replacement) -> (tx_hash, end): where each chain of replacements leads, by pointer jumping:
-    each join doubles the steps."""
-    hop = edges.select(F.col("replaced").alias("tx_hash"), F.col("replacement").alias("end"))
+    each join doubles the steps, until none leads further. Lineage is cut at each."""
+    hop = core.cut(edges.select(F.col("replaced").alias("tx_hash"), F.col("replacement").alias("end")))
     steps = 1
     while steps < depth:
         on = hop.select(F.col("tx_hash").alias("end"), F.col("end").alias("further"))
-        hop = hop.join(on, "end", "left").select("tx_hash", F.coalesce("further", "end").alias("end"))
-        steps *= 2
+        moved = core.cut(hop.join(on, "end", "left").select("tx_hash", F.coalesce("further", "end").alias("end"), F.col("further").isNotNull().alias("moved")))
+        hop, steps = moved.select("tx_hash", "end"), 2 * steps
+        if moved.where("moved").isEmpty():
+            break
     return hop
 
 

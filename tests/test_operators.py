@@ -81,3 +81,11 @@ def test_waiting_begins_with_the_next_block(spark):
     asked = spark.createDataFrame([("a", 50), ("b", 100), ("c", 101), ("d", 86301), ("e", 2 * 86400), ("f", 4 * 86400)], "tx_hash string, seen long")
     got = dict(map(lambda r: (r.tx_hash, r.from_block), inclusion.first_at_or_after(blocks, asked, "tx_hash", "seen").collect()))
     assert got == {"a": 1, "b": 1, "c": 2, "d": 5, "e": 5, "f": None}
+
+
+def test_chains_of_replacements_lead_to_their_ends(spark):
+    from tessera.plans import maintenance
+
+    edges = [(f"a{i}", f"a{i + 1}") for i in range(11)] + [("b0", "b1")]
+    got = {r.tx_hash: r.end for r in maintenance.chain_ends(spark.createDataFrame(edges, "replaced string, replacement string")).collect()}
+    assert got == {f"a{i}": "a11" for i in range(11)} | {"b0": "b1"}
