@@ -39,16 +39,16 @@ def first_at_or_after(blocks: DataFrame, asked: DataFrame, key: str, t: str) ->
     return rows.join(F.broadcast(after), "_day", "left").select(key, t, F.coalesce("_own", "_next").alias("from_block"))
 
 
-def counted_up_to(blocks: DataFrame, chunk: int = 1000) -> DataFrame:
-    """block_number with ``n`` and ``marked``: how many blocks, and marked ones, there are up to it. Counts are
-    summed inside chunks of numbers, and chunks before one another."""
+def counted_before(blocks: DataFrame, chunk: int = 1000) -> DataFrame:
+    """block_number with ``n`` and ``m``: how many blocks, and marked ones, come before it. Counts are summed
+    inside chunks of numbers, and chunks before one another."""
     c = F.floor(F.col("block_number") / chunk)
     inside = Window.partitionBy("_c").orderBy("block_number")
-    rows = blocks.withColumn("_c", c).withColumn("_n", F.count(F.lit(1)).over(inside)).withColumn("_m", F.sum("mark").over(inside))
+    rows = blocks.withColumn("_c", c).withColumn("_n", F.count(F.lit(1)).over(inside) - 1).withColumn("_m", F.sum("mark").over(inside) - F.col("mark"))
     before = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # one row a chunk
     sums = blocks.groupBy(c.alias("_c")).agg(F.count(F.lit(1)).alias("_a"), F.sum("mark").alias("_b"))
     sums = sums.select("_c", F.coalesce(F.sum("_a").over(before), F.lit(0)).alias("_a"), F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b"))
-    return rows.join(F.broadcast(sums), "_c").select("block_number", (F.col("_n") + F.col("_a")).alias("n"), (F.col("_m") + F.col("_b")).alias("marked"))
+    return rows.join(F.broadcast(sums), "_c").select("block_number", (F.col("_n") + F.col("_a")).alias("n"), (F.col("_m") + F.col("_b")).alias("m"))
 
 
 _WAITING = "w AS (SELECT tx_hash, seen, CAST(NULL AS BIGINT) AS included FROM pending UNION ALL SELECT tx_hash, min(seen), min(block_number) FROM facts GROUP BY tx_hash)"
@@ -73,22 +73,17 @@ def q47(spark, d):
     w = V.pending(spark, d).select("tx_hash", "seen", F.lit(None).cast("long").alias("included")).union(V.facts(spark, d).groupBy("tx_hash").agg(F.min("seen"), F.min("block_number")))
     c = miss.groupBy("tx_hash").agg(F.count(F.lit(1)).alias("missed"), F.count_if(F.col("reason") == "eligible").alias("eligible"), F.min("block_number").alias("first"))
     first = first_at_or_after(blocks, w.where("seen IS NOT NULL").select("tx_hash", "seen"), "tx_hash", "seen").select("tx_hash", "from_block")
-    tip = blocks.agg(F.max("block_number").alias("tip")).withColumn("_one", F.lit(1))
-    s = w.join(c, "tx_hash", "left").join(first, "tx_hash", "left").withColumn("_one", F.lit(1)).join(F.broadcast(tip), "_one").withColumn("to_block", F.coalesce(F.col("included") - 1, "tip"))
-    s = s.withColumn("from_block", F.coalesce(F.least("from_block", "first"), F.when(F.col("seen").isNotNull(), F.col("to_block") + 1)))
     marked = blocks.select("block_number").join(miss.select("block_number", F.lit(1).alias("mark")).distinct(), "block_number", "left").withColumn("mark", F.coalesce("mark", F.lit(0)))
-    upto = counted_up_to(marked)
-
-    def at(rows: DataFrame, place, n: str, m: str) -> DataFrame:
-        """Counts up to ``place``: those of the last block there or, where it is no block, of the one before."""
-        near = upto.select(F.explode(F.array("block_number", F.col("block_number") + 1)).alias("_at"), "block_number", F.col("n").alias(n), F.col("marked").alias(m))
-        near = near.groupBy("_at").agg(F.max_by(F.struct(n, m), "block_number").alias("_x")).select("_at", f"_x.{n}", f"_x.{m}")
-        return rows.withColumn("_at", place).join(near, "_at", "left").drop("_at")
-
-    both = at(at(s, F.col("to_block"), "n1", "m1"), F.col("from_block") - 1, "n0", "m0")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    inside = lambda a, b: F.when(F.col("from_block").isNull(), 0).otherwise(F.greatest(zero(a) - zero(b), F.lit(0))).cast("long")
-    return both.select("tx_hash", "from_block", "to_block", inside("n1", "n0").alias("blocks"), inside("m1", "m0").alias("snapshot_blocks"), zero("missed").alias("missed"), zero("eligible").alias("eligible"))
+    whole = marked.agg(F.max("block_number").alias("tip"), F.count(F.lit(1)).alias("all_n"), F.sum("mark").alias("all_m")).withColumn("_one", F.lit(1))
+    s = w.join(c, "tx_hash", "left").join(first, "tx_hash", "left").withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one").withColumn("to_block", F.coalesce(F.col("included") - 1, "tip"))
+    s = s.withColumn("from_block", F.coalesce(F.least("from_block", "first"), F.when(F.col("seen").isNotNull(), F.col("to_block") + 1)))
+    before = counted_before(marked)
+    at = lambda key, n, m: before.select(F.col("block_number").alias(key), F.col("n").alias(n), F.col("m").alias(m))
+    both = s.join(at("from_block", "n0", "m0"), "from_block", "left").join(at("included", "n1", "m1"), "included", "left")
+    # a window begins with a block or, where it is empty, behind the tip
+    inside = lambda end, all_, start: F.coalesce(F.greatest(F.coalesce(end, all_) - F.col(start), F.lit(0)), F.lit(0)).cast("long")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return both.select("tx_hash", "from_block", "to_block", inside("n1", "all_n", "n0").alias("blocks"), inside("m1", "all_m", "m0").alias("snapshot_blocks"), zero("missed"), zero("eligible"))
 
 
 @query("q48_inclusion_timeline", """WITH m AS (SELECT tx_hash, block_number, t, reason, false AS included FROM (SELECT *, row_number() OVER (PARTITION BY tx_hash ORDER BY block_number DESC) AS rank FROM candidates) WHERE rank <= 500),
