@@ -9,7 +9,7 @@ tokens come back whole.
 
 Defined results: a null text counts as empty (no tokens); an empty text has no tokens; texts of any
 length are encoded whole; repeated rows give repeated results; special-token strings are ordinary
-text; columns that the caller does not name pass through untouched, but for a column that bears the
+text, unless an encoder is asked to take them as the library does by default; columns that the caller does not name pass through untouched, but for a column that bears the
 name of an output, which the output replaces; an empty table gives no rows.
 """
 
@@ -20,6 +20,7 @@ import functools
 import hashlib
 import itertools
 import os
+import re
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -168,9 +169,15 @@ class Encoder:
     Pre-tokens seen before are found in a direct-mapped table by a hash of their bytes; the bytes are
     compared before an entry is taken, so a clash of hashes costs a new entry and never a wrong id."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
+        """``special``: strings of special tokens become their ids (a ``.json`` vocabulary names them)."""
         self.tok, self.table = load(path)
+        self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items() if t.special} if special else {}
+        self.start()
+
+    def start(self) -> None:
         self.lengths = np.array([len(x) for x in self.table], np.int64)
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.mix = np.random.default_rng(20240101).integers(1 << 62, size=256, dtype=np.int64).astype(np.uint64)
         self.up = self.down = np.empty(0, np.uint64)
         self.reset()
@@ -181,6 +188,9 @@ class Encoder:
         self.offset, self.count = np.zeros(slots, np.int32), np.zeros(slots, np.int32)
         self.ids, self.bytes = Pool(np.uint32), Pool(np.uint8)
 
+    def split(self, points: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return split_words(points, ends)
+
     def hashes(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
         if len(raw) > len(self.up):
             n = 1 << len(raw).bit_length()
@@ -231,7 +241,7 @@ class Encoder:
         ends = np.cumsum(sizes + 1) - 1
         joined = "\n".join(texts) + "\n"
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
-        starts = split_words(points, ends)
+        starts = self.split(points, ends)
         cuts = byte_places(points)[np.append(starts, len(points))]
         words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(cuts), pa.py_buffer(joined.encode())).dictionary_encode()
         text_of = np.searchsorted(ends, starts)
@@ -246,12 +256,30 @@ class Encoder:
         group: list[str] = []
         held = 0
         for i, text in enumerate(texts):
+            if self.cut and self.cut.search(text or ""):
+                if group:
+                    ids, counts = self.encode(group)
+                    yield from np.split(ids, np.cumsum(counts)[:-1])
+                    group, held = [], 0
+                yield self.with_special(text)
+                continue
             group.append(text or "")
             held += len(group[-1])
             if held > CHUNK or i == len(texts) - 1:
                 ids, counts = self.encode(group)
                 yield from np.split(ids, np.cumsum(counts)[:-1])
                 group, held = [], 0
+        if group:
+            ids, counts = self.encode(group)
+            yield from np.split(ids, np.cumsum(counts)[:-1])
+
+    def with_special(self, text: str) -> np.ndarray:
+        """The ids of a text in which special strings stand for their ids."""
+        parts = self.cut.split(text)
+        ids, counts = self.encode(parts[::2])
+        found = np.split(ids, np.cumsum(counts)[:-1])
+        marks = [np.array([self.special[x]], np.uint32) for x in parts[1::2]]
+        return np.concatenate([x for pair in itertools.zip_longest(found, marks) for x in pair if x is not None])
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.table.__getitem__, ids.tolist()))
@@ -267,8 +295,8 @@ class Encoder:
 
 
 @functools.cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(path: str, special: bool = False) -> Encoder:
+    return Encoder(path, special)
 
 
 def _without(df: DataFrame, *names: str) -> DataFrame:

@@ -7,7 +7,8 @@ packed by itself: pieces in falling length go to the first open sequence with ro
 tournament tree over the remaining capacities finds in logarithmic time. Pieces are written before
 they are counted, so texts are encoded once.
 
-Defined results: a null or empty text is one piece that holds only the end id; a repeated row is
+Defined results: strings of special tokens become their ids, as the library does by default; a null
+or empty text is one piece that holds only the end id; a repeated row is
 packed again as its own document; pieces of equal length are taken by document and place; an empty
 table gives no rows. A null doc_id is packed like any other; other columns are ignored.
 """
@@ -40,7 +41,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, ke
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(path, special=True)
         for batch in byte_slices(batches, "text"):
             at, out = [], []
             for i, ids in enumerate(enc.each(batch.column(1).to_pylist())):

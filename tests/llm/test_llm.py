@@ -205,7 +205,7 @@ def test_packing(spark, copies):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    texts = [*copies, "lorem ipsum " * 2000]
+    texts = [*copies, "lorem ipsum " * 2000, "a <|endoftext|> b<|endoftext|><|endoftext|>", "<|endoftext|>", "x" * 500_000 + "<|endoftext|>"]
     rows = packing.pack(docs(spark, texts), path, keep_ids=True).collect()
     bins, per = defaultdict(list), defaultdict(list)
     for r in rows:
