@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, html, langid, minhash, packing, quality, secrets, suffix, topk, toxicity
+from tessera.llm import bpe, html, langid, minhash, packing, phrases, pieces, quality, secrets, spelling, suffix, topk, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -102,3 +102,47 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_toxicity": op2_toxicity, "op3_html_layout": op3_html_layout, "op7_language_id": op7_language_id}
+
+
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"), support=100, percent=100, top=2000)
+
+
+#: Counts all phrases of all lengths, without shards.
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
+    FROM w, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+inside AS (
+    SELECT lang, phrase, max(f) AS f
+    FROM (SELECT lang, f, unnest([array_to_string(w[1 : k - 1], ' '), array_to_string(w[2 : k], ' ')]) AS phrase FROM c WHERE k > 2) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN inside i USING (lang, phrase) WHERE i.f IS NULL OR 100 * i.f < 100 * c.f),
+cuts AS (
+    SELECT lang, phrase, f AS a, cut, array_to_string(w[1 : cut], ' ') AS a1, array_to_string(w[cut + 1 : k], ' ') AS a2
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM kept)),
+scored AS (
+    SELECT cuts.lang, cuts.phrase, a, x.f AS l, y.f AS r, n.n, cut, 1000 * CAST(a AS HUGEINT) * CAST(n.n AS HUGEINT) // (CAST(x.f AS HUGEINT) * CAST(y.f AS HUGEINT)) AS score
+    FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = a1 JOIN f y ON y.lang = cuts.lang AND y.phrase = a2 JOIN n ON n.lang = cuts.lang),
+worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst)
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(_read(spark, sf_dir, "documents"), least=7, occurrences=2, times=10, every=31)
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES |= {"op11_collocations": op11_collocations, "op12_spelling_variants": op12_spelling_variants, "op13_sentencepiece": op13_sentencepiece}
+ORACLES["op11_collocations"] = OP11_SQL
