@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import charts, detail, fees, inclusion, leaders, lookup, maintenance, records
+from tessera.plans import charts, detail, fees, inclusion, leaders, lookup, maintenance, records, replay
 
-QUERIES = leaders.QUERIES | charts.QUERIES | records.QUERIES | detail.QUERIES | lookup.QUERIES | inclusion.QUERIES | fees.QUERIES | maintenance.QUERIES
-ORACLES = leaders.ORACLES | charts.ORACLES | records.ORACLES | detail.ORACLES | lookup.ORACLES | inclusion.ORACLES | fees.ORACLES | maintenance.ORACLES
+QUERIES = leaders.QUERIES | charts.QUERIES | records.QUERIES | detail.QUERIES | lookup.QUERIES | inclusion.QUERIES | fees.QUERIES | maintenance.QUERIES | replay.QUERIES
+ORACLES = leaders.ORACLES | charts.ORACLES | records.ORACLES | detail.ORACLES | lookup.ORACLES | inclusion.ORACLES | fees.ORACLES | maintenance.ORACLES | replay.ORACLES
