@@ -67,21 +67,12 @@ def words(docs: DataFrame, every: int = 31, least: int = 7) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string"), F.col("text")).mapInArrow(run, "word string, n long")
 
 
-def _rest(length: Column, part: int, depth: int) -> tuple[Column, Column]:
-    """First and past-the-last place of what is left over when the part-th way of halving ``depth`` times was taken."""
-    start, stop = F.lit(0), length
-    for level in reversed(range(depth)):
-        middle = (start + F.floor((stop - start) / 2)).cast("int")
-        start, stop = (start, middle) if not part >> level & 1 else (middle, stop)
-    return start, stop
-
-
 def _keys(word: Column, length: Column, more: int, depth: int) -> Column:
     """The keys of a word as chunk word (more = 0), or as second word with ``more`` characters than the
-    chunk word, whose length is ``length``."""
-    kept = []
-    for part in range(1 << depth):
-        start, stop = _rest(length, part, depth)
+    chunk word, whose length is ``length``. Halving ``depth`` times leaves one of 2^depth even parts over."""
+    kept, parts = [], 1 << depth
+    for part in range(parts):
+        start, stop = (F.shiftright(length * k, depth) for k in (part, part + 1))
         kept.append(F.xxhash64(length, F.lit(part), F.substring(word, F.lit(1), start), F.substring(word, stop + 1 + more, length - stop)))
     return F.array(*kept)
 
