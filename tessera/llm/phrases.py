@@ -3,7 +3,8 @@
 The corpus is dealt into shards. A phrase that is frequent in the whole is frequent in one shard at least, when
 each shard asks for its share of the support: the words that it has of a language, in proportion,
 rounded up. So every shard is mined completely at its lowered support, what is frequent in any shard is
-a candidate, and the candidates are counted over all documents, exactly.
+a candidate, and the candidates are counted over all documents, exactly. Of a candidate that could not
+reach the support even if every other shard held just less than its share, the count is spared.
 
 The support is a number, not a share, so shards that stay small as the corpus grows would end at a
 support of one and call everything a candidate. There are therefore ``SHARDS`` of them at any size, and a
@@ -32,11 +33,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import byte_slices, materialize
 
-SHARDS = 8
+SHARDS = 4
 #: Bits of the table of frequent phrases, as a power of two (16 MB).
 BITS = 27
 #: Bytes of text in a block, and bytes of all languages that a task holds before it closes blocks.
-BLOCK_BYTES, HELD_BYTES = 2 << 20, 16 << 20
+BLOCK_BYTES, HELD_BYTES = 2 << 20, 8 << 20
 LONGEST = 5
 #: Characters that end a piece (`[.,;:!?\\x0A-\\x0D]`); the byte 255 is in no text.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -138,11 +139,11 @@ def _level(cut: DataFrame, frequent: Broadcast, below: Broadcast | None, shortes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, lang, hashes, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hashes = np.concatenate([np.zeros(1, np.uint64), np.frombuffer(hashes, np.uint64)])
+            for shard, lang, hashes, codes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:], strict=True):
+                hashes = np.concatenate([np.zeros(1, np.uint64), np.frombuffer(hashes.as_buffer(), np.uint64)])
                 fine = _holds(frequent.value, hashes)
                 fine[0] = False
-                codes = np.frombuffer(codes, np.int32)
+                codes = np.frombuffer(codes.as_buffer(), np.int32)
                 words, good = hashes[codes], fine[codes]
                 grams = words
                 for k in range(2, longest + 1):
@@ -154,6 +155,8 @@ def _level(cut: DataFrame, frequent: Broadcast, below: Broadcast | None, shortes
                         keys, counts = np.unique(grams[good], return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), shard, np.int32)), pa.array([lang]).take(pa.array(np.zeros(len(keys), np.int32))), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["shard", "lang", "key", "n"])
 
+            pa.default_memory_pool().release_unused()
+
     return cut.select("shard", "lang", "hashes", "codes").mapInArrow(run, "shard int, lang string, key long, n long")
 
 
@@ -162,9 +165,9 @@ def _counted(cut: DataFrame, candidates: Broadcast) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, names, hashes, codes in zip(batch.column(0).to_pylist(), batch.column(1), *(c.to_pylist() for c in batch.columns[2:]), strict=True):
-                hashes = np.concatenate([np.zeros(1, np.uint64), np.frombuffer(hashes, np.uint64)])
-                codes = np.frombuffer(codes, np.int32).astype(np.int64)
+            for lang, names, hashes, codes in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                hashes = np.concatenate([np.zeros(1, np.uint64), np.frombuffer(hashes.as_buffer(), np.uint64)])
+                codes = np.frombuffer(codes.as_buffer(), np.int32).astype(np.int64)
                 words = hashes[codes]
                 grams, numbers, at = words, codes, np.flatnonzero(codes)
                 for k in range(2, LONGEST + 1):
@@ -179,6 +182,8 @@ def _counted(cut: DataFrame, candidates: Broadcast) -> DataFrame:
                     parts = [names.values.take(pa.array(codes[at[first] + j] - 1)) for j in range(k)]
                     yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(first), np.int32))), pa.array(np.full(len(first), k, np.int32)), pc.binary_join_element_wise(*parts, " "), pa.array(counts.astype(np.int64))], names=["lang", "k", "phrase", "n"])
 
+            pa.default_memory_pool().release_unused()
+
     return cut.select("lang", "words", "hashes", "codes").mapInArrow(run, "lang string, k int, phrase string, n long")
 
 
@@ -202,10 +207,13 @@ def frequent_phrases(docs: DataFrame, support: int = 100) -> tuple[DataFrame, Da
     below, found = None, []
     for shortest, longest in ((2, 2), (3, 3), (4, LONGEST)):
         counts = _level(cut, frequent, below, shortest, longest).groupBy("shard", "lang", "key").agg(F.sum("n").alias("n"))
-        found.append(materialize(counts.join(least, ["shard", "lang"]).where(F.col("n") >= F.col("least")).select("shard", "key"), "local"))
+        found.append(materialize(counts.join(least, ["shard", "lang"]).where(F.col("n") >= F.col("least")).select("shard", "lang", "key", (F.col("n") - F.col("least") + 1).alias("more")), "local"))
         if longest < LONGEST:
             below = _bit_table(found[-1], "shard")
-    candidates = _bit_table(found[0].union(found[1]).union(found[2]).select("key"))
+    # A shard in which a phrase isn't frequent holds less than its share; what is above the shares must make up for the rest.
+    most = least.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("most"))
+    above = found[0].union(found[1]).union(found[2]).groupBy("lang", "key").agg(F.sum("more").alias("more"))
+    candidates = _bit_table(above.join(most, "lang").where(F.col("more") + F.col("most") >= support).select("key"))
     phrases = _counted(cut, candidates).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
     return words.union(materialize(phrases, "phrases")), totals
 
