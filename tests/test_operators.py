@@ -89,3 +89,63 @@ def test_chains_of_replacements_lead_to_their_ends(spark):
     edges = [(f"a{i}", f"a{i + 1}") for i in range(11)] + [("b0", "b1")]
     got = {r.tx_hash: r.end for r in maintenance.chain_ends(spark.createDataFrame(edges, "replaced string, replacement string")).collect()}
     assert got == {f"a{i}": "a11" for i in range(11)} | {"b0": "b1"}
+
+
+def test_runs_follow_changes_in_the_middle(spark):
+    """Against runs from scratch, on random blocks; two changes inside one run; only rows near the changes are asked for."""
+    import random
+
+    from tessera.plans.incremental import follow_runs, kinds_of
+
+    rng = random.Random(2)
+    n = 240
+    before = [rng.choice([0, 0, 0, 1, 3, 4, 6]) for _ in range(n)]
+    before[40:120] = [0] * 80
+    for changed in ([(60, 61), (90, 92)], [(0, 3)], [(n - 2, n - 1), (5, 5)], [(39, 39), (120, 120)], [(150, 170), (171, 180)], []):
+        after = list(before)
+        for a, b in changed:
+            for i in range(a, b + 1):
+                after[i] = rng.choice([0, 6, 3])
+        frame = lambda items: spark.createDataFrame(list(enumerate(items)), "block_number long, items long")
+        runs = lambda items: core.islands(kinds_of(frame(items)), ["kind"], "n", span=50)
+        asked = []
+
+        def rows_of(lo, hi, after=after, asked=asked):
+            asked.append((lo, hi))
+            return kinds_of(frame(after).where(f"block_number BETWEEN {lo} AND {hi}"))
+
+        got = follow_runs(runs(before), changed, rows_of)
+        assert sorted(map(tuple, got.collect())) == sorted((r.kind, r.first, r.last, r.length) for r in runs(after).collect())
+        assert sum(hi - lo + 1 for lo, hi in asked) < n / 2
+
+
+def test_totals_follow_images(spark):
+    import random
+
+    from tessera.plans.incremental import changes, follow, totals
+
+    rng = random.Random(4)
+    schema = "block_number long, item_index long, actor string, label string, cost decimal(38,0), t long"
+    from decimal import Decimal
+
+    row = lambda b, i: (b, i, rng.choice("abcdef"), rng.choice(["", "  ", "X", "Y", None]), Decimal(rng.randrange(9)), b * 10)
+    for _ in range(3):
+        old = {(b, i): row(b, i) for b in range(12) for i in range(rng.randrange(4))}
+        new = {k: v if rng.random() < 0.6 else row(*k) for k, v in old.items() if rng.random() < 0.8} | {(b, 7): row(b, 7) for b in range(0, 12, 5)}
+        a, b = (spark.createDataFrame(list(x.values()), schema) for x in (old, new))
+        plain = lambda rows: sorted((r.actor, r["items"], r.cost, r.last_t, r.named and r.named.label) for r in rows.collect())
+        assert plain(follow(totals(a), changes(a, b, ["block_number", "item_index"]), b)) == plain(totals(b))
+
+
+def test_nested_blocks(spark):
+    from tessera.sources import nested
+
+    lines = [
+        '{"number": 1, "time": 10, "fee": 3, "transactions": [{"hash": "x", "sender": "A", "item_hashes": ["h1", "h2"]}, {"hash": "y", "item_hashes": []}, {"hash": "w"}, {"hash": "z", "nonce": 4, "item_hashes": ["h3"]}]}',
+        '{"number": 2, "time": 11, "transactions": []}', '{"number": 3, "time": 12}', "no json", '{"time": 1}', None, "",
+    ]
+    parsed = nested.parse(spark.createDataFrame([(x,) for x in lines], "value string"))
+    got = [(r.block_number, r.item_index, r.tx_index, r.ordinal, r.tx_hash, r.actor, r.nonce, r.content_hash) for r in nested.items(parsed).orderBy("item_index").collect()]
+    assert got == [(1, 0, 0, 0, "x", "A", None, "h1"), (1, 1, 0, 1, "x", "A", None, "h2"), (1, 2, 3, 0, "z", None, 4, "h3")]
+    assert sorted(map(tuple, nested.counts(parsed).collect())) == [(1, 10, 4, 3), (2, 11, 0, 0), (3, 12, 0, 0)]
+    assert sorted(str(r.line) for r in nested.rejected(parsed).collect()) == sorted(["no json", '{"time": 1}', "None", ""])
