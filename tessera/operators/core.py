@@ -75,17 +75,18 @@ def _at_ranks(counts: DataFrame, keys: list[str], value: str, ranks: dict[str, C
     return ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *(F.min(F.when((F.col("_name") == n) & (F.col("_upto") >= F.col("_rank")), F.col(value))).alias(n) for n in ranks))
 
 
-def few_disc_percentiles(rows: DataFrame, keys: list[str], value: str, **ps: str) -> DataFrame:
-    """As ``disc_percentiles`` for few keys with very many distinct values of 0 or more."""
+def few_disc_percentiles(rows: DataFrame, keys: list[str], value: str, counted: bool = False, **ps: str) -> DataFrame:
+    """As ``disc_percentiles`` for few keys with very many distinct values of 0 or more. ``counted``: rows are
+    distinct values already, with their count in ``_c``."""
     ranks = {n: F.greatest(F.ceil(F.expr(f"{p}BD * _n")).cast("long"), F.lit(1)) for n, p in ps.items()}
-    return _at_ranks(_counted(rows, keys, value), keys, value, ranks).drop("_n")
+    return _at_ranks(rows if counted else _counted(rows, keys, value), keys, value, ranks).drop("_n")
 
 
-def few_cont_percentiles(rows: DataFrame, keys: list[str], value: str, **ps: str) -> DataFrame:
+def few_cont_percentiles(rows: DataFrame, keys: list[str], value: str, counted: bool = False, **ps: str) -> DataFrame:
     """Interpolated percentiles (double) for few keys, from the two observed values around p * (n - 1)."""
     place = {n: F.expr(f"{p}BD * (_n - 1)") for n, p in ps.items()}
     ranks = {f"_lo{n}": F.floor(x).cast("long") + 1 for n, x in place.items()} | {f"_hi{n}": F.ceil(x).cast("long") + 1 for n, x in place.items()}
-    both = _at_ranks(_counted(rows, keys, value), keys, value, ranks)
+    both = _at_ranks(rows if counted else _counted(rows, keys, value), keys, value, ranks)
     between = lambda n: F.col(f"_lo{n}").cast("double") + (F.col(f"_hi{n}").cast("double") - F.col(f"_lo{n}").cast("double")) * (place[n] - F.floor(place[n])).cast("double")
     return both.select(*keys, *(between(n).alias(n) for n in ps))
 

@@ -210,20 +210,25 @@ def q40_summary(spark, d):
     r AS (SELECT producer, string_agg(recipient, ',' ORDER BY n DESC, recipient) AS recipients FROM (SELECT producer, recipient, count(*) AS n, row_number() OVER (PARTITION BY producer ORDER BY count(*) DESC, recipient) AS rank FROM producers GROUP BY 1, 2) WHERE rank <= 3 GROUP BY 1)
     SELECT p.*, min_tip, tip_p10, tip_p50, tip_p90, wait_p50, wait_p90, coalesce(missed, 0) AS missed, coalesce(missed_items, 0) AS missed_items, recipients, round(CAST(items AS DOUBLE) * 100 / CAST((SELECT sum(items) FROM p) AS DOUBLE), 6) AS item_share FROM p LEFT JOIN y USING (producer) LEFT JOIN m USING (producer) LEFT JOIN r USING (producer)""")
 def q42(spark, d):
-    pr = V.producers(spark, d)
+    pr = core.cut(V.producers(spark, d).select("block_number", "t", "producer", "recipient", "items", "payment"))
     p = pr.groupBy("producer").agg(F.count(F.lit(1)).alias("blocks"), F.count_if(F.col("items") > 0).alias("item_blocks"), F.sum("items").alias("items"), F.count_if(F.col("items") >= V.MAX).alias("full_blocks"), wei_text(F.sum("payment")).alias("paid"))
-    p = p.join(core.few_disc_percentiles(pr, ["producer"], "payment", median_paid="0.5").withColumn("median_paid", wei_text(F.col("median_paid"))), "producer", "left")
     tx = V.facts(spark, d).groupBy("block_number", "tx_hash").agg(F.min("tip").alias("tip"), F.min("t").alias("t"), F.min("seen").alias("seen"))
     of = pr.select("block_number", "producer")
-    x = tx.join(of, "block_number").withColumn("wait", F.when(F.col("seen") <= F.col("t"), F.col("t") - F.col("seen")))
-    rounded = lambda rows, *names: rows.select("producer", *(F.round(n, 3).alias(n) for n in names))
-    tips = rounded(core.few_cont_percentiles(x, ["producer"], "tip", tip_p10="0.1", tip_p50="0.5", tip_p90="0.9"), "tip_p10", "tip_p50", "tip_p90")
-    waits = rounded(core.few_cont_percentiles(x, ["producer"], "wait", wait_p50="0.5", wait_p90="0.9"), "wait_p50", "wait_p90")
-    least = x.groupBy("producer").agg(F.min("tip").alias("min_tip"))
+    x = tx.join(of, "block_number").select("producer", "tip", F.when(F.col("seen") <= F.col("t"), F.col("t") - F.col("seen")).alias("wait"))
+    # tips, waits and payments are counted by value once, and ranked together
+    kinds = F.explode(F.array(F.struct(F.lit("tip").alias("what"), F.col("tip").cast(V.WEI).alias("v")), F.struct(F.lit("wait").alias("what"), F.col("wait").cast(V.WEI).alias("v"))))
+    values = x.select("producer", kinds.alias("x")).select("producer", "x.what", "x.v").unionByName(pr.select("producer", F.lit("paid").alias("what"), F.col("payment").alias("v"))).where("v IS NOT NULL")
+    values = core.cut(values.groupBy("producer", "what", "v").agg(F.count(F.lit(1)).alias("_c")))
+    keys, only = ["producer", "what"], lambda what: values.where(F.col("what").isin(*what))
+    middles = core.few_cont_percentiles(only(["tip", "wait"]), keys, "v", counted=True, p10="0.1", p50="0.5", p90="0.9")
+    pick = lambda what, c: F.round(F.max(F.when(F.col("what") == what, F.col(c))), 3)
+    tips = middles.groupBy("producer").agg(*(pick("tip", c).alias(f"tip_{c}") for c in ("p10", "p50", "p90")), *(pick("wait", c).alias(f"wait_{c}") for c in ("p50", "p90")))
+    paid = core.few_disc_percentiles(only(["paid"]), ["producer"], "v", counted=True, median_paid="0.5").withColumn("median_paid", wei_text(F.col("median_paid")))
+    least = only(["tip"]).groupBy("producer").agg(F.min("v").cast("long").alias("min_tip"))
     missed = V.candidates(spark, d).where("reason = 'eligible'").join(of, "block_number").groupBy("producer").agg(F.count(F.lit(1)).alias("missed"), F.sum("wanted").alias("missed_items"))
     three = core.top_k(pr.groupBy("producer", "recipient").agg(F.count(F.lit(1)).alias("n")), ["producer"], [F.desc("n"), F.col("recipient")], 3)
     recipients = three.groupBy("producer").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "recipient"))), lambda r: r["recipient"]), ",").alias("recipients"))
-    for more in (least, tips, waits, missed, recipients):
+    for more in (paid, least, tips, missed, recipients):
         p = p.join(more, "producer", "left")
     out = core.with_totals(p, all_items=F.sum("items")).withColumns({"missed": F.coalesce("missed", F.lit(0)), "missed_items": F.coalesce("missed_items", F.lit(0))})
     return out.withColumn("item_share", share(F.col("items"), F.col("all_items"))).drop("all_items")
\ No newline at end of file

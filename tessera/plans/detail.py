@@ -11,6 +11,7 @@ from tessera.operators import core
 from tessera.plans import fees
 from tessera.plans.charts import _TOP_PRICED, FIRST, LAST, NAMED, RANGE, SAVED, SLUG, WINDOWS, bucketed, named, percent_saved, top_or_other
 from tessera.plans.records import REPLACED, VC, t4
+from tessera.plans import tiers
 from tessera.sources import views as V
 
 QUERIES, ORACLES = {}, {}
@@ -101,17 +102,16 @@ def q23(spark, d):
     return members(spark, d, V.AS_OF - 86400)
 
 
-def _rolling(spark, d, seconds: int, fee: str, p: str):
-    """Figures of the windows from rollups of ``seconds``: sums, actors from per-actor rows, weighted mean fee,
-    and percentiles over the buckets' own percentiles."""
-    first = V.AS_OF - max(WINDOWS.values())
+def _rolling(spark, d, tier: str, fee: str, p: str, store: str | None = None):
+    """Figures of the windows from rollups of a tier: sums, actors from per-actor rows, weighted mean fee,
+    and percentiles over the buckets' own percentiles. Rollups come from ``store`` where one is given."""
     inside = F.filter(F.array(*(F.when(F.col("bucket") >= V.AS_OF - n, F.lit(w)) for w, n in WINDOWS.items())), lambda x: x.isNotNull())
-    b = V.blocks(spark, d, first, V.AS_OF).withColumn("bucket", bucket(F.col("t"), seconds))
-    sums = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("blocks"), F.sum("items").alias("items"), F.count_if(F.col("items") > V.TARGET).alias("above_target"), F.count_if(F.col("items") >= V.MAX).alias("at_max"))
-    held = sums.join(core.disc_percentiles(b, ["bucket"], "fee", median="0.5", p95="0.95"), "bucket").withColumn("w", F.explode(inside))
+    held = tiers.block_tier(spark, d, tier, store, percentiles=True).withColumn("w", F.explode(inside))
     blocks = held.groupBy("w").agg(*(F.sum(c).alias(c) for c in ("blocks", "above_target", "at_max")), F.round(F.sum("items").cast("double") / (F.sum("blocks") * V.TARGET), 6).alias("utilization"))
-    blocks = blocks.join(core.few_disc_percentiles(held, ["w"], "median", median_fee="0.5"), "w").join(core.few_disc_percentiles(held, ["w"], fee, p95_fee=p), "w")
-    i = core.rollup(V.facts(spark, d, first, V.AS_OF), seconds).withColumn("w", F.explode(inside))
+    middle = core.few_disc_percentiles(held.select("w", F.explode(F.array(F.struct(F.lit("median").alias("what"), F.col("median").alias("v")), F.struct(F.lit("high").alias("what"), F.col(fee).alias("v")))).alias("x")).select("w", "x.what", "x.v"), ["w", "what"], "v", half="0.5", high=p)
+    of = lambda what, c: F.max(F.when(F.col("what") == what, F.col(c)))
+    blocks = blocks.join(middle.groupBy("w").agg(of("median", "half").alias("median_fee"), of("high", "high").alias("p95_fee")), "w")
+    i = tiers.item_tier(spark, d, tier, store).withColumn("w", F.explode(inside))
     bytes_ = F.sum("items") * V.ITEM
     items = i.groupBy("w").agg(F.sum("items").alias("items"), bytes_.alias("gas"), wei_text(F.sum("cost")).alias("cost"), F.countDistinct("actor").alias("actors"), F.round(F.sum("cost").cast("double") / bytes_, 6).alias("avg_fee"))
     return blocks.join(items, "w")
@@ -127,15 +127,15 @@ def _rolling_sql(seconds: int, fee: str, p: str) -> str:
 
 
 @query("q26_rolling_fine", _rolling_sql(60, "median", "0.95"))
-def q26(spark, d):
+def q26(spark, d, store: str | None = None):
     """From minute rollups; p95 is the p95 of the minutes' medians."""
-    return _rolling(spark, d, 60, "median", "0.95")
+    return _rolling(spark, d, "minutes", "median", "0.95", store)
 
 
 @query("q27_rolling_hourly", _rolling_sql(3600, "p95", "0.5"))
-def q27(spark, d):
+def q27(spark, d, store: str | None = None):
     """From hourly rollups; p95 is the median of the hours' p95s."""
-    return _rolling(spark, d, 3600, "p95", "0.5")
+    return _rolling(spark, d, "hourly", "p95", "0.5", store)
 
 
 _TOP = "top AS (SELECT entity FROM n WHERE entity <> 'unknown' GROUP BY 1 ORDER BY count(*) DESC, entity LIMIT 5)"

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import share
 from tessera.operators import core
-from tessera.plans.charts import WINDOWS, q25
-from tessera.plans.detail import q26, q27
+from tessera.plans import tiers
+from tessera.plans.charts import WINDOWS
 from tessera.sources import views as V
 
 QUERIES, ORACLES = {}, {}
-DAY = 86400
+DAY, HOUR = 86400, 3600
 
 
 def query(name: str, sql: str | None = None):
@@ -26,17 +28,17 @@ def query(name: str, sql: str | None = None):
 
 
 def first_at_or_after(blocks: DataFrame, asked: DataFrame, key: str, t: str) -> DataFrame:
-    """``asked`` (key, t) with ``from_block``: the first block at or after t. Both are ordered inside a day only;
-    where the rest of the day has no block, the next day that has one gives its first."""
+    """``asked`` (key, t) with ``from_block``: the first block at or after t. Both are ordered inside an hour only;
+    where the rest of the hour has no block, the next hour that has one gives its first."""
     b = blocks.select(F.lit(None).cast(asked.schema[key].dataType).alias(key), F.col("t").alias(t), F.col("block_number").alias("_b"), F.lit(1).alias("_k"))
     a = asked.select(key, t, F.lit(None).cast("long").alias("_b"), F.lit(0).alias("_k"))
-    rest = Window.partitionBy("_day").orderBy(t, "_k").rowsBetween(0, Window.unboundedFollowing)
-    rows = a.unionByName(b).withColumn("_day", F.floor(F.col(t) / DAY)).withColumn("_own", F.min("_b").over(rest)).where("_k = 0")
-    later = Window.orderBy("_day").rowsBetween(1, Window.unboundedFollowing)  # one row a day
-    days = asked.select(F.floor(F.col(t) / DAY).alias("_day")).union(blocks.select(F.floor(F.col("t") / DAY))).distinct()
-    heads = blocks.groupBy(F.floor(F.col("t") / DAY).alias("_day")).agg(F.min("block_number").alias("_h"))
-    after = days.join(heads, "_day", "left").withColumn("_next", F.min("_h").over(later)).select("_day", "_next")
-    return rows.join(F.broadcast(after), "_day", "left").select(key, t, F.coalesce("_own", "_next").alias("from_block"))
+    rest = Window.partitionBy("_hour").orderBy(t, "_k").rowsBetween(0, Window.unboundedFollowing)
+    rows = a.unionByName(b).withColumn("_hour", F.floor(F.col(t) / HOUR)).withColumn("_own", F.min("_b").over(rest)).where("_k = 0")
+    later = Window.orderBy("_hour").rowsBetween(1, Window.unboundedFollowing)  # one row an hour
+    hours = asked.select(F.floor(F.col(t) / HOUR).alias("_hour")).union(blocks.select(F.floor(F.col("t") / HOUR))).distinct()
+    heads = blocks.groupBy(F.floor(F.col("t") / HOUR).alias("_hour")).agg(F.min("block_number").alias("_h"))
+    after = hours.join(heads, "_hour", "left").withColumn("_next", F.min("_h").over(later)).select("_hour", "_next")
+    return rows.join(after, "_hour", "left").select(key, t, F.coalesce("_own", "_next").alias("from_block"))
 
 
 def counted_before(blocks: DataFrame, chunk: int = 1000) -> DataFrame:
@@ -48,7 +50,7 @@ def counted_before(blocks: DataFrame, chunk: int = 1000) -> DataFrame:
     before = Window.orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # one row a chunk
     sums = blocks.groupBy(c.alias("_c")).agg(F.count(F.lit(1)).alias("_a"), F.sum("mark").alias("_b"))
     sums = sums.select("_c", F.coalesce(F.sum("_a").over(before), F.lit(0)).alias("_a"), F.coalesce(F.sum("_b").over(before), F.lit(0)).alias("_b"))
-    return rows.join(F.broadcast(sums), "_c").select("block_number", (F.col("_n") + F.col("_a")).alias("n"), (F.col("_m") + F.col("_b")).alias("m"))
+    return rows.join(sums, "_c").select("block_number", (F.col("_n") + F.col("_a")).alias("n"), (F.col("_m") + F.col("_b")).alias("m"))
 
 
 _WAITING = "w AS (SELECT tx_hash, seen, CAST(NULL AS BIGINT) AS included FROM pending UNION ALL SELECT tx_hash, min(seen), min(block_number) FROM facts GROUP BY tx_hash)"
@@ -69,7 +71,9 @@ def q47(spark, d):
     """The window of blocks that each transaction waited through, the blocks in it, those with a snapshot, and
     what it missed. Counts of a range are differences of cumulative counts. Blocks that a transaction never
     saw a time of have no window."""
-    blocks, miss = V.blocks(spark, d).select("block_number", "t"), V.candidates(spark, d).select("tx_hash", "block_number", "reason")
+    blocks = core.cut(V.blocks(spark, d).select("block_number", "t", "items", "fee", "base_fee"))
+    miss = core.cut(V.missed(V.pending(spark, d), blocks).select("tx_hash", "block_number", "reason"))
+    blocks = blocks.select("block_number", "t")
     w = V.pending(spark, d).select("tx_hash", "seen", F.lit(None).cast("long").alias("included")).union(V.facts(spark, d).groupBy("tx_hash").agg(F.min("seen"), F.min("block_number")))
     c = miss.groupBy("tx_hash").agg(F.count(F.lit(1)).alias("missed"), F.count_if(F.col("reason") == "eligible").alias("eligible"), F.min("block_number").alias("first"))
     first = first_at_or_after(blocks, w.where("seen IS NOT NULL").select("tx_hash", "seen"), "tx_hash", "seen").select("tx_hash", "from_block")
@@ -77,7 +81,7 @@ def q47(spark, d):
     whole = marked.agg(F.max("block_number").alias("tip"), F.count(F.lit(1)).alias("all_n"), F.sum("mark").alias("all_m")).withColumn("_one", F.lit(1))
     s = w.join(c, "tx_hash", "left").join(first, "tx_hash", "left").withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one").withColumn("to_block", F.coalesce(F.col("included") - 1, "tip"))
     s = s.withColumn("from_block", F.coalesce(F.least("from_block", "first"), F.when(F.col("seen").isNotNull(), F.col("to_block") + 1)))
-    before = counted_before(marked)
+    before = core.cut(counted_before(marked))
     at = lambda key, n, m: before.select(F.col("block_number").alias(key), F.col("n").alias(n), F.col("m").alias(m))
     both = s.join(at("from_block", "n0", "m0"), "from_block", "left").join(at("included", "n1", "m1"), "included", "left")
     # a window begins with a block or, where it is empty, behind the tip
@@ -117,21 +121,15 @@ _COVERED = f"(SELECT min(t - t % 60) FROM blocks WHERE t >= {V.AS_OF - 2 * DAY})
 
 
 @query("q28_tier_select", f"WITH w AS (SELECT unnest(['1h', '24h', '7d', '30d']) AS w, unnest([3600, 86400, 604800, 2592000]) AS n), c AS (SELECT {_COVERED} AS covered) SELECT w.w, CASE WHEN n > 86400 THEN 'hourly' WHEN covered IS NOT NULL AND covered <= {V.AS_OF} - n THEN 'fine' ELSE 'raw' END AS tier, count(*) AS blocks, CAST(sum(items) AS BIGINT) AS items FROM w, c JOIN blocks b ON true WHERE b.t - b.t % CASE WHEN n > 86400 THEN 3600 ELSE 1 END >= {V.AS_OF} - n AND b.t < {V.AS_OF} GROUP BY 1, 2")
-def q28(spark, d):
+def q28(spark, d, store: str | None = None):
     """Each window from the tier that can serve it: long ones from hourly rollups, short ones from minutes if
-    these reach back far enough, else from rows. The choice rests on one number."""
-    covered = V.blocks(spark, d, V.AS_OF - 2 * DAY).agg(F.min(F.col("t") - F.col("t") % 60)).first()[0]
+    these reach back far enough, else from rows. The choice rests on one number, and only files of the tiers chosen
+    are read where a ``store`` of rollups is given."""
+    fine = tiers.block_tier(spark, d, "fine", store)
+    covered = fine.agg(F.min("bucket")).first()[0]
     tier = {w: "hourly" if n > DAY else "fine" if covered is not None and covered <= V.AS_OF - n else "raw" for w, n in WINDOWS.items()}
-    made = []
-    for name, source in (("fine", q26), ("raw", q25), ("hourly", q27)):
-        own = [w for w, t in tier.items() if t == name]
-        if own:
-            rows = source(spark, d)
-            made.append(rows.where(F.col("w").isin(own)).select("w", F.lit(name).alias("tier"), "blocks", "items"))
-    out = made[0]
-    for rows in made[1:]:
-        out = out.unionByName(rows)
-    return out
+    made = [tiers.counts(tiers.block_tier(spark, d, tier_of, store), {w: WINDOWS[w] for w, t in tier.items() if t == tier_of}).withColumn("tier", F.lit(tier_of)) for tier_of in sorted(set(tier.values()))]
+    return functools.reduce(DataFrame.unionByName, made).select("w", "tier", "blocks", "items")
 
 
 _CONTROL = """kv AS (SELECT block_number % 3 AS chain, unnest(['last', 'head', 'active', 'start', 'current', 'target']) AS key,
