@@ -123,7 +123,7 @@ def predict(model: dict, text: str | None) -> tuple[str, float]:
 def sample(docs: DataFrame, per_lang: int = PER_LANG, most: int = MOST) -> DataFrame:
     """doc_id, lang and frequencies of at most ``most`` training documents; a repeated id counts once."""
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
-    ids = rows.select("doc_id", "lang").withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SALTS * SALTS)))
+    ids = rows.select("doc_id", "lang").distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(SALTS * SALTS)))
     for keys in (["lang", "salt"], ["lang", F.pmod("salt", F.lit(SALTS))], ["lang"]):  # each step reads a bounded number of rows a group
         first = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id"), "doc_id")
         ids = ids.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= per_lang)
