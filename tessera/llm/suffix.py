@@ -43,6 +43,8 @@ from tessera.llm.shared import byte_slices, materialize, whole_groups
 
 LENGTH, GRAM = 100, 20
 HOT_BLOCKS = 2048
+#: A block's number of places is kept in eight bits beside its start.
+LONGEST = 255
 LOW = (1 << 63) - 1
 BASE1, BASE2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 #: ``start`` holds the number of the text among those of its doc_id above this bit.
@@ -161,6 +163,8 @@ def _blocks_of(texts: list[bytes], ids: np.ndarray, length: int, gram: int) -> t
 
 def cut(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """Blocks of all texts (kind 0; one of equal ones per batch) and, as kind 1, the others: repeats."""
+    if not gram <= length <= gram + LONGEST:
+        raise ValueError(f"with anchors of {gram} bytes, repeats of {gram} to {gram + LONGEST} bytes can be told")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in byte_slices(batches, "text"):
