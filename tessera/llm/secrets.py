@@ -138,6 +138,10 @@ def _at_least(least: int):
     return lambda x: F.length(x["part"]) >= least
 
 
+#: Characters of a chunk of a text that is rewritten.
+CHUNK = 1024
+
+
 def _is(kind: int):
     return lambda x: x["kind"] == kind
 
@@ -173,16 +177,31 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(found: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """The rows with every span of ``text`` replaced; overlapping spans are one."""
-    text = F.coalesce(F.col("row.text"), F.lit(""))
-    start = F.expr("named_struct('pos', 0, 'parts', cast(array() as array<string>))")
+    """The rows with every span of ``text`` replaced; overlapping spans are one. A text is cut once into chunks, and spans
+    are walked through block by block, so the work grows with the text and not with its square."""
+    # get() and slice() take no place twice: a part between two places costs its own length and a chunk or two
+    low = lambda at: F.floor(at / CHUNK).cast("int")
+    chunk = lambda i: F.coalesce(F.get("chunks", i), F.lit(""))
+
+    def part(start: Column, stop: Column) -> Column:
+        head = F.substring(chunk(low(start)), F.pmod(start, F.lit(CHUNK)) + 1, F.lit(CHUNK))
+        middle = F.array_join(F.slice("chunks", low(start) + 2, F.greatest(low(stop) - low(start) - 1, F.lit(0))), "")
+        tail = F.substring(chunk(low(stop)), F.lit(1), F.pmod(stop, F.lit(CHUNK)))
+        one = F.substring(chunk(low(start)), F.pmod(start, F.lit(CHUNK)) + 1, stop - start)
+        return F.when(stop <= start, "").when(low(start) == low(stop), one).otherwise(F.concat(head, middle, tail))
 
     def step(acc: Column, x: Column) -> Column:
         new = x["end"] > acc["pos"]
-        before = F.substring(text, acc["pos"] + 1, F.greatest(x["start"] - acc["pos"], F.lit(0)))
-        parts = F.concat(acc["parts"], F.array(before, F.when(x["start"] >= acc["pos"], F.lit(mark)).otherwise(F.lit(""))))
+        parts = F.concat(acc["parts"], F.array(part(acc["pos"], x["start"]), F.when(x["start"] >= acc["pos"], F.lit(mark)).otherwise(F.lit(""))))
         return F.struct(F.when(new, x["end"]).otherwise(acc["pos"]).alias("pos"), F.when(new, parts).otherwise(acc["parts"]).alias("parts"))
 
-    cut = F.aggregate("found", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["pos"] + 1, F.length(text))))
-    clean = F.when(F.size("found") > 0, cut).otherwise(F.col("row.text"))
-    return found.select(*(clean.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in found.schema["row"].dataType.names))
+    count = F.ceil(F.size("found") / F.lit(float(BLOCK))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), count - 1), lambda b: F.slice("found", b * BLOCK + 1, F.lit(BLOCK)))
+    rows = found.withColumn("many", F.size("found") > 0).withColumn("chunks", F.when(F.col("many"), F.regexp_extract_all(F.coalesce("row.text", F.lit("")), F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))))
+    rows = rows.withColumn("blocks", F.when(F.col("many"), blocks)).withColumn("ends", F.transform("blocks", lambda b: F.array_max(F.transform(b, lambda x: x["end"]))))
+    rows = rows.withColumn("from", F.transform("ends", lambda _, i: F.coalesce(F.array_max(F.slice("ends", 1, i)), F.lit(0))))
+    empty = lambda pos: F.struct(pos.alias("pos"), F.expr("cast(array() as array<string>)").alias("parts"))
+    walked = F.zip_with("blocks", "from", lambda b, pos: F.aggregate(b, empty(pos), step, lambda acc: F.array_join(acc["parts"], "")))
+    cut = F.concat(F.array_join(walked, ""), part(F.array_max("ends"), F.length("row.text")))
+    clean = F.when(F.col("many"), cut).otherwise(F.col("row.text"))
+    return rows.select(*(clean.alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in found.schema["row"].dataType.names))

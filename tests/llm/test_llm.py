@@ -504,7 +504,11 @@ def test_language_id_of_three_in_a_family_and_six_in_all(spark):
         rows.append((i, " ".join(rng.choice(pool) + rng.choice(pool) for _ in range(60)), c))
     rows += [(7, rows[7][1], "fr")] * 500 + [(None, "bare text", "en"), (901, "no lang", None)]
     given = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert langid.sample(given, per_lang=60).groupBy("lang").count().toPandas()["count"].max() <= 61
+    sizes = langid.sample(given, per_lang=60).groupBy("lang").count().toPandas()["count"]
+    assert sizes.max() <= 61 and sizes.min() >= 60
+    again = given.unionByName(given.where("doc_id in (0, 1, 2, 3, 4, 5)").crossJoin(spark.range(300)).drop("id"))
+    key = lambda rows: sorted((r.doc_id, r.lang) for r in rows.collect())
+    assert key(langid.sample(again, per_lang=60)) == key(langid.sample(given, per_lang=60))
     truth = {i: c for i, _, c in rows[:900]}
     got = [(truth[r.doc_id], r.lang_pred) for r in langid.identify(given, per_lang=60).where("held_out").collect() if r.doc_id in truth]
     assert len(got) > 150 and np.mean([a == b for a, b in got]) > 0.97
@@ -692,3 +696,42 @@ def test_operators_on_very_long_texts_and_repeated_rows(spark):
     assert secrets.digest(secrets.scan(given)).count() == 3
     assert {r.lang_pred for r in langid.identify(given).collect()} <= {"en", "und"}
     assert html.render(html.build("<p>" + long)) == long
+
+
+def test_redaction_of_many_spans_in_linear_time(spark):
+    """Against cutting in Python: overlaps, spans at the ends, characters beyond the basic plane; twice the spans take about twice the time."""
+    import time
+
+    rng = random.Random(6)
+    rows = []
+    for i, size in enumerate([0, 1, 1024, 1025, 5000, 40_000]):
+        text = "".join(rng.choice("ab\U0001f600é\n") for _ in range(size))
+        spans = sorted((a, rng.randrange(4), min(size, a + rng.randrange(1, 1500 if i % 2 else 9))) for a in (rng.randrange(size) for _ in range(size // 7)))
+        rows.append((("x" if i else None, text), spans))
+    rows += [((None, None), []), (("all", "abc" * 700), [(0, 1, 2100)])]
+    schema = "row struct<doc_id: string, text: string>, found array<struct<start: int, kind: int, end: int>>"
+    for (_, text), spans, got in [(*r, g.text) for r, g in zip(rows, secrets.redact(spark.createDataFrame(rows, schema).coalesce(1)).collect(), strict=True)]:
+        pos, want = 0, ""
+        for a, _, b in spans:
+            if b > pos:
+                want += text[pos:a] + ("[secret]" if a >= pos else "")
+                pos = b
+        assert got == (None if text is None else want + text[pos:])
+    took = []
+    for n in (10_000, 10_000, 40_000):
+        one = spark.createDataFrame([(("d", "ab cdefgh " * n), [(10 * i, 0, 10 * i + 2) for i in range(n)])], schema)
+        began = time.time()
+        assert secrets.redact(one).first().text == "[secret] cdefgh " * n
+        took.append(time.time() - began)
+    assert took[2] < 8 * took[1] + 3
+
+
+def test_repeats_of_lengths_that_cannot_be_told_are_refused(spark):
+    rng = random.Random(9)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    given = docs(spark, [shared[: 300 + i] + str(i) for i in range(5)])
+    for r in suffix.remove(given, length=275).collect():
+        assert (r.n_removed > 0) == (r.doc_id > 0)
+    for length in (276, 19):
+        with pytest.raises(ValueError):
+            suffix.remove(given, length=length)
