@@ -56,10 +56,10 @@ def counted_before(blocks: DataFrame, chunk: int = 1000) -> DataFrame:
 _WAITING = "w AS (SELECT tx_hash, seen, CAST(NULL AS BIGINT) AS included FROM pending UNION ALL SELECT tx_hash, min(seen), min(block_number) FROM facts GROUP BY tx_hash)"
 
 
-@query("j15_first_at_or_after", "SELECT tx_hash, (SELECT min(block_number) FROM blocks b WHERE b.t >= p.seen) AS from_block FROM pending p")
+@query("j15_first_at_or_after", "SELECT tx_hash, (SELECT min(block_number) FROM indexed b WHERE b.t >= p.seen) AS from_block FROM pending p")
 def j15(spark, d):
     asked = V.pending(spark, d).select("tx_hash", "seen")
-    return first_at_or_after(V.blocks(spark, d).select("block_number", "t"), asked, "tx_hash", "seen").select("tx_hash", "from_block")
+    return first_at_or_after(V.indexed(spark, d).select("block_number", "t"), asked, "tx_hash", "seen").select("tx_hash", "from_block")
 
 
 @query("q47_inclusion_summary", f"""WITH {_WAITING}, c AS (SELECT tx_hash, count(*) AS missed, count(*) FILTER (reason = 'eligible') AS eligible, min(block_number) AS first FROM candidates GROUP BY 1), tip AS (SELECT max(block_number) AS tip FROM blocks), snap AS (SELECT DISTINCT block_number FROM candidates),

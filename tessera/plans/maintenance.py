@@ -28,20 +28,20 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-_STORED = "s AS (SELECT block_number, item_index, tx_hash, actor, seen FROM facts WHERE block_number < 2000)"
-_INCOMING = "i AS (SELECT block_number, item_index, CASE WHEN block_number % 4 = 0 THEN tx_hash || '-new' ELSE tx_hash END AS tx_hash, actor, CASE WHEN block_number % 3 = 0 THEN NULL ELSE seen + 5 END AS seen FROM facts WHERE block_number >= 1900 AND block_number < 2100)"
+_STORED = "s AS (SELECT block_number, item_index, tx_hash, actor, seen FROM facts WHERE block_number % 20 <> 19)"
+_INCOMING = "i AS (SELECT block_number, item_index, CASE WHEN block_number % 4 = 0 THEN tx_hash || '-new' ELSE tx_hash END AS tx_hash, actor, CASE WHEN block_number % 3 = 0 THEN NULL ELSE seen + 5 END AS seen FROM facts WHERE block_number % 20 >= 18)"
 
 
 def _incoming(spark, d) -> DataFrame:
     b = F.col("block_number")
-    rows = V.facts(spark, d).where("block_number >= 1900 AND block_number < 2100")
+    rows = V.facts(spark, d).where("block_number % 20 >= 18")
     return rows.select("block_number", "item_index", F.when(b % 4 == 0, F.concat("tx_hash", F.lit("-new"))).otherwise(F.col("tx_hash")).alias("tx_hash"), "actor", F.when(b % 3 != 0, F.col("seen") + 5).alias("seen"))
 
 
 @query("mnt1_upsert_items", f"WITH {_STORED}, {_INCOMING} SELECT coalesce(i.block_number, s.block_number) AS block_number, coalesce(i.item_index, s.item_index) AS item_index, coalesce(i.tx_hash, s.tx_hash) AS tx_hash, coalesce(i.actor, s.actor) AS actor, CASE WHEN i.block_number IS NULL THEN s.seen WHEN i.tx_hash = s.tx_hash THEN coalesce(s.seen, i.seen) ELSE i.seen END AS seen FROM s FULL OUTER JOIN i ON s.block_number = i.block_number AND s.item_index = i.item_index")
 def mnt1(spark, d):
     """Items put in or replaced by block and place. The first sight stays if the place holds the same transaction."""
-    stored = V.facts(spark, d).where("block_number < 2000").select("block_number", "item_index", *(F.col(c).alias(f"s_{c}") for c in ("tx_hash", "actor", "seen")))
+    stored = V.facts(spark, d).where("block_number % 20 <> 19").select("block_number", "item_index", *(F.col(c).alias(f"s_{c}") for c in ("tx_hash", "actor", "seen")))
     both = stored.join(_incoming(spark, d).withColumn("new", F.lit(True)), ["block_number", "item_index"], "full_outer")
     seen = F.when(F.col("new").isNull(), F.col("s_seen")).when(F.col("tx_hash") == F.col("s_tx_hash"), F.coalesce("s_seen", "seen")).otherwise(F.col("seen"))
     return both.select("block_number", "item_index", F.coalesce("tx_hash", "s_tx_hash").alias("tx_hash"), F.coalesce("actor", "s_actor").alias("actor"), seen.alias("seen"))
@@ -188,13 +188,13 @@ def misses(rows: DataFrame) -> DataFrame:
     return rows.groupBy("block_number").agg(F.count(F.lit(1)).alias("pending"), F.count_if(fine).alias("skipped"), F.coalesce(F.sum(F.when(fine, F.col("wanted"))), F.lit(0)).alias("skipped_items"), F.max(F.when(fine, F.col("tip"))).alias("max_tip"))
 
 
-@query("mnt12_producer_upsert", f"WITH {_MISSES}, s AS (SELECT p.block_number, p.producer, m.block_number IS NOT NULL AS snapshot, m.pending, m.skipped FROM producers p LEFT JOIN m USING (block_number) WHERE block_number < 2000), n AS (SELECT block_number, producer || '*' AS producer, block_number % 2 = 0 AS snapshot, CASE WHEN block_number % 2 = 0 THEN 1 END AS pending, CASE WHEN block_number % 2 = 0 THEN 0 END AS skipped FROM producers WHERE block_number >= 1500 AND block_number < 2500) SELECT coalesce(n.block_number, s.block_number) AS block_number, coalesce(n.producer, s.producer) AS producer, coalesce(s.snapshot, false) OR coalesce(n.snapshot, false) AS snapshot, CASE WHEN s.snapshot THEN s.pending ELSE n.pending END AS pending, CASE WHEN s.snapshot THEN s.skipped ELSE n.skipped END AS skipped FROM s FULL OUTER JOIN n ON s.block_number = n.block_number")
+@query("mnt12_producer_upsert", f"WITH {_MISSES}, s AS (SELECT p.block_number, p.producer, m.block_number IS NOT NULL AS snapshot, m.pending, m.skipped FROM producers p LEFT JOIN m USING (block_number) WHERE block_number % 20 <> 19), n AS (SELECT block_number, producer || '*' AS producer, block_number % 2 = 0 AS snapshot, CASE WHEN block_number % 2 = 0 THEN 1 END AS pending, CASE WHEN block_number % 2 = 0 THEN 0 END AS skipped FROM producers WHERE block_number % 20 >= 15) SELECT coalesce(n.block_number, s.block_number) AS block_number, coalesce(n.producer, s.producer) AS producer, coalesce(s.snapshot, false) OR coalesce(n.snapshot, false) AS snapshot, CASE WHEN s.snapshot THEN s.pending ELSE n.pending END AS pending, CASE WHEN s.snapshot THEN s.skipped ELSE n.skipped END AS skipped FROM s FULL OUTER JOIN n ON s.block_number = n.block_number")
 def mnt12(spark, d):
     """Who built a block is overwritten; a snapshot that is stored survives."""
     p = V.producers(spark, d).select("block_number", "producer")
-    s = p.where("block_number < 2000").join(misses(V.candidates(spark, d)), "block_number", "left").select("block_number", F.col("producer").alias("s_producer"), F.col("pending").isNotNull().alias("s_snapshot"), F.col("pending").alias("s_pending"), F.col("skipped").alias("s_skipped"))
+    s = p.where("block_number % 20 <> 19").join(misses(V.candidates(spark, d)), "block_number", "left").select("block_number", F.col("producer").alias("s_producer"), F.col("pending").isNotNull().alias("s_snapshot"), F.col("pending").alias("s_pending"), F.col("skipped").alias("s_skipped"))
     even = F.col("block_number") % 2 == 0
-    n = p.where("block_number >= 1500 AND block_number < 2500").select("block_number", F.concat("producer", F.lit("*")).alias("producer"), even.alias("snapshot"), F.when(even, 1).alias("pending"), F.when(even, 0).alias("skipped"))
+    n = p.where("block_number % 20 >= 15").select("block_number", F.concat("producer", F.lit("*")).alias("producer"), even.alias("snapshot"), F.when(even, 1).alias("pending"), F.when(even, 0).alias("skipped"))
     keep = lambda c: F.when(F.col("s_snapshot"), F.col(f"s_{c}")).otherwise(F.col(c)).alias(c)
     no = lambda c: F.coalesce(c, F.lit(False))
     return s.join(n, "block_number", "full_outer").select("block_number", F.coalesce("producer", "s_producer").alias("producer"), (no("s_snapshot") | no("snapshot")).alias("snapshot"), keep("pending"), keep("skipped"))
@@ -251,7 +251,7 @@ def _confirmed(spark, d) -> DataFrame:
     return V.pending(spark, d).where("event_id % 5 = 0").select("tx_hash", (F.floor((F.col("seen") - V.START) / V.STEP) + 1).alias("confirmed"))
 
 
-@query("mnt15_missed_repair", REPLACED + f", e AS (SELECT replaced, replacement FROM r WHERE replacement IS NOT NULL), {_CONFIRMED}, x AS (SELECT c.*, least(k.confirmed, k2.confirmed) AS confirmed FROM candidates c LEFT JOIN k ON k.tx_hash = c.tx_hash LEFT JOIN e ON e.replaced = c.tx_hash LEFT JOIN k k2 ON k2.tx_hash = e.replacement), m AS (SELECT block_number, count(*) FILTER (confirmed IS NULL OR confirmed >= block_number) AS pending, count(*) FILTER (reason = 'eligible' AND (confirmed IS NULL OR confirmed >= block_number)) AS skipped, CAST(coalesce(sum(wanted) FILTER (reason = 'eligible' AND (confirmed IS NULL OR confirmed >= block_number)), 0) AS BIGINT) AS skipped_items, max(tip) FILTER (reason = 'eligible' AND (confirmed IS NULL OR confirmed >= block_number)) AS max_tip, bool_or(confirmed < block_number) AS repaired FROM x GROUP BY 1) SELECT block_number, pending, skipped, skipped_items, max_tip FROM m WHERE repaired")
+@query("mnt15_missed_repair", REPLACED.replace("WITH r", "WITH RECURSIVE r") + f", e AS (SELECT replaced, replacement FROM r WHERE replacement IS NOT NULL), z(tx_hash, hop) AS (SELECT replaced, replacement FROM e UNION ALL SELECT z.tx_hash, e.replacement FROM z JOIN e ON e.replaced = z.hop), g AS (SELECT tx_hash, hop FROM z WHERE hop NOT IN (SELECT replaced FROM e)), {_CONFIRMED}, x AS (SELECT c.*, least(k.confirmed, k2.confirmed) AS confirmed FROM candidates c LEFT JOIN k ON k.tx_hash = c.tx_hash LEFT JOIN g ON g.tx_hash = c.tx_hash LEFT JOIN k k2 ON k2.tx_hash = g.hop), m AS (SELECT block_number, count(*) FILTER (confirmed IS NULL OR confirmed >= block_number) AS pending, count(*) FILTER (reason = 'eligible' AND (confirmed IS NULL OR confirmed >= block_number)) AS skipped, CAST(coalesce(sum(wanted) FILTER (reason = 'eligible' AND (confirmed IS NULL OR confirmed >= block_number)), 0) AS BIGINT) AS skipped_items, max(tip) FILTER (reason = 'eligible' AND (confirmed IS NULL OR confirmed >= block_number)) AS max_tip, bool_or(confirmed < block_number) AS repaired FROM x GROUP BY 1) SELECT block_number, pending, skipped, skipped_items, max_tip FROM m WHERE repaired")
 def mnt15(spark, d):
     """Rows of items that had been confirmed in a lower block, themselves or where their chain of replacements
     ends, are no misses: they go, and the aggregates of the blocks that they stood in are computed anew."""
@@ -297,11 +297,11 @@ def mnt21(spark, d):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
-@query("mnt22_guard_noop_update", "SELECT DISTINCT t - t % 3600 AS bucket, actor FROM facts WHERE block_number % 50 IN (1, 2) AND item_index = 0 AND block_number % 50 = 1")
+@query("mnt22_guard_noop_update", "SELECT DISTINCT t - t % 3600 AS bucket, actor FROM facts WHERE item_index = 0 AND block_number % 50 = 1")
 def mnt22(spark, d):
     """Keys that an update makes stale: rows of which only columns that no rollup reads have changed (a tip, in
     blocks ending in 2) make none."""
-    old = V.facts(spark, d).where("block_number % 50 IN (1, 2)").withColumn("bucket", bucket(F.col("t"), 3600))
+    old = V.facts(spark, d).withColumn("bucket", bucket(F.col("t"), 3600))
     changed = F.col("item_index") == 0
     new = old.withColumns({"cost": F.when(changed & (F.col("block_number") % 50 == 1), F.col("cost") + 1).otherwise(F.col("cost")), "tip": F.when(changed & (F.col("block_number") % 50 == 2), F.lit(1)).otherwise(F.col("tip"))})
     read = lambda rows, name: rows.select("block_number", "item_index", F.struct("bucket", "actor", "cost").alias(name))

@@ -100,12 +100,12 @@ def q56(spark, d):
     return V.blocks(spark, d).agg(F.min("block_number").alias("first"), F.max("block_number").alias("last"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("blocks"))
 
 
-@query("mnt20_missing_blocks", "SELECT r.n AS block_number FROM (SELECT unnest(range(100, 3501)) AS n) r WHERE r.n NOT IN (SELECT block_number FROM blocks) AND r.n >= (SELECT min(block_number) FROM blocks) ORDER BY 1 LIMIT 150")
+@query("mnt20_missing_blocks", "SELECT r.n AS block_number FROM (SELECT unnest(range(100, 3501)) AS n) r WHERE r.n NOT IN (SELECT block_number FROM indexed) AND r.n >= (SELECT min(block_number) FROM indexed) ORDER BY 1 LIMIT 150")
 def mnt20(spark, d, a: int = 100, b: int = 3500, limit: int = 150):
     """Missing numbers of [a, b], from the earliest block on, up to a limit. Gaps between neighbours are opened
     by ``sequence``; no full list of numbers is joined. The range's end stands in as a neighbour."""
-    held = V.blocks(spark, d).where(F.col("block_number").between(a, b)).select("block_number")
-    floor = V.blocks(spark, d).agg(F.min("block_number").alias("f"))
+    held = V.indexed(spark, d).where(F.col("block_number").between(a, b)).select("block_number")
+    floor = V.indexed(spark, d).agg(F.min("block_number").alias("f"))
     ends = floor.where(F.col("f") <= b).select(F.explode(F.array(F.greatest(F.col("f"), F.lit(a)) - 1, F.lit(b + 1).cast("long"))).alias("block_number"))
     n = held.union(ends)
     by = Window.partitionBy(F.floor(F.col("block_number") / 1000)).orderBy("block_number")
@@ -120,13 +120,15 @@ RANGES = [(0, 100), (16, 40), (17, 32), (40, 40), (3600, 3700)]
 _RANGES = "(VALUES (0, 100), (16, 40), (17, 32), (40, 40), (3600, 3700)) v(a, b)"
 
 
-@query("mnt19_first_unindexed", f"SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(coalesce((SELECT min(n) FROM (SELECT unnest(range(a, b + 1)) AS n) WHERE n NOT IN (SELECT block_number FROM blocks)), b + 1) AS BIGINT) AS first_missing FROM {_RANGES}")
+@query("mnt19_first_unindexed", f"SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, CAST(coalesce((SELECT min(n) FROM (SELECT unnest(range(a, b + 1)) AS n) WHERE n NOT IN (SELECT block_number FROM indexed)), b + 1) AS BIGINT) AS first_missing FROM {_RANGES}")
 def mnt19(spark, d):
     """First missing number of each asked range, its start included, or the number behind it. A missing number
     is a range's start or follows a block, so nothing else is looked at."""
     asked = spark.createDataFrame(RANGES, "a long, b long")
-    n = V.blocks(spark, d).select(F.col("block_number").alias("n"))
-    after = n.join(F.broadcast(asked), F.col("n").between(F.col("a"), F.col("b"))).select("a", "b", (F.col("n") + 1).alias("n"))
+    n = V.indexed(spark, d).select(F.col("block_number").alias("n"))
+    slot = lambda c: F.floor(F.col(c) / 1000)  # noqa: E731  ranges are cut into slots, so the join is one by equality
+    slots = asked.select("a", "b", F.explode(F.sequence(slot("a"), slot("b"))).alias("slot"))
+    after = n.withColumn("slot", slot("n")).join(slots, "slot").where("n BETWEEN a AND b").select("a", "b", (F.col("n") + 1).alias("n"))
     gaps = asked.withColumn("n", F.col("a")).union(after).where("n <= b").join(n, "n", "left_anti").groupBy("a", "b").agg(F.min("n").alias("m"))
     return asked.join(gaps, ["a", "b"], "left").select("a", "b", F.coalesce("m", F.col("b") + 1).alias("first_missing"))
 

@@ -1,6 +1,6 @@
 """Canonical views of block data derived from the given tables, in Spark and as SQL text.
 
-One block per 720 seconds; blocks with number % 17 = 16 do not exist. Times are epoch seconds, exact
+One block per 720 seconds. Times are epoch seconds, exact
 amounts are DECIMAL(38,0). Views over time take a half-open range [first, last) of block times, which
 becomes a range of the stored ``ts``, so that files and row groups outside it are not read.
 """
@@ -51,7 +51,7 @@ def _events(spark: SparkSession, sf_dir: str, first: int | None = None, last: in
 def facts(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """One row per item."""
     b, u, e = F.col("b"), F.col("user_id"), F.col("event_id")
-    rows = _events(spark, sf_dir, first, last).where("event_type <> 'error' AND b % 17 <> 16")
+    rows = _events(spark, sf_dir, first, last).where("event_type <> 'error'")
     fee = F.lit(1000000007) * (1 + b % 97)
     return rows.select(
         b.alias("block_number"),
@@ -68,7 +68,7 @@ def facts(spark: SparkSession, sf_dir: str, first: int | None = None, last: int
 def blocks(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """One row per block, empty ones included. Numbers are opened in chunks, dealt out before that."""
     lo, hi = block_range(first, last)
-    counts = _events(spark, sf_dir, first, last).where("b % 17 <> 16").groupBy("b").agg(F.count_if(F.col("event_type") != "error").alias("c"))
+    counts = _events(spark, sf_dir, first, last).groupBy("b").agg(F.count_if(F.col("event_type") != "error").alias("c"))
     if hi is None:  # the newest number comes from the counts, by the same exchange (which needs the same columns)
         top = counts.agg(F.max(F.when(F.col("c") >= 0, F.col("b"))).alias("m"))
     else:
@@ -76,7 +76,7 @@ def blocks(spark: SparkSession, sf_dir: str, first: int | None = None, last: int
     top = top.where(F.col("m") >= (lo or 0))
     chunks = top.select("m", F.explode(F.sequence(F.lit((lo or 0) // CHUNK).cast("long"), F.expr(f"m div {CHUNK}"))).alias("chunk")).repartition("chunk")
     low = F.greatest(F.col("chunk") * CHUNK, F.lit(lo or 0))
-    spine = chunks.select(F.explode(F.sequence(low, F.least("m", F.col("chunk") * CHUNK + CHUNK - 1))).alias("b")).where("b % 17 <> 16")
+    spine = chunks.select(F.explode(F.sequence(low, F.least("m", F.col("chunk") * CHUNK + CHUNK - 1))).alias("b"))
     b = F.col("b")
     return spine.join(counts, "b", "left").select(
         b.alias("block_number"), block_time(b).alias("t"), F.coalesce("c", F.lit(0)).cast("long").alias("items"),
@@ -87,6 +87,11 @@ def blocks(spark: SparkSession, sf_dir: str, first: int | None = None, last: int
     )
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of which every seventeenth is missing, for what looks for gaps."""
+    return blocks(spark, sf_dir).where("block_number % 17 <> 16")
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known actors: customers of all market segments but one."""
     c, n, r = (read(spark, sf_dir, x) for x in ("customer", "nation", "region"))
@@ -103,7 +108,7 @@ def producers(spark: SparkSession, sf_dir: str, first: int | None = None, last:
 
 def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, u = F.col("event_id"), F.col("user_id")
-    nonce = F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1) / 2).cast("long")
+    nonce = F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1) / (2 + u % 4)).cast("long")
     cap = F.when(e % 9 != 0, F.lit(1000000007) * (1 + e % 120))
     items = (1 + e % 6).cast("long")
     return _events(spark, sf_dir).where("event_type = 'error'").select(
@@ -152,12 +157,13 @@ SQL = {
     "facts": """SELECT b AS block_number, row_number() OVER (PARTITION BY b ORDER BY event_id) - 1 AS item_index, 'tx-' || user_id || '-' || b AS tx_hash, 'vh-' || (event_id - event_id % 3) AS content_hash, '0xS' || user_id AS actor,
         CASE WHEN user_id % 4 = 1 THEN 'Label ' || (user_id % 5) WHEN user_id % 20 = 2 THEN '  ' ELSE '' END AS label, 1000000007 * (1 + b % 97) AS fee,
         CAST(1000000007 * (1 + b % 97) * 131072 AS DECIMAL(38,0)) AS cost, 1704067200 + (b + 1) * 720 AS t, CASE WHEN b % 8 <> 0 THEN 500000000 + (user_id % 17) * 250000000 END AS tip,
-        CASE WHEN (user_id + b) % 11 <> 0 THEN min(s) OVER (PARTITION BY b, user_id) END AS seen FROM ev WHERE event_type <> 'error' AND b % 17 <> 16""",
+        CASE WHEN (user_id + b) % 11 <> 0 THEN min(s) OVER (PARTITION BY b, user_id) END AS seen FROM ev WHERE event_type <> 'error'""",
     "blocks": """SELECT r.b AS block_number, 1704067200 + (r.b + 1) * 720 AS t, coalesce(c.c, 0) AS items, 1000000007 * (1 + r.b % 97) AS fee,
         CASE WHEN r.b % 13 = 0 OR r.b // 50 % 7 = 3 THEN 0 ELSE 20000000000 + (r.b % 29) * 1000000007 END AS base_fee,
         CAST(CASE WHEN r.b % 3 = 0 THEN 393216 ELSE 0 END AS BIGINT) AS target_gas, CAST(CASE WHEN r.b % 3 = 0 THEN 786432 ELSE 0 END AS BIGINT) AS limit_gas,
         CAST(CASE WHEN r.b % 5 = 0 THEN 0 ELSE 3 END AS BIGINT) AS params_target, CAST(CASE WHEN r.b % 5 = 0 THEN 0 ELSE 6 END AS BIGINT) AS params_max, r.b % 211 * 400000 AS excess
-        FROM (SELECT unnest(range(0, (SELECT max(b) FROM ev) + 1)) AS b) r LEFT JOIN (SELECT block_number AS b, count(*) AS c FROM facts GROUP BY 1) c ON r.b = c.b WHERE r.b % 17 <> 16""",
+        FROM (SELECT unnest(range(0, (SELECT max(b) FROM ev) + 1)) AS b) r LEFT JOIN (SELECT block_number AS b, count(*) AS c FROM facts GROUP BY 1) c ON r.b = c.b""",
+    "indexed": "SELECT * FROM blocks WHERE block_number % 17 <> 16",
     "registry": "SELECT lower('0xS' || c_custkey) AS address, 'Rollup ' || n_name AS name, r_name AS category FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_mktsegment <> 'FURNITURE'",
     "producers": """SELECT block_number, t, items, s_name AS producer, '0xP' || (block_number % 3) || '-' || s_suppkey AS recipient,
         CASE WHEN block_number % 5 <> 0 THEN CAST(1000000000000000000 AS DECIMAL(38,0)) + CAST(block_number % 1000 AS DECIMAL(18,0)) * CAST(1000000000000001 AS DECIMAL(18,0)) END AS payment, fee
@@ -165,7 +171,7 @@ SQL = {
     "pending": """SELECT 'px-' || event_id AS tx_hash, 'vh-' || (event_id - event_id % 3) AS content_hash, '0xS' || user_id AS actor, CASE WHEN event_id % 41 <> 0 THEN n END AS nonce, CAST(1 + event_id % 6 AS BIGINT) AS items,
         cap AS max_fee, CASE WHEN event_id % 19 <> 0 THEN 15000000000 + (event_id % 40) * 1000000000 END AS max_exec, CASE WHEN event_id % 7 <> 0 THEN 500000000 + (event_id % 23) * 100000000 END AS tip, s AS seen,
         CAST((1 + event_id % 6) * 131072 * CAST(coalesce(cap, 0) AS HUGEINT) AS DECIMAL(38,0)) AS cost, event_id
-        FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 2 AS n, CASE WHEN event_id % 9 <> 0 THEN 1000000007 * (1 + event_id % 120) END AS cap FROM ev WHERE event_type = 'error')""",
+        FROM (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // (2 + user_id % 4) AS n, CASE WHEN event_id % 9 <> 0 THEN 1000000007 * (1 + event_id % 120) END AS cap FROM ev WHERE event_type = 'error')""",
     "candidates": """SELECT b.block_number, b.t, p.tx_hash, p.actor, p.nonce, p.items AS wanted, p.tip, p.seen,
         CASE WHEN b.t - p.seen < 60 THEN 'too_recent' WHEN p.nonce > p.lowest THEN 'nonce_gap' WHEN p.max_fee < b.fee THEN 'priced_out_item_fee'
         WHEN b.base_fee > 0 AND p.max_exec < b.base_fee THEN 'priced_out_exec_fee' WHEN b.items + p.items > 6 THEN 'no_room' ELSE 'eligible' END AS reason
