@@ -466,7 +466,7 @@ def test_html_against_generated_pages():
         assert re.findall(r"w\d+", html.render(html.build(page))) == [w for _, ws in made for w in ws], page
 
 
-@pytest.mark.parametrize("piece", ["<a '", '<a b="', "<div>", "<", "<!--", "<p>", "<ul><li>", "<table><tr><td>", "<td rowspan=60000>x", "<tr><td>a<td>b", "<b class=x>y</b>"])
+@pytest.mark.parametrize("piece", ["<a '", '<a b="', "<div>", "<", "<!--", "<p>", "<ul><li>", "<table><tr><td>", "<td rowspan=60000>x", "<tr><td>a<td>b", "<b class=x>y</b>", '<a x="1>', "<tr><td rowspan=9>a<td>", "<td colspan=900 rowspan=3>b<tr>", "<div class=x><p>"])
 def test_html_takes_hostile_pages_in_linear_time(piece):
     import time
 
@@ -735,3 +735,38 @@ def test_repeats_of_lengths_that_cannot_be_told_are_refused(spark):
     for length in (276, 19):
         with pytest.raises(ValueError):
             suffix.remove(given, length=length)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<style>div p{display:none}</style><div><section><p>x</section>y</div><p>z", "y\n\nz"),
+        ("<style>div > .a{display:none}</style><div><b class=a>x</b><i><b class=a>y</b></i></div>", "y"),
+        ("<style>h1 + p{display:none} h1 ~ div{display:none}</style><h1>t</h1><p>a<p>b</p><div>c</div>", "t\n\nb"),
+        ("<style>ul li > a b{display:none}</style><ul><li><a><i><b>x</b></i></a><b>y</b></ul>", "- y"),
+        ("<style>a > b c{display:none}</style><a><b><a><c>x</c></a></b></a><c>y</c>", "y"),
+        ('<style>.x:not(.y){display:none}</style><p class=x>a<p class="x y">b', "b"),
+        ("<style>:is(b,i).q{display:none} :where(#u){display:none} b#u{display:inline}</style><b class=q>1</b><i class=q>2</i><u class=q>3</u><b id=u>4</b>", "34"),
+        ('<style>[data-a="1"],a[href^=js],p[lang|=en],i[title~=x],b[k$="Z" i],u[v*=mid]{display:none}</style><p data-a=1>a<p data-a=2>b <a href=jsx>c</a><i title="w x">d</i><b k=yz>e</b><u v=amidb>f</u><p lang=en-US>g<p lang=end>h', "b\n\nh"),
+        ("<style>li:first-child{display:none} li:hover{display:none}</style><ul><li>1<li>2</ul>", "- 2"),
+        ("<style>p{display:none!important}</style><p style='display:block'>a</p>b", "b"),
+        ("<style>p{display:none}</style><p style='display:block'>a</p>b", "a\n\nb"),
+        ("<style>#a{display:none} p.b{display:block}</style><p id=a class=b>x</p>y", "y"),
+        ("<p class=h>late</p>k<style>.h{display:none}</style>", "k"),
+        ("<style>.s{display:block}</style><span class=s>a</span><span class=s>b</span>", "a\nb"),
+        ("<p style='display:inline'>a</p><p style='display:inline-block'>b</p>", "ab"),
+        ("<ul><li style='display:inline'>a<li>b</ul>", "a\n- b"),
+        ("<table><tr><td><pre>a\n\nb</pre><td>c</table>", "a | c\n\nb"),
+        ("<table><tr><td>日本語<td>x<tr><td>abc<td>y</table>", "日本語 | x\nabc    | y"),
+        ("<table><tr><td>" + "w" * 70 + "<td>x<tr><td>abc<td>y</table>", "w" * 70 + " | x\nabc" + " " * 67 + " | y"),
+        ("<table><tr><td rowspan=3 colspan=2>A<td>b<tr><td>c<tr><td rowspan=2>d<tr><td>e<td>f</table>", "A     | b\n  |   | c\n  |   | d\ne | f"),
+    ],
+)
+def test_html_styles_and_tables(page, text):
+    got = html.render(html.build(page), len(page))
+    assert "\n".join(x.rstrip() for x in got.split("\n")) == text
+
+
+def test_html_of_no_pages(spark):
+    given = spark.createDataFrame([(1, "u", "<p>x", "t")], "page_id long, url string, html string, TEXT string")
+    assert html.extract(given).columns == ["page_id", "url", "text"] and html.extract(given.limit(0)).count() == 0
