@@ -127,16 +127,20 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return stored.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def cut(rows: DataFrame) -> DataFrame:
-    """``rows`` without their lineage, by a checkpoint in the folder that ``spark.checkpoint.dir`` names; a folder
-    of our own only where none is named and all tasks run in this process."""
-    spark = rows.sparkSession
+def shared_dir(spark) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; one of our own only where none is named and all tasks run in this process."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
         found = spark.conf.get("spark.checkpoint.dir", None)
         if not found and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """``rows`` without their lineage, by a checkpoint in the shared folder."""
+    shared_dir(rows.sparkSession)
     return rows.checkpoint()
 
 

@@ -66,14 +66,20 @@ Q59_SQL = f"""WITH RECURSIVE b AS (SELECT b.block_number, b.base_fee, b.excess,
     SELECT block_number, CASE WHEN fraction IS NULL THEN NULL ELSE next_excess END AS next_excess, coalesce(CAST(f2.fee AS VARCHAR), '1') AS next_fee FROM c LEFT JOIN f2 ON f2.n = c.next_excess AND f2.f = c.fraction"""
 
 
+def with_fee(rows: DataFrame, excess: str, name: str) -> DataFrame:
+    """``rows`` with the fee at an excess and ``fraction``. There are few distinct pairs, so each is computed once and joined back."""
+    pairs = rows.select(excess, "fraction").where(f"{excess} IS NOT NULL AND fraction IS NOT NULL").distinct()
+    return rows.join(pairs.withColumn(name, fee_of(excess, "fraction")), [excess, "fraction"], "left")
+
+
 def next_fees(spark, blocks: DataFrame) -> DataFrame:
     """``blocks`` with next_excess and next_fee."""
-    b = staged(spark, blocks.withColumn("t2", F.col("t") + 12), "t2").withColumn("used", F.col("items") * V.ITEM)
+    b = core.cut(staged(spark, blocks.withColumn("t2", F.col("t") + 12), "t2").withColumn("used", F.col("items") * V.ITEM))
     spare = F.expr("excess + used * (cap - target) div cap")
     sum_, goal = F.col("excess") + F.col("used"), F.col("target") * V.ITEM
-    reserved = F.col("reserve") & (F.col("base_fee").cast("decimal(20,0)") * F.lit(ITEM_BASE_COST).cast("decimal(10,0)") > (F.col("now").cast("decimal(28,0)") * F.lit(V.ITEM).cast("decimal(9,0)")))
-    after = b.withColumn("now", fee_of("excess", "fraction").cast(V.WEI)).withColumn("next_excess", F.when(F.col("fraction").isNull(), F.lit(None)).when(sum_ < goal, 0).when(reserved, spare).otherwise(sum_ - goal).cast("long"))
-    return after.withColumn("next_fee", F.coalesce(fee_of("next_excess", "fraction"), F.lit(str(LEAST_FEE))))
+    reserved = F.col("reserve") & (F.col("base_fee").cast("decimal(20,0)") * F.lit(ITEM_BASE_COST).cast("decimal(10,0)") > (F.col("now").cast(V.WEI).cast("decimal(28,0)") * F.lit(V.ITEM).cast("decimal(9,0)")))
+    after = with_fee(b, "excess", "now").withColumn("next_excess", F.when(F.col("fraction").isNull(), F.lit(None)).when(sum_ < goal, 0).when(reserved, spare).otherwise(sum_ - goal).cast("long"))
+    return with_fee(after, "next_excess", "next_fee").withColumn("next_fee", F.coalesce("next_fee", F.lit(str(LEAST_FEE))))
 
 
 @query("q59_next_fee", Q59_SQL)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import present, wei_text
 from tessera.operators import core
+from tessera.plans.maintenance import _BEST, _BLOCK_ROLLUP, best_claims, block_rollup, grained
 from tessera.plans.records import VC
 from tessera.plans.registrar import registrar
 from tessera.sources import nested
@@ -157,3 +161,95 @@ def mnt6_middle(spark, d):
         return kinds_of(near.withColumn("items", F.expr(_NEW_ITEMS)))
 
     return follow_runs(stored, CHANGED, rows_of)
+
+
+_SUMS = ("items", "cost", "size_fee")
+
+
+def item_sums(rows: DataFrame) -> DataFrame:
+    """Additive sums per hour and actor."""
+    size_fee = F.sum(F.col("fee").cast("decimal(18,0)") * F.lit(V.ITEM).cast("decimal(6,0)")).cast(V.WEI)
+    return rows.groupBy((F.col("t") - F.pmod("t", F.lit(3600))).alias("bucket"), "actor").agg(F.count(F.lit(1)).alias("items"), F.sum("cost").cast(V.WEI).alias("cost"), size_fee.alias("size_fee"))
+
+
+@query("mnt5_rollup_from_images", f"""WITH a AS (SELECT CASE WHEN block_number % 19 = 4 THEN actor || 'x' ELSE actor END AS actor, CASE WHEN block_number % 5 = 2 THEN cost + 1 ELSE cost END AS cost, fee, t FROM facts WHERE NOT (block_number % 7 = 3 AND item_index % 2 = 1) AND block_number % 43 <> 9)
+SELECT t - t % 3600 AS bucket, actor, count(*) AS items, {VC.format('sum(cost)')} AS cost, {VC.format('sum(CAST(fee AS HUGEINT) * 131072)')} AS size_fee FROM a GROUP BY 1, 2""")
+def mnt5_images(spark, d):
+    """Sums per hour and actor after rows went and changed: what the old images held is taken away, what the new
+    ones hold is added, and sums that fall to 0 go."""
+    columns = ("block_number", "item_index", "actor", "cost", "fee", "t")
+    before, b = V.facts(spark, d).select(*columns), F.col("block_number")
+    after = before.where("NOT (block_number % 7 = 3 AND item_index % 2 = 1) AND block_number % 43 <> 9").withColumns({"actor": F.when(b % 19 == 4, F.concat("actor", F.lit("x"))).otherwise(F.col("actor")), "cost": F.when(b % 5 == 2, F.col("cost") + 1).otherwise(F.col("cost")).cast(V.WEI)})
+    moved = core.cut(changes(before, after, ["block_number", "item_index"]))
+    gone, came = (item_sums(moved.where(f"{x} IS NOT NULL").select(f"{x}.*")) for x in ("old", "new"))
+    delta = core.merge(came, gone.withColumns({c: -F.col(c) for c in _SUMS}), ["bucket", "actor"], list(_SUMS))
+    rows = core.merge(item_sums(before), delta, ["bucket", "actor"], list(_SUMS))
+    return rows.select("bucket", "actor", F.col("items").cast("long").alias("items"), wei_text(F.col("cost")).alias("cost"), wei_text(F.col("size_fee")).alias("size_fee"))
+
+
+_LOST = "block_number % 150 BETWEEN 40 AND 62"
+
+
+@query("mnt4_rollup_after_deletes", f"WITH b2 AS (SELECT * REPLACE (CASE WHEN block_number % 37 = 5 THEN fee + 9 ELSE fee END AS fee) FROM blocks WHERE NOT ({_LOST})) " + _BLOCK_ROLLUP.replace("FROM blocks", "FROM b2"))
+def mnt4_deletes(spark, d):
+    """Rollups of blocks after some went and some changed: buckets that either image touches are computed anew from
+    the blocks that are left; a bucket that lost its last block goes."""
+    keys = ["seconds", "bucket"]
+    before = core.cut(V.blocks(spark, d))
+    after = before.where(f"NOT ({_LOST})").withColumn("fee", F.when(F.col("block_number") % 37 == 5, F.col("fee") + 9).otherwise(F.col("fee")))
+    moved = core.cut(changes(before, after, ["block_number"]))
+    images = moved.select("old.*").unionByName(moved.select("new.*")).where("t IS NOT NULL")
+    touched = core.cut(grained(images).select(*keys).distinct())
+    near = after.join(touched.where("seconds = 86400").select(F.col("bucket").alias("day")), F.col("t") - F.col("t") % 86400 == F.col("day"), "left_semi")
+    anew = block_rollup(near).join(touched, keys, "left_semi")
+    return block_rollup(before).join(touched, keys, "left_anti").unionByName(anew)
+
+
+def fingerprint(definition: DataFrame) -> str:
+    """A text that says which rows a definition has, in any order."""
+    h = [F.xxhash64(F.lit(seed), *definition.columns) for seed in (1, 2)]
+    r = definition.agg(F.count(F.lit(1)).alias("n"), *(F.bit_xor(x).alias(f"x{i}") for i, x in enumerate(h)), *(F.sum(x.cast("decimal(38,0)")).alias(f"s{i}") for i, x in enumerate(h))).first()
+    return ":".join(map(str, r))
+
+
+def rewrite(spark, path: str, part: str, key: str, changed: DataFrame, definition: DataFrame, relabel) -> list:
+    """Brings a stored table (partitioned by ``part``) in line with a new definition of its labels: partitions that hold a
+    changed ``key`` are put in place anew through ``relabel``, others keep their files. Nothing is read if the definition
+    that the table was made by is the same. The parts that were rewritten; the definition's fingerprint is stored last, so a
+    run that fails is repeated."""
+    mark = fingerprint(definition)
+    try:
+        known = spark.read.schema("mark string").parquet(f"{path}-definition").first().mark
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        known = None
+    if known == mark:
+        return []
+    table = spark.read.parquet(path)
+    hit = sorted(r[0] for r in table.select(part, key).join(changed.select(key), key, "left_semi").select(part).distinct().collect())
+    if hit:
+        staging = f"{path}-staging-{uuid.uuid4().hex}"
+        relabel(table.where(F.col(part).isin(hit))).select(table.columns).write.parquet(staging)
+        spark.read.schema(table.schema).parquet(staging).hint("rebalance", part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    spark.createDataFrame([(mark,)], "mark string").coalesce(1).write.mode("overwrite").parquet(f"{path}-definition")
+    return hit
+
+
+def labelled(rows: DataFrame, claims: DataFrame) -> DataFrame:
+    names = best_claims(claims).select("address", F.col("name").alias("claimed"))
+    return rows.withColumn("address", F.lower("actor")).join(names, "address", "left").withColumn("label", F.coalesce("claimed", F.lit(""))).drop("claimed")
+
+
+@query("mnt10_labels_rewritten", f"SELECT f.block_number, f.item_index, f.actor, coalesce(b.name, '') AS label FROM facts f LEFT JOIN {_BEST.format(where='claim % 10 <> 7')} b ON lower(f.actor) = b.address")
+def mnt10_rewritten(spark, d):
+    """Items stored with the labels of one claims file, brought in line with the next one."""
+    c = V.claims(spark, d)
+    old, new = c.where("claim % 10 <> 3"), c.where("claim % 10 <> 7")
+    path = f"{core.shared_dir(spark)}/labels-{uuid.uuid4().hex}"
+    rows = V.facts(spark, d).select("block_number", "item_index", "actor", F.floor(F.col("block_number") / 1000).alias("part"))
+    labelled(rows, old).hint("rebalance", "part").write.partitionBy("part").parquet(path)
+    a, b = (best_claims(x).select("address", F.col("name").alias(n)) for x, n in ((old, "was"), (new, "is")))
+    changed = a.join(b, "address", "full_outer").where("NOT (was <=> is)")
+    rewrite(spark, path, "part", "address", changed, new.select("address", "name", "status", "confidence", "valid_from", "valid_to"), lambda t: labelled(t.drop("label"), new))
+    return spark.read.parquet(path).select("block_number", "item_index", "actor", "label")

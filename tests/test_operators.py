@@ -184,3 +184,25 @@ def test_rolling_queries_read_stored_rollups(spark):
     before, day = files(), 19730
     tiers.renew(V.blocks(spark, sf, day * 86400, day * 86400 + 86400).where(f"t < {day * 86400 + 86400}"), V.facts(spark, sf, day * 86400, day * 86400 + 86400).where(f"t < {day * 86400 + 86400}"), store)
     assert {f for f in before - files() if f"day={day}/" not in f} == set() and before & files() and before - files()
+
+
+def test_only_parts_that_hold_changed_keys_are_rewritten(spark):
+    import glob
+    import tempfile
+
+    from tessera.plans.incremental import rewrite
+
+    path = f"{tempfile.mkdtemp()}/t"
+    spark.createDataFrame([(p, k, "old") for p in range(4) for k in ("a", f"k{p}")][1:], "part long, address string, label string").write.partitionBy("part").parquet(path)
+    files = lambda: {f for f in glob.glob(f"{path}/part=*/*.parquet")}
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "address string")
+    new = lambda t: t.withColumn("label", F.when(F.col("address").isin("k2", "a"), "new").otherwise(F.col("label")))
+    made = spark.createDataFrame([("k2", "new"), ("a", "new")], "address string, name string")
+    before = files()
+    assert rewrite(spark, path, "part", "address", keys("k2"), made, new) == [2]
+    assert {f for f in before if "part=2/" not in f} <= files() and not {f for f in before if "part=2/" in f} & files()
+    kept = files()
+    assert rewrite(spark, path, "part", "address", keys("k0"), made.orderBy("name"), new) == [] and files() == kept
+    assert rewrite(spark, path, "part", "address", keys("nobody"), made.limit(1), new) == [] and files() == kept
+    assert rewrite(spark, path, "part", "address", keys("a"), made, new) == [1, 2, 3]
+    assert sorted(map(tuple, spark.read.parquet(path).select("part", "address", "label").collect())) == [(0, "k0", "old"), (1, "a", "new"), (1, "k1", "old"), (2, "a", "new"), (2, "k2", "new"), (3, "a", "new"), (3, "k3", "old")]
