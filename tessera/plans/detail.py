@@ -113,7 +113,7 @@ def _rolling(spark, d, tier: str, fee: str, p: str, store: str | None = None):
     blocks = blocks.join(middle.groupBy("w").agg(of("median", "half").alias("median_fee"), of("high", "high").alias("p95_fee")), "w")
     i = tiers.item_tier(spark, d, tier, store).withColumn("w", F.explode(inside))
     bytes_ = F.sum("items") * V.ITEM
-    items = i.groupBy("w").agg(F.sum("items").alias("items"), bytes_.alias("gas"), wei_text(F.sum("cost")).alias("cost"), F.countDistinct("actor").alias("actors"), F.round(F.sum("cost").cast("double") / bytes_, 6).alias("avg_fee"))
+    items = i.groupBy("w").agg(F.sum("items").alias("items"), bytes_.alias("gas"), wei_text(F.sum("cost")).alias("cost"), F.countDistinct("actor").alias("actors"), F.round(F.sum("cost").cast("double") / bytes_, 3).alias("avg_fee"))
     return blocks.join(items, "w")
 
 
@@ -123,7 +123,7 @@ def _rolling_sql(seconds: int, fee: str, p: str) -> str:
     return f"""WITH w AS ({windows}), r AS (SELECT t - t % {seconds} AS bucket, count(*) AS blocks, sum(items) AS items, count(*) FILTER (items > 3) AS above_target, count(*) FILTER (items >= 6) AS at_max, quantile_disc(fee, 0.5) AS median, quantile_disc(fee, 0.95) AS p95 FROM blocks GROUP BY 1),
     i AS (SELECT t - t % {seconds} AS bucket, actor, count(*) AS items, sum(cost) AS cost FROM facts GROUP BY 1, 2),
     b AS (SELECT w.w, CAST(sum(blocks) AS BIGINT) AS blocks, CAST(sum(above_target) AS BIGINT) AS above_target, CAST(sum(at_max) AS BIGINT) AS at_max, round(CAST(sum(items) AS DOUBLE) / CAST(sum(blocks) * 3 AS DOUBLE), 6) AS utilization, quantile_disc(median, 0.5) AS median_fee, quantile_disc({fee}, {p}) AS p95_fee FROM w JOIN r ON {inside} GROUP BY 1),
-    c AS (SELECT w.w, CAST(sum(items) AS BIGINT) AS items, CAST(sum(items) * 131072 AS BIGINT) AS gas, CAST(CAST(sum(cost) AS DECIMAL(38,0)) AS VARCHAR) AS cost, count(DISTINCT actor) AS actors, round(CAST(sum(cost) AS DOUBLE) / CAST(sum(items) * 131072 AS DOUBLE), 6) AS avg_fee FROM w JOIN i ON {inside} GROUP BY 1) SELECT * FROM b JOIN c USING (w)"""
+    c AS (SELECT w.w, CAST(sum(items) AS BIGINT) AS items, CAST(sum(items) * 131072 AS BIGINT) AS gas, CAST(CAST(sum(cost) AS DECIMAL(38,0)) AS VARCHAR) AS cost, count(DISTINCT actor) AS actors, round(CAST(sum(cost) AS DOUBLE) / CAST(sum(items) * 131072 AS DOUBLE), 3) AS avg_fee FROM w JOIN i ON {inside} GROUP BY 1) SELECT * FROM b JOIN c USING (w)"""
 
 
 @query("q26_rolling_fine", _rolling_sql(60, "median", "0.95"))

@@ -74,7 +74,7 @@ def q47(spark, d):
     blocks = core.cut(V.blocks(spark, d).select("block_number", "t", "items", "fee", "base_fee"))
     miss = core.cut(V.missed(V.pending(spark, d), blocks).select("tx_hash", "block_number", "reason"))
     blocks = blocks.select("block_number", "t")
-    w = V.pending(spark, d).select("tx_hash", "seen", F.lit(None).cast("long").alias("included")).union(V.facts(spark, d).groupBy("tx_hash").agg(F.min("seen"), F.min("block_number")))
+    w = core.cut(V.pending(spark, d).select("tx_hash", "seen", F.lit(None).cast("long").alias("included")).union(V.facts(spark, d).groupBy("tx_hash").agg(F.min("seen"), F.min("block_number"))))
     c = miss.groupBy("tx_hash").agg(F.count(F.lit(1)).alias("missed"), F.count_if(F.col("reason") == "eligible").alias("eligible"), F.min("block_number").alias("first"))
     first = first_at_or_after(blocks, w.where("seen IS NOT NULL").select("tx_hash", "seen"), "tx_hash", "seen").select("tx_hash", "from_block")
     marked = blocks.select("block_number").join(miss.select("block_number", F.lit(1).alias("mark")).distinct(), "block_number", "left").withColumn("mark", F.coalesce("mark", F.lit(0)))

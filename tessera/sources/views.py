@@ -128,7 +128,8 @@ def reason(age: Column, nonce: Column, lowest: Column, max_fee: Column, fee: Col
 def missed(p: DataFrame, b: DataFrame) -> DataFrame:
     """Pending items and the blocks that they lived through without being taken. Pending rows go to the
     block-time slots of their life (at most six), so the interval join is an equality join."""
-    p = p.withColumn("lowest", F.min("nonce").over(Window.partitionBy("actor"))).withColumnRenamed("items", "wanted")
+    lowest = p.groupBy("actor").agg(F.min("nonce").alias("lowest"))  # not a window: a busy sender would be one task
+    p = p.join(lowest, "actor").withColumnRenamed("items", "wanted")
     slots = p.withColumn("slot", F.explode(F.sequence(F.floor(F.col("seen") / STEP), F.floor((F.col("seen") + LIFE) / STEP))))
     held = slots.join(b.select("block_number", "t", "items", "fee", "base_fee", F.floor(F.col("t") / STEP).alias("slot")), "slot").where(f"seen <= t AND t < seen + {LIFE}")
     why = reason(F.col("t") - F.col("seen"), *(F.col(c) for c in ("nonce", "lowest", "max_fee", "fee", "max_exec", "base_fee", "wanted", "items")))

@@ -131,15 +131,20 @@ def merged(spark: SparkSession, path: str, sums: list[str]) -> DataFrame:
     return rows.where(" OR ".join(f"{c} <> 0" for c in sums)).drop("batch", "part", *(f"before_{c}" for c in sums))
 
 
-def change_feed(path: str, block: str = "block_number", item: str = "item_index"):
-    """A foreachBatch function that writes one JSON event per block, with its items in order. A repeated batch
-    writes the same events over its own folder; the folder's number is the commit order."""
+def change_feed(path: str, block: str = "block_number", item: str = "item_index", producers=None):
+    """A foreachBatch function that writes one JSON event per block, with its items in order and, where ``producers(spark)``
+    gives (block, producer), who built it. A repeated batch writes the same events over its own folder; the folder's number is the
+    commit order, and inside it events are in the order of blocks."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rest = [c for c in batch.columns if c not in (block, item)]
         held = F.array_sort(F.collect_list(F.struct(item, *rest)))
-        events = batch.groupBy(block).agg(held.alias("items")).select(block, F.to_json(F.struct(block, "items")).alias("event"))
-        events.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        events = batch.groupBy(block).agg(held.alias("items"))
+        fields = [block, "items"]
+        if producers is not None:
+            events = events.join(producers(batch.sparkSession).select(block, "producer"), block, "left")
+            fields = [block, "producer", "items"]
+        events.select(block, F.to_json(F.struct(*fields)).alias("event")).orderBy(block).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return write
 

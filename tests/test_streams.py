@@ -116,6 +116,10 @@ def test_change_feed(spark):
         feed(rows, 5)
     got = sorted((r.block_number, r.event) for r in spark.read.parquet(f"{out}/batch=5").collect())
     assert got == [(2, '{"block_number":2,"items":[{"item_index":0,"actor":"a"},{"item_index":1,"actor":"b"}]}'), (3, '{"block_number":3,"items":[{"item_index":0,"actor":"c"}]}')]
+    built = lambda s: s.createDataFrame([(2, "P")], "block_number long, producer string")
+    rollups.change_feed(out, producers=built)(rows, 6)
+    got = [(r.block_number, r.event) for r in spark.read.parquet(f"{out}/batch=6").collect()]
+    assert got == [(2, '{"block_number":2,"producer":"P","items":[{"item_index":0,"actor":"a"},{"item_index":1,"actor":"b"}]}'), (3, '{"block_number":3,"items":[{"item_index":0,"actor":"c"}]}')]
 
 
 def test_snapshots_give_differences(spark):
