@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 START, STEP = 1704067200, 720
@@ -37,53 +37,48 @@ def block_range(first: int | None, last: int | None) -> tuple[int | None, int |
 
 def _events(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
     rows = read(spark, sf_dir, "events")
-    moment = lambda b: F.lit(datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=b * STEP)).cast("timestamp_ntz")
+    moment = lambda b: f"TIMESTAMP_NTZ '{datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=b * STEP)}'"
     lo, hi = block_range(first, last)
-    if lo is not None:
-        rows = rows.where(F.col("ts") >= moment(lo))
-    if hi is not None:
-        rows = rows.where(F.col("ts") < moment(hi))
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    b = F.floor((us - START * 1_000_000) / F.lit(STEP * 1_000_000)).cast("long")
-    return rows.select("event_id", F.col("user_id").cast("long").alias("user_id"), "event_type", F.floor(us / 1_000_000).cast("long").alias("s"), b.alias("b"))
+    limits = ([] if lo is None else [f"ts >= {moment(lo)}"]) + ([] if hi is None else [f"ts < {moment(hi)}"])
+    if limits:
+        rows = rows.where(" AND ".join(limits))
+    us = "unix_micros(CAST(ts AS TIMESTAMP))"
+    return rows.selectExpr("event_id", "CAST(user_id AS BIGINT) AS user_id", "event_type", f"CAST(floor({us} / 1000000) AS BIGINT) AS s", f"CAST(floor(({us} - {START * 1_000_000}) / {STEP * 1_000_000}) AS BIGINT) AS b")
 
 
 def facts(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """One row per item."""
-    b, u, e = F.col("b"), F.col("user_id"), F.col("event_id")
     rows = _events(spark, sf_dir, first, last).where("event_type <> 'error'")
-    fee = F.lit(1000000007) * (1 + b % 97)
-    return rows.select(
-        b.alias("block_number"),
-        (F.row_number().over(Window.partitionBy("b").orderBy("event_id")) - 1).cast("long").alias("item_index"),
-        F.concat(F.lit("tx-"), u, F.lit("-"), b).alias("tx_hash"), F.concat(F.lit("vh-"), e - e % 3).alias("content_hash"),
-        F.concat(F.lit("0xS"), u).alias("actor"),
-        F.when(u % 4 == 1, F.concat(F.lit("Label "), u % 5)).when(u % 20 == 2, "  ").otherwise("").alias("label"),
-        fee.alias("fee"), (fee * ITEM).cast(WEI).alias("cost"), block_time(b).alias("t"),
-        F.when(b % 8 != 0, 500000000 + (u % 17) * 250000000).alias("tip"),
-        F.when((u + b) % 11 != 0, F.min("s").over(Window.partitionBy("b", "user_id"))).alias("seen"),
+    fee = "1000000007 * (1 + b % 97)"
+    return rows.selectExpr(
+        "b AS block_number",
+        "CAST(row_number() OVER (PARTITION BY b ORDER BY event_id) - 1 AS BIGINT) AS item_index",
+        "concat('tx-', user_id, '-', b) AS tx_hash", "concat('vh-', event_id - event_id % 3) AS content_hash",
+        "concat('0xS', user_id) AS actor",
+        "CASE WHEN user_id % 4 = 1 THEN concat('Label ', user_id % 5) WHEN user_id % 20 = 2 THEN '  ' ELSE '' END AS label",
+        f"{fee} AS fee", f"CAST({fee} * {ITEM} AS {WEI}) AS cost", f"{START} + (b + 1) * {STEP} AS t",
+        "CASE WHEN b % 8 <> 0 THEN 500000000 + (user_id % 17) * 250000000 END AS tip",
+        "CASE WHEN (user_id + b) % 11 <> 0 THEN min(s) OVER (PARTITION BY b, user_id) END AS seen",
     )
 
 
 def blocks(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """One row per block, empty ones included. Numbers are opened in chunks, dealt out before that."""
     lo, hi = block_range(first, last)
-    counts = _events(spark, sf_dir, first, last).groupBy("b").agg(F.count_if(F.col("event_type") != "error").alias("c"))
+    low = lo or 0
+    counts = _events(spark, sf_dir, first, last).groupBy("b").agg(F.expr("count_if(event_type <> 'error') AS c"))
     if hi is None:  # the newest number comes from the counts, by the same exchange (which needs the same columns)
-        top = counts.agg(F.max(F.when(F.col("c") >= 0, F.col("b"))).alias("m"))
+        top = counts.agg(F.expr("max(CASE WHEN c >= 0 THEN b END) AS m"))
     else:
-        top = _events(spark, sf_dir, first).agg(F.least(F.max("b"), F.lit(hi - 1)).alias("m"))
-    top = top.where(F.col("m") >= (lo or 0))
-    chunks = top.select("m", F.explode(F.sequence(F.lit((lo or 0) // CHUNK).cast("long"), F.expr(f"m div {CHUNK}"))).alias("chunk")).repartition("chunk")
-    low = F.greatest(F.col("chunk") * CHUNK, F.lit(lo or 0))
-    spine = chunks.select(F.explode(F.sequence(low, F.least("m", F.col("chunk") * CHUNK + CHUNK - 1))).alias("b"))
-    b = F.col("b")
-    return spine.join(counts, "b", "left").select(
-        b.alias("block_number"), block_time(b).alias("t"), F.coalesce("c", F.lit(0)).cast("long").alias("items"),
-        (F.lit(1000000007) * (1 + b % 97)).alias("fee"), F.when((b % 13 == 0) | (F.floor(b / 50) % 7 == 3), 0).otherwise(20000000000 + (b % 29) * F.lit(1000000007)).cast("long").alias("base_fee"),
-        F.when(b % 3 == 0, ITEM * TARGET).otherwise(0).cast("long").alias("target_gas"), F.when(b % 3 == 0, ITEM * MAX).otherwise(0).cast("long").alias("limit_gas"),
-        F.when(b % 5 == 0, 0).otherwise(TARGET).cast("long").alias("params_target"), F.when(b % 5 == 0, 0).otherwise(MAX).cast("long").alias("params_max"),
-        ((b % 211) * F.lit(400000)).cast("long").alias("excess"),
+        top = _events(spark, sf_dir, first).agg(F.expr(f"least(max(b), {hi - 1}) AS m"))
+    chunks = top.where(f"m >= {low}").selectExpr("m", f"explode(sequence({low // CHUNK}L, m div {CHUNK})) AS chunk").repartition("chunk")
+    spine = chunks.selectExpr(f"explode(sequence(greatest(chunk * {CHUNK}, {low}), least(m, chunk * {CHUNK} + {CHUNK - 1}))) AS b")
+    return spine.join(counts, "b", "left").selectExpr(
+        "b AS block_number", f"{START} + (b + 1) * {STEP} AS t", "CAST(coalesce(c, 0) AS BIGINT) AS items", "1000000007 * (1 + b % 97) AS fee",
+        "CAST(CASE WHEN b % 13 = 0 OR floor(b / 50) % 7 = 3 THEN 0 ELSE 20000000000 + (b % 29) * 1000000007 END AS BIGINT) AS base_fee",
+        f"CAST(CASE WHEN b % 3 = 0 THEN {ITEM * TARGET} ELSE 0 END AS BIGINT) AS target_gas", f"CAST(CASE WHEN b % 3 = 0 THEN {ITEM * MAX} ELSE 0 END AS BIGINT) AS limit_gas",
+        f"CAST(CASE WHEN b % 5 = 0 THEN 0 ELSE {TARGET} END AS BIGINT) AS params_target", f"CAST(CASE WHEN b % 5 = 0 THEN 0 ELSE {MAX} END AS BIGINT) AS params_max",
+        "CAST((b % 211) * 400000 AS BIGINT) AS excess",
     )
 
 
@@ -95,26 +90,23 @@ def indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known actors: customers of all market segments but one."""
     c, n, r = (read(spark, sf_dir, x) for x in ("customer", "nation", "region"))
-    rows = c.where("c_mktsegment <> 'FURNITURE'").join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
-    return rows.select(F.lower(F.concat(F.lit("0xS"), "c_custkey")).alias("address"), F.concat(F.lit("Rollup "), "n_name").alias("name"), F.col("r_name").alias("category"))
+    rows = c.where("c_mktsegment <> 'FURNITURE'").join(n, F.expr("c_nationkey = n_nationkey")).join(r, F.expr("n_regionkey = r_regionkey"))
+    return rows.selectExpr("lower(concat('0xS', c_custkey)) AS address", "concat('Rollup ', n_name) AS name", "r_name AS category")
 
 
 def producers(spark: SparkSession, sf_dir: str, first: int | None = None, last: int | None = None) -> DataFrame:
     s, b = read(spark, sf_dir, "supplier"), blocks(spark, sf_dir, first, last)
-    n = F.col("block_number")
-    pay = F.when(n % 5 != 0, F.lit(10**18).cast(WEI) + (n % 1000).cast(WEI) * F.lit(10**15 + 1).cast(WEI)).cast(WEI)
-    return b.join(s, n % 10 == F.col("s_suppkey")).select("block_number", "t", "items", F.col("s_name").alias("producer"), F.concat(F.lit("0xP"), n % 3, F.lit("-"), "s_suppkey").alias("recipient"), pay.alias("payment"), "fee")
+    pay = f"CASE WHEN block_number % 5 <> 0 THEN CAST({10**18} AS {WEI}) + CAST(block_number % 1000 AS {WEI}) * CAST({10**15 + 1} AS {WEI}) END"
+    return b.join(s, F.expr("block_number % 10 = s_suppkey")).selectExpr("block_number", "t", "items", "s_name AS producer", "concat('0xP', block_number % 3, '-', s_suppkey) AS recipient", f"CAST({pay} AS {WEI}) AS payment", "fee")
 
 
 def pending(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, u = F.col("event_id"), F.col("user_id")
-    nonce = F.floor((F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1) / (2 + u % 4)).cast("long")
-    cap = F.when(e % 9 != 0, F.lit(1000000007) * (1 + e % 120))
-    items = (1 + e % 6).cast("long")
-    return _events(spark, sf_dir).where("event_type = 'error'").select(
-        F.concat(F.lit("px-"), e).alias("tx_hash"), F.concat(F.lit("vh-"), e - e % 3).alias("content_hash"), F.concat(F.lit("0xS"), u).alias("actor"), F.when(e % 41 != 0, nonce).alias("nonce"), items.alias("items"),
-        cap.alias("max_fee"), F.when(e % 19 != 0, 15000000000 + (e % 40) * F.lit(1000000000)).alias("max_exec"), F.when(e % 7 != 0, 500000000 + (e % 23) * F.lit(100000000)).alias("tip"),
-        F.col("s").alias("seen"), (items.cast("decimal(10,0)") * F.lit(ITEM).cast("decimal(10,0)") * F.coalesce(cap, F.lit(0)).cast("decimal(18,0)")).cast(WEI).alias("cost"), e.alias("event_id"),
+    cap, items = "CASE WHEN event_id % 9 <> 0 THEN 1000000007 * (1 + event_id % 120) END", "CAST(1 + event_id % 6 AS BIGINT)"
+    nonce = "CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / (2 + user_id % 4)) AS BIGINT)"
+    return _events(spark, sf_dir).where("event_type = 'error'").selectExpr(
+        "concat('px-', event_id) AS tx_hash", "concat('vh-', event_id - event_id % 3) AS content_hash", "concat('0xS', user_id) AS actor", f"CASE WHEN event_id % 41 <> 0 THEN {nonce} END AS nonce", f"{items} AS items",
+        f"{cap} AS max_fee", "CASE WHEN event_id % 19 <> 0 THEN 15000000000 + (event_id % 40) * 1000000000 END AS max_exec", "CASE WHEN event_id % 7 <> 0 THEN 500000000 + (event_id % 23) * 100000000 END AS tip",
+        "s AS seen", f"CAST(CAST({items} AS DECIMAL(10,0)) * CAST({ITEM} AS DECIMAL(10,0)) * CAST(coalesce({cap}, 0) AS DECIMAL(18,0)) AS {WEI}) AS cost", "event_id",
     )
 
 
@@ -129,9 +121,8 @@ def missed(p: DataFrame, b: DataFrame) -> DataFrame:
     """Pending items and the blocks that they lived through without being taken. Pending rows go to the
     block-time slots of their life (at most six), so the interval join is an equality join."""
     lowest = p.groupBy("actor").agg(F.min("nonce").alias("lowest"))  # not a window: a busy sender would be one task
-    p = p.join(lowest, "actor").withColumnRenamed("items", "wanted")
-    slots = p.withColumn("slot", F.explode(F.sequence(F.floor(F.col("seen") / STEP), F.floor((F.col("seen") + LIFE) / STEP))))
-    held = slots.join(b.select("block_number", "t", "items", "fee", "base_fee", F.floor(F.col("t") / STEP).alias("slot")), "slot").where(f"seen <= t AND t < seen + {LIFE}")
+    slots = p.join(lowest, "actor").selectExpr("tx_hash", "actor", "nonce", "lowest", "items AS wanted", "max_fee", "max_exec", "tip", "seen", f"explode(sequence(floor(seen / {STEP}), floor((seen + {LIFE}) / {STEP}))) AS slot")
+    held = slots.join(b.selectExpr("block_number", "t", "items", "fee", "base_fee", f"floor(t / {STEP}) AS slot"), "slot").where(f"seen <= t AND t < seen + {LIFE}")
     why = reason(F.col("t") - F.col("seen"), *(F.col(c) for c in ("nonce", "lowest", "max_fee", "fee", "max_exec", "base_fee", "wanted", "items")))
     return held.select("block_number", "t", "tx_hash", "actor", "nonce", "wanted", "tip", "seen", why.alias("reason"))
 
@@ -142,13 +133,12 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels with ranges; four of them an address."""
-    k = F.col("c_custkey")
-    start = (k * 37 % 3000).cast("long")
-    return read(spark, sf_dir, "customer").select(
-        F.lower(F.concat(F.lit("0xS"), F.floor(k / 4))).alias("address"), F.concat(F.lit("Claim "), "c_nationkey").alias("name"), k.cast("long").alias("claim"),
-        F.when(k % 5 == 0, "disputed").when(k % 5 == 1, "retired").otherwise("active").alias("status"),
-        F.when(k % 4 == 0, "confirmed").when(k % 4 == 1, "probable").when(k % 4 == 2, "possible").otherwise("").alias("confidence"),
-        start.alias("valid_from"), F.when(k % 2 != 0, start + 400).alias("valid_to"),
+    start = "CAST(c_custkey * 37 % 3000 AS BIGINT)"
+    return read(spark, sf_dir, "customer").selectExpr(
+        "lower(concat('0xS', floor(c_custkey / 4))) AS address", "concat('Claim ', c_nationkey) AS name", "CAST(c_custkey AS BIGINT) AS claim",
+        "CASE c_custkey % 5 WHEN 0 THEN 'disputed' WHEN 1 THEN 'retired' ELSE 'active' END AS status",
+        "CASE c_custkey % 4 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'probable' WHEN 2 THEN 'possible' ELSE '' END AS confidence",
+        f"{start} AS valid_from", f"CASE WHEN c_custkey % 2 <> 0 THEN {start} + 400 END AS valid_to",
     )
 
 
