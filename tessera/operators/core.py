@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -139,9 +140,11 @@ def shared_dir(spark) -> str:
 
 
 def cut(rows: DataFrame) -> DataFrame:
-    """``rows`` without their lineage, by a checkpoint in the shared folder."""
-    shared_dir(rows.sparkSession)
-    return rows.checkpoint()
+    """``rows`` without their lineage: a table in the shared folder, under a name of its own. Later steps read the
+    columns they need of it, with the schema given, so no job looks for it."""
+    path = f"{shared_dir(rows.sparkSession)}/tessera-cut-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def set_diff(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import bucket, share, slug, wei_text
 from tessera.operators import core
+from tessera.plans import tiers
 from tessera.sources import views as V
 
 FIRST, LAST, STEP = V.AS_OF - 7 * 86400, V.AS_OF, 3600
@@ -34,6 +35,11 @@ def bucketed(view, spark, d, step: int = STEP) -> DataFrame:
     return view(spark, d, FIRST, LAST).where((F.col("t") >= FIRST) & (F.col("t") < LAST)).withColumn("bucket", bucket(F.col("t"), step))
 
 
+def hourly_items(spark, d, store: str | None = None) -> DataFrame:
+    """Items of the range by hour, actor and label, from stored rollups where a ``store`` is given."""
+    return tiers.stored(spark, store, "items", "hourly", FIRST, LAST) if store else tiers.of_items(bucketed(V.facts, spark, d), 3600)
+
+
 def percent_saved(alternative, cost):
     """(alternative - cost) / alternative in percent, six places; 0 without an alternative."""
     return F.when(alternative > 0, F.round((alternative.cast("double") - cost.cast("double")) * 100 / alternative.cast("double"), 6)).otherwise(0.0)
@@ -92,13 +98,17 @@ def _q31_sql(seconds: int) -> str:
     SELECT bucket, coalesce(items, 0) AS items, coalesce(cost, '0') AS cost, coalesce(actors, 0) AS actors, blocks, avg_fee, median_fee, p95_fee FROM m LEFT JOIN f USING (bucket)"""
 
 
-def q31(spark, d, seconds: int):
+def q31(spark, d, seconds: int, store: str | None = None):
     """Regrouped from hourly rollup rows: sums are exact, actors are counted from per-actor rows, and the
     95th percentile of a point is the median of its hours' (of an hour from minutes: that of their medians)."""
-    r = core.rollup(V.facts(spark, d, FIRST, LAST), 3600)
+    r = hourly_items(spark, d, store)
     f = r.groupBy(bucket(F.col("bucket"), seconds).alias("bucket")).agg(F.sum("items").alias("items"), wei_text(F.sum("cost")).alias("cost"), F.countDistinct("actor").alias("actors"))
-    b = bucketed(V.blocks, spark, d, 3600)
-    h = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("blocks"), F.sum("fee").alias("fee_sum")).join(core.disc_percentiles(b, ["bucket"], "fee", median="0.5", p95="0.95"), "bucket").withColumn("bucket", bucket(F.col("bucket"), seconds))
+    if store:
+        h = tiers.stored(spark, store, "blocks", "hourly", FIRST, LAST).withColumn("fee_sum", F.col("item_fee_sum"))
+    else:
+        b = bucketed(V.blocks, spark, d, 3600)
+        h = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("blocks"), F.sum("fee").alias("fee_sum")).join(core.disc_percentiles(b, ["bucket"], "fee", median="0.5", p95="0.95"), "bucket")
+    h = h.withColumn("bucket", bucket(F.col("bucket"), seconds))
     m = h.groupBy("bucket").agg(F.sum("blocks").alias("blocks"), F.round(F.sum("fee_sum") / F.sum("blocks"), 3).alias("avg_fee"))
     m = m.join(core.disc_percentiles(h, ["bucket"], "median", median_fee="0.5"), "bucket").join(core.disc_percentiles(h, ["bucket"], "p95", p95_fee="0.5"), "bucket")
     return m.join(f, "bucket", "left").withColumns({"items": F.coalesce("items", F.lit(0)), "cost": F.coalesce("cost", F.lit("0")), "actors": F.coalesce("actors", F.lit(0))})
@@ -113,7 +123,11 @@ NAMED = f"n AS (SELECT f.*, coalesce(nullif({SLUG.format('coalesce(nullif(trim(f
 
 def named(spark, d) -> DataFrame:
     """Items of the range with their entity; items without a name are 'unknown'."""
-    rows = core.enrich(bucketed(V.facts, spark, d), V.registry(spark, d))
+    return with_entity(bucketed(V.facts, spark, d), V.registry(spark, d))
+
+
+def with_entity(items: DataFrame, registry: DataFrame) -> DataFrame:
+    rows = core.enrich(items, registry)
     return rows.withColumn("entity", F.coalesce(F.nullif(slug(F.col("name")), F.lit("")), F.lit("unknown")))
 
 

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import bucket, share, wei_text
 from tessera.operators import core
-from tessera.plans import fees
-from tessera.plans.charts import _TOP_PRICED, FIRST, LAST, NAMED, RANGE, SAVED, SLUG, WINDOWS, bucketed, named, percent_saved, top_or_other
+from tessera.plans import fees, tiers
+from tessera.plans.charts import _TOP_PRICED, FIRST, LAST, NAMED, RANGE, SAVED, SLUG, WINDOWS, bucketed, hourly_items, named, percent_saved, top_or_other, with_entity
 from tessera.plans.records import REPLACED, VC, t4
-from tessera.plans import tiers
 from tessera.sources import views as V
 
 QUERIES, ORACLES = {}, {}
@@ -152,9 +151,9 @@ def _q34_sql(seconds: int) -> str:
     return f"WITH {NAMED}, {_TOP} SELECT t - t % {seconds} AS bucket, {_SERIES}, count(*) AS items FROM n GROUP BY 1, 2"
 
 
-def q34(spark, d, seconds: int):
+def q34(spark, d, seconds: int, store: str | None = None):
     """From hourly sums per entity, regrouped; the ranking uses the same sums."""
-    hours = named(spark, d).groupBy("bucket", "entity").agg(F.count(F.lit(1)).alias("items"))
+    hours = with_entity(hourly_items(spark, d, store), V.registry(spark, d)).groupBy("bucket", "entity").agg(F.sum("items").alias("items"))
     x = top_or_other(hours, "entity", F.sum("items"), 5, "series")
     return x.groupBy(bucket(F.col("bucket"), seconds).alias("bucket"), "series").agg(F.sum("items").alias("items"))
 
@@ -177,11 +176,14 @@ def _q37_sql(seconds: int) -> str:
     return f"WITH b AS (SELECT t - t % {seconds} AS bucket, sum(base_fee) AS s, count(*) FILTER (base_fee > 0) AS n FROM blocks WHERE {RANGE} GROUP BY 1), f AS (SELECT t - t % {seconds} AS bucket, count(*) AS items, CAST(sum(cost) AS HUGEINT) AS cost FROM facts WHERE {RANGE} GROUP BY 1), j AS (SELECT bucket, coalesce(items, 0) AS items, coalesce(cost, 0) AS cost, CASE WHEN n > 0 THEN CAST(coalesce(items, 0) AS HUGEINT) * 131072 * 16 * ((2 * s + n) // (2 * n)) ELSE 16 * coalesce(cost, 0) END AS alternative FROM b LEFT JOIN f USING (bucket)) SELECT bucket, CAST(items AS BIGINT) AS items, {VC.format('cost')} AS cost, {VC.format('alternative')} AS alternative, {SAVED.format(a='alternative', c='cost')} AS savings_percent FROM j"
 
 
-def q37(spark, d, seconds: int):
+def q37(spark, d, seconds: int, store: str | None = None):
     """From hourly sums: the mean fee over blocks with one is a ratio of sums, rounded in whole numbers; a
     point without one takes the items' own fees."""
-    hours = bucketed(V.blocks, spark, d, 3600).groupBy("bucket").agg(F.sum("base_fee").alias("s"), F.count_if(F.col("base_fee") > 0).alias("n"))
-    costs = core.rollup(V.facts(spark, d, FIRST, LAST), 3600).groupBy("bucket").agg(F.sum("items").alias("items"), F.sum("cost").cast(V.WEI).alias("cost"))
+    if store:
+        hours = tiers.stored(spark, store, "blocks", "hourly", FIRST, LAST).select("bucket", F.col("fee_sum").alias("s"), F.col("fee_blocks").alias("n"))
+    else:
+        hours = bucketed(V.blocks, spark, d, 3600).groupBy("bucket").agg(F.sum("base_fee").alias("s"), F.count_if(F.col("base_fee") > 0).alias("n"))
+    costs = hourly_items(spark, d, store).groupBy("bucket").agg(F.sum("items").alias("items"), F.sum("cost").cast(V.WEI).alias("cost"))
     six = bucket(F.col("bucket"), seconds).alias("bucket")
     b, f = hours.groupBy(six).agg(F.sum("s").alias("s"), F.sum("n").alias("n")), costs.groupBy(six).agg(F.sum("items").alias("items"), F.sum("cost").cast(V.WEI).alias("c"))
     rows = b.join(f, "bucket", "left").withColumns({"items": F.coalesce("items", F.lit(0)), "c": F.coalesce("c", F.lit(0).cast(V.WEI)).cast(V.WEI)})

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.exprs import present, share, wei_text
 from tessera.operators import core
+from tessera.plans import tiers
 from tessera.sources import views as V
 
 SINCE = V.AS_OF - 7 * 86400
@@ -24,11 +25,17 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def _actors(spark, d, since: int | None) -> DataFrame:
-    """Per actor: items, cost, last time and label: the greatest one of a window, the newest one of all history."""
-    rows = V.facts(spark, d, since)
-    label = F.max_by(present(F.col("label")), F.when(present(F.col("label")).isNotNull(), F.struct("block_number", "item_index"))) if since is None else F.max(present(F.col("label")))
-    return rows.groupBy("actor").agg(F.count(F.lit(1)).alias("items"), F.sum("cost").cast(V.WEI).alias("cost"), label.alias("label"), F.max("t").alias("last_t"))
+def _actors(spark, d, since: int | None, store: str | None = None) -> DataFrame:
+    """Per actor: items, cost, last time and label: the greatest one of a window, the newest one of all history. From
+    stored rollups where a ``store`` is given (a window then begins with a minute), else from rows."""
+    if store:
+        rows = tiers.stored(spark, store, "items", tiers.widest(since), since, None)
+        items, last, place = F.sum("items"), F.max("last_t"), F.col("newest")
+    else:
+        rows = V.facts(spark, d, since).withColumn("label", present(F.col("label")))
+        items, last, place = F.count(F.lit(1)), F.max("t"), F.struct("block_number", "item_index")
+    label = F.max_by("label", F.when(F.col("label").isNotNull(), place)) if since is None else F.max("label")
+    return rows.groupBy("actor").agg(items.alias("items"), F.sum("cost").cast(V.WEI).alias("cost"), label.alias("label"), last.alias("last_t"))
 
 
 def _pending(spark, d) -> DataFrame:
@@ -71,32 +78,32 @@ def _top_sql(with_: str, order: str, where: str = "") -> str:
 
 
 @query("q12_top_actors_windowed", _top_sql(_WINDOW, "items DESC, n.cost DESC, actor"))
-def q12(spark, d):
-    return top_actors(_actors(spark, d, SINCE), V.registry(spark, d))
+def q12(spark, d, store: str | None = None):
+    return top_actors(_actors(spark, d, SINCE, store), V.registry(spark, d))
 
 
 @query("q12_top_actors_windowed_by_spend", _top_sql(_WINDOW, "n.cost DESC, items DESC, actor"))
-def q12_spend(spark, d):
-    return top_actors(_actors(spark, d, SINCE), V.registry(spark, d), by="cost")
+def q12_spend(spark, d, store: str | None = None):
+    return top_actors(_actors(spark, d, SINCE, store), V.registry(spark, d), by="cost")
 
 
 @query("q13_top_actors_all", _top_sql(_ALL, "items DESC, n.cost DESC, actor"))
-def q13(spark, d):
-    return top_actors(_actors(spark, d, None), V.registry(spark, d), more=_pending(spark, d))
+def q13(spark, d, store: str | None = None):
+    return top_actors(_actors(spark, d, None, store), V.registry(spark, d), more=_pending(spark, d))
 
 
 @query("q14_top_unlabelled_windowed", _top_sql(_WINDOW, "items DESC, n.cost DESC, actor", "WHERE name = ''"))
-def q14(spark, d):
-    return _unlabelled(spark, d, SINCE)
+def q14(spark, d, store: str | None = None):
+    return _unlabelled(spark, d, SINCE, store)
 
 
 @query("q15_top_unlabelled_all", _top_sql(_ALL, "items DESC, n.cost DESC, actor", "WHERE name = ''"))
-def q15(spark, d):
-    return _unlabelled(spark, d, None)
+def q15(spark, d, store: str | None = None):
+    return _unlabelled(spark, d, None, store)
 
 
-def _unlabelled(spark, d, since):
-    rows = _shares(core.enrich(_actors(spark, d, since), V.registry(spark, d)).where("name = ''"))
+def _unlabelled(spark, d, since, store=None):
+    rows = _shares(core.enrich(_actors(spark, d, since, store), V.registry(spark, d)).where("name = ''"))
     return rows.orderBy(F.desc("items"), F.desc("cost"), "actor").limit(LIMIT).select("actor", "name", "category", "items", wei_text(F.col("cost")).alias("cost"), "last_t", "item_share", "cost_share")
 
 
@@ -119,15 +126,15 @@ e AS (SELECT entity, sum(items) AS items, sum(cost) AS cost, first(name ORDER BY
 _TOP_ENTITY = _ENTITY + " SELECT entity, name, category, CAST(items AS BIGINT) AS items, CAST(CAST(cost AS DECIMAL(38,0)) AS VARCHAR) AS cost, members, busiest, " + _SHARES + " FROM e ORDER BY e.items DESC, e.cost DESC, entity LIMIT " + str(LIMIT)
 
 
-def _top_entities(spark, d, since, more=None):
-    rows = _shares(entities(_actors(spark, d, since), V.registry(spark, d)), more).orderBy(F.desc("items"), F.desc("cost"), "entity").limit(LIMIT)
+def _top_entities(spark, d, since, more=None, store=None):
+    rows = _shares(entities(_actors(spark, d, since, store), V.registry(spark, d)), more).orderBy(F.desc("items"), F.desc("cost"), "entity").limit(LIMIT)
     return rows.select("entity", "name", "category", "items", wei_text(F.col("cost")).alias("cost"), "members", "busiest", "item_share", "cost_share")
 
 
 @query("a7_entity_members_busiest_first", _WINDOW + _ENTITY + f", top AS (SELECT entity FROM e ORDER BY e.items DESC, e.cost DESC, entity LIMIT {LIMIT}) SELECT entity, actor, items, row_number() OVER (PARTITION BY entity ORDER BY items DESC, g.cost DESC, actor) AS place FROM g WHERE entity IN (SELECT entity FROM top)")
-def a7(spark, d):
+def a7(spark, d, store: str | None = None):
     """The members of the largest entities in order, as rows: no entity is one list."""
-    actors, registry = _actors(spark, d, SINCE), V.registry(spark, d)
+    actors, registry = _actors(spark, d, SINCE, store), V.registry(spark, d)
     top = entities(actors, registry).orderBy(F.desc("items"), F.desc("cost"), "entity").limit(LIMIT).select("entity")
     rows = keyed(actors, registry).join(F.broadcast(top), "entity", "left_semi")
     place = F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("items"), F.desc("cost"), "actor"))
@@ -135,36 +142,36 @@ def a7(spark, d):
 
 
 @query("q16_top_entities_windowed", _WINDOW + _TOP_ENTITY)
-def q16(spark, d):
-    return _top_entities(spark, d, SINCE)
+def q16(spark, d, store: str | None = None):
+    return _top_entities(spark, d, SINCE, store=store)
 
 
 @query("q17_top_entities_all", _ALL + _TOP_ENTITY)
-def q17(spark, d):
-    return _top_entities(spark, d, None, _pending(spark, d))
+def q17(spark, d, store: str | None = None):
+    return _top_entities(spark, d, None, _pending(spark, d), store)
 
 
 _CATEGORY = ", k AS (SELECT category, sum(items) AS items, sum(cost) AS cost FROM n GROUP BY category) SELECT category, CAST(items AS BIGINT) AS items, CAST(CAST(cost AS DECIMAL(38,0)) AS VARCHAR) AS cost, " + _SHARES + " FROM k"
 
 
-def _categories(spark, d, since, more=None):
-    rows = core.enrich(_actors(spark, d, since), V.registry(spark, d)).groupBy("category").agg(F.sum("items").alias("items"), F.sum("cost").cast(V.WEI).alias("cost"))
+def _categories(spark, d, since, more=None, store=None):
+    rows = core.enrich(_actors(spark, d, since, store), V.registry(spark, d)).groupBy("category").agg(F.sum("items").alias("items"), F.sum("cost").cast(V.WEI).alias("cost"))
     return _shares(rows, more).select("category", "items", wei_text(F.col("cost")).alias("cost"), "item_share", "cost_share")
 
 
 @query("q18_category_breakdown_windowed", _WINDOW + _CATEGORY)
-def q18(spark, d):
-    return _categories(spark, d, SINCE)
+def q18(spark, d, store: str | None = None):
+    return _categories(spark, d, SINCE, store=store)
 
 
 @query("q19_category_breakdown_all", _ALL + _CATEGORY)
-def q19(spark, d):
-    return _categories(spark, d, None, _pending(spark, d))
+def q19(spark, d, store: str | None = None):
+    return _categories(spark, d, None, _pending(spark, d), store)
 
 
 @query("q20_actor_detail", _ALL + f" SELECT actor, name, category, items, CAST(CAST(cost AS DECIMAL(38,0)) AS VARCHAR) AS cost, last_t, item_share, cost_share FROM (SELECT *, {_SHARES} FROM n) WHERE lower(actor) = '0xs7'")
-def q20(spark, d):
-    rows = _shares(core.enrich(_actors(spark, d, None), V.registry(spark, d)), _pending(spark, d)).where(F.lower("actor") == "0xs7")
+def q20(spark, d, store: str | None = None):
+    rows = _shares(core.enrich(_actors(spark, d, None, store), V.registry(spark, d)), _pending(spark, d)).where(F.lower("actor") == "0xs7")
     return rows.select("actor", "name", "category", "items", wei_text(F.col("cost")).alias("cost"), "last_t", "item_share", "cost_share")
 
 
@@ -186,8 +193,8 @@ def q24(spark, d):
 
 
 @query("q55_records_top_spenders", _ALL + " SELECT actor, name, category, items, CAST(CAST(cost AS DECIMAL(38,0)) AS VARCHAR) AS cost FROM n ORDER BY n.cost DESC, items DESC, actor LIMIT 10")
-def q55(spark, d):
-    return core.enrich(_actors(spark, d, None), V.registry(spark, d)).orderBy(F.desc("cost"), F.desc("items"), "actor").limit(10).select("actor", "name", "category", "items", wei_text(F.col("cost")).alias("cost"))
+def q55(spark, d, store: str | None = None):
+    return core.enrich(_actors(spark, d, None, store), V.registry(spark, d)).orderBy(F.desc("cost"), F.desc("items"), "actor").limit(10).select("actor", "name", "category", "items", wei_text(F.col("cost")).alias("cost"))
 
 
 @query("q61_top_actor_labels_raw", "SELECT actor, trim(label) AS label, count(*) AS items, CAST(CAST(sum(cost) AS DECIMAL(38,0)) AS VARCHAR) AS cost, max(t) AS last_t FROM facts WHERE trim(label) <> '' GROUP BY 1, 2 ORDER BY items DESC, actor, label LIMIT 50")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.exprs import bucket
+from tessera.functions.exprs import bucket, present
 from tessera.operators import core
 from tessera.sources import views as V
 
@@ -22,12 +22,19 @@ FOLDER = {"fine": "minutes"}
 
 
 def of_blocks(blocks: DataFrame, seconds: int, percentiles: bool = True) -> DataFrame:
-    """bucket, blocks, items, above_target, at_max, fee sums, and the exact median and p95 of the fee."""
+    """bucket, blocks, items, above_target, at_max, sums of base and item fees, and the exact median and p95 of the fee."""
     b = blocks.withColumn("bucket", bucket(F.col("t"), seconds))
-    sums = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("blocks"), F.sum("items").alias("items"), F.count_if(F.col("items") > V.TARGET).alias("above_target"), F.count_if(F.col("items") >= V.MAX).alias("at_max"), F.sum("base_fee").alias("fee_sum"), F.count_if(F.col("base_fee") > 0).alias("fee_blocks"))
+    sums = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("blocks"), F.sum("items").alias("items"), F.count_if(F.col("items") > V.TARGET).alias("above_target"), F.count_if(F.col("items") >= V.MAX).alias("at_max"), F.sum("base_fee").alias("fee_sum"), F.count_if(F.col("base_fee") > 0).alias("fee_blocks"), F.sum("fee").alias("item_fee_sum"))
     return sums.join(core.disc_percentiles(b, ["bucket"], "fee", median="0.5", p95="0.95"), "bucket") if percentiles else sums
 
 
+def of_items(items: DataFrame, seconds: int) -> DataFrame:
+    """bucket, actor, label (null where there is none), items, cost, last time, and ``newest``: number and place of the last
+    item. Labels are part of the key, so what a label names, and which label is the newest, can be told of any buckets."""
+    keyed = items.withColumn("bucket", bucket(F.col("t"), seconds)).withColumn("label", present(F.col("label")))
+    return keyed.groupBy("bucket", "actor", "label").agg(F.count(F.lit(1)).alias("items"), F.sum("cost").cast(V.WEI).alias("cost"), F.max("t").alias("last_t"), F.max(F.struct("block_number", "item_index")).alias("newest"))
+
+
 def save(rows: DataFrame, store: str, name: str, tier: str) -> None:
     """Puts the days that ``rows`` has buckets of in place; other days keep their files."""
     dated = rows.withColumn("day", F.floor(F.col("bucket") / DAY))
@@ -38,30 +45,40 @@ def renew(blocks: DataFrame, facts: DataFrame, store: str) -> None:
     """Stored rollups of whole days, from all rows of these days."""
     for tier in STORED:
         save(of_blocks(blocks, TIERS[tier][0]), store, "blocks", tier)
-        save(core.rollup(facts, TIERS[tier][0]), store, "items", tier)
+        save(of_items(facts, TIERS[tier][0]), store, "items", tier)
 
 
 def build(spark, d, store: str) -> None:
     renew(V.blocks(spark, d), V.facts(spark, d), store)
 
 
-def _stored(spark, store: str, name: str, tier: str, first: int) -> DataFrame:
+def stored(spark, store: str, name: str, tier: str, first: int | None, last: int | None = V.AS_OF) -> DataFrame:
+    """Stored rows of buckets in [first, last); only the files of their days are read."""
     rows = spark.read.parquet(f"{store}/{name}/{FOLDER.get(tier, tier)}")
-    return rows.where(f"day >= {first // DAY} AND day <= {V.AS_OF // DAY} AND bucket >= {first} AND bucket < {V.AS_OF}").drop("day")
+    if first is not None:
+        rows = rows.where(f"day >= {first // DAY} AND bucket >= {first}")
+    if last is not None:
+        rows = rows.where(f"day <= {last // DAY} AND bucket < {last}")
+    return rows.drop("day")
+
+
+def widest(first: int | None) -> str:
+    """The tier with the fewest rows of which a bucket begins at ``first``."""
+    return next((t for t in ("days", "hourly", "minutes") if first is None or first % TIERS[t][0] == 0), "minutes")
 
 
 def block_tier(spark, d, tier: str, store: str | None = None, percentiles: bool = False) -> DataFrame:
     seconds, back = TIERS[tier]
     first = V.AS_OF - back
     if store and tier != "raw":
-        return _stored(spark, store, "blocks", tier, first)
+        return stored(spark, store, "blocks", tier, first)
     return of_blocks(V.blocks(spark, d, first, V.AS_OF), seconds, percentiles)
 
 
 def item_tier(spark, d, tier: str, store: str | None = None) -> DataFrame:
     seconds, back = TIERS[tier]
     first = V.AS_OF - back
-    return _stored(spark, store, "items", tier, first) if store else core.rollup(V.facts(spark, d, first, V.AS_OF), seconds)
+    return stored(spark, store, "items", tier, first) if store else core.rollup(V.facts(spark, d, first, V.AS_OF), seconds)
 
 
 def counts(rows: DataFrame, windows: dict[str, int]) -> DataFrame:

@@ -186,6 +186,40 @@ def test_rolling_queries_read_stored_rollups(spark):
     assert {f for f in before - files() if f"day={day}/" not in f} == set() and before & files() and before - files()
 
 
+def test_leaders_and_charts_read_the_store(spark):
+    import tempfile
+
+    from tessera.plans import charts, detail, leaders, tiers
+
+    sf, store = "/root/testdata/sf0.01", tempfile.mkdtemp()
+    tiers.build(spark, sf, store)
+    assert [tiers.widest(x) for x in (None, 86400 * 7, 3600 * 25, 60 * 61)] == ["days", "days", "hourly", "minutes"]
+    windowed = [leaders.q12, leaders.q12_spend, leaders.q14, leaders.a7, leaders.q16, leaders.q18, leaders.q55]
+    charted = [lambda *a, f=f, **k: f(*a, seconds=21600, **k) for f in (charts.q31, detail.q34, detail.q37)]
+    for q in windowed + charted + [leaders.q13, leaders.q17, leaders.q19, leaders.q20]:  # the last four count pending items in
+        stored, made = q(spark, sf, store=store), q(spark, sf)
+        assert sorted(map(tuple, stored.collect()), key=str) == sorted(map(tuple, made.collect()), key=str) and stored.columns == made.columns
+        if q in windowed + charted:
+            assert "events.parquet" not in "".join(stored.inputFiles()) and stored.inputFiles()
+
+
+def test_labels_of_stored_rollups_that_change_within_a_bucket(spark):
+    """The newest label of all history, and the greatest one of a window, whatever bucket they stand in."""
+    import tempfile
+
+    from tessera.plans import leaders, tiers
+
+    rows = [(0, 0, "0xA", "b", 5), (0, 1, "0xA", " ", 5), (1, 0, "0xA", "c", 65), (2, 1, "0xA", "a", 66), (2, 0, "0xA", "z", 66), (3, 0, "0xB", None, 90000)]
+    facts = spark.createDataFrame(rows, "block_number long, item_index long, actor string, label string, t long").withColumn("cost", F.lit(7).cast("decimal(38,0)"))
+    store = tempfile.mkdtemp()
+    for tier in tiers.STORED:
+        tiers.save(tiers.of_items(facts, tiers.TIERS[tier][0]), store, "items", tier)
+    of = lambda since: sorted(map(tuple, leaders._actors(spark, None, since, store).select("actor", "items", F.col("cost").cast("int"), "label", "last_t").collect()))
+    assert of(None) == [("0xA", 5, 35, "a", 66), ("0xB", 1, 7, None, 90000)]
+    assert of(0) == [("0xA", 5, 35, "z", 66), ("0xB", 1, 7, None, 90000)]
+    assert of(60) == [("0xA", 3, 21, "z", 66), ("0xB", 1, 7, None, 90000)] and of(86400) == [("0xB", 1, 7, None, 90000)]
+
+
 def test_only_parts_that_hold_changed_keys_are_rewritten(spark):
     import glob
     import tempfile
