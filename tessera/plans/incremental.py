@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.exprs import present, wei_text
@@ -57,10 +57,12 @@ def totals(rows: DataFrame) -> DataFrame:
 
 
 def changes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows that differ, as (old, new); null where a row came or went."""
+    """Rows that differ, as (old, new); null where a row came or went. Rows that share a key are paired in the order of
+    their values, one to one, so what repeats is neither lost nor multiplied."""
     rest = [c for c in old.columns if c not in keys]
-    image = lambda rows, name: rows.select(*keys, F.struct(*keys, *rest).alias(name))
-    return image(old, "old").join(image(new, "new"), keys, "full_outer").where("NOT (old <=> new)").select("old", "new")
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*(rest or keys)))
+    image = lambda rows, name: rows.select(*keys, nth.alias("_nth"), F.struct(*keys, *rest).alias(name))
+    return image(old, "old").join(image(new, "new"), [*keys, "_nth"], "full_outer").where("NOT (old <=> new)").select("old", "new")
 
 
 def follow(stored: DataFrame, images: DataFrame, table: DataFrame) -> DataFrame:
