@@ -65,3 +65,11 @@ def test_plans_have_no_products_of_tables(spark):
         assert not re.search("CartesianProduct", plan), name
         if name in ("f5_prefix_search", "q48_inclusion_timeline", "mnt15_missed_repair"):
             assert not re.search("BroadcastNestedLoopJoin", plan), name
+
+
+def test_gate_waits_for_missing_predecessors(spark):
+    """Every block is asked; those behind a gap aren't ready."""
+    got = {r.block_number: r.ready for r in catalog.QUERIES["t7_ordered_gate"](spark, SF).collect()}
+    assert sorted(got) == list(range(max(got) + 1))
+    missing = {n for n in got if n % 17 == 16}
+    assert missing and got == {n: n >= 5 and not missing & set(range(n - 5, n)) for n in got}
