@@ -29,12 +29,13 @@ def query(name: str, sql: str | None = None):
 
 def first_at_or_after(blocks: DataFrame, asked: DataFrame, key: str, t: str) -> DataFrame:
     """``asked`` (key, t) with ``from_block``: the first block at or after t. Both are ordered inside an hour only;
-    where the rest of the hour has no block, the next hour that has one gives its first."""
+    where the rest of the hour has no block, the next hour that has one gives its first. Windows run from the
+    latest time back: a frame that grows is one step a row, one that shrinks (to the following rows) is summed up anew for each."""
     b = blocks.select(F.lit(None).cast(asked.schema[key].dataType).alias(key), F.col("t").alias(t), F.col("block_number").alias("_b"), F.lit(1).alias("_k"))
     a = asked.select(key, t, F.lit(None).cast("long").alias("_b"), F.lit(0).alias("_k"))
-    rest = Window.partitionBy("_hour").orderBy(t, "_k").rowsBetween(0, Window.unboundedFollowing)
+    rest = Window.partitionBy("_hour").orderBy(F.desc(t), F.desc("_k")).rowsBetween(Window.unboundedPreceding, 0)
     rows = a.unionByName(b).withColumn("_hour", F.floor(F.col(t) / HOUR)).withColumn("_own", F.min("_b").over(rest)).where("_k = 0")
-    later = Window.orderBy("_hour").rowsBetween(1, Window.unboundedFollowing)  # one row an hour
+    later = Window.orderBy(F.desc("_hour")).rowsBetween(Window.unboundedPreceding, -1)  # one row an hour
     hours = asked.select(F.floor(F.col(t) / HOUR).alias("_hour")).union(blocks.select(F.floor(F.col("t") / HOUR))).distinct()
     heads = blocks.groupBy(F.floor(F.col("t") / HOUR).alias("_hour")).agg(F.min("block_number").alias("_h"))
     after = hours.join(heads, "_hour", "left").withColumn("_next", F.min("_h").over(later)).select("_hour", "_next")

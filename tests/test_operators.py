@@ -83,6 +83,22 @@ def test_waiting_begins_with_the_next_block(spark):
     assert got == {"a": 1, "b": 1, "c": 2, "d": 5, "e": 5, "f": None}
 
 
+def test_waiting_in_a_busy_hour_takes_one_step_a_row(spark):
+    """Against the next block of each second; no window frame shrinks, since each of its rows would sum up the rest anew."""
+    import bisect
+
+    from tessera.plans import inclusion
+
+    times = [5, 5 + 600, 3599, 3600, 4000, 9 * 3600 + 1]
+    blocks = spark.createDataFrame(list(enumerate(times)), "block_number long, t long")
+    asked = spark.range(0, 10 * 3600, 7).selectExpr("concat('x', id) AS tx_hash", "id AS seen")
+    found = inclusion.first_at_or_after(blocks, asked, "tx_hash", "seen")
+    want = lambda t: (lambda i: i if i < len(times) else None)(bisect.bisect_left(times, t))
+    assert all(r.from_block == want(r.seen) for r in found.collect())
+    plan = found._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
+
+
 def test_chains_of_replacements_lead_to_their_ends(spark):
     from tessera.plans import maintenance
 
