@@ -22,18 +22,15 @@ def rejected(parsed: DataFrame) -> DataFrame:
 
 
 def items(parsed: DataFrame) -> DataFrame:
-    """One row an item. ``ordinal`` counts the items of a transaction, ``item_index`` those of the block: it starts at
-    what the transactions before hold. Transactions without items keep their place in ``tx_index``."""
-    held = F.transform("transactions", lambda x: F.coalesce(F.size(x["item_hashes"]), F.lit(0)))
-    held = F.transform(held, lambda n: F.greatest(n, F.lit(0)))
-    before = F.transform(F.sequence(F.lit(0), F.size("held")), lambda i: F.aggregate(F.slice("held", 1, i), F.lit(0), lambda a, n: a + n))
-    blocks = parsed.where("number IS NOT NULL AND size(transactions) > 0").withColumn("held", held).withColumn("before", before)
-    each = blocks.select("number", "time", "fee", "before", F.posexplode("transactions").alias("tx_index", "tx")).where("size(tx.item_hashes) > 0")
-    rows = each.select("*", F.posexplode("tx.item_hashes").alias("ordinal", "content_hash"))
-    index = F.element_at("before", F.col("tx_index") + 1) + F.col("ordinal")
+    """One row an item. ``ordinal`` counts the items of a transaction, ``item_index`` those of the block: its place when the
+    transactions' items are laid end to end. Transactions without items keep their place in ``tx_index``. An item carries what it
+    needs of its transaction, so no row holds a list of the block's."""
+    of = lambda x, i: F.transform(F.coalesce(x["item_hashes"], F.array().cast("array<string>")), lambda h, j: F.struct(i.alias("tx_index"), j.alias("ordinal"), x["hash"].alias("tx_hash"), x["sender"].alias("actor"), x["nonce"].alias("nonce"), x["tip"].alias("tip"), h.alias("content_hash")))
+    blocks = parsed.where("number IS NOT NULL").select("number", "time", "fee", F.flatten(F.transform("transactions", of)).alias("held"))
+    rows = blocks.select("number", "time", "fee", F.posexplode("held").alias("item_index", "item"))
     return rows.select(
-        F.col("number").alias("block_number"), index.cast("long").alias("item_index"), F.col("tx_index").cast("long").alias("tx_index"), F.col("ordinal").cast("long").alias("ordinal"),
-        F.col("tx.hash").alias("tx_hash"), F.col("tx.sender").alias("actor"), F.col("tx.nonce").alias("nonce"), F.col("tx.tip").alias("tip"), "content_hash", F.col("time").alias("t"), "fee",
+        F.col("number").alias("block_number"), *(F.col(c).cast("long").alias(c.split(".")[-1]) for c in ("item_index", "item.tx_index", "item.ordinal")),
+        "item.tx_hash", "item.actor", "item.nonce", "item.tip", "item.content_hash", F.col("time").alias("t"), "fee",
     )
 
 

@@ -185,6 +185,22 @@ def test_nested_blocks(spark):
     assert sorted(str(r.line) for r in nested.rejected(parsed).collect()) == sorted(["no json", '{"time": 1}', "None", ""])
 
 
+def test_nested_blocks_of_many_transactions(spark):
+    """Places in a block whose transactions hold 0 to 3 items; no row carries a list that grows with the block."""
+    import json
+
+    from tessera.sources import nested
+
+    held = [[f"h{i}-{j}" for j in range(i % 4)] for i in range(3000)]
+    line = json.dumps({"number": 1, "time": 10, "transactions": [{"hash": f"t{i}", "item_hashes": x} for i, x in enumerate(held)] + [None, {"item_hashes": [None, "last"]}]})
+    items = nested.items(nested.parse(spark.createDataFrame([(line,)], "value string")))
+    got = sorted((r.item_index, r.tx_index, r.ordinal, r.content_hash) for r in items.collect())
+    places = [(i, j, h) for i, x in enumerate([*held, [], [None, "last"]]) for j, h in enumerate(x)]
+    assert got == [(n, *p) for n, p in enumerate(places)]
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "slice(" not in plan and plan.count("Generate") == 1
+
+
 def test_chart_requests():
     import pytest
 
