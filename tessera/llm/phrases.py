@@ -23,12 +23,13 @@ ignored. Equal scores are settled by count, then by the phrase's bytes.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import byte_slices, materialize
@@ -38,6 +39,8 @@ SHARDS = 4
 BITS = 27
 #: Bytes of text in a block, and bytes of all languages that a task holds before it closes blocks.
 BLOCK_BYTES, HELD_BYTES = 2 << 20, 8 << 20
+#: Bytes of added-up counts that a task of the last count holds before it hands them on.
+COUNT_BYTES = 16 << 20
 LONGEST = 5
 #: Characters that end a piece (`[.,;:!?\\x0A-\\x0D]`); the byte 255 is in no text.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -160,10 +163,38 @@ def _level(cut: DataFrame, frequent: Broadcast, below: Broadcast | None, shortes
     return cut.select("shard", "lang", "hashes", "codes").mapInArrow(run, "shard int, lang string, key long, n long")
 
 
+def _added(counts: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Adds up ``n`` over rows with the same other columns, handing on what it holds whenever that exceeds ``most`` bytes.
+
+    New rows are added to the sums once they are as many, so a row is taken up about twice."""
+    sums, new, size = None, [], 0
+
+    def added() -> pa.Table:
+        table = pa.Table.from_batches(new if sums is None else [*sums.to_batches(), *new])
+        names = [x for x in table.column_names if x != "n"]
+        return table.group_by(names, use_threads=False).aggregate([("n", "sum")]).select([*names, "n_sum"]).rename_columns([*names, "n"])
+
+    for batch in counts:
+        new.append(batch)
+        size += batch.num_rows
+        if size >= max(1 << 16, 0 if sums is None else sums.num_rows):
+            sums, new, size = added(), [], 0
+            if sums.nbytes > most:
+                yield from sums.to_batches(max_chunksize=1 << 16)
+                sums = None
+    if new:
+        sums = added()
+    if sums is not None:
+        yield from sums.to_batches(max_chunksize=1 << 16)
+
+
 def _counted(cut: DataFrame, candidates: Broadcast) -> DataFrame:
-    """Counts per block of the phrases whose hash is a candidate's, told apart by their words: lang, k, phrase, n."""
+    """Counts of the phrases whose hash is a candidate's, told apart by their words: lang, k, phrase, n.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A row for each block and phrase in it would make rows as blocks times candidates, and both grow with the
+    corpus. So there is one task a core at any size, and each adds up its blocks before it hands counts on."""
+
+    def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, names, hashes, codes in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
                 hashes = np.concatenate([np.zeros(1, np.uint64), np.frombuffer(hashes.as_buffer(), np.uint64)])
@@ -184,7 +215,23 @@ def _counted(cut: DataFrame, candidates: Broadcast) -> DataFrame:
 
             pa.default_memory_pool().release_unused()
 
-    return cut.select("lang", "words", "hashes", "codes").mapInArrow(run, "lang string, k int, phrase string, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _added(by_block(batches), COUNT_BYTES)
+
+    few = cut.coalesce(cut.sparkSession.sparkContext.defaultParallelism)
+    return few.select("lang", "words", "hashes", "codes").mapInArrow(run, "lang string, k int, phrase string, n long")
+
+
+@contextmanager
+def _batches_of(spark: SparkSession, blocks: int) -> Iterator[None]:
+    """Arrow batches of so many rows in the jobs inside: a task that reads many blocks is handed a few at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(blocks))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def frequent_phrases(docs: DataFrame, support: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -215,7 +262,9 @@ def frequent_phrases(docs: DataFrame, support: int = 100) -> tuple[DataFrame, Da
     above = found[0].union(found[1]).union(found[2]).groupBy("lang", "key").agg(F.sum("more").alias("more"))
     candidates = _bit_table(above.join(most, "lang").where(F.col("more") + F.col("most") >= support).select("key"))
     phrases = _counted(cut, candidates).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
-    return words.union(materialize(phrases, "phrases")), totals
+    with _batches_of(docs.sparkSession, 4):
+        phrases = materialize(phrases, "phrases")
+    return words.union(phrases), totals
 
 
 def collocations(docs: DataFrame, support: int = 100, percent: int = 100, top: int = 2000) -> DataFrame:

@@ -90,6 +90,27 @@ def test_collocations_of_shards_lose_no_phrase(spark, prose):
         phrases.BITS = old
 
 
+def test_last_count_adds_up_blocks_of_a_task(spark, monkeypatch):
+    """Rows of the last count follow tasks and phrases, not blocks; what a task can't hold it hands on, and nothing is lost."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(6)}" for _ in range(500)), rng.choice(["en", "fr"])) for i in range(800)]
+    want = {(g, " ".join(p)): c for g, held in brute_phrases(rows, 1)[0].items() for p, c in held.items() if len(p) > 1}
+    every = spark.sparkContext.broadcast(b"\xff" * 512)
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 1000)
+    cut = phrases.materialize(phrases.blocks(docs(spark, rows).repartition(16)), "blocks")
+    assert cut.count() >= 400
+    made = []
+    for most in (phrases.COUNT_BYTES, 1):
+        monkeypatch.setattr(phrases, "COUNT_BYTES", most)
+        found, got = phrases._counted(cut, every).collect(), Counter()
+        for r in found:
+            assert r.k == r.phrase.count(" ") + 1
+            got[r.lang, r.phrase] += r.n
+        assert got == want
+        made.append(len(found))
+    assert made[0] <= spark.sparkContext.defaultParallelism * len(want) and made[0] < made[1]
+
+
 def test_collocations_beyond_64_bits_and_of_nothing(spark):
     assert phrases.collocations(docs(spark, [(1, None, None), (2, " .\n", "en")])).count() == 0
     assert phrases.collocations(docs(spark, [(1, "a b", "en")]).limit(0)).count() == 0
