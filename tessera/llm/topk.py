@@ -5,7 +5,8 @@ Vectors become integers, floor(scale * x). Candidates are dealt into blocks that
 query the postings of its terms are scattered, weighted, into a dense score array over the block; a
 partition selection keeps the block's k best, and a window merges the blocks. Every query meets
 every block, so nothing is missed; a block's memory is bounded by its rows, since equal rows are one
-row with a number of times. Vectors travel as bytes; a block is unpacked once for all its queries.
+row with a number of times. Vectors travel as bytes; a task reads a block once and then streams the
+queries, of which each block gets a copy.
 
 Defined results: vectors that are null or hold a null or a non-finite component take no part; a
 null id takes no part; equal scores go to the smaller id; with fewer than k candidates all are
@@ -105,19 +106,23 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_
     n_c, n_q = max(1, -(-n // block_rows)), max(1, -(-asking // query_rows))
     cand = _blocks(rows.groupBy("id", "v").agg(F.count(F.lit(1)).alias("times")), n_c, "c")
     asked = _blocks(rows.where(is_query).groupBy("id").agg(F.lit(1).cast("long").alias("times"), F.min("v").alias("v")), n_q, "q")
-    pairs = asked.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)).cast("array<long>"))).join(cand, "c").select("c", "q_rows", "c_rows")
+    # Queries are copied for every block, so a join would send them to the driver whenever they look small uncopied.
+    copied = asked.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)).cast("array<long>")))
+    dealt = cand.select("c", F.lit(False).alias("asks"), F.col("c_rows").alias("rows")).union(copied.select("c", F.lit(True), "q_rows"))
+    dealt = dealt.repartition(n_c, "c").sortWithinPartitions("c", "asks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, number = None, None
         fields = lambda rows: [rows.field(f).to_pylist() for f in ("id", "times", "raw")]
         for batch in batches:
-            for i in range(batch.num_rows):
-                if batch.column(0)[i].as_py() != number:
-                    number, held = batch.column(0)[i].as_py(), Block(*fields(batch.column(2)[i].values))
-                ids, _, raws = fields(batch.column(1)[i].values)
-                found = [x for q, r in zip(ids, raws, strict=True) for x in held.score(q, np.frombuffer(r, np.int64).tolist(), k)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], names=["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
+            for i, (block, asks) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                ids, times, raws = fields(batch.column(2)[i].values)
+                if not asks:
+                    number, held = block, Block(ids, times, raws)
+                elif block == number:
+                    found = [x for q, r in zip(ids, raws, strict=True) for x in held.score(q, np.frombuffer(r, np.int64).tolist(), k)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found, strict=True) if found else ([], [], []))], names=["query_id", "vec_id", "score"])
+
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

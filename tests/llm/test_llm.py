@@ -379,6 +379,19 @@ def test_top_k(spark):
     assert topk.top_k(rows.limit(0), topk.F.col("id") % 10 == 0).count() == 0
 
 
+def test_top_k_sends_no_copies_of_queries_to_the_driver(spark):
+    """Uncopied, the queries look small enough to broadcast; copied for each of many blocks they are not."""
+    vecs = [(i, [float(i % 7), float(i % 11), 1.0]) for i in range(300)]
+    rows = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
+    top = topk.top_k(rows, topk.F.col("id") % 10 == 0, k=3, block_rows=3, query_rows=4)
+    got = {}
+    for r in top.collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    dot = lambda a, b: sum(int(x) * int(y) for x, y in zip(vecs[a][1], vecs[b][1], strict=True)) << 20
+    assert {q: sorted(found) for q, found in got.items()} == {q: sorted((-dot(q, c), c) for c in range(300) if c != q)[:3] for q in range(0, 300, 10)}
+    assert "Broadcast" not in top._jdf.queryExecution().executedPlan().toString()
+
+
 def test_top_k_of_repeated_ids_and_huge_components(spark):
     """A candidate counts as often as it appears; a query id that repeats asks with its smallest vector;
     products beyond 64 bits are compared exactly."""
