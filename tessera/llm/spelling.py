@@ -9,7 +9,8 @@ part that is left over, and all chunks that are kept; a key meets an equal one o
 is verified by its edit distance. With depth 1 the chunks are plain halves; every depth gives the same pairs.
 
 Word counts are gathered per document and batch before they are shuffled, and every later step works on
-distinct words: copies of documents cost nothing there. Forms rise at least tenfold in
+distinct words: copies of documents cost nothing there. Words grow with the corpus, and Spark sizes them by compressed
+files and their keys as if there were one a word; so joins are by hint sorted ones, and no words pass through the driver. Forms rise at least tenfold in
 frequency, so chains are short; they are followed by doubling, each step written to the shared folder.
 
 Defined results: a null text has no words; a null doc_id counts as the empty text before the colon of the rule;
@@ -82,7 +83,7 @@ def near_pairs(counted: DataFrame, depth: int = 3) -> DataFrame:
     w = counted.withColumn("m", F.length("word"))
     chunks = w.select("word", "n", "m", F.explode(_keys(F.col("word"), F.col("m"), 0, depth)).alias("key"))
     grams = w.select("word", "n", "m", F.explode(F.concat(_keys(F.col("word"), F.col("m"), 0, depth), _keys(F.col("word"), F.col("m") - 1, 1, depth))).alias("key"))
-    met = chunks.select("key", F.col("word").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma")).join(grams.select("key", F.col("word").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb")), "key")
+    met = chunks.select("key", F.col("word").alias("a"), F.col("n").alias("na"), F.col("m").alias("ma")).join(grams.select("key", F.col("word").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb")).hint("merge"), "key")
     fits = (F.col("mb") == F.col("ma") + 1) | (F.col("mb") == F.col("ma")) & (F.col("a") < F.col("b"))
     return met.where(fits).where(F.levenshtein("a", "b", 1) == 1).select("a", "na", "b", "nb").distinct()
 
@@ -92,7 +93,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     p = materialize(forms.select("word", F.col("form").alias("root")), "forms")
     while True:
         up = p.select(F.col("word").alias("root"), F.col("root").alias("above"))
-        q = materialize(p.join(up, "root", "left").select("word", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
+        q = materialize(p.join(up.hint("merge"), "root", "left").select("word", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), "roots")
         p = q.select("word", "root")
         if q.where("moved").isEmpty():
             return p
@@ -107,7 +108,7 @@ def group(docs: DataFrame, least: int = 7, occurrences: int = 2, times: int = 10
     both = pairs.select(F.col("a").alias("word"), F.struct((-F.col("nb")).alias("minus"), F.col("b").alias("word")).alias("other")).union(pairs.select(F.col("b").alias("word"), F.struct((-F.col("na")).alias("minus"), F.col("a").alias("word")).alias("other")))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min("other").alias("best"))
     enough = -F.col("best")["minus"] >= times * F.col("n")
-    found = counted.join(best, "word", "left").select("word", F.when(enough, F.col("best")["word"]).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(enough, -F.col("best")["minus"]).alias("form_n"))
+    found = counted.join(best.hint("merge"), "word", "left").select("word", F.when(enough, F.col("best")["word"]).alias("form"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(enough, -F.col("best")["minus"]).alias("form_n"))
     found = materialize(found, "near_of")
     roots = _roots(found.where(F.col("form").isNotNull()))
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

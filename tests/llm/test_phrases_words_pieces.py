@@ -189,6 +189,18 @@ def test_each_depth_of_chunks_gives_all_pairs(spark):
         assert len(got) == len(want) and {frozenset((r.a, r.b)) for r in got} == want
 
 
+def test_words_are_not_broadcast(spark):
+    """Keys are many a word, and Spark doesn't know it: however small words look, none pass through the driver."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    counted = spark.createDataFrame([("spelling", 40), ("speling", 3), ("another", 2)], "word string, n long")
+    pairs = spelling.near_pairs(counted)
+    assert [tuple(r) for r in pairs.collect()] == [("speling", 3, "spelling", 40)] and "Broadcast" not in plan(pairs)
+    found = spelling.group(docs(spark, [(1, "spelling " * 40 + "speling " * 3 + "another another", "en")]), every=10**12)
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in found.collect()}
+    assert got == {"spelling": (None, "spelling", 40, 1, None), "speling": ("spelling", "spelling", 3, 1, 40), "another": (None, "another", 2, 0, None)}
+    assert "Broadcast" not in plan(found)
+
+
 def test_spelling_query_equals_brute_force(spark):
     """Counts by hand; near words by joining what is left after one deletion."""
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
