@@ -39,8 +39,10 @@ SHARDS = 4
 BITS = 27
 #: Bytes of text in a block, and bytes of all languages that a task holds before it closes blocks.
 BLOCK_BYTES, HELD_BYTES = 2 << 20, 8 << 20
+#: Bytes of a row group of blocks, and blocks that a task is handed at once: what a task reads doesn't grow with its share.
+GROUP_BYTES, HANDED = 16 << 20, 4
 #: Bytes of added-up counts that a task of the last count holds before it hands them on.
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 8 << 20
 LONGEST = 5
 #: Characters that end a piece (`[.,;:!?\\x0A-\\x0D]`); the byte 255 is in no text.
 ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -237,7 +239,7 @@ def _batches_of(spark: SparkSession, blocks: int) -> Iterator[None]:
 def frequent_phrases(docs: DataFrame, support: int = 100) -> tuple[DataFrame, DataFrame]:
     """All phrases of one to five words that occur ``support`` times or more in a language (lang, k, phrase, f), and
     the languages with their words (lang, n)."""
-    cut = materialize(blocks(docs), "blocks")
+    cut = materialize(blocks(docs), "blocks", GROUP_BYTES)
     totals = materialize(cut.groupBy("lang").agg(F.sum("n_words").alias("n")).where("n > 0"), "totals")
     least = cut.groupBy("shard", "lang").agg(F.sum("n_words").alias("own")).join(totals, "lang").select("shard", "lang", F.expr(f"cast(({support} * cast(own as decimal(38,0)) + n - 1) div n as long)").alias("least"))
     least = materialize(least, "supports")
@@ -254,7 +256,9 @@ def frequent_phrases(docs: DataFrame, support: int = 100) -> tuple[DataFrame, Da
     below, found = None, []
     for shortest, longest in ((2, 2), (3, 3), (4, LONGEST)):
         counts = _level(cut, frequent, below, shortest, longest).groupBy("shard", "lang", "key").agg(F.sum("n").alias("n"))
-        found.append(materialize(counts.join(least, ["shard", "lang"]).where(F.col("n") >= F.col("least")).select("shard", "lang", "key", (F.col("n") - F.col("least") + 1).alias("more")), "local"))
+        local = counts.join(least, ["shard", "lang"]).where(F.col("n") >= F.col("least")).select("shard", "lang", "key", (F.col("n") - F.col("least") + 1).alias("more"))
+        with _batches_of(docs.sparkSession, HANDED):
+            found.append(materialize(local, "local"))
         if longest < LONGEST:
             below = _bit_table(found[-1], "shard")
     # A shard in which a phrase isn't frequent holds less than its share; what is above the shares must make up for the rest.
@@ -262,7 +266,7 @@ def frequent_phrases(docs: DataFrame, support: int = 100) -> tuple[DataFrame, Da
     above = found[0].union(found[1]).union(found[2]).groupBy("lang", "key").agg(F.sum("more").alias("more"))
     candidates = _bit_table(above.join(most, "lang").where(F.col("more") + F.col("most") >= support).select("key"))
     phrases = _counted(cut, candidates).groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= support)
-    with _batches_of(docs.sparkSession, 4):
+    with _batches_of(docs.sparkSession, HANDED):
         phrases = materialize(phrases, "phrases")
     return words.union(phrases), totals
 

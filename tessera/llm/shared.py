@@ -26,12 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, group_bytes: int | None = None) -> DataFrame:
     """Writes ``df`` as Parquet into the shared folder and reads it back: lineage ends here, and a
-    lost executor costs no more than a new read. Each call takes a folder of its own."""
+    lost executor costs no more than a new read. Each call takes a folder of its own.
+
+    Rows of megabytes need row groups of so many bytes: Parquet else writes a hundred of them before it looks
+    at their size, and a task that reads holds a group's rows, up to 4096, at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    groups = {} if group_bytes is None else {"parquet.block.size": group_bytes, "parquet.page.size.row.check.min": 1}
+    df.write.options(compression="zstd", **groups).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

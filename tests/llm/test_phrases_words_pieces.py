@@ -8,10 +8,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 
 from tessera.llm import phrases, pieces, queries, spelling
+from tessera.llm.shared import materialize
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id long, text string, lang string, n long, word string, key string"
@@ -111,6 +113,20 @@ def test_last_count_adds_up_blocks_of_a_task(spark, monkeypatch):
     assert made[0] <= spark.sparkContext.defaultParallelism * len(want) and made[0] < made[1]
 
 
+def test_a_group_of_blocks_is_read_at_once_not_a_file(spark, monkeypatch, prose):
+    """However many blocks a task writes, a reader holds a few: row groups follow bytes, from the first row on."""
+    monkeypatch.setattr(phrases, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(phrases, "GROUP_BYTES", 40_000, raising=False)
+    written = []
+    monkeypatch.setattr(phrases, "materialize", lambda df, *a: written.append((a[0], made := materialize(df, *a))) or made)
+    rows = prose[:240] * 3
+    got = {(r.lang, r.phrase, r.f) for r in phrases.frequent_phrases(docs(spark, rows).repartition(1), 20)[0].collect()}
+    assert got == {(g, " ".join(p), c) for g, held in brute_phrases(rows, 20)[0].items() for p, c in held.items()}
+    files = [x.removeprefix("file://") for x in dict(written)["blocks"].inputFiles()]
+    groups = [m.row_group(i) for m in (pq.ParquetFile(x).metadata for x in files) for i in range(m.num_row_groups)]
+    assert len(files) == 1 and sum(g.num_rows for g in groups) > 50 and max(g.total_byte_size for g in groups) < 80_000
+
+
 def test_collocations_beyond_64_bits_and_of_nothing(spark):
     assert phrases.collocations(docs(spark, [(1, None, None), (2, " .\n", "en")])).count() == 0
     assert phrases.collocations(docs(spark, [(1, "a b", "en")]).limit(0)).count() == 0
