@@ -275,14 +275,15 @@ def collocations(docs: DataFrame, support: int = 100, percent: int = 100, top: i
     """The ``top`` phrases of two to five words of each language by score: lang, rank, phrase, a, l, r, n, score.
 
     A phrase whose words lie inside a longer frequent one with ``percent`` of its count or more goes: it is
-    enough to look at those with one word more, since counts fall with length."""
+    enough to look at those with one word more, since counts fall with length. Frequent phrases grow with the corpus
+    and Spark sizes them by compressed files, so their joins are sorted ones by hint and none pass through the driver."""
     frequent, totals = frequent_phrases(docs, support)
     w = frequent.where("k > 1").withColumn("w", F.split("phrase", " ", -1))
     part = lambda start, size: F.array_join(F.slice("w", start, size), " ")
     inside = w.where("k > 2").select("lang", F.explode(F.array(part(F.lit(1), F.col("k") - 1), part(F.lit(2), F.col("k") - 1))).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
-    kept = w.join(inside, ["lang", "phrase"], "left").where(f"longer is null or 100 * longer < {percent} * f")
+    kept = w.join(inside.hint("merge"), ["lang", "phrase"], "left").where(f"longer is null or 100 * longer < {percent} * f")
     cuts = kept.withColumn("cut", F.explode(F.expr("sequence(1, k - 1)"))).select("lang", "phrase", F.col("f").alias("a"), "cut", part(F.lit(1), F.col("cut")).alias("left"), part(F.col("cut") + 1, F.col("k") - F.col("cut")).alias("right"))
-    of = lambda side, name: frequent.select("lang", F.col("phrase").alias(side), F.col("f").alias(name))
+    of = lambda side, name: frequent.select("lang", F.col("phrase").alias(side), F.col("f").alias(name)).hint("merge")
     scored = cuts.join(of("left", "l"), ["lang", "left"]).join(of("right", "r"), ["lang", "right"]).join(totals, "lang")
     scored = scored.withColumn("score", F.expr("cast((cast(a as decimal(38,0)) * n * 1000) div (cast(l as decimal(38,0)) * r) as long)"))
     worst = scored.groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "cut", "l", "r")).alias("s")).select("lang", "phrase", "a", "s.l", "s.r", "n", "s.score")

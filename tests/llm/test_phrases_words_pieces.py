@@ -127,6 +127,14 @@ def test_a_group_of_blocks_is_read_at_once_not_a_file(spark, monkeypatch, prose)
     assert len(files) == 1 and sum(g.num_rows for g in groups) > 50 and max(g.total_byte_size for g in groups) < 80_000
 
 
+def test_frequent_phrases_are_not_broadcast(spark):
+    """Only the words of each language are: one row a language."""
+    top = phrases.collocations(docs(spark, [(1, "a b c a b . " * 30, "en")]), 20)
+    assert {tuple(r) for r in top.collect()} == brute_collocations([(1, "a b c a b . " * 30, "en")], 20, 100, 2000)
+    plan = top._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("SortMergeJoin") == 3 and plan.count("BroadcastHashJoin") == 1
+
+
 def test_collocations_beyond_64_bits_and_of_nothing(spark):
     assert phrases.collocations(docs(spark, [(1, None, None), (2, " .\n", "en")])).count() == 0
     assert phrases.collocations(docs(spark, [(1, "a b", "en")]).limit(0)).count() == 0
